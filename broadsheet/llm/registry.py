@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, mixing, pii, quality
+from . import ann, bpe, chat, mixing, neardup, pii, quality
 
-QUERIES = {"op1_mix_sources": mixing.query, "op3_pii": pii.query, "op6_quality": quality.query, "op7_bpe": bpe.query, "op9_chat_format": chat.query}
-ORACLES = {"op1_mix_sources": mixing.ORACLE, "op9_chat_format": chat.ORACLE}
+QUERIES = {"op1_mix_sources": mixing.query, "op3_pii": pii.query, "op6_quality": quality.query, "op7_bpe": bpe.query, "op8_ann": ann.query, "op9_chat_format": chat.query, "op10_embedding_neardup": neardup.query}
+ORACLES = {"op1_mix_sources": mixing.ORACLE, "op8_ann": ann.ORACLE, "op9_chat_format": chat.ORACLE, "op10_embedding_neardup": neardup.ORACLE}
