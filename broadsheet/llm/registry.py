@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, mixing, neardup, ngram, pii, quality
+from . import ann, bpe, chat, linededup, mixing, neardup, ngram, pii, quality
 
-QUERIES = {"op1_mix_sources": mixing.query, "op2_ngram_join": ngram.query, "op3_pii": pii.query, "op6_quality": quality.query, "op7_bpe": bpe.query, "op8_ann": ann.query, "op9_chat_format": chat.query, "op10_embedding_neardup": neardup.query}
-ORACLES = {"op1_mix_sources": mixing.ORACLE, "op2_ngram_join": ngram.ORACLE, "op8_ann": ann.ORACLE, "op9_chat_format": chat.ORACLE, "op10_embedding_neardup": neardup.ORACLE}
+QUERIES = {"op1_mix_sources": mixing.query, "op2_ngram_join": ngram.query, "op3_pii": pii.query, "op4_line_dedup": linededup.query, "op6_quality": quality.query, "op7_bpe": bpe.query, "op8_ann": ann.query, "op9_chat_format": chat.query, "op10_embedding_neardup": neardup.query}
+ORACLES = {"op1_mix_sources": mixing.ORACLE, "op2_ngram_join": ngram.ORACLE, "op4_line_dedup": linededup.ORACLE, "op8_ann": ann.ORACLE, "op9_chat_format": chat.ORACLE, "op10_embedding_neardup": neardup.ORACLE}
