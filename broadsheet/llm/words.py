@@ -16,17 +16,21 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
 _PLACE = mix(np.arange(7, 7 + 16, dtype=_U) * _U(0xD1B54A32D192ED03)) | _U(1)
-_powers = np.ones(1, _U)
+_BASE = 0x9FB21C651E98DF25
+_powers = {_BASE: np.ones(1, _U)}
 
 
-def powers(n: int) -> np.ndarray:
-    """Powers of an odd number modulo 2**64."""
-    global _powers
-    if len(_powers) < n:
-        p = np.full(max(n, 2 * len(_powers)), _U(0x9FB21C651E98DF25))
+def powers(n: int, base: int = _BASE) -> np.ndarray:
+    """Powers of an odd number modulo 2**64, n of them at least."""
+    if base not in _powers or len(_powers[base]) < n:
+        p = np.full(max(n, 1 << 16), _U(base))
         p[0] = 1
-        _powers = np.multiply.accumulate(p)
-    return _powers
+        _powers[base] = np.multiply.accumulate(p)
+    return _powers[base]
+
+
+#: Its powers undo those of the base.
+INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def word_hashes(data: np.ndarray, at: np.ndarray, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
