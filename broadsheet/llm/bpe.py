@@ -1,15 +1,16 @@
-"""Byte-level BPE encoding and decoding with Spark's higher-order functions.
+"""Byte-level BPE encoding and decoding: higher-order functions fold ranked merges over the bytes of distinct words.
 
-A text is cut into words by the tokenizer's pattern; a word's bytes are a row of ids that a fold merges pair by pair, least
-rank first, leftmost on ties. The rank map is a literal: pairs of ids sit in one flat array by cuckoo hashing, so that a
-look-up reads two places. Decoding takes each id's bytes from a literal array and concatenates them.
+A text is cut into words by the tokenizer's pattern. Distinct words are counted over the whole corpus, and the HOT_WORDS
+most frequent ones are encoded by a fold of Spark's higher-order functions: a word's bytes are a row of ids that merge pair
+by pair, least rank first, leftmost on ties. The rank map is a literal: pairs of ids sit in one flat array by cuckoo
+hashing, so a look-up reads two places. Decoding takes each id's bytes from a literal array and concatenates them.
 
-Distinct words are counted over the whole corpus, and the HOT_WORDS most frequent ones are folded once; they go into the
-plan as a literal of bounded size. Every other word is folded where it stands, by the same expression, so the bound changes
-time alone, never the result.
+The fold costs over a hundred microseconds a word in Spark's interpreted lambdas, and the words of a corpus never run out,
+so a document's remaining words are merged, by the same ranks, once for each Arrow batch in which they occur. The bound
+changes time alone, never the result.
 
 Defined results: a null text is empty and has no ids; rows are encoded one by one, so repeated rows and ids don't matter;
-other columns are not read (encode_documents keeps them).
+encode_documents keeps other columns (but for one named ids, which it replaces).
 """
 
 from __future__ import annotations
@@ -17,16 +18,18 @@ from __future__ import annotations
 import base64
 import json
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, table, width
 
-#: Most frequent words that are folded once, at most.
-HOT_WORDS = 120_000
+#: Most frequent words that the fold encodes, at most.
+HOT_WORDS = 150_000
 BITS = 17
 _NONE = 1 << 30
 _A, _B = 40503, 30011
@@ -43,15 +46,34 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def merge(word: bytes, table_: dict[bytes, int]) -> list[int]:
-    """The merges in plain Python, for building the tables."""
-    parts = [word[i : i + 1] for i in range(len(word))]
-    while len(parts) > 1:
-        best = min(range(len(parts) - 1), key=lambda i: table_.get(parts[i] + parts[i + 1], _NONE))
-        if parts[best] + parts[best + 1] not in table_:
+def merge(ids: list[int], pairs: dict[int, int]) -> list[int]:
+    """The merges of one row of ids outside Spark's expressions; pairs has merged ids by a << BITS | b."""
+    get = pairs.get
+    found = [get(a << BITS | b, _NONE) for a, b in zip(ids, ids[1:])]
+    while found:
+        least = min(found)
+        if least == _NONE:
             break
-        parts[best : best + 2] = [parts[best] + parts[best + 1]]
-    return [table_[p] for p in parts]
+        i = found.index(least)
+        ids[i] = least
+        del ids[i + 1], found[i]
+        if i:
+            found[i - 1] = get(ids[i - 1] << BITS | least, _NONE)
+        if i < len(found):
+            found[i] = get(least << BITS | ids[i + 1], _NONE)
+    return ids
+
+
+@lru_cache(4)
+def pair_ids(path: str) -> dict[int, int]:
+    """Merged ids of all pairs of tokens that make a token."""
+    table_ = ranks(path)
+    return {table_[t[:i]] << BITS | table_[t[i:]]: r for t, r in table_.items() for i in range(1, len(t)) if t[:i] in table_ and t[i:] in table_}
+
+
+@lru_cache(4)
+def byte_ids(path: str) -> list[int]:
+    return [ranks(path)[bytes([i])] for i in range(256)]
 
 
 def _places(a, b, size: int):
@@ -63,9 +85,8 @@ def _places(a, b, size: int):
 @lru_cache(4)
 def pair_table(path: str) -> list[int]:
     """Cuckoo table of (a << 34 | b << 17 | merged id), -1 where empty, over all pairs of tokens that make a token."""
-    table_ = ranks(path)
-    pairs = [(table_[t[:i]], table_[t[i:]], r) for t, r in table_.items() for i in range(1, len(t)) if t[:i] in table_ and t[i:] in table_]
-    size = 1 << max(4, (3 * len(pairs)).bit_length())
+    pairs = [(p >> BITS, p & (1 << BITS) - 1, r) for p, r in pair_ids(path).items()]
+    size = 2 * len(pairs) + 101
     while True:
         out, ok = [-1] * size, True
         for a, b, r in pairs:
@@ -82,14 +103,14 @@ def pair_table(path: str) -> list[int]:
                 break
         if ok:
             return out
-        size = size * 2 - 1
+        size = size * 9 // 8 | 1
 
 
 @lru_cache(4)
 def odd_tokens(path: str) -> dict[bytes, int]:
     """Tokens that merges don't reach; as words they are their own id all the same."""
-    table_ = ranks(path)
-    return {t: r for t, r in table_.items() if merge(t, table_) != [r]}
+    first, pairs = byte_ids(path), pair_ids(path)
+    return {t: r for t, r in ranks(path).items() if merge([first[x] for x in t], pairs) != [r]}
 
 
 class Bpe:
@@ -101,7 +122,7 @@ class Bpe:
         flat = pair_table(path)
         self.size = len(flat)
         self.pairs = F.from_json(F.lit(json.dumps(flat, separators=(",", ":"))), "array<bigint>")
-        self.bytes = F.from_json(F.lit(json.dumps([table_[bytes([i])] for i in range(256)])), "array<int>")
+        self.bytes = F.from_json(F.lit(json.dumps(byte_ids(path))), "array<int>")
         pieces = [b""] * (max(table_.values()) + 1)
         for t, r in table_.items():
             pieces[r] = t
@@ -111,9 +132,9 @@ class Bpe:
         """The id that a pair merges into, or _NONE."""
         key = F.shiftleft(a.cast("long"), 2 * BITS) + F.shiftleft(b.cast("long"), BITS)
         one, two = _places(a.cast("long"), b.cast("long"), self.size)
-        first, second = F.get(self.pairs, one.cast("int")), F.get(self.pairs, two.cast("int"))
-        hit = lambda e: F.shiftright(e, BITS) == F.shiftright(key, BITS)
-        return F.when(hit(first), first - key).when(hit(second), second - key).otherwise(_NONE).cast("int")
+        # the literal stands once in the plan, for both places
+        rest = F.transform(F.array(one.cast("int"), two.cast("int")), lambda p: F.get(self.pairs, p) - key)
+        return F.coalesce(F.get(F.filter(rest, lambda r: r.between(0, (1 << BITS) - 1)), F.lit(0)), F.lit(_NONE)).cast("int")
 
     def word_ids(self, word: Column) -> Column:
         """Ids of one word: a fold of ranked merges over its bytes."""
@@ -146,31 +167,12 @@ class Bpe:
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def hot_words(self, docs: DataFrame, most: int = HOT_WORDS) -> tuple[Column, int]:
-        """Literal of the most frequent words' ids: an array of maps, by crc32 of the word, and its length."""
+    def hot_words(self, docs: DataFrame, most: int = HOT_WORDS) -> dict[str, list[int]]:
+        """Ids of the most frequent words of at most 64 bytes: a table of bounded size."""
         counted = docs.select(F.explode(self.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-        top = counted.where(F.octet_length("word") <= 64).orderBy(F.desc("n"), "word").limit(most)
-        slots = 1 << 15
-        place = (F.crc32(F.col("word").cast("binary")) % slots).cast("int")
-        folded = top.select("word", place.alias("at"), self.word_ids(F.col("word")).alias("ids"))
-        rows: list[dict] = [{} for _ in range(slots)]
-        odd = odd_tokens(self.path)
-        for r in folded.select("word", "at", "ids").toLocalIterator():
-            rows[r["at"]][r["word"]] = list(r["ids"])
-        import zlib
-
-        for t, i in odd.items():
-            try:
-                rows[zlib.crc32(t) % slots][t.decode()] = [i]
-            except UnicodeDecodeError:  # no text holds such a word
-                continue
-        return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False, separators=(",", ":"))), "array<map<string,array<int>>>"), slots
-
-    def encode(self, text: Column, hot: tuple[Column, int]) -> Column:
-        """Ids of a text."""
-        maps, slots = hot
-        known = lambda w: F.try_element_at(F.get(maps, (F.crc32(w.cast("binary")) % slots).cast("int")), w)
-        return F.flatten(F.transform(self.words(text), lambda w: F.coalesce(known(w), self.word_ids(w))))
+        top = durable(counted.where(F.octet_length("word") <= 64).orderBy(F.desc("n"), "word").limit(most).select("word"), "words")
+        folded = top.repartition(width(docs.sparkSession), "word").select("word", self.word_ids(F.col("word")).alias("ids")).toArrow()
+        return dict(zip(folded["word"].to_pylist(), folded["ids"].to_pylist()))
 
     def decode(self, ids: Column) -> Column:
         """Bytes of a row of ids."""
@@ -180,7 +182,37 @@ class Bpe:
 def encode_documents(docs: DataFrame, path: str, python_pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """docs with ids."""
     bpe = Bpe(path, python_pattern)
-    return docs.withColumn("ids", bpe.encode(F.col("text"), bpe.hot_words(docs)))
+    docs = docs.drop("ids")
+    spark, names = docs.sparkSession, docs.columns
+    shared = spark.sparkContext.broadcast((bpe.hot_words(docs), pair_ids(path), byte_ids(path), odd_tokens(path)))
+
+    def encoded(batches):
+        hot, pairs, first, odd = shared.value
+
+        def ids_of(word: str) -> list[int]:
+            raw = word.encode()
+            return [odd[raw]] if raw in odd else merge([first[x] for x in raw], pairs)
+
+        for b in batches:
+            words = b.column("__words")
+            flat = words.flatten().dictionary_encode()
+            ids = [hot.get(w) or ids_of(w) for w in flat.dictionary.to_pylist()]
+            lens = np.fromiter(map(len, ids), np.int32, len(ids))
+            values = np.fromiter(chain.from_iterable(ids), np.int32, int(lens.sum()))
+            del ids
+            heads = np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int32)
+            which, places = flat.indices.to_numpy(zero_copy_only=False), np.asarray(words.offsets) - np.asarray(words.offsets)[:1]
+            for i in range(0, b.num_rows, 512):  # rows of a slice are put together at once
+                at = places[i : i + 513]
+                own = which[at[0] : at[-1]]
+                n = lens[own]
+                ends = np.concatenate([[0], np.cumsum(n)])
+                out = values[np.arange(ends[-1]) + np.repeat(heads[own] - ends[:-1], n)]
+                rows = pa.ListArray.from_arrays(pa.array(ends[at - at[0]].astype(np.int32)), pa.array(out))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, 512) for c in names), rows], [*names, "ids"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.withColumn("__words", bpe.words(F.col("text"))).mapInArrow(encoded, f"{kinds}, ids array<int>")
 
 
 def digests(encoded: DataFrame, path: str) -> DataFrame:
@@ -197,4 +229,4 @@ def digests(encoded: DataFrame, path: str) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: ids of all documents, and what decodes from them."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return digests(durable(encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids"), "ids"), path)
+    return digests(encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import durable, flat, spans, table
-from .setjoin import Units, crowded, link, rest, verify
+from .setjoin import Units, crowded, families, link, rest, stars, survey
 from .words import STEP, shingles, word_hashes
 
 WORDS, PERCENT = 5, 75
@@ -66,28 +66,33 @@ def repeated_lines(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> D
     keyed = _keyed(docs.select("doc_id", "text")).select("__id", "__text", "text")
     read = line_units(k)
 
-    def emit(batches):
-        for b in batches:
-            for units, more in read(b):
-                row = pa.array(more["row"])
-                yield pa.RecordBatch.from_arrays([b.column("__id").take(row), b.column("__text").take(row), pa.array(more["line"].astype(np.int32)), pa.array(units.key)], ["id", "h", "line", "c"])
+    extra = {"id": pa.int64(), "h": pa.int64(), "line": pa.int32()}
 
-    lines = durable(keyed.mapInArrow(emit, "id long, h long, line int, c long"), "lines")
+    def more(b: pa.RecordBatch, found: dict) -> list:
+        row = pa.array(found["row"])
+        return [b.column("__id").take(row), b.column("__text").take(row), pa.array(found["line"].astype(np.int32))]
+
+    surveyed = survey(keyed, read, extra, more)
+    lines = surveyed.where("piece is null").select("id", "h", "line", "c")
     classes = durable(lines.groupBy("c").agg(F.min(F.struct("id", "h", "line")).alias("first"), F.count("*").alias("m")), "lineclasses")
-    links, members, sets_ = link(keyed.select("text"), read, classes, percent)
+    members, sets_ = link(keyed.select("text"), read, surveyed, classes, percent)
 
     def later(pairs: DataFrame) -> DataFrame:
         both = pairs.join(classes.select(F.col("c").alias("a"), F.col("first").alias("fa")), "a").join(classes.select(F.col("c").alias("b"), F.col("first").alias("fb")), "b")
         return both.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("c")).distinct()
 
-    gone = durable(later(links), "gone")
+    pairs = sets_.may(stars(members, percent))
+    sets_.fetch(pairs)
+    gone = durable(later(sets_.exact(pairs)), "gone")
     # in tiles of three and more: who hasn't gone, but for the first member, still meets everyone
     many = crowded(members).join(gone.withColumn("gone", F.lit(True)), "c", "left")
     heads = members.groupBy("t").agg(F.min(F.struct("first", "c")).alias("head"))
-    many = many.join(heads, "t").withColumn("open", F.when(F.col("gone").isNull() & (F.col("c") != F.col("head.c")), F.col("c")))
-    many = durable(many.select("t", "c", "n", "open"), "many")
-    tiles = many.where("open is not null").select("t").distinct()
-    gone = gone.unionByName(later(verify(rest(many.join(tiles, "t"), sets_, "open", percent), sets_, percent))).distinct().withColumn("gone", F.lit(True))
+    many = many.join(heads, "t").withColumn("open", F.when(F.col("gone").isNull(), F.col("c"))).withColumn("own", F.col("c") == F.col("head.c"))
+    many = durable(many.select("t", "c", "n", "open", "own"), "many")
+    tiles = many.where("open is not null and not own").select("t").distinct()
+    others = rest(families(durable(many.join(tiles, "t"), "opened")), sets_.signs, "open", percent)
+    sets_.fetch(others)
+    gone = gone.unionByName(later(sets_.exact(others))).distinct().withColumn("gone", F.lit(True))
     known = durable(classes.join(gone, "c", "left").where("m > 1 or gone").select("c", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "known")
     out = lines.join(known, "c").where(F.col("gone") | (F.struct("id", "h", "line") > F.col("first")))
     return durable(out.groupBy(F.col("id").alias("__id"), F.col("h").alias("__text")).agg(F.collect_set("line").alias("gone")), "gonelines")
@@ -98,7 +103,7 @@ def drop_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
     out = _keyed(docs).join(gone, ["__id", "__text"], "left")
     lines = F.split("text", "\n", -1)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: F.get(F.col("__lines"), i))
-    out = out.withColumn("__n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1))
+    out = out.withColumn("__n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1))
     out = out.withColumn("__lines", F.when(F.col("gone").isNotNull(), lines)).withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))

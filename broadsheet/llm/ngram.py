@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, flat, spans, table
-from .setjoin import Units, linked_components
+from .common import WORD, durable, flat, spans, table
+from .setjoin import Units, link, linked_components, survey
 from .words import STEP, shingles, word_hashes
 
 WORDS, PERCENT = 5, 75
@@ -41,26 +41,15 @@ def document_units(k: int):
     return read
 
 
-def document_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, c): set size and class key of each document; no key for an empty set."""
-    read = document_units(k)
-
-    def emit(batches):
-        for b in batches:
-            n, c, has = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, bool)
-            for units, more in read(b):
-                n[more["row"]], c[more["row"]], has[more["row"]] = units.n, units.key, True
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(c, mask=~has)], ["doc_id", "n", "c"])
-
-    return docs.mapInArrow(emit, "doc_id long, n long, c long")
-
-
 def near_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id: groups of documents with Jaccard of percent/100 or more, chained."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = durable(document_sets(docs, k), "sets")
+    read = document_units(k)
+    surveyed = survey(docs, read, {"doc_id": pa.int64()}, lambda b, found: [b.column("doc_id").take(pa.array(found["row"]))])
+    none = docs.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False))).select("doc_id", F.lit(0).alias("n"), F.lit(None).cast("long").alias("c"))
+    rows = surveyed.where("piece is null").select("doc_id", "n", "c").unionByName(none)
     classes = durable(rows.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("first")), "classes")
-    named = linked_components(docs.select("text"), document_units(k), classes, percent)
+    named = linked_components(*link(docs.select("text"), read, surveyed, classes, percent), percent)
     # ids that stand in several classes tie these together
     groups = durable(classes.join(named, "c", "left").select("c", F.coalesce("component", "c").alias("g"), "first"), "groups")
     ids = rows.where("doc_id is not null and c is not null").select("doc_id", "c").distinct()
@@ -75,7 +64,7 @@ def near_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
     final = durable(groups.join(least, "g").select("c", "component_id"), "final")
     out = rows.join(final, "c", "left")
     # a copy without words of an id that has words elsewhere is that node too
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:

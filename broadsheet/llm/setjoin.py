@@ -3,14 +3,14 @@
 Units (documents, or lines of documents) with equal sets are one class, keyed by a 64-bit hash of the set; members of a
 class need no comparison. The stages, each a written table:
 
-sketch     document frequencies of shingles over all units, in a fixed number of counters
+survey     document frequencies of shingles over all units, in a fixed number of counters, and each class's bitmap
 prefixes   each class orders its shingles by rarity and sends its prefix (n - ceil(t*n) + 1 shingles: two sets that reach
            the threshold share one) to the shingles' buckets, as packed arrays
 tiles      a bucket finds shingles that several classes share; equal member lists are one tile
 stars      in a tile, every member meets the pivot, the member that comes first
-rest       members that the stars don't settle meet each other, block by block, inside size bands of the tile
-verify     hashed bitmaps bound the overlap from above by bit counts; what may reach the threshold is intersected exactly,
-           as sorted arrays
+rest       members that the stars don't settle meet each other, block by block, inside size bands of the family of tiles
+may        hashed bitmaps bound a pair's overlap from above by bit counts
+exact      what may reach the threshold is intersected exactly, as sorted arrays
 
 Stars keep a large group of near copies from being expanded into all its pairs. Nothing is sampled or capped: the sketch
 steers the order, on which the result doesn't depend.
@@ -63,14 +63,25 @@ class Units:
 Reader = Callable[[pa.RecordBatch], Iterator[tuple[Units, dict]]]
 
 
-def sketch(docs: DataFrame, read: Reader) -> np.ndarray:
-    """Counts of units by shingle slot; partitions send dense pieces that are summed in two steps."""
+def survey(docs: DataFrame, read: Reader, extra: dict[str, pa.DataType], more: Callable) -> DataFrame:
+    """One pass over the texts: a row (c, n, bits, extra...) for each unit, and pieces of the sketch (piece, part, counts).
+
+    more(batch, extra columns of the reader) gives the arrays of `extra` for the units of a run. A class has its bitmap once
+    for each partition.
+    """
+    names = ["piece", "part", "counts", "c", "n", "bits", *extra]
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), *extra.values()]
+    schema = pa.schema(list(zip(names, kinds)))
 
     def count(batches):
         total = np.zeros(SKETCH, np.int64)
+        seen: set[int] = set()
         for b in batches:
-            for units, _ in read(b):
+            for units, found in read(b):
                 total += np.bincount((units.hashes % _U(SKETCH)).astype(np.int64), minlength=SKETCH)
+                m = len(units.n)
+                bits = [bitmap(units.hashes[units.at[i] : units.at[i + 1]]) if k not in seen and not seen.add(k) else None for i, k in enumerate(units.key.tolist())]
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(m, t) for t in kinds[:3]), pa.array(units.key), pa.array(units.n.astype(np.int32)), pa.array(bits, pa.binary()), *more(b, found)], schema=schema)
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
@@ -78,7 +89,14 @@ def sketch(docs: DataFrame, read: Reader) -> np.ndarray:
             piece = total[k : k + _CHUNK]
             if piece.any():
                 kind = np.uint8 if piece.max() < 256 else np.int64
-                yield pa.RecordBatch.from_pydict({"piece": [k // _CHUNK], "part": [part // 1024], "counts": [piece.astype(kind).tobytes()]}, schema=pa.schema([("piece", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())]))
+                yield pa.RecordBatch.from_arrays([pa.array([k // _CHUNK], pa.int32()), pa.array([part // 1024], pa.int32()), pa.array([piece.astype(kind).tobytes()], pa.binary()), *(pa.nulls(1, t) for t in kinds[3:])], schema=schema)
+
+    sql = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.string(): "string"}
+    return durable(docs.mapInArrow(count, ", ".join(f"{n} {sql[t]}" for n, t in zip(names, kinds))), "survey")
+
+
+def sketch(surveyed: DataFrame) -> np.ndarray:
+    """Counts of units by shingle slot; partitions' pieces are summed in two steps."""
 
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(_CHUNK, np.int64)
@@ -87,7 +105,7 @@ def sketch(docs: DataFrame, read: Reader) -> np.ndarray:
         return pa.table({"piece": t["piece"].slice(0, 1), "part": t["part"].slice(0, 1), "counts": [total.tobytes()]})
 
     kinds = "piece int, part int, counts binary"
-    parts = docs.mapInArrow(count, kinds).groupBy("piece", "part").applyInArrow(add, kinds)
+    parts = surveyed.where("piece is not null").select("piece", "part", "counts").groupBy("piece", "part").applyInArrow(add, kinds)
     out = np.zeros(SKETCH, np.int64)
     for r in parts.groupBy("piece").applyInArrow(lambda t: add(t), kinds).toLocalIterator():
         out[r["piece"] * _CHUNK : (r["piece"] + 1) * _CHUNK] = np.frombuffer(r["counts"], np.int64)
@@ -154,7 +172,7 @@ def tiles(docs: DataFrame, read: Reader, counts: np.ndarray, percent: int) -> Da
 
 
 def arrays(docs: DataFrame, read: Reader, classes: DataFrame) -> DataFrame:
-    """(c, n, band, bits, items) of the classes named (and a few more): bitmaps and sorted arrays, from another pass over the texts."""
+    """(c, items): sorted arrays of the classes named (and a few more), from another pass over the texts."""
     spark = docs.sparkSession
     slot = F.pmod("c", F.lit(ACTIVE)) + 1  # Spark numbers the places of its bitmaps from 1
     rows = classes.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
@@ -172,18 +190,21 @@ def arrays(docs: DataFrame, read: Reader, classes: DataFrame) -> DataFrame:
                 on = np.flatnonzero(shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
                 on = [i for i in on.tolist() if (k := int(units.key[i])) not in seen and not seen.add(k)]
                 if on:
-                    items = [units.hashes[units.at[i] : units.at[i + 1]] for i in on]
-                    bands = [int(len(x) - 1).bit_length() for x in items]
-                    yield pa.RecordBatch.from_pydict({"c": units.key[on], "n": units.n[on].astype(np.int32), "band": np.array(bands, np.int32), "bits": [bitmap(x, k) for x, k in zip(items, bands)], "items": [x.tobytes() for x in items]})
+                    yield pa.RecordBatch.from_pydict({"c": units.key[on], "items": [units.hashes[units.at[i] : units.at[i + 1]].tobytes() for i in on]})
 
-    made = docs.mapInArrow(emit, "c long, n int, band int, bits binary, items binary")
+    made = docs.mapInArrow(emit, "c long, items binary")
     # a class is made once in each partition that has it
-    return durable(made.groupBy("c").agg(F.any_value("n").alias("n"), F.any_value("band").alias("band"), F.any_value("bits").alias("bits"), F.any_value("items").alias("items")), "arrays")
+    return durable(made.groupBy("c").agg(F.any_value("items").alias("items")), "arrays")
+
 
+def band(n: int) -> int:
+    """The size band of sets of n: they hold at most 2**band."""
+    return (n - 1).bit_length()
 
-def bitmap(items: np.ndarray, band: int) -> bytes:
-    """4 * 2**band hashed bits of a set of at most 2**band items, eight at least."""
-    size = max(8, 4 << band)
+
+def bitmap(items: np.ndarray) -> bytes:
+    """Hashed bits of a set: 4 * 2**band of them, eight at least."""
+    size = max(8, 4 << band(len(items)))
     out = np.zeros(size, np.uint8)
     out[(items % _U(size)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -225,62 +246,87 @@ def _may(t: pa.RecordBatch, percent: int) -> np.ndarray:
     return keep
 
 
-def verify(pairs: DataFrame, sets_: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that reach the threshold: bitmaps first, then sorted arrays."""
-    import pyarrow.compute  # noqa: F401
-
-    signs = sets_.select("c", "n", "bits")
-    signed = pairs.join(signs.toDF("a", "na", "bits_a"), "a").join(signs.toDF("b", "nb", "bits_b"), "b")
-
-    def may(batches):
-        import pyarrow.compute  # noqa: F401
-
-        for t in batches:
-            keep = pa.array(_may(t, percent))
-            yield pa.RecordBatch.from_arrays([t.column("a").filter(keep), t.column("b").filter(keep)], ["a", "b"])
-
-    some = durable(signed.mapInArrow(may, "a long, b long"), "candidates")
-    # an a with many partners is dealt over several groups, each with its own copy of a's array
-    parts = durable(some.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("parts")), "parts")
-    dealt = some.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int"))
-    left = dealt.select("a", "part").distinct().join(sets_.select(F.col("c").alias("a"), "items"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "items")
-    right = dealt.select("a", "part", "b").join(sets_.select(F.col("c").alias("b"), "items"), "b").select("a", "part", "b", "items")
-
-    def intersect(batches):
-        now, own = None, np.zeros(0, _U)
-        for t in batches:
-            a, b = t.column("a").to_pylist(), t.column("b").to_pylist()
-            found: list[tuple[int, int]] = []
-            for i, item in enumerate(t.column("items")):
-                other = np.frombuffer(item.as_buffer(), _U)
-                if b[i] is None:
-                    now, own = a[i], other.copy()
-                elif now == a[i]:
-                    at = np.searchsorted(own, other)
-                    common = int((own[np.minimum(at, len(own) - 1)] == other).sum())
-                    if enough(common, len(own), len(other), percent):
-                        found.append((a[i], b[i]))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
-
-    lined = left.unionByName(right).repartition(width(pairs.sparkSession), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    out = durable(lined.mapInArrow(intersect, "a long, b long"), "links")
-    forget(some, parts)
-    return out
+class Sets:
+    """Bitmaps of all classes in tiles, and the sorted arrays of those that a bitmap couldn't part."""
+
+    def __init__(self, docs: DataFrame, read: Reader, signs: DataFrame, percent: int):
+        self.docs, self.read, self.signs, self.percent, self.tables = docs, read, signs, percent, []
+
+    def may(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose bitmaps allow the threshold."""
+        percent = self.percent
+        signed = pairs.join(self.signs.toDF("a", "na", "bits_a"), "a").join(self.signs.toDF("b", "nb", "bits_b"), "b")
+
+        def run(batches):
+            import pyarrow.compute  # noqa: F401
+
+            for t in batches:
+                keep = pa.array(_may(t, percent))
+                yield pa.RecordBatch.from_arrays([t.column("a").filter(keep), t.column("b").filter(keep)], ["a", "b"])
+
+        return durable(signed.mapInArrow(run, "a long, b long"), "candidates")
+
+    def fetch(self, pairs: DataFrame) -> None:
+        """Make the arrays of the classes in pairs that have none yet."""
+        need = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+        for t in self.tables:
+            need = need.join(t.select("c"), "c", "left_anti")
+        need = durable(need, "need")
+        if not need.isEmpty():
+            self.tables.append(arrays(self.docs, self.read, need))
+        forget(need)
+
+    def exact(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that reach the threshold, by intersection of sorted arrays; fetch() comes first."""
+        percent = self.percent
+        if not self.tables:
+            return pairs
+        held = self.tables[0]
+        for t in self.tables[1:]:
+            held = held.unionByName(t)
+        if len(self.tables) > 1:
+            held = held.dropDuplicates(["c"])
+        # an a with many partners is dealt over several groups, each with its own copy of a's array
+        parts = durable(pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("parts")), "parts")
+        dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int"))
+        left = dealt.select("a", "part").distinct().join(held.withColumnRenamed("c", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "items")
+        right = dealt.select("a", "part", "b").join(held.withColumnRenamed("c", "b"), "b").select("a", "part", "b", "items")
+
+        def intersect(batches):
+            now, own = None, np.zeros(0, _U)
+            for t in batches:
+                a, b = t.column("a").to_pylist(), t.column("b").to_pylist()
+                found: list[tuple[int, int]] = []
+                for i, item in enumerate(t.column("items")):
+                    other = np.frombuffer(item.as_buffer(), _U)
+                    if b[i] is None:
+                        now, own = a[i], other.copy()
+                    elif now == a[i]:
+                        at = np.searchsorted(own, other)
+                        common = int((own[np.minimum(at, len(own) - 1)] == other).sum())
+                        if enough(common, len(own), len(other), percent):
+                            found.append((a[i], b[i]))
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+        lined = left.unionByName(right).repartition(width(pairs.sparkSession), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+        out = durable(lined.mapInArrow(intersect, "a long, b long"), "links")
+        forget(parts)
+        return out
 
 
 def stars(members: DataFrame, percent: int) -> DataFrame:
     """(a, b): the first member of each tile with every other that sizes allow."""
     pivots = durable(members.groupBy("t").agg(F.min(F.struct("first", "c", "n")).alias("p")).select("t", F.col("p.c").alias("a"), F.col("p.n").alias("na")), "pivots")
     pairs = members.join(pivots, "t").where("c <> a").where(100 * F.least("n", "na") >= percent * F.greatest("n", "na"))
-    return durable(pairs.select("a", F.col("c").alias("b")).distinct(), "stars")
+    return pairs.select("a", F.col("c").alias("b")).distinct()
 
 
-def rest(members: DataFrame, sets_: DataFrame, group: str, percent: int) -> DataFrame:
+def rest(members: DataFrame, signs: DataFrame, group: str, percent: int) -> DataFrame:
     """(a, b): pairs inside tiles whose `group` differs and whose bitmaps allow the threshold, tile by size band, in blocks.
 
     members(t, c, n, group): a null group is a class that needs no partner among others of null group.
     """
-    home = members.join(sets_.select("c", "band", "bits"), "c")
+    home = members.join(signs.select("c", "bits"), "c").withColumn("band", F.length(F.bin(F.col("n") - 1)) - F.when(F.col("n") == 1, 1).otherwise(0))
     # a pair's sizes differ by a third at most, so a band meets itself and the next: the smaller side comes as a guest
     spread = home.withColumn("tier", F.explode(F.array("band", F.col("band") + 1)))
     spread = spread.withColumn("guest", F.col("tier") > F.col("band")).where(~F.col("guest") | (F.col("n") * 100 >= percent * F.expr("shiftleft(1, greatest(tier - 1, 0))")))
@@ -309,14 +355,14 @@ def rest(members: DataFrame, sets_: DataFrame, group: str, percent: int) -> Data
     return durable(dealt.groupBy("t", "tier", "lo", "hi").applyInArrow(run, "a long, b long").distinct(), "rest")
 
 
-def link(docs: DataFrame, read: Reader, order: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(links, members, sets): star links over order(c, first), what the caller needs to settle the rest, and the sets."""
-    counts = sketch(docs, read)
-    found = tiles(docs, read, counts, percent)
+def link(docs: DataFrame, read: Reader, surveyed: DataFrame, order: DataFrame, percent: int) -> tuple[DataFrame, Sets]:
+    """Tiles' members (t, c, n, first), with the order of classes given as order(c, first), and their sets."""
+    found = tiles(docs, read, sketch(surveyed), percent)
     members = durable(found.join(order.select("c", "first"), "c"), "members")
     forget(found)
-    sets_ = arrays(docs, read, members.select("c"))
-    return verify(stars(members, percent), sets_, percent), members, sets_
+    signs = surveyed.where("bits is not null").select("c", "n", "bits").join(members.select("c").distinct(), "c", "left_semi")
+    signs = durable(signs.groupBy("c").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits")), "signs")
+    return members, Sets(docs, read, signs, percent)
 
 
 def crowded(members: DataFrame) -> DataFrame:
@@ -325,13 +371,33 @@ def crowded(members: DataFrame) -> DataFrame:
     return members.join(many, "t")
 
 
-def linked_components(docs: DataFrame, read: Reader, order: DataFrame, percent: int) -> DataFrame:
+#: Tiles that overlap are compared as one family of classes, up to so many; members of a larger one meet in its tiles.
+FAMILY = 20_000
+
+
+def families(members: DataFrame) -> DataFrame:
+    """members with t replaced by the family of its tile, each class once: overlapping tiles would compare a pair many times.
+
+    A family holds its tiles' members, so no pair is lost; where it outgrows FAMILY, its tiles stay as they are.
+    """
+    heads = members.groupBy("t").agg(F.min("c").alias("head"))
+    named = durable(components(members.join(heads, "t").select(F.col("c").alias("u"), F.col("head").alias("v"))), "families").toDF("c", "f")
+    sizes = named.groupBy("f").agg(F.count("*").alias("size"))
+    placed = members.join(named.join(durable(sizes, "sizes"), "f"), "c")
+    return placed.withColumn("t", F.when(F.col("size") <= FAMILY, F.col("f")).otherwise(F.col("t"))).drop("f", "size").dropDuplicates(["t", "c"])
+
+
+def linked_components(members: DataFrame, sets_: Sets, percent: int) -> DataFrame:
     """(c, component): classes that have a link to another; component is the least class key reachable."""
-    links, members, sets_ = link(docs, read, order, percent)
+    pairs = sets_.may(stars(members, percent))
+    sets_.fetch(pairs)
+    links = sets_.exact(pairs)
     named = durable(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+    # tiles of more than one component: everyone meets everyone of another component
     grouped = crowded(members).join(named.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    grouped = durable(grouped.select("t", "c", "n", "component"), "grouped")
     open_ = durable(grouped.groupBy("t").agg((F.min("component") != F.max("component")).alias("open")).where("open").select("t"), "open")
-    grouped = durable(grouped.join(open_, "t"), "grouped")
-    more = verify(rest(grouped, sets_, "component", percent), sets_, percent)
-    out = components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    return out.select(F.col("node").alias("c"), "component")
+    more = rest(families(durable(grouped.join(open_, "t"), "opened")), sets_.signs, "component", percent)
+    sets_.fetch(more)
+    edges = sets_.exact(more).select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(named.select(F.col("node").alias("u"), F.col("component").alias("v")))
+    return components(edges).select(F.col("node").alias("c"), "component")

@@ -15,6 +15,8 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
+#: A byte's value, the same for both cases of A-Z.
+_VALUE = _BYTE[_LOWER]
 _PLACE = mix(np.arange(7, 7 + 16, dtype=_U) * _U(0xD1B54A32D192ED03)) | _U(1)
 _BASE = 0x9FB21C651E98DF25
 _powers = {_BASE: np.ones(1, _U)}
@@ -33,27 +35,25 @@ def powers(n: int, base: int = _BASE) -> np.ndarray:
 INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of the rows in data, lower-cased, and for each row the number of its first word (n+1 numbers). breaks: more byte places where words end."""
+def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word of the rows in data, lower-cased, and for each row the number of its first word (n+1 numbers)."""
     if not len(data):
         return np.zeros(0, _U), np.zeros(len(at), np.int64)
     inside = ~_SPACE[data]
-    start = inside.copy()
+    start, end = inside.copy(), inside.copy()
     start[1:] &= ~inside[:-1]
+    end[:-1] &= ~inside[1:]
     cut = at[1:-1]
-    cut = cut[cut < len(data)]
+    cut = cut[(cut > 0) & (cut < len(data))]
     start[cut] = inside[cut]
-    first = np.flatnonzero(start)
+    end[cut - 1] = inside[cut - 1]
+    first, last = np.flatnonzero(start), np.flatnonzero(end) + 1
     counts = np.searchsorted(first, at)
-    if not len(first):
-        return np.zeros(0, _U), counts
-    where = np.flatnonzero(inside)
-    heads = np.searchsorted(where, first)
-    lens = np.diff(np.append(heads, len(where)))
-    place = np.arange(len(where)) - np.repeat(heads, lens)
-    value = _BYTE[_LOWER[data[where]]]
-    value *= powers(int(lens.max()))[place]
-    return mix(np.add.reduceat(value, heads) + lens.astype(_U)), counts
+    # running sums of bytes times powers; a word's part of them, brought back to the powers from 0
+    total = np.zeros(len(data) + 1, _U)
+    np.cumsum(_VALUE[data] * powers(len(data))[: len(data)], out=total[1:])
+    hashes = (total[last] - total[first]) * powers(len(data), INVERSE)[first]
+    return mix(hashes + (last - first).astype(_U)), counts
 
 
 def shingles(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
