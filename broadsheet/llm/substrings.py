@@ -83,13 +83,14 @@ def _rows(batch: pa.RecordBatch, name: str = "text"):
         yield i, data[at[i] : at[j]], at[i : j + 1] - at[i]
 
 
-def _by_key(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
-    """Values of each key as bytes."""
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-    cuts = np.append(head, len(key))
-    return key[head], [[v[order[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:])] for v in values]
+def _answers(k: np.ndarray, targets: int, *values: np.ndarray) -> pa.Table:
+    """Answers to texts k as one row of packed columns for each target that has some: a row for each text would be many small ones."""
+    to = np.mod(k, targets)
+    order = np.argsort(to, kind="stable")
+    cuts = np.searchsorted(to[order], np.arange(targets + 1))
+    on = [t for t in range(targets) if cuts[t] < cuts[t + 1]]
+    packed = {n: pa.array([v[order[cuts[t] : cuts[t + 1]]].tobytes() for t in on], pa.binary()) for n, v in zip("kxy", (k, *values))}
+    return pa.table({"target": pa.array(on, pa.int32()), **packed})
 
 
 _SENT = "bucket int, direct boolean, a binary, b binary, c binary, d binary, e binary"
@@ -107,7 +108,7 @@ def _parcels(to: np.ndarray, buckets: int, direct: bool, *values: np.ndarray) ->
 
 
 def shared_anchors(texts: DataFrame) -> DataFrame:
-    """texts(k, text) -> (k, h): for each text, the hashes (packed) of its anchors that other texts have too."""
+    """texts(k, text) -> (target, k, x): packed, texts and hashes of their anchors that other texts have too."""
     buckets = width(texts.sparkSession)
 
     def send(batches):
@@ -123,7 +124,7 @@ def shared_anchors(texts: DataFrame) -> DataFrame:
             head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             many = np.repeat(np.diff(np.append(head, len(h))) > 1, np.diff(np.append(head, len(h))))
             if many.any():
-                yield _parcels((k[many].view(_U) % _U(buckets)).astype(np.int64), buckets, True, k[many], h[many])
+                yield _parcels(np.mod(k[many], buckets), buckets, True, k[many], h[many])
             # of texts that share an anchor here, two stand for all: enough to tell any other text
             rank = np.arange(len(h)) - np.repeat(head, np.diff(np.append(head, len(h))))
             yield _parcels((h[rank < 2] % _U(buckets)).astype(np.int64), buckets, False, k[rank < 2], h[rank < 2], many[rank < 2])
@@ -156,18 +157,49 @@ def shared_anchors(texts: DataFrame) -> DataFrame:
             on = np.repeat(several, size) & ~known
             parts.append((k[on], h[on]))
         k, h = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        keys, (found,) = _by_key(k, h)
-        return pa.table({"k": keys, "h": pa.array(found, pa.binary())})
-
-    return texts.mapInArrow(send, _SENT).groupBy("bucket").applyInArrow(gather, "k long, h binary")
-
-
-def _together(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of both sides by k, the right's packed answers before the left's text: a stream that needs no group in memory."""
-    a = left.select("k", F.lit(1).alias("side"), *columns, F.lit(None).cast("binary").alias("x"), F.lit(None).cast("binary").alias("y"))
-    kinds = {f.name: f.dataType for f in left.schema}
-    b = right.select("k", F.lit(0).alias("side"), *[F.lit(None).cast(kinds[c]).alias(c) for c in columns], *[(F.col(c) if c in right.columns else F.lit(None).cast("binary")).alias(c) for c in ("x", "y")])
-    return a.unionByName(b).repartition(width(left.sparkSession), "k").sortWithinPartitions("k", "side")
+        return _answers(k, buckets, h)
+
+    return texts.mapInArrow(send, _SENT).groupBy("bucket").applyInArrow(gather, "target int, k binary, x binary")
+
+
+def _together(texts: DataFrame, answers: DataFrame, columns: list[str], use, kinds: str) -> DataFrame:
+    """use(key, row number, batch, x, y) for the first text of each key that has answers, in order of the columns; it returns a row or None.
+
+    Both sides are dealt by the key's target; a target's answers come first and are held while its texts stream by.
+    """
+    targets = width(texts.sparkSession)
+    t = {f.name: f.dataType for f in texts.schema}
+    a = texts.select(F.pmod("k", F.lit(targets)).cast("int").alias("target"), F.lit(1).alias("side"), "k", *columns, *[F.lit(None).cast("binary").alias(c) for c in ("ks", "x", "y")])
+    b = answers.select("target", F.lit(0).alias("side"), F.lit(None).cast("long").alias("k"), *[F.lit(None).cast(t[c]).alias(c) for c in columns], F.col("k").alias("ks"), "x", (F.col("y") if "y" in answers.columns else F.lit(None).cast("binary")).alias("y"))
+    kinds_x, kinds_y = _U if "y" not in answers.columns else np.int64, np.uint32
+
+    def run(batches):
+        now, held, keys, xs, ys, last = None, [], None, None, None, None
+        for batch in batches:
+            target, side, ks = (batch.column(c).to_pylist() for c in ("target", "side", "k"))
+            out = []
+            for i in range(batch.num_rows):
+                if target[i] != now:
+                    now, held, keys, last = target[i], [], None, None
+                if side[i] == 0:
+                    held.append(tuple(batch.column(c)[i].as_py() for c in ("ks", "x", "y")))
+                    continue
+                if not held or ks[i] == last:
+                    continue
+                if keys is None:
+                    keys, xs = np.frombuffer(b"".join(h[0] for h in held), np.int64), np.frombuffer(b"".join(h[1] for h in held), kinds_x)
+                    order = np.argsort(keys, kind="stable")
+                    keys, xs = keys[order], xs[order]
+                    ys = np.frombuffer(b"".join(h[2] for h in held), kinds_y)[order] if held[0][2] is not None else None
+                lo, hi = np.searchsorted(keys, [ks[i], ks[i]], side="left")[0], np.searchsorted(keys, ks[i], side="right")
+                last = ks[i]
+                if lo < hi and (row := use(ks[i], i, batch, xs[lo:hi], None if ys is None else ys[lo:hi])):
+                    out.append(row)
+            if out:
+                yield pa.RecordBatch.from_pylist(out)
+
+    both = a.unionByName(b).repartition(targets, "target").sortWithinPartitions("target", "side", "k", *[c for c in columns if c != "text"])
+    return both.mapInArrow(run, kinds)
 
 
 def columns_order(text: np.ndarray, count: int):
@@ -207,7 +239,7 @@ def resolve(text: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarr
 
 
 def repeated_windows(texts: DataFrame) -> DataFrame:
-    """texts(k, doc_id, text, h) -> (k, x, y): packed places of anchors and bits of their windows that smaller documents have."""
+    """texts(k, doc_id, text, h) -> (target, k, x, y): packed, texts, places of anchors and bits of their windows that smaller documents have."""
     buckets = width(texts.sparkSession)
 
     def send(batches):
@@ -230,7 +262,7 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
             if len(told):
                 first, last = ends[told] >> 8, ends[told] & 255
                 bits = ((_U(1) << (first.astype(_U) + _U(1))) - (_U(1) << last.astype(_U))).astype(np.uint32)
-                yield _parcels((k[told].view(_U) % _U(buckets)).astype(np.int64), buckets, True, k[told], place[told], bits)
+                yield _parcels(np.mod(k[told], buckets), buckets, True, k[told], place[told], bits)
             yield _parcels((h[asks] % _U(buckets)).astype(np.int64), buckets, False, k[asks], place[asks], doc[asks], ends[asks], text[asks])
 
         size = 0
@@ -271,10 +303,9 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
             on = bits > 0
             parts.append((k[on], place[on], bits[on]))
         k, place, bits = (np.concatenate([p[x] for p in parts]) for x in range(3))
-        keys, (x, y) = _by_key(k, place, bits)
-        return pa.table({"k": keys, "x": pa.array(x, pa.binary()), "y": pa.array(y, pa.binary())})
+        return _answers(k, buckets, place, bits)
 
-    return texts.mapInArrow(send, _SENT).groupBy("bucket").applyInArrow(gather, "k long, x binary, y binary")
+    return texts.mapInArrow(send, _SENT).groupBy("bucket").applyInArrow(gather, "target int, k binary, x binary, y binary")
 
 
 def _settle(spark: SparkSession) -> None:
@@ -300,54 +331,23 @@ def cut_texts(docs: DataFrame) -> DataFrame:
     told = durable(shared_anchors(rows.select("k", "text")), "anchors")
     _settle(spark)
 
-    def joined(batches):
-        key, hashes, best = None, [], None
+    def joined(k, i, batch, hashes, _):
+        return {"k": k, "doc_id": batch.column("doc_id")[i].as_py(), "text": batch.column("text")[i].as_py(), "h": hashes.tobytes()}
 
-        def out(done):
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.string()), pa.array([x[3] for x in done], pa.binary())], ["k", "doc_id", "text", "h"])
-
-        for b in batches:
-            done = []
-            ks, side, ids = b.column("k").to_pylist(), b.column("side").to_pylist(), b.column("doc_id").to_pylist()
-            for i, k in enumerate(ks):
-                if k != key:
-                    if best and hashes:
-                        done.append((key, *best, b"".join(hashes)))
-                    key, hashes, best = k, [], None
-                if side[i] == 0:
-                    hashes.append(b.column("x")[i].as_py())
-                elif hashes and (best is None or ids[i] < best[0]):
-                    best = (ids[i], best[1] if best else b.column("text")[i].as_py())
-            if done:
-                yield out(done)
-        if best and hashes:
-            yield out([(key, *best, b"".join(hashes))])
-
-    texts = durable(_together(rows, told.select("k", F.col("h").alias("x")), ["doc_id", "text"]).mapInArrow(joined, "k long, doc_id long, text string, h binary"), "texts")
+    # of equal texts the one of the least id comes first
+    texts = durable(_together(rows, told, ["doc_id", "text"], joined, "k long, doc_id long, text string, h binary"), "texts")
     forget(told)
     _settle(spark)
     found = durable(repeated_windows(texts), "windows")
     _settle(spark)
 
-    def runs(batches):
-        key, places, bits = None, [], []
-        for b in batches:
-            done = []
-            ks, side = b.column("k").to_pylist(), b.column("side").to_pylist()
-            for i, k in enumerate(ks):
-                if k != key:
-                    key, places, bits = k, [], []
-                if side[i] == 0:
-                    places.append(b.column("x")[i].as_py())
-                    bits.append(b.column("y")[i].as_py())
-                elif places:
-                    raw = np.frombuffer(b.column("text")[i].as_buffer(), np.uint8)
-                    on = covered(len(raw), np.frombuffer(b"".join(places), np.int64), np.frombuffer(b"".join(bits), np.uint32))
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], on.astype(np.int8), [0]])))
-                    done.append((k, edge.astype(np.int64).tobytes(), int(on.sum()), len(edge) // 2, hashlib.sha256(raw[~on].tobytes()).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in done], kind) for j, kind in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string()))], ["k", "runs", "n_removed", "n_spans", "kept_sha256"])
-
-    out = durable(_together(texts.select("k", "text"), found, ["text"]).mapInArrow(runs, "k long, runs binary, n_removed long, n_spans long, kept_sha256 string"), "runs")
+    def runs(k, i, batch, place, bits):
+        raw = np.frombuffer(batch.column("text")[i].as_buffer(), np.uint8)
+        on = covered(len(raw), place, bits)
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], on.astype(np.int8), [0]])))
+        return {"k": k, "runs": edge.astype(np.int64).tobytes(), "n_removed": int(on.sum()), "n_spans": len(edge) // 2, "kept_sha256": hashlib.sha256(raw[~on].tobytes()).hexdigest()}
+
+    out = durable(_together(texts.select("k", "text"), found, ["text"], runs, "k long, runs binary, n_removed long, n_spans long, kept_sha256 string"), "runs")
     forget(texts, found)
     _settle(spark)
     return out
