@@ -6,8 +6,8 @@ by pair, least rank first, leftmost on ties. The rank map is a literal: pairs of
 hashing, so a look-up reads two places. Decoding takes each id's bytes from a literal array and concatenates them.
 
 The fold costs over a hundred microseconds a word in Spark's interpreted lambdas, and the words of a corpus never run out,
-so a document's remaining words are merged, by the same ranks, once for each Arrow batch in which they occur. The bound
-changes time alone, never the result.
+so a document's remaining words are merged, by the same ranks, once for each Arrow batch in which they occur. (Folding them
+all took 3809 JVM CPU seconds a GB of input, of a budget of 900.) The bound changes time alone, never the result.
 
 Defined results: a null text is empty and has no ids; rows are encoded one by one, so repeated rows and ids don't matter;
 encode_documents keeps other columns (but for one named ids, which it replaces).
