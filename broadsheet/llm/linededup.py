@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import durable, flat, spans, table
 from .setjoin import Units, crowded, families, link, rest, stars, survey
@@ -84,15 +85,21 @@ def repeated_lines(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> D
     pairs = sets_.may(stars(members, percent))
     sets_.fetch(pairs)
     gone = durable(later(sets_.exact(pairs)), "gone")
-    # in tiles of three and more: who hasn't gone, but for the first member, still meets everyone
-    many = crowded(members).join(gone.withColumn("gone", F.lit(True)), "c", "left")
-    heads = members.groupBy("t").agg(F.min(F.struct("first", "c")).alias("head"))
-    many = many.join(heads, "t").withColumn("open", F.when(F.col("gone").isNull(), F.col("c"))).withColumn("own", F.col("c") == F.col("head.c"))
-    many = durable(many.select("t", "c", "n", "open", "own"), "many")
-    tiles = many.where("open is not null and not own").select("t").distinct()
-    others = rest(families(durable(many.join(tiles, "t"), "opened")), sets_.signs, "open", percent)
-    sets_.fetch(others)
-    gone = gone.unionByName(later(sets_.exact(others))).distinct().withColumn("gone", F.lit(True))
+    # in tiles of three and more, who hasn't gone, but for the first member, still meets everyone before it: first the
+    # likeliest one, which settles nearly all, then all
+    crowd = durable(crowded(members), "crowd")
+    for best in (True, False):
+        state = crowd.join(gone.withColumn("gone", F.lit(True)), "c", "left").withColumn("open", F.col("gone").isNull())
+        heads = crowd.groupBy("t").agg(F.min(F.struct("first", "c")).alias("head"))
+        waiting = state.where("open").join(heads, "t").where("c <> head.c").select("t").distinct()
+        waiting = durable(state.join(waiting, "t").drop("gone"), "waiting")
+        if waiting.isEmpty():
+            break
+        place = F.row_number().over(Window.partitionBy("t").orderBy("first", "c"))
+        others = rest(families(waiting).withColumn("pos", place), sets_.signs, percent, best=best)
+        sets_.fetch(others)
+        gone = durable(gone.unionByName(later(sets_.exact(others))).distinct(), "gone")
+    gone = gone.withColumn("gone", F.lit(True))
     known = durable(classes.join(gone, "c", "left").where("m > 1 or gone").select("c", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "known")
     out = lines.join(known, "c").where(F.col("gone") | (F.struct("id", "h", "line") > F.col("first")))
     return durable(out.groupBy(F.col("id").alias("__id"), F.col("h").alias("__text")).agg(F.collect_set("line").alias("gone")), "gonelines")

@@ -321,10 +321,11 @@ def stars(members: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", F.col("c").alias("b")).distinct()
 
 
-def rest(members: DataFrame, signs: DataFrame, group: str, percent: int) -> DataFrame:
-    """(a, b): pairs inside tiles whose `group` differs and whose bitmaps allow the threshold, tile by size band, in blocks.
+def rest(members: DataFrame, signs: DataFrame, percent: int, group: str | None = None, best: bool = False) -> DataFrame:
+    """(a, b): pairs inside tiles whose bitmaps allow the threshold, tile by size band, in blocks.
 
-    members(t, c, n, group): a null group is a class that needs no partner among others of null group.
+    With group, members(t, c, n, group) of different groups. Else members(t, c, n, pos, open): an open member with each of
+    smaller pos; with best, only with the one whose bitmap promises most, which mostly settles it.
     """
     home = members.join(signs.select("c", "bits"), "c").withColumn("band", F.length(F.bin(F.col("n") - 1)) - F.when(F.col("n") == 1, 1).otherwise(0))
     # a pair's sizes differ by a third at most, so a band meets itself and the next: the smaller side comes as a guest
@@ -333,22 +334,33 @@ def rest(members: DataFrame, signs: DataFrame, group: str, percent: int) -> Data
     sizes = durable(spread.groupBy("t", "tier").agg(F.count("*").alias("m"), F.max(~F.col("guest")).alias("own")), "tiersizes")
     sizes = sizes.where("own and m > 1").select("t", "tier", F.ceil(F.col("m") / TILE).cast("int").alias("blocks"))
     dealt = spread.join(sizes, ["t", "tier"]).withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("t", "tier", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "c", "n", F.col(group).alias("g"), "guest", "bits")
+    mark = F.col(group) if group else F.col("pos").cast("long")
+    asks = F.lit(True) if group else F.col("open")
+    dealt = dealt.select("t", "tier", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "c", "n", mark.alias("g"), asks.alias("open"), "guest", "bits")
 
     def run(t: pa.Table) -> pa.Table:
-        c, n, block, guest = t["c"].to_numpy(), t["n"].to_numpy().astype(np.int64), t["block"].to_numpy(), np.array(t["guest"].to_pylist(), bool)
-        g, empty = t["g"].fill_null(0).to_numpy(), np.array(t["g"].is_null().to_pylist(), bool)
+        c, n, g, block = t["c"].to_numpy(), t["n"].to_numpy().astype(np.int64), t["g"].to_numpy(), t["block"].to_numpy()
+        guest, asking = np.array(t["guest"].to_pylist(), bool), np.array(t["open"].to_pylist(), bool)
         lo, hi, tier = t["lo"][0].as_py(), t["hi"][0].as_py(), t["tier"][0].as_py()
         size = max(8, 4 << max(tier - 1, 0)) // 8
         bits = np.concatenate([fold(np.frombuffer(x, np.uint8)[None], size) for x in t["bits"].to_pylist()])
+        bits = bits.view(np.uint64) if size % 8 == 0 else bits
         found: list[np.ndarray] = []
-        for i in np.flatnonzero(block == lo):
-            j = np.flatnonzero(block == hi)
-            j = j[~(guest[i] & guest[j]) & ((c[i] < c[j]) if lo == hi else True)]
-            j = j[((g[i] != g[j]) | (empty[i] != empty[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))]
-            if len(j):
-                may = enough(bound(bits[i][None], n[i], bits[j], n[j]), n[i], n[j], percent)
-                found.append(np.stack([np.minimum(c[i], c[j[may]]), np.maximum(c[i], c[j[may]])]))
+        for one, two in [(lo, hi)] + ([(hi, lo)] if lo != hi and not group else []):
+            others = np.flatnonzero(block == two)
+            for i in np.flatnonzero((block == one) & asking):
+                fits = ~(guest[i] & guest[others]) & (100 * np.minimum(n[i], n[others]) >= percent * np.maximum(n[i], n[others]))
+                fits &= ((g[i] != g[others]) & ((c[i] < c[others]) if lo == hi else True)) if group else g[others] < g[i]
+                j = others[fits]
+                if not len(j):
+                    continue
+                most = bound(bits[i][None], n[i], bits[j], n[j])
+                may = enough(most, n[i], n[j], percent)
+                if may.any():
+                    j, most = j[may], most[may]
+                    if best:
+                        j = j[[np.argmax(most / (n[i] + n[j] - most))]]
+                    found.append(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])]))
         both = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
         return pa.table({"a": both[0], "b": both[1]})
 
@@ -397,7 +409,7 @@ def linked_components(members: DataFrame, sets_: Sets, percent: int) -> DataFram
     grouped = crowded(members).join(named.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     grouped = durable(grouped.select("t", "c", "n", "component"), "grouped")
     open_ = durable(grouped.groupBy("t").agg((F.min("component") != F.max("component")).alias("open")).where("open").select("t"), "open")
-    more = rest(families(durable(grouped.join(open_, "t"), "opened")), sets_.signs, "component", percent)
+    more = rest(families(durable(grouped.join(open_, "t"), "opened")), sets_.signs, percent, "component")
     sets_.fetch(more)
     edges = sets_.exact(more).select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(named.select(F.col("node").alias("u"), F.col("component").alias("v")))
     return components(edges).select(F.col("node").alias("c"), "component")
