@@ -21,8 +21,8 @@ def parse(value: Column | str, zone: str = "UTC", missing: Column | None = None)
 
 
 def hours_between(now: Column, then: Column) -> Column:
-    """Hours from then to now, none for the future."""
-    return F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(then)) / F.lit(3_600_000_000.0))
+    """Hours from then to now, none for the future; null without a then."""
+    return F.when(then.isNotNull(), F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(then)) / F.lit(3_600_000_000.0)))
 
 
 def freshness(now: Column, published: Column, steps: tuple) -> Column:
