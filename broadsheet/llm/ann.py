@@ -76,11 +76,15 @@ def _best(scores: np.ndarray, floor: np.ndarray, ids: np.ndarray, own: np.ndarra
 
 
 def _top(q: np.ndarray, c: np.ndarray, v: np.ndarray, k: int) -> np.ndarray:
-    """Places of each q's k best, ties to the smaller c."""
-    order = np.lexsort((c, -v, q))
-    head = np.ones(len(q), bool)
+    """Places of each q's k best among different c, ties to the smaller c."""
+    order = np.lexsort((-v, c, q))
+    fresh = np.ones(len(q), bool)
+    fresh[1:] = (q[order][1:] != q[order][:-1]) | (c[order][1:] != c[order][:-1])
+    order = order[fresh]
+    order = order[np.lexsort((c[order], -v[order], q[order]))]
+    head = np.ones(len(order), bool)
     head[1:] = q[order][1:] != q[order][:-1]
-    rank = np.arange(len(q)) - np.maximum.accumulate(np.where(head, np.arange(len(q)), 0))
+    rank = np.arange(len(order)) - np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
     return order[rank < k]
 
 
@@ -102,7 +106,15 @@ def _meet(k: int, bounded: bool):
                     own, y, floor = own[on], y[on], floor[on]
                 if not len(own):
                     continue
-                i, j = _best(y @ x.T, floor, ids, own, k)
+                # rows of one id stand next to each other; they are one candidate, with the largest product
+                names, first = np.unique(ids, return_index=True)
+                i, j = _best(np.maximum.reduceat(y @ x.T, first, axis=1), floor, names, own, k)
+                if len(names) < len(ids):
+                    size = np.diff(np.append(first, len(ids)))[j]
+                    start = np.repeat(first[j] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+                    i, j = np.repeat(i, size), start + np.arange(size.sum())
+                else:
+                    j = first[j]
                 v = np.concatenate([np.einsum("ij,ij->i", y[i[a : a + 65536]], x[j[a : a + 65536]]) for a in range(0, len(i), 65536)] or [np.zeros(0)])
                 keep = _top(own[i], ids[j], v, k)
                 out.append((own[i][keep], ids[j][keep], v[keep]))
