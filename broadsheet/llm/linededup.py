@@ -107,7 +107,8 @@ def repeated_lines(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> D
 
 def drop_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs with __n_lines, __n_gone and what is left of text."""
-    out = _keyed(docs).join(gone, ["__id", "__text"], "left")
+    # hashing the small side spares sorting the texts
+    out = _keyed(docs).join(gone.hint("shuffle_hash"), ["__id", "__text"], "left")
     lines = F.split("text", "\n", -1)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: F.get(F.col("__lines"), i))
     out = out.withColumn("__n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1))
