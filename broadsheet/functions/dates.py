@@ -54,3 +54,7 @@ def feed_state(now: Column, generated: Column) -> Column:
     """How old a feed is: fresh to 50 minutes, late to 70, then stale."""
     minutes = hours_between(now, generated) * 60
     return F.when(generated.isNull(), "unknown").when(minutes <= 50, "fresh").when(minutes <= 70, "late").otherwise("stale")
+
+
+def local_format(ts: Column, zone: str, pattern: str = "MMM d, yyyy, h:mm a") -> Column:
+    return F.date_format(F.from_utc_timestamp(ts, zone), pattern)

@@ -149,3 +149,90 @@ def near_duplicate(a: Column, b: Column, share: float = 0.58, least: int = 28) -
     x, y = key(a), key(b)
     small, large = F.when(F.length(x) <= F.length(y), x).otherwise(y), F.when(F.length(x) <= F.length(y), y).otherwise(x)
     return (x != "") & (y != "") & ((x == y) | ((F.length(small) >= least) & F.startswith(large, small) & (F.length(small) >= F.length(large) * share)))
+
+
+def sentence_case(x: Column | str, acronyms: Sequence[str], proper: dict[str, str], share: float = 0.8) -> Column:
+    """Segments (between bars or bullets) written in capitals, as sentences; acronyms and proper words keep their form."""
+    upper = F.array(*[F.lit(a) for a in acronyms])
+    names = F.create_map(*[F.lit(v) for kv in proper.items() for v in kv])
+    bare = lambda w: F.regexp_replace(w, "[^A-Za-z0-9]", "")
+
+    def word(w, i):
+        low = F.lower(w)
+        name = F.try_element_at(names, F.lower(bare(w)))
+        first = F.when(i == 0, F.concat(F.upper(F.substring(low, 1, 1)), F.substring(low, F.lit(2), F.length(low)))).otherwise(low)
+        return F.when(F.array_contains(upper, F.upper(bare(w))), F.upper(w)).when(name.isNotNull(), F.replace(low, F.lower(bare(w)), name)).otherwise(first)
+
+    def segment(s):
+        letters, capitals = F.regexp_count(s, F.lit("[A-Za-z]")), F.regexp_count(s, F.lit("[A-Z]"))
+        return F.when((letters >= 4) & (capitals >= letters * share), F.array_join(F.transform(F.split(s, " "), word), " ")).otherwise(s)
+
+    parts = F.split(collapse(x), r"\s(?=[|•])|(?<=[|•])\s")
+    return F.array_join(F.transform(parts, segment), " ")
+
+
+def strip_echo(x: Column, title: Column) -> Column:
+    """A text without the title at its start, where the title is long enough to be more than a phrase."""
+    t, s = collapse(title), collapse(x)
+    echo = (F.length(t) >= 20) & (split_count(t) >= 4) & F.startswith(F.lower(s), F.lower(t))
+    return F.when(echo, F.trim(F.regexp_replace(F.substring(s, F.length(t) + 1, F.length(s)), r"^[\s:|.,–—-]+", ""))).otherwise(s)
+
+
+def summary_text(summary: Column, title: Column, limit: int = 360, rounds: int = 3) -> Column:
+    """A summary without echoes of the title, cut to a limit, empty where nothing but the title is left."""
+    out = clean(summary)
+    for _ in range(rounds):
+        out = strip_echo(out, title)
+    return truncate(F.when(near_duplicate(out, title), "").otherwise(out), limit)
+
+
+def strip_markdown(x: Column) -> Column:
+    """Inline marks off: images go, links keep their words."""
+    out = F.regexp_replace(x, r"!\[[^\]]*\]\([^)]*\)", "")
+    out = F.regexp_replace(out, r"\[([^\]]+)\]\([^)]*\)", "$1")
+    out = F.regexp_replace(out, r"(\*\*|__|\*|_|`)(\S(?:.*?\S)?)\1", "$2")
+    return collapse(out)
+
+
+def markdown_blocks(x: Column | str) -> Column:
+    """Markdown as ordered blocks (type, text, level, items, url)."""
+    chunks = F.filter(F.split(blank(x), r"\n\s*\n"), lambda c: F.trim(c) != "")
+    none, items = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+
+    def block(kind, text=none, level=F.lit(None).cast("int"), listed=items, url=none):
+        return F.struct(F.lit(kind).alias("type"), text.alias("text"), level.alias("level"), listed.alias("items"), url.alias("url"))
+
+    def one(c):
+        c = F.trim(c)
+        lines = F.filter(F.split(c, "\n"), lambda v: F.trim(v) != "")
+        item = r"^\s*(?:[-*+]|\d+[.)])\s+"
+        return (
+            F.when(c.rlike(r"^#{1,6}\s"), block("heading", strip_markdown(F.regexp_replace(c, r"^#{1,6}\s+", "")), F.length(F.regexp_extract(c, "^(#+)", 1))))
+            .when(F.forall(lines, lambda v: v.rlike(item)), block("list", listed=F.transform(lines, lambda v: strip_markdown(F.regexp_replace(v, item, "")))))
+            .when(F.startswith(c, F.lit(">")), block("quote", strip_markdown(F.regexp_replace(c, r"(?m)^>\s?", ""))))
+            .when(c.rlike(r"^!\[[^\]]*\]\([^)]+\)$"), block("image", F.regexp_extract(c, r"^!\[([^\]]*)\]", 1), url=F.regexp_extract(c, r"\(([^)\s]+)", 1)))
+            .otherwise(block("paragraph", strip_markdown(c)))
+        )
+
+    return F.transform(chunks, one)
+
+
+def author_mentioned(author: Column, x: Column, least: int = 2) -> Column:
+    """Whether a text holds so many of the words of an author's name."""
+    names = F.filter(F.array_distinct(F.split(key(author), " ")), lambda t: F.length(t) >= 3)
+    words = F.split(key(x), " ")
+    return F.size(F.array_intersect(names, words)) >= least
+
+
+def match_anchor(texts: Column, anchor: Column, share: float = 0.66) -> Column:
+    """Place of the text that an anchor belongs to: it is or holds the anchor, else shares enough of its words; null if none."""
+    words = lambda t: F.array_distinct(F.filter(F.split(key(t), " "), lambda w: F.length(w) >= 4))
+    mine = words(anchor)
+
+    def rate(t, i):
+        both = F.size(F.array_intersect(words(t), mine)) / F.greatest(F.lit(1), F.size(mine))
+        exact = (key(anchor) != "") & F.contains(key(t), key(anchor))
+        return F.struct(F.when(exact, 2.0).otherwise(both).alias("rate"), (-i).alias("i"))
+
+    best = F.array_max(F.transform(texts, rate))
+    return F.when(best["rate"] >= share, -best["i"])

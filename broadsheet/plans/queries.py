@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import dates, scores, similarity, text, urls
-from ..operators import aggregates, audit, blocks, cluster, filters, merge, search, windows
+from ..operators import aggregates, audit, blocks, cluster, filters, linkage, merge, search, windows
 from ..sources import feeds, html
 from ..sources.tables import BASE, NOW, now, stories, table
 
@@ -662,3 +662,52 @@ def stream_incremental(spark: SparkSession, d: str) -> DataFrame:
     from ..streaming.incremental import summarise_stream
 
     return summarise_stream(spark, f"{d}/events.parquet")
+
+
+@query(rf"SELECT event_id, strftime(timezone('America/Toronto', timezone('UTC', ts)), '%b %-d, %Y, %-I:%M %p') AS label FROM events")
+def local_times(spark: SparkSession, d: str) -> DataFrame:
+    """D3: times as a reader in the feed's zone sees them."""
+    return table(spark, d, "events").select("event_id", dates.local_format(F.col("ts"), DEFAULT.zone).alias("label"))
+
+
+@query(f"""WITH {_ART} SELECT source, count(*) AS rows, count(*) FILTER (truncated) AS truncated, count(*) FILTER (words >= 120 AND n_paragraphs < 2) AS flat, count(*) FILTER (content_status <> 'full') AS pending FROM art GROUP BY source""".replace("AS rows", 'AS "rows"'))
+def sweep_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Flags by source."""
+    return _articles(spark, d).groupBy("source").agg(F.count("*").alias("rows"), F.count_if("truncated").alias("truncated"), F.count_if((F.col("words") >= 120) & (F.col("n_paragraphs") < 2)).alias("flat"), F.count_if(F.col("content_status") != "full").alias("pending"))
+
+
+@query(rf"""WITH {_STORY}, k AS (SELECT id, {_KEY.format('title')} AS k FROM story), w AS (SELECT id, list_distinct(list_filter(string_split(k, ' '), lambda x: length(x) >= 4)) AS w FROM k),
+e AS (SELECT id, len(w) AS n, unnest(w) AS t FROM w) SELECT a.id, b.id AS ref, count(*) AS shared FROM e a JOIN e b ON a.t = b.t AND a.id < b.id WHERE a.id % 10 = 0 GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= 0.72 * least(a.n, b.n)""")
+def title_index_join(spark: SparkSession, d: str) -> DataFrame:
+    """Titles that hold most of another's words."""
+    s = stories(spark, d)
+    return linkage.title_contained(s.where("id % 10 = 0").select("id", "title"), s.select(F.col("id").alias("ref"), "title")).where("id < ref")
+
+
+@query()
+def nearest_titles(spark: SparkSession, d: str) -> DataFrame:
+    """The likest earlier title."""
+    s = stories(spark, d)
+    return linkage.nearest_title(s.where("id % 2 = 1").select("id", "title"), s.where("id % 2 = 0").select(F.col("id").alias("ref"), "title")).withColumn("ratio", F.round("ratio", 6))
+
+
+@query()
+def summary_cleaning(spark: SparkSession, d: str) -> DataFrame:
+    """Titles in sentence case, summaries without echoes."""
+    proper = {"london": "London", "march": "March"}
+    s = stories(spark, d)
+    return s.select("id", text.sentence_case("title", ("CBC", "USA"), proper).alias("title"), text.summary_text(F.col("summary"), F.col("title")).alias("summary"), text.author_mentioned(F.col("title"), F.col("summary")).alias("echo"))
+
+
+@query()
+def markdown_content(spark: SparkSession, d: str) -> DataFrame:
+    """Conversation texts as Markdown blocks."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(text.markdown_blocks("text")).alias("position", "b"))
+    return rows.select("conv_id", "turn", "position", "b.type", F.md5(F.coalesce("b.text", F.lit(""))).alias("text_md5"))
+
+
+@query()
+def anchored_images(spark: SparkSession, d: str) -> DataFrame:
+    """Where an anchor belongs, and images interleaved."""
+    p = F.col("paragraphs")
+    return stories(spark, d).select("id", text.match_anchor(p, F.col("summary")).alias("at"), F.size(blocks.interleave(p, F.array(F.lit("a"), F.lit("b")))).alias("blocks"))
