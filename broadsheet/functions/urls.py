@@ -101,3 +101,19 @@ def media_kind(url: Column | str) -> Column:
         .when(path(url).rlike(r"(?i)\.(?:jpe?g|png|gif|webp|avif)$"), "image")
         .otherwise("link")
     )
+
+
+#: Parts of an address that tell furniture from pictures (fixed values).
+IMAGE_JUNK = "logo|icon|avatar|author|profile|sprite|pixel|tracking|badge|weather|placeholder|default|newsletter|app-store|google-play|social|facebook|twitter|instagram|tiktok|favicon|headshot|crest|coat-of-arms|coat_of_arms|emblem"
+
+
+def is_picture(url: Column | str) -> Column:
+    """An address that may be an article's picture."""
+    return is_http(url) & ~F.lower(blank(url)).rlike(IMAGE_JUNK) & ~F.lower(path(url)).rlike(r"\.(?:svg|gif)$")
+
+
+def image_rating(url: Column | str) -> Column:
+    """Points for what an address says of a picture: type, size asked for; none for furniture."""
+    size = F.coalesce(F.array_max(requested_sizes(url)), F.lit(0))
+    kind = F.when(F.lower(path(url)).rlike(r"\.(?:jpe?g|webp|avif)$"), 20).when(F.lower(path(url)).rlike(r"\.png$"), 10).otherwise(0)
+    return F.when(is_picture(url), 50 + kind + F.least(F.lit(30), F.floor(size / 40))).otherwise(0).cast("int")

@@ -76,3 +76,24 @@ def newest_per_source(entries: DataFrame, most: int, order: Column | None = None
     """The bounded increment: at most so many entries of each source."""
     rank = F.row_number().over(Window.partitionBy("source").orderBy(order if order is not None else F.col("position")))
     return entries.withColumn("__rank", rank).where(F.col("__rank") <= most).drop("__rank")
+
+
+def first_outbound(html: Column | str, base: Column | str, wanted_host: str = "") -> Column:
+    """Redirect pages: the first link to another host, one of the wanted host before others; null if there is none."""
+    out = F.filter(links(html, base), lambda u: (host(u) != "") & (host(u) != host(base)))
+    wanted = F.filter(out, lambda u: (host(u) == wanted_host) | F.endswith(host(u), F.lit("." + wanted_host))) if wanted_host else out
+    return F.coalesce(F.get(wanted, F.lit(0)), F.get(out, F.lit(0)))
+
+
+def json_ld(html: Column | str) -> Column:
+    """The JSON-LD objects of a page as text; objects of a @graph stand for themselves."""
+    raw = F.regexp_extract_all(F.col(html) if isinstance(html, str) else html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
+    graph = lambda j: F.from_json(F.get_json_object(j, "$['@graph']"), "array<string>")
+    array = lambda j: F.when(F.startswith(F.trim(j), F.lit("[")), F.from_json(j, "array<string>"))
+    return F.flatten(F.transform(raw, lambda j: F.coalesce(graph(j), array(j), F.array(j))))
+
+
+def json_ld_field(html: Column | str, field: str, kinds: tuple[str, ...] = ("Article", "NewsArticle", "Report", "BlogPosting")) -> Column:
+    """A field of the first object of one of the kinds."""
+    found = F.filter(json_ld(html), lambda j: F.get_json_object(j, "$['@type']").isin(*kinds))
+    return F.get_json_object(F.get(found, F.lit(0)), f"$.{field}")

@@ -6,7 +6,10 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import collapse, truncate
 
 BLOCK = "struct<type:string,text:string,level:int,ordered:boolean,items:array<string>,url:string,alt:string>"
 #: Elements whose content is no prose (fixed values).
@@ -114,3 +117,17 @@ def with_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
             yield b.assign(content_blocks=[blocks_of(h) for h in b[html]])
 
     return pages.mapInPandas(run, f"{kinds}, content_blocks array<{BLOCK}>").select(*names, "content_blocks")
+
+
+def social_shell(title: Column | str, summary: Column | str, url: Column | str, image: Column | str) -> Column:
+    """A page's head with what previews read: an expression, so a shell for each story is one projection."""
+
+    def safe(x):
+        out = F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit(""))
+        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            out = F.replace(out, F.lit(a), F.lit(b))
+        return out
+
+    t, s = safe(title), safe(truncate(collapse(summary), 200))
+    picture = F.when(safe(image) != "", F.concat(F.lit('<meta property="og:image" content="'), safe(image), F.lit('">'))).otherwise("")
+    return F.concat(F.lit("<title>"), t, F.lit('</title><meta property="og:title" content="'), t, F.lit('"><meta property="og:description" content="'), s, F.lit('"><meta property="og:url" content="'), safe(url), F.lit('">'), picture)

@@ -100,3 +100,30 @@ def test_similarity_udfs(spark):
     got = df.select(similarity.indel_ratio("a", "b").alias("i"), similarity.token_set_ratio("a", "b").alias("t"), similarity.sequence_ratio("a", "b").alias("s")).collect()
     assert got[0]["t"] == 1.0 and got[0]["s"] == SequenceMatcher(None, "fire on main street", "main street fire").ratio()
     assert got[1]["i"] == 1.0 and got[2]["i"] == 0.0
+
+
+def test_sentence_case(spark):
+    got = one(spark, text.sentence_case(F.lit("CBC NEWS FROM LONDON | Plain Words Here"), ("CBC",), {"london": "London"}))
+    assert got == "CBC news from London | Plain Words Here"
+
+
+def test_summary_without_echo(spark):
+    title = "Council approves the new budget"
+    assert one(spark, text.summary_text(F.lit(f"{title} - {title}: It costs more."), F.lit(title))) == "It costs more."
+    assert one(spark, text.summary_text(F.lit(title), F.lit(title))) == ""
+
+
+def test_markdown(spark):
+    got = one(spark, text.markdown_blocks(F.lit("# Head **x**\n\nSome [link](u) text\n\n- a\n- b\n\n> said\n\n![alt](i.png)")))
+    assert [(b["type"], b["text"], b["level"], b["items"], b["url"]) for b in got] == [("heading", "Head x", 1, None, None), ("paragraph", "Some link text", None, None, None), ("list", None, None, ["a", "b"], None), ("quote", "said", None, None, None), ("image", "alt", None, None, "i.png")]
+
+
+def test_anchor(spark):
+    texts = F.array(*[F.lit(x) for x in ("first words here", "the mayor spoke about housing costs", "last")])
+    assert one(spark, text.match_anchor(texts, F.lit("Mayor spoke about housing"))) == 1
+    assert one(spark, text.match_anchor(texts, F.lit("entirely different matter"))) is None
+
+
+def test_image_rating(spark):
+    assert one(spark, urls.image_rating(F.lit("https://a.example/p/photo.jpg?w=800"))) == 90
+    assert one(spark, urls.image_rating(F.lit("https://a.example/p/site-logo.png"))) == 0

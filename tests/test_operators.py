@@ -194,3 +194,19 @@ def test_streams(spark, small, tmp_path):
 
 def test_config_is_immutable():
     assert DEFAULT.with_(retention_days=3).retention_days == 3 and DEFAULT.retention_days == 7
+
+
+def test_redirects_json_ld_and_shells(spark):
+    page = '<a href="/own">o</a><a href="https://b.example/1">b</a><a href="https://n.c.example/2">c</a><script type="application/ld+json">{"@graph":[{"@type":"Org","name":"x"},{"@type":"NewsArticle","headline":"H"}]}</script><script type="application/ld+json">[{"@type":"A"}]</script>'
+    df = spark.createDataFrame([(page, "https://a.example/")], "html string, url string")
+    got = df.select(feeds.first_outbound("html", "url", "c.example").alias("c"), feeds.first_outbound("html", "url", "z.example").alias("z"), F.size(feeds.json_ld("html")).alias("n"), feeds.json_ld_field("html", "headline").alias("h"), html.social_shell(F.lit('A "b" <c>'), F.lit("s"), "url", F.lit(None).cast("string")).alias("s")).first()
+    assert (got["c"], got["z"], got["n"], got["h"]) == ("https://n.c.example/2", "https://b.example/1", 3, "H")
+    assert got["s"].startswith("<title>A &quot;b&quot; &lt;c&gt;</title>") and "og:image" not in got["s"]
+
+
+def test_nearest_title(spark):
+    from broadsheet.operators import linkage
+
+    items = spark.createDataFrame([(1, "Council approves the new budget"), (2, "Fire"), (3, "Nothing like it")], "id int, title string")
+    index = spark.createDataFrame([(10, "Council approves the new budgets"), (11, "Council approves a budget"), (12, "fire!")], "ref int, title string")
+    assert {(r["id"], r["ref"]) for r in linkage.nearest_title(items, index).collect()} == {(1, 10), (2, 12)}
