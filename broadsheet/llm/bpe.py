@@ -26,10 +26,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table, width
+from .common import durable, settle, table, width
 
 #: Most frequent words that the fold encodes, at most.
-HOT_WORDS = 150_000
+HOT_WORDS = 100_000
 BITS = 17
 _NONE = 1 << 30
 _A, _B = 40503, 30011
@@ -118,33 +118,32 @@ class Bpe:
 
     def __init__(self, path: str, python_pattern: str = public_tokenizers.PATTERN):
         self.path, self.pattern = path, pattern(python_pattern)
-        table_ = ranks(path)
         flat = pair_table(path)
         self.size = len(flat)
         self.pairs = F.from_json(F.lit(json.dumps(flat, separators=(",", ":"))), "array<bigint>")
         self.bytes = F.from_json(F.lit(json.dumps(byte_ids(path))), "array<int>")
-        pieces = [b""] * (max(table_.values()) + 1)
-        for t, r in table_.items():
-            pieces[r] = t
-        self.pieces = F.from_json(F.lit(json.dumps([p.decode("latin-1") for p in pieces])), "array<string>")
 
-    def merged(self, a: Column, b: Column) -> Column:
+    def merged(self, pairs: Column, a: Column, b: Column) -> Column:
         """The id that a pair merges into, or _NONE."""
         key = F.shiftleft(a.cast("long"), 2 * BITS) + F.shiftleft(b.cast("long"), BITS)
         one, two = _places(a.cast("long"), b.cast("long"), self.size)
-        # the literal stands once in the plan, for both places
-        rest = F.transform(F.array(one.cast("int"), two.cast("int")), lambda p: F.get(self.pairs, p) - key)
+        rest = F.transform(F.array(one.cast("int"), two.cast("int")), lambda p: F.get(pairs, p) - key)
         return F.coalesce(F.get(F.filter(rest, lambda r: r.between(0, (1 << BITS) - 1)), F.lit(0)), F.lit(_NONE)).cast("int")
 
     def word_ids(self, word: Column) -> Column:
         """Ids of one word: a fold of ranked merges over its bytes."""
+        # the literals stand at the top, once: inside the lambdas, every level of a plan's text would spell them out again
+        known = F.struct(self.pairs.alias("pairs"), self.bytes.alias("bytes"))
+        return F.get(F.transform(F.array(known), lambda t: self._fold(word, t["pairs"], t["bytes"])), F.lit(0))
+
+    def _fold(self, word: Column, pairs: Column, bytes_: Column) -> Column:
         latin = F.decode(word.cast("binary"), "ISO-8859-1")
         n = F.octet_length(word)
-        first = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(self.bytes, F.ascii(F.substring(latin, i, F.lit(1)))))
+        first = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(bytes_, F.ascii(F.substring(latin, i, F.lit(1)))))
 
         def step(state, _):
             ids = state["ids"]
-            found = F.transform(F.sequence(F.lit(0), F.size(ids) - 2), lambda j: self.merged(F.get(ids, j), F.get(ids, j + 1)))
+            found = F.transform(F.sequence(F.lit(0), F.size(ids) - 2), lambda j: self.merged(pairs, F.get(ids, j), F.get(ids, j + 1)))
             return F.when(state["done"], state).otherwise(
                 F.transform(
                     F.array(F.struct(ids.alias("ids"), found.alias("found"), F.array_min(found).alias("least"))),
@@ -167,16 +166,27 @@ class Bpe:
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def hot_words(self, docs: DataFrame, most: int = HOT_WORDS) -> dict[str, list[int]]:
-        """Ids of the most frequent words of at most 64 bytes: a table of bounded size."""
+    def hot_words(self, docs: DataFrame, most: int = HOT_WORDS) -> bytes:
+        """Ids of the most frequent words of at most 64 bytes: a table of bounded size, in Arrow's format."""
         counted = docs.select(F.explode(self.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
         top = durable(counted.where(F.octet_length("word") <= 64).orderBy(F.desc("n"), "word").limit(most).select("word"), "words")
+        settle(docs.sparkSession)
         folded = top.repartition(width(docs.sparkSession), "word").select("word", self.word_ids(F.col("word")).alias("ids")).toArrow()
-        return dict(zip(folded["word"].to_pylist(), folded["ids"].to_pylist()))
+        settle(docs.sparkSession)  # plans with large literals leave much behind
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, folded.schema) as stream:
+            stream.write_table(folded)
+        return out.getvalue().to_pybytes()
+
 
-    def decode(self, ids: Column) -> Column:
-        """Bytes of a row of ids."""
-        return F.encode(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""), "ISO-8859-1")
+def decode(ids: Column, path: str) -> Column:
+    """Bytes of a row of ids."""
+    table_ = ranks(path)
+    pieces = [""] * (max(table_.values()) + 1)
+    for t, r in table_.items():
+        pieces[r] = t.decode("latin-1")
+    known = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
+    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(known, i)), ""), "ISO-8859-1")
 
 
 def encode_documents(docs: DataFrame, path: str, python_pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -184,10 +194,16 @@ def encode_documents(docs: DataFrame, path: str, python_pattern: str = public_to
     bpe = Bpe(path, python_pattern)
     docs = docs.drop("ids")
     spark, names = docs.sparkSession, docs.columns
-    shared = spark.sparkContext.broadcast((bpe.hot_words(docs), pair_ids(path), byte_ids(path), odd_tokens(path)))
+    # compact here; the workers make dictionaries of it
+    made = pair_ids(path)
+    pairs_of = (np.fromiter(made.keys(), np.int64, len(made)), np.fromiter(made.values(), np.int32, len(made)))
+    shared = spark.sparkContext.broadcast((bpe.hot_words(docs), pairs_of, byte_ids(path), odd_tokens(path)))
 
     def encoded(batches):
-        hot, pairs, first, odd = shared.value
+        packed, pairs_of, first, odd = shared.value
+        words = pa.ipc.open_stream(packed).read_all()
+        hot, pairs = dict(zip(words["word"].to_pylist(), words["ids"].to_pylist())), dict(zip(pairs_of[0].tolist(), pairs_of[1].tolist()))
+        del words
 
         def ids_of(word: str) -> list[int]:
             raw = word.encode()
@@ -216,13 +232,12 @@ def encode_documents(docs: DataFrame, path: str, python_pattern: str = public_to
 
 
 def digests(encoded: DataFrame, path: str) -> DataFrame:
-    bpe = Bpe(path)
     rows = encoded.select("doc_id", "ids")
     return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(bpe.decode(F.col("ids")), 256).alias("decoded_sha256"),
+        F.sha2(decode(F.col("ids"), path), 256).alias("decoded_sha256"),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -46,6 +47,12 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Between steps: let Spark drop the shuffle files of finished ones, and the driver give back memory."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def width(spark: SparkSession) -> int:
     """How many tasks a shuffle is dealt over; the cluster sets it in proportion to the input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
