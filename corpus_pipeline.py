@@ -38,7 +38,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row, their number, and a digest of the bytes that decode from them."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     out = bpe.encode_documents(docs.select("doc_id", "source", "text"), path).drop("text")
-    return out.withColumns({"n_tokens": F.size("ids").cast("long"), "decoded_sha256": F.sha2(bpe.Bpe(path).decode(F.col("ids")), 256)})
+    return out.withColumns({"n_tokens": F.size("ids").cast("long"), "decoded_sha256": F.sha2(bpe.decode(F.col("ids"), path), 256)})
 
 
 STAGES = [("quality classifier", quality_stage), ("line dedup", line_stage), ("n-gram Jaccard join", ngram_stage), ("mixing sources", mixing_stage), ("byte-level BPE", bpe_stage)]
