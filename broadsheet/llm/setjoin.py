@@ -25,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, forget, mix, width
+from .common import durable, forget, mix, settle, width
 from .components import components
 
 #: Counters of the sketch and bits of the set of active classes: fixed sizes (4 MB and 2 MB), whatever the input.
 SKETCH, ACTIVE = 1 << 20, 1 << 24
 _CHUNK = 1 << 14
-TILE = 1024
+#: Rows of a block of a family; a row goes to each pair of blocks that has its own, so blocks of some size keep copies few.
+TILE = 4096
 _U = np.uint64
 
 
@@ -274,6 +275,7 @@ class Sets:
         need = durable(need, "need")
         if not need.isEmpty():
             self.tables.append(arrays(self.docs, self.read, need))
+            settle(self.docs.sparkSession)
         forget(need)
 
     def exact(self, pairs: DataFrame) -> DataFrame:
@@ -311,6 +313,7 @@ class Sets:
         lined = left.unionByName(right).repartition(width(pairs.sparkSession), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
         out = durable(lined.mapInArrow(intersect, "a long, b long"), "links")
         forget(parts)
+        settle(pairs.sparkSession)
         return out
 
 
@@ -372,6 +375,7 @@ def link(docs: DataFrame, read: Reader, surveyed: DataFrame, order: DataFrame, p
     found = tiles(docs, read, sketch(surveyed), percent)
     members = durable(found.join(order.select("c", "first"), "c"), "members")
     forget(found)
+    settle(docs.sparkSession)
     signs = surveyed.where("bits is not null").select("c", "n", "bits").join(members.select("c").distinct(), "c", "left_semi")
     signs = durable(signs.groupBy("c").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits")), "signs")
     return members, Sets(docs, read, signs, percent)

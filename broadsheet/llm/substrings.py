@@ -24,7 +24,6 @@ take nothing from each other; texts under SPAN bytes stay; an empty table gives
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -32,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, flat, forget, mix, spans, table, width
+from .common import durable, flat, forget, mix, settle, spans, table, width
 from .words import INVERSE, powers
 
 SPAN, GRAM = 50, 20
@@ -308,12 +307,6 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(send, _SENT).groupBy("bucket").applyInArrow(gather, "target int, k binary, x binary, y binary")
 
 
-def _settle(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def covered(n: int, place: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Which of a text's n bytes the windows cover."""
     mark = np.zeros(n + 1, np.int32)
@@ -329,7 +322,7 @@ def cut_texts(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.where("doc_id is not null and octet_length(text) >= 50").select(F.xxhash64("text").alias("k"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     told = durable(shared_anchors(rows.select("k", "text")), "anchors")
-    _settle(spark)
+    settle(spark)
 
     def joined(k, i, batch, hashes, _):
         return {"k": k, "doc_id": batch.column("doc_id")[i].as_py(), "text": batch.column("text")[i].as_py(), "h": hashes.tobytes()}
@@ -337,9 +330,9 @@ def cut_texts(docs: DataFrame) -> DataFrame:
     # of equal texts the one of the least id comes first
     texts = durable(_together(rows, told, ["doc_id", "text"], joined, "k long, doc_id long, text string, h binary"), "texts")
     forget(told)
-    _settle(spark)
+    settle(spark)
     found = durable(repeated_windows(texts), "windows")
-    _settle(spark)
+    settle(spark)
 
     def runs(k, i, batch, place, bits):
         raw = np.frombuffer(batch.column("text")[i].as_buffer(), np.uint8)
@@ -349,7 +342,7 @@ def cut_texts(docs: DataFrame) -> DataFrame:
 
     out = durable(_together(texts.select("k", "text"), found, ["text"], runs, "k long, runs binary, n_removed long, n_spans long, kept_sha256 string"), "runs")
     forget(texts, found)
-    _settle(spark)
+    settle(spark)
     return out
 
 
