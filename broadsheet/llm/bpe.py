@@ -26,7 +26,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, settle, table, width
+from .common import durable, lean, settle, table, width
 
 #: Most frequent words that the fold encodes, at most.
 HOT_WORDS = 100_000
@@ -228,7 +228,7 @@ def encode_documents(docs: DataFrame, path: str, python_pattern: str = public_to
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, 512) for c in names), rows], [*names, "ids"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("__words", bpe.words(F.col("text"))).mapInArrow(encoded, f"{kinds}, ids array<int>")
+    return docs.withColumn("__words", bpe.words(F.col("text"))).mapInArrow(lean(encoded), f"{kinds}, ids array<int>")
 
 
 def digests(encoded: DataFrame, path: str) -> DataFrame:

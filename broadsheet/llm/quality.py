@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat, mix, spans, table
+from .common import flat, lean, mix, spans, table
 
 SLOTS, DIM, NONZERO, WINDOW = 1 << 15, 64, 6, 2
 SAMPLE_PER_CLASS = 2000
 EXTRA, PRIOR = 5, 4
 HIDDEN, EPOCHS, RATE = 24, 60, 0.01
-_STEP = 1 << 21
+_STEP = 1 << 20
 _U = np.uint64
 #: 0 white space, 1 letters (all bytes from 0x80), 2 digits, 3 other signs.
 _KIND = np.full(256, 3, np.uint8)
@@ -176,7 +176,7 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network) -> DataFrame:
                 out[i:j] = net.probability(pool(s, k, places, words))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(out)], [*columns, "score"])
 
-    return docs.mapInArrow(scores, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double")
+    return docs.mapInArrow(lean(scores), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:

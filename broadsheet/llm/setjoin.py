@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, forget, mix, settle, width
+from .common import durable, forget, lean, mix, settle, width
 from .components import components
 
 #: Counters of the sketch and bits of the set of active classes: fixed sizes (4 MB and 2 MB), whatever the input.
@@ -93,7 +93,7 @@ def survey(docs: DataFrame, read: Reader, extra: dict[str, pa.DataType], more: C
                 yield pa.RecordBatch.from_arrays([pa.array([k // _CHUNK], pa.int32()), pa.array([part // 1024], pa.int32()), pa.array([piece.astype(kind).tobytes()], pa.binary()), *(pa.nulls(1, t) for t in kinds[3:])], schema=schema)
 
     sql = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.string(): "string"}
-    return durable(docs.mapInArrow(count, ", ".join(f"{n} {sql[t]}" for n, t in zip(names, kinds))), "survey")
+    return durable(docs.mapInArrow(lean(count), ", ".join(f"{n} {sql[t]}" for n, t in zip(names, kinds))), "survey")
 
 
 def sketch(surveyed: DataFrame) -> np.ndarray:
@@ -144,7 +144,7 @@ def tiles(docs: DataFrame, read: Reader, counts: np.ndarray, percent: int) -> Da
                 at = at[new[units.unit[at]]]
                 held.append((units.hashes[at], units.key[units.unit[at]], units.n[units.unit[at]].astype(np.int32)))
                 size += len(at)
-                if size > 1 << 21:
+                if size > 1 << 20:
                     yield from out()
                     size = 0
         if held:
@@ -168,7 +168,7 @@ def tiles(docs: DataFrame, read: Reader, counts: np.ndarray, percent: int) -> Da
         on = np.repeat(pick, size)
         return pa.table({"t": np.repeat(t_id, size)[on].view(np.int64), "c": c[on], "n": n[on]})
 
-    blobs = docs.mapInArrow(send, "bucket int, h binary, c binary, n binary")
+    blobs = docs.mapInArrow(lean(send), "bucket int, h binary, c binary, n binary")
     return durable(blobs.groupBy("bucket").applyInArrow(gather, "t long, c long, n int").dropDuplicates(["t", "c"]), "tiles")
 
 
@@ -193,7 +193,7 @@ def arrays(docs: DataFrame, read: Reader, classes: DataFrame) -> DataFrame:
                 if on:
                     yield pa.RecordBatch.from_pydict({"c": units.key[on], "items": [units.hashes[units.at[i] : units.at[i + 1]].tobytes() for i in on]})
 
-    made = docs.mapInArrow(emit, "c long, items binary")
+    made = docs.mapInArrow(lean(emit), "c long, items binary")
     # a class is made once in each partition that has it
     return durable(made.groupBy("c").agg(F.any_value("items").alias("items")), "arrays")
 
@@ -265,7 +265,7 @@ class Sets:
                 keep = pa.array(_may(t, percent))
                 yield pa.RecordBatch.from_arrays([t.column("a").filter(keep), t.column("b").filter(keep)], ["a", "b"])
 
-        return durable(signed.mapInArrow(run, "a long, b long"), "candidates")
+        return durable(signed.mapInArrow(lean(run), "a long, b long"), "candidates")
 
     def fetch(self, pairs: DataFrame) -> None:
         """Make the arrays of the classes in pairs that have none yet."""
@@ -311,7 +311,7 @@ class Sets:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
         lined = left.unionByName(right).repartition(width(pairs.sparkSession), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-        out = durable(lined.mapInArrow(intersect, "a long, b long"), "links")
+        out = durable(lined.mapInArrow(lean(intersect), "a long, b long"), "links")
         forget(parts)
         settle(pairs.sparkSession)
         return out

@@ -8,7 +8,7 @@ import numpy as np
 
 from .common import mix, spans
 
-STEP = 1 << 21
+STEP = 1 << 20
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
