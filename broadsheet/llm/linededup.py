@@ -1,9 +1,10 @@
 """Line dedup by an exact set-similarity join.
 
-A line's tokens are its distinct 5-word shingles over the lower-cased line. They are ordered by rarity over the corpus;
+A line's tokens are its distinct 5-word shingles over the lower-cased line; a line of fewer words has its whole sequence as
+one, so it goes only after an equal sequence. They are ordered by rarity over the corpus;
 prefixes propose pairs, lengths and bitmaps filter them, sorted arrays verify Jaccard (see setjoin). A line goes if a line
 of PERCENT Jaccard or more, an equal one included, comes before it: in a document of a smaller id, or earlier in its own.
-Lines of fewer than five words have no token and stay, whatever they say.
+Lines without a word have no token and stay.
 
 Defined results: a null text has no lines and stays null; lines are what newlines part, and the others keep their places;
 null ids come last, in order of text hashes; repeated rows (same id and text) are one document, so each keeps the same
@@ -29,7 +30,7 @@ _LAST = (1 << 63) - 1
 
 
 def line_units(k: int):
-    """Reader of batches with a column text: a unit for each line of k words or more, with the numbers of its row and line."""
+    """Reader of batches with a column text: a unit for each line that has words, with the numbers of its row and line."""
 
     def read(b: pa.RecordBatch) -> Iterator[tuple[Units, dict]]:
         data, at = flat(b.column("text"))
@@ -43,9 +44,9 @@ def line_units(k: int):
             row = np.cumsum(kind) - 1
             line = np.arange(len(row)) - np.flatnonzero(kind)[row]
             words, counts = word_hashes(piece, np.append(place, len(piece)))
-            long = np.flatnonzero(np.diff(counts) >= k)
-            for a in range(0, len(long), 60_000):
-                some = long[a : a + 60_000]
+            told = np.flatnonzero(np.diff(counts))
+            for a in range(0, len(told), 60_000):
+                some = told[a : a + 60_000]
                 lo, hi = some[0], some[-1] + 1
                 hashes, places = shingles(words, counts[lo : hi + 1], k) if lo == 0 else shingles(words[counts[lo] :], counts[lo : hi + 1] - counts[lo], k)
                 keep = np.zeros(hi - lo, bool)

@@ -74,9 +74,9 @@ def shingles(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray,
         lens = sizes[long]
         src = np.repeat(counts[:-1][long] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
         out[np.repeat(long, sizes)] = total[src]
-    for i in np.flatnonzero((n > 0) & (n < k)):
-        w = words[counts[i] : counts[i + 1]]
-        out[out_at[i]] = mix(np.array([(w * _PLACE[: len(w)]).sum(dtype=_U) + _U(len(w))], _U))[0]
+    for m in range(1, k):
+        at = np.flatnonzero(n == m)
+        out[out_at[at]] = mix((words[counts[at, None] + np.arange(m)] * _PLACE[:m]).sum(axis=1, dtype=_U) + _U(m))
     return out, out_at
 
 
