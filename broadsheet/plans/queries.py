@@ -679,16 +679,16 @@ def sweep_stats(spark: SparkSession, d: str) -> DataFrame:
 @query(rf"""WITH {_STORY}, k AS (SELECT id, {_KEY.format('title')} AS k FROM story), w AS (SELECT id, list_distinct(list_filter(string_split(k, ' '), lambda x: length(x) >= 4)) AS w FROM k),
 e AS (SELECT id, len(w) AS n, unnest(w) AS t FROM w) SELECT a.id, b.id AS ref, count(*) AS shared FROM e a JOIN e b ON a.t = b.t AND a.id < b.id WHERE a.id % 10 = 0 GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= 0.72 * least(a.n, b.n)""")
 def title_index_join(spark: SparkSession, d: str) -> DataFrame:
-    """Titles that hold most of another's words."""
+    """Titles that hold most of another's words, or are nearly the same text."""
     s = stories(spark, d)
-    return linkage.title_contained(s.where("id % 10 = 0").select("id", "title"), s.select(F.col("id").alias("ref"), "title")).where("id < ref")
+    return linkage.title_contained(s.select("id", "title"), s.select(F.col("id").alias("ref"), "title")).where("id < ref")
 
 
 @query()
 def nearest_titles(spark: SparkSession, d: str) -> DataFrame:
-    """The likest earlier title."""
+    """The likest earlier title; ids run back in time."""
     s = stories(spark, d)
-    return linkage.nearest_title(s.where("id % 2 = 1").select("id", "title"), s.where("id % 2 = 0").select(F.col("id").alias("ref"), "title")).withColumn("ratio", F.round("ratio", 6))
+    return linkage.nearest_title(s.select("id", "title"), s.select(F.col("id").alias("ref"), "title"), after=True).withColumn("ratio", F.round("ratio", 6))
 
 
 @query()
