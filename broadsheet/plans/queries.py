@@ -491,19 +491,31 @@ siz AS (SELECT id, count(*) AS n FROM tok GROUP BY id), inter AS (SELECT c.a, c.
 pairs AS (SELECT a, b, k / (x.n + y.n - k) AS j FROM inter JOIN siz x ON x.id = a JOIN siz y ON y.id = b WHERE k / (x.n + y.n - k) >= 0.5)"""
 
 
-def _near_pairs(spark: SparkSession, d: str) -> DataFrame:
+def _half_shared(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     tok = table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.tokens("text", DEFAULT.stopwords).alias("t"))
-    cand = cluster.rare_token_pairs(tok, "id", "t").where("shared >= 3").select("a", "b")
-    both = cand.join(tok.toDF("a", "ta"), "a").join(tok.toDF("b", "tb"), "b")
-    na, nb = F.size("ta"), F.size("tb")
-    # sizes first: half of the union can't be shared by sets of which one has less than half of the other
-    both = both.where(2 * F.least(na, nb) >= F.greatest(na, nb)).select("a", "b", (na + nb).alias("n"), F.size(F.array_intersect("ta", "tb")).alias("k"))
-    return both.select("a", "b", (F.col("k") / (F.col("n") - F.col("k"))).alias("j")).where("j >= 0.5")
+    return cluster.half_shared(tok, "id", "t")
+
+
+def _near_pairs(spark: SparkSession, d: str) -> DataFrame:
+    members, near = _half_shared(spark, d)
+    a, b = members.toDF("a", "x"), members.toDF("b", "y")
+    equal = a.join(b, F.col("x") == F.col("y")).where("a < b").select("a", "b", F.lit(1.0).alias("j"))
+    others = near.join(a, "x").join(b, "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "j")
+    return equal.unionByName(others)
+
+
+def _components(spark: SparkSession, d: str) -> DataFrame:
+    """Components of the near pairs; a class of equal sets is linked through its least id, not by all its pairs."""
+    members, near = _half_shared(spark, d)
+    heads = members.groupBy("c").agg(F.min("id").alias("head"))
+    own = members.join(heads, "c").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
+    others = near.join(heads.toDF("x", "a"), "x").join(heads.toDF("y", "b"), "y").select("a", "b")
+    return cluster.components(own.unionByName(others), table(spark, d, "documents").select(F.col("doc_id").alias("id")))
 
 
 @query(f"WITH {_RARE} SELECT a, b, round(j, 6) AS jaccard FROM pairs")
 def near_dup_pairs_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of documents that share rare tokens and half of all."""
+    """Pairs of documents that share half of all their tokens."""
     return _near_pairs(spark, d).select("a", "b", F.round("j", 6).alias("jaccard"))
 
 
@@ -513,11 +525,11 @@ _COMP = f"WITH RECURSIVE {_RARE}, both_ AS (SELECT a, b FROM pairs UNION SELECT
 @query(f"{_COMP} SELECT id, component FROM comp")
 def clusters(spark: SparkSession, d: str) -> DataFrame:
     """H5: connected components of near-duplicate pairs."""
-    return cluster.components(_near_pairs(spark, d), table(spark, d, "documents").select(F.col("doc_id").alias("id"))).select("id", "component")
+    return _components(spark, d).select("id", "component")
 
 
 def _clustered(spark: SparkSession, d: str) -> DataFrame:
-    comp = cluster.components(_near_pairs(spark, d), table(spark, d, "documents").select(F.col("doc_id").alias("id")))
+    comp = _components(spark, d)
     s = stories(spark, d).join(comp, "id").withColumn("local", F.least(F.lit(100), F.col("words") / 10).cast("int"))
     s = s.withColumn("rep_score", scores.representative(F.least(F.lit(100), F.col("words")), F.col("local"), F.lit(0), F.lit(True), F.lit("full")))
     return aggregates.cluster_summary(s.select(F.col("component").alias("cluster"), "id", "source", "published", "local", "rep_score"))
