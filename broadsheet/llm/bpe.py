@@ -1,24 +1,31 @@
 """Byte-level BPE encoding and decoding: higher-order functions fold ranked merges over the bytes of distinct words.
 
-A text is cut into words by the tokenizer's pattern. Distinct words are counted over the whole corpus, and the HOT_WORDS
-most frequent ones are encoded by a fold of Spark's higher-order functions: a word's bytes are a row of ids that merge pair
-by pair, least rank first, leftmost on ties. The rank map is a literal: pairs of ids sit in one flat array by cuckoo
-hashing, so a look-up reads two places. Decoding takes each id's bytes from a literal array and concatenates them.
+1. code      Texts are cut into words by the tokenizer's pattern. Each task numbers the different words of its documents, in
+             chunks of at most CHUNK_WORDS of them; a document becomes a row of these numbers, a chunk a list of words.
+2. gather    The lists meet by word: each distinct word of the corpus stands once, with its occurrences (chunk, number).
+3. fold      A word's bytes are a row of ids that merge pair by pair, least rank first, leftmost on ties: a fold of Spark's
+             higher-order functions. The rank map is a literal: pairs of ids sit in one flat array by cuckoo hashing, so a
+             look-up reads two places.
+4. deal      Each word's ids go back to its chunks, and a chunk's documents take the ids of their words.
 
-The fold costs over a hundred microseconds a word in Spark's interpreted lambdas, and the words of a corpus never run out,
-so a document's remaining words are merged, by the same ranks, once for each Arrow batch in which they occur. (Folding them
-all took 3809 JVM CPU seconds a GB of input, of a budget of 900.) The bound changes time alone, never the result.
+Decoding takes each id's bytes from a literal array and concatenates them.
+
+The fold looks at all pairs of a word in each round, so its work grows with the square of the word's length. Words of more
+than FOLD_BYTES bytes are merged by the same ranks with a heap instead, so that one word of a megabyte is no burden.
 
 Defined results: a null text is empty and has no ids; rows are encoded one by one, so repeated rows and ids don't matter;
-encode_documents keeps other columns (but for one named ids, which it replaces).
+very long texts and words are encoded whole; an empty table gives no rows; other columns stay as they are, whatever their
+names (but for one named ids, which is replaced).
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
+import zlib
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +33,15 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, lean, settle, table, width
+from .common import durable, flat, lean, lean_group, settle, table, width
 
-#: Most frequent words that the fold encodes, at most.
-HOT_WORDS = 100_000
+#: Different words of a chunk, at most (and those of one more batch); occurrences of a word that travel in one row.
+CHUNK_WORDS, TOGETHER = 1 << 18, 1 << 12
+#: Longer words are merged with a heap.
+FOLD_BYTES = 256
 BITS = 17
-_NONE = 1 << 30
-_A, _B = 40503, 30011
+_MASK, _NONE = (1 << BITS) - 1, 1 << BITS
+_A, _B = (40503, 30011), 52711
 
 
 def pattern(python: str) -> str:
@@ -47,21 +56,26 @@ def ranks(path: str) -> dict[bytes, int]:
 
 
 def merge(ids: list[int], pairs: dict[int, int]) -> list[int]:
-    """The merges of one row of ids outside Spark's expressions; pairs has merged ids by a << BITS | b."""
-    get = pairs.get
-    found = [get(a << BITS | b, _NONE) for a, b in zip(ids, ids[1:])]
-    while found:
-        least = min(found)
-        if least == _NONE:
-            break
-        i = found.index(least)
-        ids[i] = least
-        del ids[i + 1], found[i]
-        if i:
-            found[i - 1] = get(ids[i - 1] << BITS | least, _NONE)
-        if i < len(found):
-            found[i] = get(least << BITS | ids[i + 1], _NONE)
-    return ids
+    """The merges of one row of ids outside Spark's expressions; pairs has merged ids by a << BITS | b.
+
+    A heap has the pairs by rank and place; entries whose pair is no more are passed over when they come up.
+    """
+    n = len(ids)
+    ids, after, before = list(ids), list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := pairs.get(ids[i] << BITS | ids[i + 1])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        r, i, a, b = heapq.heappop(heap)
+        j = after[i]
+        if ids[i] != a or j >= n or ids[j] != b:
+            continue
+        ids[i], ids[j], after[i] = r, -1, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for x, y in ((before[i], i), (i, after[i])):
+            if x >= 0 and y < n and (rank := pairs.get(ids[x] << BITS | ids[y])) is not None:
+                heapq.heappush(heap, (rank, x, ids[x], ids[y]))
+    return [x for x in ids if x >= 0]
 
 
 @lru_cache(4)
@@ -76,34 +90,33 @@ def byte_ids(path: str) -> list[int]:
     return [ranks(path)[bytes([i])] for i in range(256)]
 
 
-def _places(a, b, size: int):
-    """The two places of a pair of ids, in numbers or columns."""
-    x = a * _A + b
-    return x % size, (x * 7 + b * _B + 13) % size
+def _places(a: int, b: int, size: int) -> tuple[int, int]:
+    """The two places of a pair of ids in a table of 2**n places."""
+    return a * _A[0] + b & size - 1, a * _A[1] + b * _B >> 3 & size - 1
 
 
 @lru_cache(4)
 def pair_table(path: str) -> list[int]:
     """Cuckoo table of (a << 34 | b << 17 | merged id), -1 where empty, over all pairs of tokens that make a token."""
-    pairs = [(p >> BITS, p & (1 << BITS) - 1, r) for p, r in pair_ids(path).items()]
-    size = 2 * len(pairs) + 101
+    pairs = pair_ids(path)
+    size = 1 << max(8, len(pairs).bit_length() + 1)
     while True:
         out, ok = [-1] * size, True
-        for a, b, r in pairs:
-            entry = a << 2 * BITS | b << BITS | r
-            at = _places(a, b, size)[0]
+        for pair, r in pairs.items():
+            entry = pair << BITS | r
+            at = _places(pair >> BITS, pair & _MASK, size)[0]
             for _ in range(500):
                 out[at], entry = entry, out[at]
                 if entry < 0:
                     break
-                one, two = _places(entry >> 2 * BITS, entry >> BITS & (1 << BITS) - 1, size)
+                one, two = _places(entry >> 2 * BITS, entry >> BITS & _MASK, size)
                 at = two if at == one else one
             else:
                 ok = False
                 break
         if ok:
             return out
-        size = size * 9 // 8 | 1
+        size *= 2
 
 
 @lru_cache(4)
@@ -113,71 +126,63 @@ def odd_tokens(path: str) -> dict[bytes, int]:
     return {t: r for t, r in ranks(path).items() if merge([first[x] for x in t], pairs) != [r]}
 
 
+def _long(v: int) -> Column:
+    return F.lit(v).cast("long")
+
+
 class Bpe:
     """Expressions of one vocabulary."""
 
     def __init__(self, path: str, python_pattern: str = public_tokenizers.PATTERN):
         self.path, self.pattern = path, pattern(python_pattern)
-        flat = pair_table(path)
-        self.size = len(flat)
-        self.pairs = F.from_json(F.lit(json.dumps(flat, separators=(",", ":"))), "array<bigint>")
-        self.bytes = F.from_json(F.lit(json.dumps(byte_ids(path))), "array<int>")
-
-    def merged(self, pairs: Column, a: Column, b: Column) -> Column:
-        """The id that a pair merges into, or _NONE."""
-        key = F.shiftleft(a.cast("long"), 2 * BITS) + F.shiftleft(b.cast("long"), BITS)
-        one, two = _places(a.cast("long"), b.cast("long"), self.size)
-        rest = F.transform(F.array(one.cast("int"), two.cast("int")), lambda p: F.get(pairs, p) - key)
-        return F.coalesce(F.get(F.filter(rest, lambda r: r.between(0, (1 << BITS) - 1)), F.lit(0)), F.lit(_NONE)).cast("int")
+        table_ = pair_table(path)
+        self.size = len(table_)
+        self.pairs = F.from_json(F.lit(json.dumps(table_, separators=(",", ":"))), "array<bigint>")
+        self.bytes = F.from_json(F.lit(json.dumps(byte_ids(path))), "array<bigint>")
+
+    def linked(self, pairs: Column, a: Column, b: Column) -> Column:
+        """(id that a and b merge into) << BITS | a; _NONE stands for no such id. b may be _NONE."""
+        places = (a * _long(_A[0]) + b), F.shiftright(a * _long(_A[1]) + b * _long(_B), 3)
+        key = F.shiftleft(F.shiftleft(a, BITS).bitwiseOR(b), BITS)
+        # an entry is the pair and its id: what differs from the pair in the low bits alone is the id
+        found = [F.get(pairs, p.bitwiseAND(_long(self.size - 1)).cast("int")).bitwiseXOR(key).bitwiseAND(_long((1 << 62) - 1)) for p in places]
+        return F.shiftleft(F.least(*found, _long(_NONE)), BITS).bitwiseOR(a)
 
     def word_ids(self, word: Column) -> Column:
-        """Ids of one word: a fold of ranked merges over its bytes."""
+        """Ids of one word: a fold of ranked merges over its bytes.
+
+        The row under way holds each id with the rank of the pair that it starts, so a round finds the least rank and its
+        leftmost place, puts the merged id there, and looks up only the two pairs that are new.
+        """
         # the literals stand at the top, once: inside the lambdas, every level of a plan's text would spell them out again
         known = F.struct(self.pairs.alias("pairs"), self.bytes.alias("bytes"))
         return F.get(F.transform(F.array(known), lambda t: self._fold(word, t["pairs"], t["bytes"])), F.lit(0))
 
     def _fold(self, word: Column, pairs: Column, bytes_: Column) -> Column:
         latin = F.decode(word.cast("binary"), "ISO-8859-1")
-        n = F.octet_length(word)
-        first = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(bytes_, F.ascii(F.substring(latin, i, F.lit(1)))))
-
-        def step(state, _):
-            ids = state["ids"]
-            found = F.transform(F.sequence(F.lit(0), F.size(ids) - 2), lambda j: self.merged(pairs, F.get(ids, j), F.get(ids, j + 1)))
-            return F.when(state["done"], state).otherwise(
-                F.transform(
-                    F.array(F.struct(ids.alias("ids"), found.alias("found"), F.array_min(found).alias("least"))),
-                    lambda s: F.when(s["least"] == _NONE, F.struct(s["ids"].alias("ids"), F.lit(True).alias("done"))).otherwise(
-                        F.struct(
-                            F.concat(
-                                F.slice(s["ids"], F.lit(1), F.array_position(s["found"], s["least"]).cast("int") - 1),
-                                F.array(s["least"]),
-                                F.slice(s["ids"], F.array_position(s["found"], s["least"]).cast("int") + 2, F.size(s["ids"])),
-                            ).alias("ids"),
-                            (F.size(s["ids"]) == 2).alias("done"),
-                        )
-                    ),
-                )[0]
-            )
-
-        start = F.struct(first.alias("ids"), F.lit(False).alias("done"))
-        return F.when(n < 2, first).otherwise(F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), start, step)["ids"])
+        places = F.sequence(F.lit(1), F.octet_length(word))
+        raw = F.transform(places, lambda i: F.get(bytes_, F.ascii(F.substring(latin, i, F.lit(1)))))
+        bind = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+        start = bind(raw, lambda x: F.transform(x, lambda a, j: self.linked(pairs, a, F.coalesce(F.get(x, j + 1), _long(_NONE)))))
+
+        def merge(x: Column, least: Column) -> Column:
+            new = F.shiftright(least, BITS)
+
+            def at(p: Column) -> Column:
+                left = F.when(p > 1, F.array(self.linked(pairs, F.get(x, p - 2).bitwiseAND(_long(_MASK)), new))).otherwise(F.array().cast("array<bigint>"))
+                own = F.when(p + 1 < F.size(x), self.linked(pairs, new, F.get(x, p + 1).bitwiseAND(_long(_MASK)))).otherwise(new.bitwiseOR(_long(_NONE << BITS)))
+                return F.concat(F.slice(x, F.lit(1), F.greatest(p - 2, F.lit(0))), left, F.array(own), F.slice(x, p + 2, F.size(x)))
+
+            return bind(F.array_position(x, least).cast("int"), at)
+
+        def step(x: Column, _: Column) -> Column:
+            return bind(F.array_min(x), lambda least: F.when(least >= _long(_NONE << BITS), x).otherwise(merge(x, least)))
+
+        return F.transform(F.aggregate(places, start, step), lambda e: e.bitwiseAND(_long(_MASK)).cast("int"))
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def hot_words(self, docs: DataFrame, most: int = HOT_WORDS) -> bytes:
-        """Ids of the most frequent words of at most 64 bytes: a table of bounded size, in Arrow's format."""
-        counted = docs.select(F.explode(self.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-        top = durable(counted.where(F.octet_length("word") <= 64).orderBy(F.desc("n"), "word").limit(most).select("word"), "words")
-        settle(docs.sparkSession)
-        folded = top.repartition(width(docs.sparkSession), "word").select("word", self.word_ids(F.col("word")).alias("ids")).toArrow()
-        settle(docs.sparkSession)  # plans with large literals leave much behind
-        out = pa.BufferOutputStream()
-        with pa.ipc.new_stream(out, folded.schema) as stream:
-            stream.write_table(folded)
-        return out.getvalue().to_pybytes()
-
 
 def decode(ids: Column, path: str) -> Column:
     """Bytes of a row of ids."""
@@ -189,46 +194,161 @@ def decode(ids: Column, path: str) -> Column:
     return F.encode(F.array_join(F.transform(ids, lambda i: F.get(known, i)), ""), "ISO-8859-1")
 
 
-def encode_documents(docs: DataFrame, path: str, python_pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """docs with ids."""
-    bpe = Bpe(path, python_pattern)
+_OCCURRENCE = np.dtype([("chunk", "<i8"), ("place", "<i4")])
+
+
+def _blobs(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    """A binary array of the runs at[i]:at[i+1] of data."""
+    places = (np.asarray(at, np.int64) * data.itemsize).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(places.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())]).cast(pa.binary())
+
+
+def _coded(docs: DataFrame, words: Column, buckets: int) -> DataFrame:
+    """Documents as numbers of words (columns of docs but for text; chunk, numbers), and the chunks' words (bucket, chunk, words, places)."""
+    names = [c for c in docs.columns if c != "text"]
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    own = pa.schema([("chunk", pa.int64()), ("numbers", pa.binary()), ("bucket", pa.int32()), ("words", pa.list_(pa.string())), ("places", pa.binary())])
+
+    def code(batches):
+        from pyspark import TaskContext
+
+        chunk, index, schema = TaskContext.get().partitionId() << 24, {}, None
+
+        def listed() -> Iterator[pa.RecordBatch]:
+            known = list(index)
+            to = np.fromiter((zlib.crc32(w.encode()) % buckets for w in known), np.int64, len(known))
+            order = np.argsort(to, kind="stable")
+            cuts = np.searchsorted(to[order], np.arange(buckets + 1))
+            on = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
+            ends = np.append(cuts[on], len(known))
+            spelled = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(known, pa.string()).take(pa.array(order)))
+            made = [pa.array(np.full(len(on), chunk)), pa.nulls(len(on), pa.binary()), pa.array(on, pa.int32()), spelled, _blobs(order.astype(np.int32), ends)]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(on), schema.field(c).type) for c in names), *made], [*names, *own.names])
+
+        for b in batches:
+            schema = b.schema
+            rows = b.column("words")
+            flat_ = rows.flatten().dictionary_encode()
+            number = np.fromiter((index.setdefault(w, len(index)) for w in flat_.dictionary.to_pylist()), np.int32, len(flat_.dictionary))
+            at = np.asarray(rows.offsets, np.int64)
+            numbers = number[flat_.indices.to_numpy(zero_copy_only=False)] if len(flat_) else np.zeros(0, np.int32)
+            n = b.num_rows
+            made = [pa.array(np.full(n, chunk)), _blobs(numbers, at - at[0]), *(pa.nulls(n, own.field(c).type) for c in ("bucket", "words", "places"))]
+            del rows, flat_
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *made], [*names, *own.names])
+            if len(index) >= CHUNK_WORDS:
+                yield from listed()
+                chunk, index = chunk + 1, {}
+        if index:
+            yield from listed()
+
+    out = ", ".join([*(f"{c} {kinds[c]}" for c in names), "chunk long, numbers binary, bucket int, words array<string>, places binary"])
+    return durable(docs.select(*names, words.alias("words")).mapInArrow(lean(code), out), "coded")
+
+
+def _gather(t: pa.Table) -> pa.Table:
+    """Each word of a bucket with its occurrences, TOGETHER of them at most in a row."""
+    words = pa.concat_arrays([c.flatten() for c in t["words"].chunks]).dictionary_encode()
+    which = words.indices.to_numpy(zero_copy_only=False)
+    at = np.zeros(len(which), _OCCURRENCE)
+    places = [np.frombuffer(x, np.int32) for x in t["places"].to_pylist()]
+    at["place"], at["chunk"] = np.concatenate(places), np.repeat(t["chunk"].to_numpy(), [len(x) for x in places])
+    order = np.argsort(which, kind="stable")
+    which = which[order]
+    head = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+    nth = np.arange(len(which)) - np.repeat(head, np.diff(np.append(head, len(which))))
+    head = np.flatnonzero(nth % TOGETHER == 0)
+    return pa.table({"word": words.dictionary.take(pa.array(which[head])), "occurrences": _blobs(at[order], np.append(head, len(which)))})
+
+
+def encode_documents(docs: DataFrame, path: str, python_pattern: str = public_tokenizers.PATTERN, keep_text: bool = True) -> DataFrame:
+    """docs with ids; without text, where that isn't kept."""
+    bpe, spark = Bpe(path, python_pattern), docs.sparkSession
     docs = docs.drop("ids")
-    spark, names = docs.sparkSession, docs.columns
-    # compact here; the workers make dictionaries of it
+    kept = [c for c in docs.columns if keep_text or c != "text"]
+    # own names inside, so that no column of docs can clash
+    inner = docs.select(F.col("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])
+    targets = width(spark)
+    coded = _coded(inner, bpe.words(F.col("text")), 8 * targets)
+    settle(spark)
+    # dealt by number, so that small buckets of words, each much work, don't come together in one task
+    gathered = coded.where("bucket is not null").select("bucket", "chunk", "words", "places").repartition(targets, "bucket").groupBy("bucket").applyInArrow(lean_group(_gather), "word string, occurrences binary")
+    odd = odd_tokens(path)
+    apart = (F.octet_length("word") > FOLD_BYTES) | F.col("word").isin([t.decode() for t in odd if _is_text(t)])
+    folded = gathered.select(F.when(~apart, bpe.word_ids(F.col("word"))).alias("ids"), F.when(apart, F.col("word")).alias("word"), "occurrences")
     made = pair_ids(path)
-    pairs_of = (np.fromiter(made.keys(), np.int64, len(made)), np.fromiter(made.values(), np.int32, len(made)))
-    shared = spark.sparkContext.broadcast((bpe.hot_words(docs), pairs_of, byte_ids(path), odd_tokens(path)))
+    shared = spark.sparkContext.broadcast((np.fromiter(made, np.int64, len(made)), np.fromiter(made.values(), np.int32, len(made)), byte_ids(path), odd))
 
-    def encoded(batches):
-        packed, pairs_of, first, odd = shared.value
-        words = pa.ipc.open_stream(packed).read_all()
-        hot, pairs = dict(zip(words["word"].to_pylist(), words["ids"].to_pylist())), dict(zip(pairs_of[0].tolist(), pairs_of[1].tolist()))
-        del words
+    def deal(batches):
+        pairs: dict[int, int] = {}
 
-        def ids_of(word: str) -> list[int]:
-            raw = word.encode()
-            return [odd[raw]] if raw in odd else merge([first[x] for x in raw], pairs)
+        def by_heap(word: str) -> list[int]:
+            """Ids of a word that isn't folded."""
+            left, right, first, odd = shared.value
+            if (raw := word.encode()) in odd:
+                return [odd[raw]]
+            if not pairs:
+                pairs.update(zip(left.tolist(), right.tolist()))
+            return merge([first[x] for x in raw], pairs)
 
         for b in batches:
-            words = b.column("__words")
-            flat = words.flatten().dictionary_encode()
-            ids = [hot.get(w) or ids_of(w) for w in flat.dictionary.to_pylist()]
-            lens = np.fromiter(map(len, ids), np.int32, len(ids))
-            values = np.fromiter(chain.from_iterable(ids), np.int32, int(lens.sum()))
-            del ids
-            heads = np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int32)
-            which, places = flat.indices.to_numpy(zero_copy_only=False), np.asarray(words.offsets) - np.asarray(words.offsets)[:1]
-            for i in range(0, b.num_rows, 512):  # rows of a slice are put together at once
-                at = places[i : i + 513]
-                own = which[at[0] : at[-1]]
-                n = lens[own]
-                ends = np.concatenate([[0], np.cumsum(n)])
-                out = values[np.arange(ends[-1]) + np.repeat(heads[own] - ends[:-1], n)]
-                rows = pa.ListArray.from_arrays(pa.array(ends[at - at[0]].astype(np.int32)), pa.array(out))
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, 512) for c in names), rows], [*names, "ids"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("__words", bpe.words(F.col("text"))).mapInArrow(lean(encoded), f"{kinds}, ids array<int>")
+            ids = b.column("ids")
+            if b.column("word").null_count < b.num_rows:
+                ids = pa.array([x if w is None else by_heap(w) for x, w in zip(ids.to_pylist(), b.column("word").to_pylist())], pa.list_(pa.int32()))
+            heads, values = np.asarray(ids.offsets, np.int64), np.asarray(ids.values)
+            data, at = flat(b.column("occurrences"))
+            found = data.view(_OCCURRENCE)
+            word = np.repeat(np.arange(b.num_rows), np.diff(at) // _OCCURRENCE.itemsize)
+            order = np.argsort(found["chunk"], kind="stable")
+            chunk, place, word = found["chunk"][order], found["place"][order], word[order]
+            lens = (heads[1:] - heads[:-1])[word]
+            ends = np.concatenate([[0], np.cumsum(lens)])
+            each = values[np.arange(ends[-1]) + np.repeat(heads[word] - ends[:-1], lens)]
+            cut = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])) if len(chunk) else np.zeros(0, int)
+            runs = np.append(cut, len(chunk))
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[cut]), _blobs(place, runs), _blobs(lens.astype(np.int32), runs), _blobs(each.astype(np.int32), ends[runs])], ["chunk", "places", "lens", "ids"])
+
+    dealt = folded.mapInArrow(lean(deal), "chunk long, places binary, lens binary, ids binary")
+    inside = [f"c{i}" for i in range(len(kept))]
+    kinds = [docs.schema[c].dataType.simpleString() for c in kept]
+    left = coded.where("bucket is null").select("chunk", F.lit(1).alias("side"), *inside, "numbers", *[F.lit(None).cast("binary").alias(c) for c in ("places", "lens", "ids")])
+    right = dealt.select("chunk", F.lit(0).alias("side"), *[F.lit(None).cast(k).alias(c) for c, k in zip(inside, kinds)], F.lit(None).cast("binary").alias("numbers"), "places", "lens", "ids")
+
+    def assemble(batches):
+        now, held, heads, lens, values = None, [], None, None, None
+        for b in batches:
+            chunk, side = b.column("chunk").to_numpy(), b.column("side").to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], (chunk[1:] != chunk[:-1]) | (side[1:] != side[:-1]), [True]])) if len(chunk) else []
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if chunk[lo] != now:
+                    now, held, lens = chunk[lo], [], None
+                if not side[lo]:
+                    held += [tuple(np.frombuffer(b.column(c)[i].as_buffer(), np.int32).copy() for c in ("places", "lens", "ids")) for i in range(lo, hi)]
+                    continue
+                if lens is None:
+                    places, sizes, values = (np.concatenate([h[k] for h in held] or [np.zeros(0, np.int32)]) for k in range(3))
+                    held = []
+                    lens, heads = np.zeros(len(places), np.int32), np.zeros(len(places), np.int32)
+                    lens[places], heads[places] = sizes, np.cumsum(sizes) - sizes
+                for i in range(lo, hi, 512):  # rows of a slice are put together at once
+                    data, at = flat(b.column("numbers").slice(i, min(512, hi - i)))
+                    number, at = data.view(np.int32), at // 4
+                    n = lens[number]
+                    ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+                    out = values[np.arange(ends[-1]) + np.repeat(heads[number] - ends[:-1], n)]
+                    rows = pa.ListArray.from_arrays(pa.array(ends[at].astype(np.int32)), pa.array(out, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, min(512, hi - i)) for c in inside), rows], [*inside, "ids"])
+
+    both = left.unionByName(right).repartition(targets, "chunk").sortWithinPartitions("chunk", "side")
+    out = both.mapInArrow(lean(assemble), ", ".join([*(f"{c} {k}" for c, k in zip(inside, kinds)), "ids array<int>"]))
+    return out.toDF(*kept, "ids")
+
+
+def _is_text(raw: bytes) -> bool:
+    try:
+        return bool(raw.decode())
+    except UnicodeDecodeError:
+        return False
 
 
 def digests(encoded: DataFrame, path: str) -> DataFrame:
@@ -244,4 +364,4 @@ def digests(encoded: DataFrame, path: str) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: ids of all documents, and what decodes from them."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return digests(encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    return digests(encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), path, keep_text=False), path)

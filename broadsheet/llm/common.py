@@ -59,14 +59,32 @@ def lean(task):
 
     def run(batches):
         yield from task(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-            libc.malloc_trim(0)
+        _give_back()
 
     return run
 
 
+def lean_group(task):
+    """The same for an applyInArrow function of one table: memory goes back after each group of some size."""
+
+    def run(t):
+        size = t.nbytes
+        out = task(t)
+        if size > 1 << 20:
+            del t
+            _give_back()
+        return out
+
+    return run
+
+
+def _give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def width(spark: SparkSession) -> int:
     """How many tasks a shuffle is dealt over; the cluster sets it in proportion to the input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
