@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import durable, flat, lean, lean_group, settle, table, width
 
 #: Different words of a chunk, at most (and those of one more batch); occurrences of a word that travel in one row.
-CHUNK_WORDS, TOGETHER = 1 << 18, 1 << 12
+CHUNK_WORDS, TOGETHER = 1 << 19, 1 << 12
 #: Longer words are merged with a heap.
 FOLD_BYTES = 256
 BITS = 17
@@ -203,6 +203,36 @@ def _blobs(data: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(places.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())]).cast(pa.binary())
 
 
+def _packed(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Runs of whole numbers below 2**32, each as its low halves and then its high ones, which compress well."""
+    lens = np.diff(at)
+    out, k = np.empty(2 * len(values), np.uint16), np.arange(len(values))
+    out[k + np.repeat(at[:-1], lens)] = values & 0xFFFF
+    out[k + np.repeat(at[1:], lens)] = values >> 16
+    return _blobs(out, 2 * np.asarray(at, np.int64))
+
+
+def _unpacked(column) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of packed runs, and n+1 places."""
+    data, at = flat(column)
+    halves, at = data.view(np.uint16), at // 4
+    lens, k = np.diff(at), np.arange(at[-1])
+    return halves[k + np.repeat(at[:-1], lens)] | halves[k + np.repeat(at[1:], lens)].astype(np.int32) << 16, at
+
+
+def _steps(places: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rising numbers of each run as differences."""
+    out = np.diff(places, prepend=0)
+    out[at[:-1][np.diff(at) > 0]] = places[at[:-1][np.diff(at) > 0]]
+    return out
+
+
+def _sums(steps: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """What _steps made differences of."""
+    total = np.cumsum(steps, dtype=np.int64)
+    return (total - np.repeat(np.concatenate([[0], total])[at[:-1]], np.diff(at))).astype(np.int32)
+
+
 def _coded(docs: DataFrame, words: Column, buckets: int) -> DataFrame:
     """Documents as numbers of words (columns of docs but for text; chunk, numbers), and the chunks' words (bucket, chunk, words, places)."""
     names = [c for c in docs.columns if c != "text"]
@@ -222,7 +252,7 @@ def _coded(docs: DataFrame, words: Column, buckets: int) -> DataFrame:
             on = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
             ends = np.append(cuts[on], len(known))
             spelled = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(known, pa.string()).take(pa.array(order)))
-            made = [pa.array(np.full(len(on), chunk)), pa.nulls(len(on), pa.binary()), pa.array(on, pa.int32()), spelled, _blobs(order.astype(np.int32), ends)]
+            made = [pa.array(np.full(len(on), chunk)), pa.nulls(len(on), pa.binary()), pa.array(on, pa.int32()), spelled, _packed(_steps(order, ends), ends)]
             yield pa.RecordBatch.from_arrays([*(pa.nulls(len(on), schema.field(c).type) for c in names), *made], [*names, *own.names])
 
         for b in batches:
@@ -233,7 +263,7 @@ def _coded(docs: DataFrame, words: Column, buckets: int) -> DataFrame:
             at = np.asarray(rows.offsets, np.int64)
             numbers = number[flat_.indices.to_numpy(zero_copy_only=False)] if len(flat_) else np.zeros(0, np.int32)
             n = b.num_rows
-            made = [pa.array(np.full(n, chunk)), _blobs(numbers, at - at[0]), *(pa.nulls(n, own.field(c).type) for c in ("bucket", "words", "places"))]
+            made = [pa.array(np.full(n, chunk)), _packed(numbers, at - at[0]), *(pa.nulls(n, own.field(c).type) for c in ("bucket", "words", "places"))]
             del rows, flat_
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *made], [*names, *own.names])
             if len(index) >= CHUNK_WORDS:
@@ -243,7 +273,7 @@ def _coded(docs: DataFrame, words: Column, buckets: int) -> DataFrame:
             yield from listed()
 
     out = ", ".join([*(f"{c} {kinds[c]}" for c in names), "chunk long, numbers binary, bucket int, words array<string>, places binary"])
-    return durable(docs.select(*names, words.alias("words")).mapInArrow(lean(code), out), "coded")
+    return durable(docs.select(*names, words.alias("words")).mapInArrow(lean(code), out), "coded", "zstd")
 
 
 def _gather(t: pa.Table) -> pa.Table:
@@ -251,8 +281,8 @@ def _gather(t: pa.Table) -> pa.Table:
     words = pa.concat_arrays([c.flatten() for c in t["words"].chunks]).dictionary_encode()
     which = words.indices.to_numpy(zero_copy_only=False)
     at = np.zeros(len(which), _OCCURRENCE)
-    places = [np.frombuffer(x, np.int32) for x in t["places"].to_pylist()]
-    at["place"], at["chunk"] = np.concatenate(places), np.repeat(t["chunk"].to_numpy(), [len(x) for x in places])
+    steps, ends = _unpacked(t["places"])
+    at["place"], at["chunk"] = _sums(steps, ends), np.repeat(t["chunk"].to_numpy(), np.diff(ends))
     order = np.argsort(which, kind="stable")
     which = which[order]
     head = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
@@ -299,16 +329,17 @@ def encode_documents(docs: DataFrame, path: str, python_pattern: str = public_to
             data, at = flat(b.column("occurrences"))
             found = data.view(_OCCURRENCE)
             word = np.repeat(np.arange(b.num_rows), np.diff(at) // _OCCURRENCE.itemsize)
-            order = np.argsort(found["chunk"], kind="stable")
+            order = np.lexsort((found["place"], found["chunk"]))
             chunk, place, word = found["chunk"][order], found["place"][order], word[order]
             lens = (heads[1:] - heads[:-1])[word]
             ends = np.concatenate([[0], np.cumsum(lens)])
             each = values[np.arange(ends[-1]) + np.repeat(heads[word] - ends[:-1], lens)]
             cut = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])) if len(chunk) else np.zeros(0, int)
             runs = np.append(cut, len(chunk))
-            yield pa.RecordBatch.from_arrays([pa.array(chunk[cut]), _blobs(place, runs), _blobs(lens.astype(np.int32), runs), _blobs(each.astype(np.int32), ends[runs])], ["chunk", "places", "lens", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[cut]), _packed(_steps(place, runs), runs), _packed(lens, runs), _packed(each, ends[runs])], ["chunk", "places", "lens", "ids"])
 
-    dealt = folded.mapInArrow(lean(deal), "chunk long, places binary, lens binary, ids binary")
+    dealt = durable(folded.mapInArrow(lean(deal), "chunk long, places binary, lens binary, ids binary"), "dealt", "zstd")
+    settle(spark)
     inside = [f"c{i}" for i in range(len(kept))]
     kinds = [docs.schema[c].dataType.simpleString() for c in kept]
     left = coded.where("bucket is null").select("chunk", F.lit(1).alias("side"), *inside, "numbers", *[F.lit(None).cast("binary").alias(c) for c in ("places", "lens", "ids")])
@@ -323,7 +354,8 @@ def encode_documents(docs: DataFrame, path: str, python_pattern: str = public_to
                 if chunk[lo] != now:
                     now, held, lens = chunk[lo], [], None
                 if not side[lo]:
-                    held += [tuple(np.frombuffer(b.column(c)[i].as_buffer(), np.int32).copy() for c in ("places", "lens", "ids")) for i in range(lo, hi)]
+                    (steps, at), (sizes, _), (each, _) = (_unpacked(b.column(c).slice(lo, hi - lo)) for c in ("places", "lens", "ids"))
+                    held.append((_sums(steps, at), sizes, each))
                     continue
                 if lens is None:
                     places, sizes, values = (np.concatenate([h[k] for h in held] or [np.zeros(0, np.int32)]) for k in range(3))
@@ -331,8 +363,7 @@ def encode_documents(docs: DataFrame, path: str, python_pattern: str = public_to
                     lens, heads = np.zeros(len(places), np.int32), np.zeros(len(places), np.int32)
                     lens[places], heads[places] = sizes, np.cumsum(sizes) - sizes
                 for i in range(lo, hi, 512):  # rows of a slice are put together at once
-                    data, at = flat(b.column("numbers").slice(i, min(512, hi - i)))
-                    number, at = data.view(np.int32), at // 4
+                    number, at = _unpacked(b.column("numbers").slice(i, min(512, hi - i)))
                     n = lens[number]
                     ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
                     out = values[np.arange(ends[-1]) + np.repeat(heads[number] - ends[:-1], n)]

@@ -30,11 +30,23 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
+def apart(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes not to be a column of df."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def durable(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """df as a written table: it is computed once, cuts the lineage and outlives a lost executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._durable_path = path
     return out
