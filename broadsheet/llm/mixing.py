@@ -5,7 +5,9 @@ that order with distributed prefix sums (totals of key ranges first, then rows i
 its exact budget. A budget beyond the source's size repeats whole epochs.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; rows that share an id keep
-the order of their texts' sizes; an empty table gives an empty mix; columns of any other name are not read.
+the order of their texts' sizes; rows without an id are keyed by their text, so that they spread over the key ranges; a very
+long text is counted whole and may be cut anywhere between two words; an empty table gives an empty mix; columns of any
+other name are not read, and mix_documents returns them as they are, whatever they are called.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, durable, table, width
+from .common import WORD, apart, durable, table, width
 
 WEIGHTS = (5, 2, 1)
 #: Rows of a key range that is summed up in one piece.
@@ -55,11 +57,12 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, sha
 
 
 def mix_sources(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
-    """sized(doc_id, source, size) and the columns named in keep, with source_size, target, taken, and first: the taken size of the last, cut epoch alone.
+    """sized(doc_id, source, size; tie, a hash of the text, where rows may lack an id) and the columns named in keep, with source_size, target, taken, and first: the taken size of the last, cut epoch alone.
 
     taken = whole epochs * size + what the cut epoch takes; over a source it sums to the whole part of its target.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    unnamed = F.concat(F.lit("null:"), F.coalesce(F.col("tie").cast("string"), F.lit(""))) if "tie" in sized.columns else F.lit("null")
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), unnamed)))
     rows = sized.select("doc_id", "source", "size", *keep, key.alias("key"))
     per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     targets = durable(source_targets(per, weights, share, most), "targets")
@@ -85,21 +88,23 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
     The columns of docs (doc_id, source and text among them) stay as they are; a cut text's words are joined by one space.
     """
-    rows = durable(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__size", text_size(F.col("text"))), "mixrows")
-    taken = mix_sources(rows.select("doc_id", "source", F.col("__size").alias("size"), "__row"), keep=("__row",), **options)
-    taken = taken.select("__row", "epochs", "first").where("epochs > 0 or first > 0")
-    cut = F.concat_ws(" ", F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("first").cast("int")))
-    copies = F.concat(F.array_repeat(F.lit(True), F.col("epochs")), F.when(F.col("first") > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
-    out = rows.join(taken, "__row").withColumn("__whole", F.explode(copies))
-    out = out.withColumn("text", F.when(F.col("__whole") | (F.col("first") >= F.col("__size")), F.col("text")).otherwise(cut))
+    row, size, epochs, first, whole = apart(docs, "row", "size", "epochs", "first", "whole")
+    rows = durable(docs.withColumns({row: F.monotonically_increasing_id(), size: text_size(F.col("text"))}), "mixrows")
+    sized = rows.select("doc_id", "source", F.col(size).alias("size"), F.xxhash64("text").alias("tie"), F.col(row).alias("row"))
+    taken = mix_sources(sized, keep=("row",), **options).where("epochs > 0 or first > 0")
+    taken = taken.select(F.col("row").alias(row), F.col("epochs").alias(epochs), F.col("first").alias(first))
+    cut = F.concat_ws(" ", F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col(first).cast("int")))
+    copies = F.concat(F.array_repeat(F.lit(True), F.col(epochs)), F.when(F.col(first) > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
+    out = rows.join(taken, row).withColumn(whole, F.explode(copies))
+    out = out.withColumn("text", F.when(F.col(whole) | (F.col(first) >= F.col(size)), F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*[f"`{c}`" for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: the mix of all documents."""
-    sized = durable(table(spark, sf_dir, "documents").select("doc_id", "source", text_size(F.col("text")).alias("size")), "sizes")
+    sized = durable(table(spark, sf_dir, "documents").select("doc_id", "source", text_size(F.col("text")).alias("size"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("tie")), "sizes")
     return mix_sources(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
