@@ -6,11 +6,13 @@ recording attachment references and how many tokens each placeholder stands for.
     <|turn|>role<|body|>text<|end|>
 
 Control strings inside roles and texts get a backslash after their first character, and one more where some are there, so
-the text reads back exactly. The loss mask covers assistant texts, in code points of the formatted string.
+the text reads back exactly. Neighbouring text parts are joined before that, so that no control string can be spelled over
+two of them, and a placeholder names its type in letters, digits, _ and - alone (others become _). The loss mask covers
+assistant texts, in code points of the formatted string.
 
 Defined results: a null text or part is empty; a null role is empty; rows of a conversation are in order of turn (null
 first), then role and text, so ties are stable; repeated rows are turns of their own; a null conversation id is a
-conversation; an empty table formats nothing; other columns are not read.
+conversation; very long texts are formatted whole; an empty table formats nothing; other columns are not read.
 """
 
 from __future__ import annotations
@@ -51,14 +53,14 @@ def _tokens(part: Column) -> Column:
 def visit(parts: Column) -> tuple[Column, Column]:
     """(pieces, attachments) of an array of parts.
 
-    pieces: in order, {text, tokens, ref, type}: a text part's guarded text, or an attachment without text. Text parts of
+    pieces: in order, {text, type, ref, tokens}: a text part's text as it is, or an attachment without text. Text parts of
     null text are empty; parts of any other type are attachments of 0 tokens, so nothing is lost.
     """
     known = F.coalesce(parts, F.array().cast(PARTS))
     pieces = F.transform(
         known,
         lambda p: F.struct(
-            F.when(F.coalesce(p["type"], F.lit("text")) == "text", guard(F.coalesce(p["text"], F.lit("")))).alias("text"),
+            F.when(F.coalesce(p["type"], F.lit("text")) == "text", F.coalesce(p["text"], F.lit(""))).alias("text"),
             F.coalesce(p["type"], F.lit("text")).alias("type"),
             p["ref"].alias("ref"),
             _tokens(p).alias("tokens"),
@@ -74,15 +76,15 @@ def flatten_parts(messages: DataFrame) -> DataFrame:
     """
     pieces, attached = visit(F.col("parts"))
     rows = messages.select("conv_id", "turn", "role", pieces.alias("pieces"), attached.alias("attached"))
-    start = F.struct(F.lit("").alias("body"), F.lit(0).alias("n"))
-    body = F.aggregate(
-        "pieces",
-        start,
-        lambda acc, p: F.struct(
-            F.concat(acc["body"], F.coalesce(p["text"], F.concat(F.lit("<|"), p["type"], F.lit(":"), acc["n"].cast("string"), F.lit("|>")))).alias("body"),
-            (acc["n"] + F.when(p["text"].isNull(), 1).otherwise(0)).alias("n"),
-        ),
-    )["body"]
+    start = F.struct(F.lit("").alias("body"), F.lit("").alias("run"), F.lit(0).alias("n"))
+
+    def step(acc: Column, p: Column) -> Column:
+        """Texts wait in run until an attachment, or the end, closes it: guarding sees them as one."""
+        mark = F.concat(F.lit("<|"), F.regexp_replace(p["type"], "[^0-9A-Za-z_-]", "_"), F.lit(":"), acc["n"].cast("string"), F.lit("|>"))
+        said = F.struct(acc["body"].alias("body"), F.concat(acc["run"], p["text"]).alias("run"), acc["n"].alias("n"))
+        return F.when(p["text"].isNotNull(), said).otherwise(F.struct(F.concat(acc["body"], guard(acc["run"]), mark).alias("body"), F.lit("").alias("run"), (acc["n"] + 1).alias("n")))
+
+    body = F.aggregate("pieces", start, step, lambda acc: F.concat(acc["body"], guard(acc["run"])))
     refs = F.transform("attached", lambda p, i: F.struct(i.alias("number"), p["type"].alias("type"), p["ref"].alias("ref"), p["tokens"].alias("tokens")))
     return rows.select("conv_id", "turn", "role", body.alias("body"), refs.alias("attachments"), F.aggregate("attached", F.lit(0).cast("long"), lambda t, p: t + p["tokens"]).alias("tokens"))
 
