@@ -1,15 +1,18 @@
 """A quality classifier: random-indexing word vectors pooled per document, a two-layer numpy network, calibrated probabilities.
 
 Tokens are runs of letters, digits or other signs, hashed into SLOTS. Every slot has a sparse random index vector; its
-context vector sums the index vectors of its neighbours over the fitting sample. A document's features are the mean of its
+context vector sums the index vectors of its neighbours over all documents: whole numbers, so the sums of the tasks add up to
+the same whatever their order. A document's features are the mean of its
 tokens' vectors over its whole text, the shares of the three kinds of runs and of
 immediate repeats, and the log of their number. A network of one hidden layer is fitted on
 a bounded sample of labelled rows (at most SAMPLE_PER_CLASS of each label, by hash of the id; the only bound there is), and
 a temperature is fitted on a fifth of it that the network has not seen. All documents are scored over their whole texts.
+Only the table of context vectors (SLOTS x DIM numbers) and the sample's features reach the driver.
 
-Defined results: null and empty texts have the features of no words and get the network's score for that; with labels of
-one class or none, every score is that class's share, or 0.5; labels that disagree on an id count as their mean, halves up;
-rows are scored one by one, so repeated rows and null ids get scores too; other columns are not read.
+Defined results: null and empty texts have the features of no words and get the network's score for that; very long texts are
+pooled whole, a stretch at a time; with labels of one class or none, every score is that class's share, or 0.5; labels that
+disagree on an id count as their mean, halves up; rows are scored one by one, so repeated rows and null ids get scores too;
+an empty table gives no rows; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat, lean, mix, spans, table
+from .common import apart, flat, lean, mix, spans, table
 
 SLOTS, DIM, NONZERO, WINDOW = 1 << 15, 64, 6, 2
 SAMPLE_PER_CLASS = 2000
 EXTRA, PRIOR = 5, 4
+#: Slots of a piece of the context table, and tasks whose pieces are added up in one step.
+PIECE, TASKS = 1 << 10, 64
 HIDDEN, EPOCHS, RATE = 24, 60, 0.01
 _STEP = 1 << 20
 _U = np.uint64
@@ -53,27 +58,75 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return (hashes[kept] % _U(SLOTS)).astype(np.int32), kind[first][kept], np.searchsorted(first[kept], at)
 
 
+def index_entries() -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of each slot's NONZERO entries, the same in every process."""
+    slot = np.arange(SLOTS, dtype=_U)[:, None] * _U(NONZERO) + np.arange(1, NONZERO + 1, dtype=_U)
+    h = mix(slot)
+    return (h % _U(DIM)).astype(np.int64), np.where(h >> _U(40) & _U(1), 1, -1).astype(np.int64)
+
+
 def index_vectors() -> np.ndarray:
-    """Sparse random vectors of +1 and -1, the same in every process."""
+    """Sparse random vectors of +1 and -1."""
+    place, sign = index_entries()
     out = np.zeros((SLOTS, DIM), np.float32)
-    slot = np.arange(SLOTS)
     for j in range(NONZERO):
-        h = mix(slot.astype(_U) * _U(NONZERO) + _U(j + 1))
-        out[slot, (h % _U(DIM)).astype(np.int64)] += np.where(h >> _U(40) & _U(1), 1.0, -1.0).astype(np.float32)
+        out[np.arange(SLOTS), place[:, j]] += sign[:, j]
+    return out
+
+
+def _neighbours(slots: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often slot a stands within WINDOW tokens of slot b in a row, as (a * SLOTS + b, counts)."""
+    row = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
+    both = []
+    for s in range(1, WINDOW + 1):
+        same = row[s:] == row[:-s]
+        a, b = slots[:-s][same].astype(np.int64), slots[s:][same].astype(np.int64)
+        both += [a * SLOTS + b, b * SLOTS + a]
+    return np.unique(np.concatenate(both), return_counts=True)
+
+
+def context_table(docs: DataFrame) -> np.ndarray:
+    """Sums of the index vectors of all neighbours of each slot, over all rows of docs(text)."""
+
+    def count(batches):
+        from pyspark import TaskContext
+
+        total, index = np.zeros((SLOTS, DIM), np.float64), index_vectors()
+        for b in batches:
+            data, at = flat(b.column("text"))
+            for i, j in spans(at, _STEP):
+                slots, _, places = tokens(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                if len(slots) > 1:
+                    pair, n = _neighbours(slots, places)
+                    a = pair // SLOTS
+                    head = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+                    for k in range(0, len(head), 256):  # a few slots at a time, so that the products stay small
+                        lo, hi = head[k], head[k + 256] if k + 256 < len(head) else len(pair)
+                        total[a[head[k : k + 256]]] += np.add.reduceat(index[pair[lo:hi] % SLOTS] * n[lo:hi, None], head[k : k + 256] - lo, axis=0)
+        part = TaskContext.get().partitionId() // TASKS
+        for p in range(0, SLOTS, PIECE):
+            if total[p : p + PIECE].any():
+                yield pa.RecordBatch.from_pydict({"piece": pa.array([p // PIECE], pa.int32()), "part": pa.array([part], pa.int32()), "sums": pa.array([total[p : p + PIECE].astype(np.int32 if np.abs(total).max() < 1 << 31 else np.int64).tobytes()], pa.binary())})
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.zeros(PIECE * DIM, np.int64)
+        for x in t["sums"]:
+            raw = x.as_buffer()
+            total += np.frombuffer(raw, np.int32 if raw.size == 4 * PIECE * DIM else np.int64)
+        return pa.table({"piece": t["piece"].slice(0, 1), "part": t["part"].slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    kinds = "piece int, part int, sums binary"
+    parts = docs.select("text").mapInArrow(lean(count), kinds).groupBy("piece", "part").applyInArrow(add, kinds)
+    out = np.zeros((SLOTS, DIM))
+    for r in parts.groupBy("piece").applyInArrow(lambda t: add(t), kinds).toLocalIterator():
+        out[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(r["sums"], np.int64).reshape(PIECE, DIM)
     return out
 
 
-def word_vectors(documents: list[np.ndarray]) -> np.ndarray:
-    """Index vector plus unit context vector of each slot, from the slots of the fitting sample."""
-    index = index_vectors()
-    context = np.zeros_like(index)
-    for d in documents:
-        for s in range(1, WINDOW + 1):
-            if len(d) > s:
-                np.add.at(context, d[:-s], index[d[s:]])
-                np.add.at(context, d[s:], index[d[:-s]])
+def word_vectors(context: np.ndarray) -> np.ndarray:
+    """Index vector plus unit context vector of each slot."""
     norm = np.linalg.norm(context, axis=1, keepdims=True)
-    return index / np.sqrt(np.float32(NONZERO)) + context / np.maximum(norm, 1e-9)
+    return (index_vectors() / np.sqrt(NONZERO) + context / np.maximum(norm, 1e-9)).astype(np.float32)
 
 
 def pool(slots: np.ndarray, kinds: np.ndarray, at: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -137,51 +190,55 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
-    """Word vectors and network from the rows of labels(doc_id, quality) that are not held out. Only the sample's slot numbers reach the driver."""
+    """Word vectors of all docs, and the network of the rows of labels(doc_id, quality) that are not held out."""
     rows = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.floor(F.avg("quality") + 0.5).cast("int").alias("quality"))
     order = F.xxhash64("doc_id")
     chosen = [rows.where(F.col("quality") == q).orderBy(order, "doc_id").limit(SAMPLE_PER_CLASS) for q in (0, 1)]
     sample = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * SAMPLE_PER_CLASS rows of two numbers
+    vectors = word_vectors(context_table(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
-    def slots(batches):
+    def pooled(batches):
         for b in batches:
-            data, at = flat(b.column("text"))
-            out = []
-            for i in range(b.num_rows):
-                s, k, _ = tokens(data[at[i] : at[i + 1]], np.array([0, at[i + 1] - at[i]]))
-                out.append(((s.astype(np.uint32) << 2) | k).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(out, pa.binary())], ["doc_id", "quality", "slots"])
-
-    got = docs.select("doc_id", "text").join(sample, "doc_id").mapInArrow(slots, "doc_id long, quality int, slots binary").toArrow()
-    order = np.lexsort([mix(got["doc_id"].to_numpy().astype(np.int64).view(_U))]) if got.num_rows else np.zeros(0, int)
-    packed = [np.frombuffer(got["slots"][int(i)].as_py(), np.uint32) for i in order]
-    y = got["quality"].to_numpy()[order] if got.num_rows else np.zeros(0, int)
-    vectors = word_vectors([(d >> 2).astype(np.int32) for d in packed]).astype(np.float32)
-    x = [pool((d >> 2).astype(np.int32), (d & 3).astype(np.uint8), np.array([0, len(d)]), vectors)[0] for d in packed]
-    return vectors, Network(np.array(x).reshape(len(x), DIM + EXTRA), y)
-
-
-def score(docs: DataFrame, vectors: np.ndarray, network: Network) -> DataFrame:
-    """docs with score. Vectors and network are of a fixed size and go to the executors as one broadcast variable."""
+            out = [x.tobytes() for x in _pooled(b, shared.value)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(out, pa.binary())], ["doc_id", "quality", "x"])
+
+    got = docs.select("doc_id", "text").join(sample, "doc_id").mapInArrow(lean(pooled), "doc_id long, quality int, x binary").toArrow()
+    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float64).reshape(got.num_rows, DIM + EXTRA)
+    # rows in an order that has nothing to do with how they came
+    order = np.lexsort([*x.T[:4], mix(got["doc_id"].to_numpy().astype(np.int64).view(_U))]) if got.num_rows else np.zeros(0, int)
+    return vectors, Network(x[order], got["quality"].to_numpy()[order] if got.num_rows else np.zeros(0, int))
+
+
+def _pooled(b: pa.RecordBatch, vectors: np.ndarray) -> np.ndarray:
+    """Features of a batch's rows."""
+    data, at = flat(b.column("text"))
+    out = np.zeros((b.num_rows, DIM + EXTRA))
+    for i, j in spans(at, _STEP):
+        out[i:j] = pool(*tokens(data[at[i] : at[j]], at[i : j + 1] - at[i]), vectors)
+    return out
+
+
+def score(docs: DataFrame, vectors: np.ndarray, network: Network, name: str = "score") -> DataFrame:
+    """docs with a score under the name given. Vectors and network are of a fixed size and go to the executors as one broadcast variable."""
     shared = docs.sparkSession.sparkContext.broadcast((vectors, network))
-    columns = docs.columns
+    inside = [f"c{i}" for i in range(len(docs.columns))]
+    text = inside[docs.columns.index("text")]
 
     def scores(batches):
         words, net = shared.value
         for b in batches:
-            data, at = flat(b.column("text"))
-            out = np.zeros(b.num_rows)
-            for i, j in spans(at, _STEP):
-                s, k, places = tokens(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                out[i:j] = net.probability(pool(s, k, places, words))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(out)], [*columns, "score"])
+            found = net.probability(_pooled(b.rename_columns(["text" if c == text else c for c in inside]), words))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], [*inside, "score"])
 
-    return docs.mapInArrow(lean(scores), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double")
+    kinds = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(inside, docs.schema))
+    return docs.toDF(*inside).mapInArrow(lean(scores), f"{kinds}, score double").toDF(*docs.columns, name)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents that are not rejected, with their own columns."""
-    return score(docs, *fit(docs, labels)).where(F.col("score") >= least).drop("score")
+    (name,) = apart(docs, "score")
+    return score(docs, *fit(docs, labels), name).where(F.col(name) >= least).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
