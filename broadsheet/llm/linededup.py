@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import durable, flat, spans, table
+from .common import apart, durable, flat, spans, table
 from .setjoin import Units, crowded, families, link, rest, stars, survey
 from .words import STEP, shingles, word_hashes
 
@@ -58,9 +58,9 @@ def line_units(k: int):
     return read
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with __id (null ids last) and __text, a hash of the text: together they name a document."""
-    return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("__text", F.xxhash64("text"))
+def _keyed(docs: DataFrame, id_: str = "__id", text: str = "__text") -> DataFrame:
+    """docs with an id (null ids last) and a hash of the text, under the names given: together they name a document."""
+    return docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn(text, F.xxhash64("text"))
 
 
 def repeated_lines(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -106,36 +106,39 @@ def repeated_lines(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> D
     return durable(out.groupBy(F.col("id").alias("__id"), F.col("h").alias("__text")).agg(F.collect_set("line").alias("gone")), "gonelines")
 
 
-def drop_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs with __n_lines, __n_gone and what is left of text."""
-    # hashing the small side spares sorting the texts
-    out = _keyed(docs).join(gone.hint("shuffle_hash"), ["__id", "__text"], "left")
+def drop_lines(docs: DataFrame, gone: DataFrame, n_lines: str, n_gone: str) -> DataFrame:
+    """docs with what is left of text, and the numbers of all lines and of those gone, under the names given."""
+    id_, text, out_, lines_ = apart(docs, "id", "hash", "gone", "lines")
+    # hashing the small side spares sorting the texts; its keys are unique, so a partition holds its share of it and no more
+    out = _keyed(docs, id_, text).join(gone.toDF(id_, text, out_).hint("shuffle_hash"), [id_, text], "left")
     lines = F.split("text", "\n", -1)
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: F.get(F.col("__lines"), i))
-    out = out.withColumn("__n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1))
-    out = out.withColumn("__lines", F.when(F.col("gone").isNotNull(), lines)).withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(out_)), lambda i: F.get(F.col(lines_), i))
+    out = out.withColumn(n_lines, F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long"))
+    out = out.withColumn(n_gone, F.coalesce(F.size(out_), F.lit(0)).cast("long"))
+    out = out.withColumn(lines_, F.when(F.col(out_).isNotNull(), lines)).withColumn("text", F.when(F.col(out_).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns, F.col("__n_lines").cast("long").alias("__n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("__n_gone"))
+    return out.select(*[f"`{c}`" for c in docs.columns], n_lines, n_gone)
 
 
 def dedup_lines(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs without their repeated lines."""
-    return drop_lines(docs, repeated_lines(docs, k, percent)).select(*docs.columns)
+    gone = repeated_lines(docs.select("doc_id", "text"), k, percent)
+    return drop_lines(docs, gone, *apart(docs, "n_lines", "n_gone")).select(*[f"`{c}`" for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: all documents without lines that come again."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = drop_lines(docs, repeated_lines(docs))
-    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_gone").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    out = drop_lines(docs, repeated_lines(docs), "n_lines", "n_removed")
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
 l AS (SELECT doc_id, i, l[i] AS line FROM d, unnest(generate_series(1, len(l))) AS t(i)),
 w AS (SELECT doc_id, i, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM l),
-s AS (SELECT DISTINCT doc_id, i, md5(array_to_string(w[j:j + 4], ' ')) AS h FROM w, unnest(generate_series(1, len(w) - 4)) AS t(j) WHERE len(w) >= 5),
+s AS (SELECT DISTINCT doc_id, i, md5(array_to_string(w[j:j + 4], ' ')) AS h FROM w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS t(j) WHERE len(w) > 0),
 k AS (SELECT doc_id, i, md5(string_agg(h, '' ORDER BY h)) AS c, count(*) AS n FROM s GROUP BY 1, 2),
 f AS (SELECT c, min(n) AS n, min((doc_id, i)) AS first FROM k GROUP BY c),
 cs AS (SELECT DISTINCT k.c, s.h FROM s JOIN k USING (doc_id, i) JOIN f ON f.c = k.c AND f.first = (k.doc_id, k.i)),

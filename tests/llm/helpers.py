@@ -42,12 +42,12 @@ def groups(ids: list, linked) -> dict:
 
 
 def kept_lines(rows: list[tuple[int, str | None]], percent: int = 75) -> dict[int, str | None]:
-    """Text of each (id, text) without lines of five words or more that come after a near-equal one."""
+    """Text of each (id, text) without lines that come after a near-equal one; lines without words stay."""
     lines = [(i, n, line) for i, t in sorted(rows, key=lambda r: r[0]) if t is not None for n, line in enumerate(t.split("\n"))]
     seen: list[set] = []
     out: dict[int, list[str]] = {i: [] for i, t in rows if t is not None}
     for i, _, line in lines:
-        s = shingles(line) if len(WORD.findall(line)) >= 5 else set()
+        s = shingles(line)
         if not any(near(s, o, percent) for o in seen):
             out[i].append(line)
         if s:
