@@ -30,10 +30,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, flat, lean, lean_group, settle, table, width
+from .common import durable, durable_parts, flat, forget, lean, lean_group, settle, table, width
 
 #: Different words of a chunk, at most (and those of one more batch); occurrences of a word that travel in one row.
 CHUNK_WORDS, TOGETHER = 1 << 19, 1 << 12
@@ -204,19 +205,21 @@ def _blobs(data: np.ndarray, at: np.ndarray) -> pa.Array:
 
 
 def _packed(values: np.ndarray, at: np.ndarray) -> pa.Array:
-    """Runs of whole numbers below 2**32, each as its low halves and then its high ones, which compress well."""
+    """Runs of whole numbers below 2**32, each as its low halves and then its high ones, compressed."""
     lens = np.diff(at)
     out, k = np.empty(2 * len(values), np.uint16), np.arange(len(values))
     out[k + np.repeat(at[:-1], lens)] = values & 0xFFFF
     out[k + np.repeat(at[1:], lens)] = values >> 16
-    return _blobs(out, 2 * np.asarray(at, np.int64))
+    raw, z = memoryview(out.tobytes()), zstandard.ZstdCompressor(1)
+    return pa.array([z.compress(raw[4 * i : 4 * j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
 
 
 def _unpacked(column) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of packed runs, and n+1 places."""
-    data, at = flat(column)
-    halves, at = data.view(np.uint16), at // 4
-    lens, k = np.diff(at), np.arange(at[-1])
+    z = zstandard.ZstdDecompressor()
+    runs = [z.decompress(x) if x else b"" for x in column.to_pylist()]
+    at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in runs], dtype=np.int64)])
+    halves, lens, k = np.frombuffer(b"".join(runs), np.uint16), np.diff(at), np.arange(at[-1])
     return halves[k + np.repeat(at[:-1], lens)] | halves[k + np.repeat(at[1:], lens)].astype(np.int32) << 16, at
 
 
@@ -233,8 +236,8 @@ def _sums(steps: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (total - np.repeat(np.concatenate([[0], total])[at[:-1]], np.diff(at))).astype(np.int32)
 
 
-def _coded(docs: DataFrame, words: Column, buckets: int) -> DataFrame:
-    """Documents as numbers of words (columns of docs but for text; chunk, numbers), and the chunks' words (bucket, chunk, words, places)."""
+def _coded(docs: DataFrame, words: Column, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Two tables of one pass: documents as numbers of words (columns of docs but for text; chunk, numbers), and the chunks' words (bucket, chunk, words, places)."""
     names = [c for c in docs.columns if c != "text"]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     own = pa.schema([("chunk", pa.int64()), ("numbers", pa.binary()), ("bucket", pa.int32()), ("words", pa.list_(pa.string())), ("places", pa.binary())])
@@ -273,7 +276,8 @@ def _coded(docs: DataFrame, words: Column, buckets: int) -> DataFrame:
             yield from listed()
 
     out = ", ".join([*(f"{c} {kinds[c]}" for c in names), "chunk long, numbers binary, bucket int, words array<string>, places binary"])
-    return durable(docs.select(*names, words.alias("words")).mapInArrow(lean(code), out), "coded", "zstd")
+    coded = docs.select(*names, words.alias("words")).mapInArrow(lean(code), out)
+    return durable_parts(coded, F.col("bucket").isNotNull(), "coded")
 
 
 def _gather(t: pa.Table) -> pa.Table:
@@ -299,10 +303,10 @@ def encode_documents(docs: DataFrame, path: str, python_pattern: str = public_to
     # own names inside, so that no column of docs can clash
     inner = docs.select(F.col("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])
     targets = width(spark)
-    coded = _coded(inner, bpe.words(F.col("text")), 8 * targets)
+    numbered, listed = _coded(inner, bpe.words(F.col("text")), 8 * targets)
     settle(spark)
     # dealt by number, so that small buckets of words, each much work, don't come together in one task
-    gathered = coded.where("bucket is not null").select("bucket", "chunk", "words", "places").repartition(targets, "bucket").groupBy("bucket").applyInArrow(lean_group(_gather), "word string, occurrences binary")
+    gathered = listed.select("bucket", "chunk", "words", "places").repartition(targets, "bucket").groupBy("bucket").applyInArrow(lean_group(_gather), "word string, occurrences binary")
     odd = odd_tokens(path)
     apart = (F.octet_length("word") > FOLD_BYTES) | F.col("word").isin([t.decode() for t in odd if _is_text(t)])
     folded = gathered.select(F.when(~apart, bpe.word_ids(F.col("word"))).alias("ids"), F.when(apart, F.col("word")).alias("word"), "occurrences")
@@ -338,11 +342,13 @@ def encode_documents(docs: DataFrame, path: str, python_pattern: str = public_to
             runs = np.append(cut, len(chunk))
             yield pa.RecordBatch.from_arrays([pa.array(chunk[cut]), _packed(_steps(place, runs), runs), _packed(lens, runs), _packed(each, ends[runs])], ["chunk", "places", "lens", "ids"])
 
-    dealt = durable(folded.mapInArrow(lean(deal), "chunk long, places binary, lens binary, ids binary"), "dealt", "zstd")
+    dealt = durable(folded.mapInArrow(lean(deal), "chunk long, places binary, lens binary, ids binary"), "dealt")
+    del gathered, folded
+    forget(listed)
     settle(spark)
     inside = [f"c{i}" for i in range(len(kept))]
     kinds = [docs.schema[c].dataType.simpleString() for c in kept]
-    left = coded.where("bucket is null").select("chunk", F.lit(1).alias("side"), *inside, "numbers", *[F.lit(None).cast("binary").alias(c) for c in ("places", "lens", "ids")])
+    left = numbered.select("chunk", F.lit(1).alias("side"), *inside, "numbers", *[F.lit(None).cast("binary").alias(c) for c in ("places", "lens", "ids")])
     right = dealt.select("chunk", F.lit(0).alias("side"), *[F.lit(None).cast(k).alias(c) for c, k in zip(inside, kinds)], F.lit(None).cast("binary").alias("numbers"), "places", "lens", "ids")
 
     def assemble(batches):

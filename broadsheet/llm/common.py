@@ -42,16 +42,31 @@ def apart(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def durable(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+def durable(df: DataFrame, name: str) -> DataFrame:
     """df as a written table: it is computed once, cuts the lineage and outlives a lost executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._durable_path = path
     return out
 
 
+def durable_parts(df: DataFrame, mark, name: str) -> tuple[DataFrame, DataFrame]:
+    """df written once as two tables: the rows without and with the mark; each can be forgotten for itself."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.withColumn("part", mark.cast("int")).write.partitionBy("part").parquet(path)
+    out = []
+    for part in (0, 1):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part={part}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)  # a part without rows has no folder yet
+        one = spark.read.schema(df.schema).parquet(f"{path}/part={part}")
+        one._durable_path = f"{path}/part={part}"
+        out.append(one)
+    return out[0], out[1]
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete durable tables that nothing will read again."""
     for df in tables:
