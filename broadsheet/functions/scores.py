@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import key, phrase_hits
+from .text import apostrophe_key, bind, phrase_hits, spelled
 
 
 def clamp(x: Column, low: int = 0, high: int = 100) -> Column:
@@ -41,7 +41,7 @@ def extraction_quality(words: Column, text_blocks: Column, rich_blocks: Column,
         + F.least(F.lit(5), 2 * image_blocks)
         + F.when(author, 5).otherwise(0)
         + F.when(published, 3).otherwise(0)
-        + F.when(method == "dom:generic", 6).when(F.startswith(method, F.lit("dom:")), 9).when(F.startswith(method, F.lit("jsonld:")) | F.startswith(method, F.lit("embedded-json:")), 9).when(F.startswith(method, F.lit("trafilatura")), 4).otherwise(0)
+        + _method_points(method)
         - F.when((removed > 0.55) & (words < 180), 12).when((removed > 0.35) & (words < 120), 7).otherwise(0)
         - F.when(truncated, 8).otherwise(0)
         - F.when(error, 30).otherwise(0)
@@ -49,6 +49,13 @@ def extraction_quality(words: Column, text_blocks: Column, rich_blocks: Column,
     return clamp(points).cast("int")
 
 
+def _method_points(method: Column) -> Column:
+    """Points for how a body was found: a publisher's own root, a generic root, structured data, a fallback."""
+    dom = F.startswith(method, F.lit("dom:")) & ~F.contains(method, F.lit(":none"))
+    structured = F.startswith(method, F.lit("jsonld:")) | F.startswith(method, F.lit("embedded-json:"))
+    return F.when(dom & F.contains(method, F.lit(":generic:")), 6).when(dom | structured, 9).when(F.startswith(method, F.lit("trafilatura")), 4).otherwise(0)
+
+
 def grade(score: Column) -> Column:
     return F.when(score >= 85, "excellent").when(score >= 65, "good").when(score >= 45, "partial").otherwise("poor")
 
@@ -61,22 +68,43 @@ def content_status(score: Column, words: Column, paragraphs: Column, trusted: Co
 
 
 def local_relevance(text: Column, prior: Column, config) -> tuple[Column, Column]:
-    """(score, up to six reasons by weight): term groups that a text hits, a prior of its source, negative groups."""
-    k = key(text)
-    # terms are compared as keys are made: hyphens and points are spaces
-    spell = lambda terms: [" ".join(t.replace("-", " ").replace(".", " ").split()) for t in terms]
-    hit = lambda terms: F.size(phrase_hits(k, spell(terms))) > 0
-    rated = lambda groups: [F.when(hit(t), F.struct(F.lit(w).alias("w"), F.lit(label).alias("label"))) for w, label, t in groups]
-    sums = lambda xs: reduce(lambda a, x: a + F.coalesce(x["w"], F.lit(0)), xs, F.lit(0))
-    plus, minus = rated(config.local_terms), rated(config.negative_terms)
+    """(score, up to six reasons): a prior of the source, term groups that a text names, negative groups.
+
+    Reasons go by the size of their weight; equals keep the order of the rules: prior, groups, bare mention, negative groups.
+    """
     from ..config import CORE_LABELS
 
-    core = reduce(lambda a, b: a | b, [hit(t) for _, label, t in config.local_terms if label in CORE_LABELS])
-    positive = sums(plus) + F.when(F.contains(F.concat(F.lit(" "), k, F.lit(" ")), F.lit(" london ")) & ~core, 12).otherwise(0)
-    score = clamp(F.greatest(prior, F.least(F.lit(100), prior + positive)) + sums(minus)).cast("int")
-    reasons = F.filter(F.array(*plus, *minus), lambda r: r.isNotNull())
-    order = lambda a, b: F.when(F.abs(a["w"]) > F.abs(b["w"]), -1).when(F.abs(a["w"]) < F.abs(b["w"]), 1).when(a["label"] < b["label"], -1).when(a["label"] > b["label"], 1).otherwise(0)
-    return score, F.transform(F.slice(F.array_sort(reasons, order), 1, 6), lambda r: r["label"])
+    def of(k):
+        hit = lambda terms: F.size(phrase_hits(k, [spelled(t) for t in terms])) > 0
+        named = F.array(*[F.when(hit(terms), label) for _, label, terms in config.local_terms])
+        core = F.arrays_overlap(F.filter(named, lambda v: v.isNotNull()), F.array(*[F.lit(v) for v in CORE_LABELS]))
+        bare = F.contains(F.concat(F.lit(" "), k, F.lit(" ")), F.lit(" london ")) & ~core
+        rule = lambda when, weight, reason: F.when(when, F.struct(weight.cast("int").alias("w"), reason.alias("reason")))
+        rules = [rule(prior != 0, prior, F.concat(F.lit("local publisher +"), prior.cast("string")))]
+        rules += [rule(hit(terms), F.lit(w), F.lit(f"{label} +{w}")) for w, label, terms in config.local_terms]
+        rules += [rule(bare, F.lit(12), F.lit("London mention +12"))]
+        rules += [rule(hit(terms), F.lit(w), F.lit(f"{label} {w}")) for w, label, terms in config.negative_terms]
+        return F.array(*rules)
+
+    found = bind(apostrophe_key(text), of)
+    groups = len(config.local_terms) + 1
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda t, r: t + F.coalesce(r["w"], F.lit(0)))
+
+    def judged(rules):
+        plus, minus = total(F.slice(rules, 2, groups)), total(F.slice(rules, groups + 2, len(config.negative_terms)))
+        score = clamp(F.greatest(prior, F.least(F.lit(100), prior + plus)) + minus).cast("int")
+        placed = F.transform(rules, lambda r, i: F.struct((-F.abs(r["w"])).alias("size"), i.alias("i"), r["reason"].alias("reason")))
+        order = F.array_sort(F.filter(placed, lambda r: r["size"].isNotNull()))
+        return F.struct(score.alias("score"), F.transform(F.slice(order, 1, 6), lambda r: r["reason"]).alias("reasons"))
+
+    both = bind(found, judged)
+    return both["score"], both["reasons"]
+
+
+def prior_of(source: Column, priors: dict[str, int]) -> Column:
+    """The score that a source's rows start from."""
+    known = F.create_map(*[F.lit(v) for kv in priors.items() for v in kv]) if priors else None
+    return F.coalesce(F.try_element_at(known, source), F.lit(0)) if priors else F.lit(0)
 
 
 def image_score(image: Column, focus: Column, alt: Column) -> Column:
@@ -84,7 +112,7 @@ def image_score(image: Column, focus: Column, alt: Column) -> Column:
 
 
 def coverage(sources: Column, table: tuple) -> Column:
-    return F.get(F.array(*[F.lit(x) for x in table]), F.least(F.greatest(sources, F.lit(1)), F.lit(len(table))).cast("int") - 1)
+    return F.when(sources <= 0, 0).otherwise(F.get(F.array(*[F.lit(x) for x in table]), F.least(sources, F.lit(len(table))).cast("int") - 1))
 
 
 def rank(local: Column, fresh: Column, covered: Column, quality: Column, image: Column) -> Column:

@@ -16,6 +16,21 @@ def blank(x: Column | str) -> Column:
     return F.coalesce(col(x), F.lit(""))
 
 
+def bind(value: Column, f) -> Column:
+    """f(value) with value computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def rewrite(x: Column, pattern: str, f) -> Column:
+    """x with every match of a pattern replaced by f(match), a column expression."""
+
+    def put(v: Column) -> Column:
+        both = F.arrays_zip(F.split(v, pattern, -1).alias("gap"), F.regexp_extract_all(v, F.lit(pattern), F.lit(0)).alias("hit"))
+        return F.array_join(F.transform(both, lambda z: F.concat(z["gap"], F.coalesce(f(z["hit"]), F.lit("")))), "")
+
+    return bind(x, put)
+
+
 def collapse(x: Column | str) -> Column:
     """White space runs as one space, none at the ends."""
     return F.trim(F.regexp_replace(blank(x), r"[\s ]+", " "))
@@ -49,14 +64,20 @@ def key(x: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.lower(blank(x)), "[^a-z0-9]+", " "))
 
 
+def comparison_key(x: Column | str) -> Column:
+    """The key of the cleaned text: entities and tags don't count."""
+    return key(clean(x))
+
+
 def apostrophe_key(x: Column | str) -> Column:
     """As key, with apostrophes kept and typographic ones made plain."""
     return F.trim(F.regexp_replace(F.lower(F.replace(blank(x), F.lit("’"), F.lit("'"))), "[^a-z0-9']+", " "))
 
 
 def tokens(x: Column | str, stopwords: Sequence[str], least: int = 4) -> Column:
-    """Distinct tokens of some length that are neither stopwords nor numbers, in order of first appearance."""
-    found = F.array_distinct(F.regexp_extract_all(F.lower(blank(x)), F.lit("([a-z0-9]+(?:['-][a-z0-9]+)?)"), F.lit(1)))
+    """Distinct tokens of some length that are neither stopwords nor numbers, in order of first appearance; typographic apostrophes are plain ones."""
+    plain = F.replace(F.lower(blank(x)), F.lit("’"), F.lit("'"))
+    found = F.array_distinct(F.regexp_extract_all(plain, F.lit("([a-z0-9]+(?:['-][a-z0-9]+)?)"), F.lit(1)))
     stop = F.array(*[F.lit(s) for s in stopwords])
     return F.filter(F.array_except(found, stop), lambda t: (F.length(t) >= least) & ~t.rlike("^[0-9]+$"))
 
@@ -82,6 +103,11 @@ def phrase_hits(text_key: Column, phrases: Sequence[str]) -> Column:
     return F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(padded, F.concat(F.lit(" "), p, F.lit(" "))))
 
 
+def spelled(term: str) -> str:
+    """A term as keys spell it: hyphens and points are spaces."""
+    return " ".join(term.lower().replace("-", " ").replace(".", " ").split())
+
+
 def has_term(text: Column, term: str) -> Column:
     """Whether a term stands in lower-case text, not inside a longer word."""
     import re
@@ -89,15 +115,15 @@ def has_term(text: Column, term: str) -> Column:
     return text.rlike(f"(?<![a-z0-9]){re.escape(term)}(?![a-z0-9])")
 
 
-def classify(text: Column, rules: Sequence[tuple[str, Sequence[str]]], other: str = "Local", bounded: bool = False) -> Column:
-    """The first rule with a needle in the text: as a substring, or as a whole term."""
+def classify(text: Column, rules: Sequence[tuple[str, Sequence[str]]], other: str = "Local", bounded: bool = False, first: Sequence[tuple[str, Sequence[str]]] = ()) -> Column:
+    """The first rule with a needle in the text: as a substring, or as a whole term. Rules in `first` go before all and take whole terms."""
     import re
 
-    lowered = F.lower(blank(text))
+    lowered = F.replace(F.lower(blank(text)), F.lit("’"), F.lit("'"))
     out = None
-    for name, needles in rules:
+    for name, needles, whole in [*((n, x, True) for n, x in first), *((n, x, bounded) for n, x in rules)]:
         pattern = "|".join(re.escape(n).replace(r"\ ", " ") for n in needles)
-        hit = lowered.rlike(f"(?<![a-z0-9])(?:{pattern})(?![a-z0-9])" if bounded else pattern)
+        hit = lowered.rlike(f"(?<![a-z0-9])(?:{pattern})(?![a-z0-9])" if whole else pattern)
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise(other)
 
@@ -145,45 +171,110 @@ def topics(category: Column, labels: Column, flags: Column, most: int = 5) -> Co
 
 
 def near_duplicate(a: Column, b: Column, share: float = 0.58, least: int = 28) -> Column:
-    """Equal keys, or one is a prefix of the other of some length and share. (Ratios need functions.similarity.)"""
+    """Equal keys, or one is a prefix of the other of some length and share. (similarity.near_duplicate adds the rule of ratios.)"""
     x, y = key(a), key(b)
     small, large = F.when(F.length(x) <= F.length(y), x).otherwise(y), F.when(F.length(x) <= F.length(y), y).otherwise(x)
     return (x != "") & (y != "") & ((x == y) | ((F.length(small) >= least) & F.startswith(large, small) & (F.length(small) >= F.length(large) * share)))
 
 
-def sentence_case(x: Column | str, acronyms: Sequence[str], proper: dict[str, str], share: float = 0.8) -> Column:
-    """Segments (between bars or bullets) written in capitals, as sentences; acronyms and proper words keep their form."""
-    upper = F.array(*[F.lit(a) for a in acronyms])
-    names = F.create_map(*[F.lit(v) for kv in proper.items() for v in kv])
-    bare = lambda w: F.regexp_replace(w, "[^A-Za-z0-9]", "")
+_SEGMENT = r"\s+[|•]\s+"
+_TERM = r"[A-Za-z0-9]+(?:[-’'][A-Za-z0-9]+)?"
+
+
+def sentence_case(x: Column | str, acronyms: Sequence[str], proper: Sequence[str], share: float = 0.8) -> Column:
+    """Segments (between bars or bullets) written in capitals, as sentences; single words in capitals, as words.
+
+    Acronyms and proper words get their form back, and so does ", ON". Segments of fewer than eight letters stay.
+    """
+    known = F.create_map(*[F.lit(v) for w in (*acronyms, *proper) for v in (w.lower(), w)])
+    kept = F.array(*[F.lit(a) for a in acronyms])
+    every = "|".join(sorted((*acronyms, *proper), key=len, reverse=True))
+
+    def restored(v):
+        named = rewrite(v, rf"(?i)\b(?:{every})\b", lambda w: F.try_element_at(known, F.lower(w)))
+        return F.regexp_replace(named, r"(?i),\s+on\b", ", ON")
+
+    def segment(v):
+        letters, capitals = F.regexp_count(v, F.lit(r"\p{L}")), F.regexp_count(v, F.lit(r"\p{Lu}"))
+        shouted = rewrite(F.lower(v), r"(?:^|[.!?]\s+)[a-z]", F.upper)
+        mixed = rewrite(v, r"\b[A-Z][A-Z'’]{3,}\b", lambda w: F.when(F.array_contains(kept, w), w).otherwise(F.concat(F.substring(w, 1, 1), F.lower(F.substring(w, F.lit(2), F.length(w))))))
+        return F.when(letters < 8, v).otherwise(restored(F.when(capitals < letters * share, mixed).otherwise(shouted)))
+
+    def parts(v):
+        both = F.arrays_zip(F.split(v, _SEGMENT, -1).alias("part"), F.regexp_extract_all(v, F.lit(_SEGMENT), F.lit(0)).alias("bar"))
+        return F.array_join(F.transform(both, lambda z: F.concat(segment(z["part"]), F.coalesce(z["bar"], F.lit("")))), "")
+
+    return bind(collapse(x), parts)
+
 
-    def word(w, i):
-        low = F.lower(w)
-        name = F.try_element_at(names, F.lower(bare(w)))
-        first = F.when(i == 0, F.concat(F.upper(F.substring(low, 1, 1)), F.substring(low, F.lit(2), F.length(low)))).otherwise(low)
-        return F.when(F.array_contains(upper, F.upper(bare(w))), F.upper(w)).when(name.isNotNull(), F.replace(low, F.lower(bare(w)), name)).otherwise(first)
+def title_stems(title: Column | str) -> Column:
+    """A title's first segment, and the same without a file number at its end, the longer first."""
 
-    def segment(s):
-        letters, capitals = F.regexp_count(s, F.lit("[A-Za-z]")), F.regexp_count(s, F.lit("[A-Z]"))
-        return F.when((letters >= 4) & (capitals >= letters * share), F.array_join(F.transform(F.split(s, " "), word), " ")).otherwise(s)
+    def stems(base):
+        bare = F.trim(F.regexp_replace(base, r"\s+\d{2,4}[-–]\d{4,}\s*$", ""))
+        return F.when(base == "", F.array().cast("array<string>")).when((F.length(bare) >= 18) & (bare != base), F.array(base, bare)).otherwise(F.array(base))
 
-    parts = F.split(collapse(x), r"\s(?=[|•])|(?<=[|•])\s")
-    return F.array_join(F.transform(parts, segment), " ")
+    return bind(F.trim(F.get(F.split(clean(title), _SEGMENT, 2), F.lit(0))), stems)
 
 
-def strip_echo(x: Column, title: Column) -> Column:
-    """A text without the title at its start, where the title is long enough to be more than a phrase."""
-    t, s = collapse(title), collapse(x)
-    echo = (F.length(t) >= 20) & (split_count(t) >= 4) & F.startswith(F.lower(s), F.lower(t))
-    return F.when(echo, F.trim(F.regexp_replace(F.substring(s, F.length(t) + 1, F.length(s)), r"^[\s:|.,–—-]+", ""))).otherwise(s)
+def strip_echo(x: Column, title: Column, same=near_duplicate) -> Column:
+    """A text without the title's words at its start: four words and twenty letters at least; what is left must be of some length.
 
+    same(text, stem) says whether a text is the title again, in which case nothing is left.
+    """
 
-def summary_text(summary: Column, title: Column, limit: int = 360, rounds: int = 3) -> Column:
-    """A summary without echoes of the title, cut to a limit, empty where nothing but the title is left."""
-    out = clean(summary)
+    def stripped(text, stem):
+        mine, theirs = (F.regexp_extract_all(v, F.lit(_TERM), F.lit(0)) for v in (text, stem))
+        equal = F.zip_with(mine, theirs, lambda a, b: a.isNotNull() & b.isNotNull() & (key(a) == key(b)))
+
+        def cut(e):
+            at = F.array_position(e, F.lit(False)).cast("int")
+            common = F.when(at > 0, at - 1).otherwise(F.size(e))
+            size = F.aggregate(F.slice(theirs, F.lit(1), common), F.lit(0), lambda t, w: t + F.length(w))
+            gaps = F.split(text, _TERM, -1)
+            # what follows the last common word: its gap, then words and gaps in turn
+            tail = F.array_join(F.transform(F.arrays_zip(gaps.alias("gap"), mine.alias("word")), lambda z, i: F.when(i < common, "").otherwise(F.concat(z["gap"], F.coalesce(z["word"], F.lit(""))))), "")
+            left = F.regexp_replace(tail, r"^[ \t|:;,.!?\-–—]+", "")
+            return F.when((common >= 4) & (size >= 20), F.when(F.length(left) >= 20, left).otherwise(""))
+
+        again = F.coalesce(same(text, stem), F.lit(False)) & (F.length(text) <= F.length(stem) + 45)
+        return F.when(text == "", text).when(again, "").otherwise(bind(equal, cut))
+
+    def first(text):
+        def tried(stems):
+            one, two = F.get(stems, F.lit(0)), F.get(stems, F.lit(1))
+            return F.coalesce(F.when(one.isNotNull(), stripped(text, one)), F.when(two.isNotNull(), stripped(text, two)), text)
+
+        return bind(title_stems(title), tried)
+
+    return bind(clean(x), first)
+
+
+def summary_text(summary: Column, title: Column, acronyms: Sequence[str] = (), proper: Sequence[str] = (), limit: int = 360, rounds: int = 3) -> Column:
+    """A summary in sentence case without echoes of the title or file numbers, cut to a limit, empty where only the title is left."""
+    cased = lambda v: sentence_case(v, acronyms, proper) if acronyms or proper else collapse(v)
+    out = cased(clean(summary))
     for _ in range(rounds):
-        out = strip_echo(out, title)
-    return truncate(F.when(near_duplicate(out, title), "").otherwise(out), limit)
+        out = bind(out, lambda v: cased(F.trim(F.regexp_replace(strip_echo(v, title), r"^\s*\d{2,4}[-–]\d{4,}\s*(?:[|:;-]\s*)?", ""))))
+    return bind(out, lambda v: truncate(F.when(near_duplicate(v, title), "").otherwise(v), limit))
+
+
+def boilerplate(x: Column | str, phrases: Sequence[str], labels: Sequence[str], prefixes: Sequence[str]) -> Column:
+    """Whether a text is a publisher's furniture: empty, a phrase inside, a short label, or a module's short beginning."""
+
+    def of(k):
+        text = clean(x)
+        inside = F.exists(F.array(*[F.lit(v) for v in phrases]), lambda v: F.contains(k, v)) if phrases else F.lit(False)
+        label = (F.length(text) <= 90) & F.regexp_replace(F.lower(text), "[.!]$", "").isin(*labels) if labels else F.lit(False)
+        begins = (F.length(text) <= 150) & F.exists(F.array(*[F.lit(v) for v in prefixes]), lambda v: F.startswith(k, v)) if prefixes else F.lit(False)
+        return (k == "") | inside | label | begins
+
+    return bind(apostrophe_key(clean(x)), of)
+
+
+def scrub(x: Column | str, rule: tuple[str, str]) -> Column:
+    """A text with a misleading name put out."""
+    return F.regexp_replace(blank(x), f"(?i){rule[0]}", rule[1])
 
 
 def strip_markdown(x: Column) -> Column:
@@ -217,22 +308,36 @@ def markdown_blocks(x: Column | str) -> Column:
     return F.transform(chunks, one)
 
 
-def author_mentioned(author: Column, x: Column, least: int = 2) -> Column:
-    """Whether a text holds so many of the words of an author's name."""
-    names = F.filter(F.array_distinct(F.split(key(author), " ")), lambda t: F.length(t) >= 3)
-    words = F.split(key(x), " ")
-    return F.size(F.array_intersect(names, words)) >= least
+def author_tokens(author: Column | str, stopwords: Sequence[str], most: int = 6) -> Column:
+    """The words of an author's name: without "by", without what follows a bar or the outlet, without roles; the first few."""
+    name = F.regexp_replace(blank(author), r"(?i)^\s*by\s+", "")
+    name = F.get(F.split(name, r"(?i)\s*[|·•]\s*|,\s*(?:cbc|ctv|global)\b", 2), F.lit(0))
+    found = F.array_distinct(F.regexp_extract_all(F.lower(name), F.lit("([a-z0-9]+)"), F.lit(1)))
+    stop = F.array(*[F.lit(v) for v in stopwords]) if stopwords else F.array().cast("array<string>")
+    return F.slice(F.filter(F.array_except(found, stop), lambda t: F.length(t) >= 2), 1, most)
+
+
+def author_mentioned(author: Column | str, x: Column | str, stopwords: Sequence[str] = (), least: int = 2) -> Column:
+    """Whether a text holds so many of the words of an author's name, which has so many."""
+    words = F.regexp_extract_all(F.lower(blank(x)), F.lit("([a-z0-9]+)"), F.lit(1))
+    return bind(author_tokens(author, stopwords), lambda names: (F.size(names) >= least) & (F.size(F.array_intersect(names, words)) >= least))
+
+
+def match_anchor(texts: Column, anchor: Column | str, share: float = 0.66) -> Column:
+    """Place of the text that an anchor belongs to; null if none.
 
+    The first text that is the anchor, holds it or stands in it; else the one that shares most of the words of the smaller
+    of both, the first of equals, if that is enough.
+    """
+    words = lambda k: F.array_distinct(F.split(k, " "))
 
-def match_anchor(texts: Column, anchor: Column, share: float = 0.66) -> Column:
-    """Place of the text that an anchor belongs to: it is or holds the anchor, else shares enough of its words; null if none."""
-    words = lambda t: F.array_distinct(F.filter(F.split(key(t), " "), lambda w: F.length(w) >= 4))
-    mine = words(anchor)
+    def of(mine):
+        def rate(t, i):
+            k = key(t)
+            within = (k != "") & (F.contains(k, mine) | F.contains(mine, k))
+            overlap = F.size(F.array_intersect(words(k), words(mine))) / F.greatest(F.lit(1), F.least(F.size(words(k)), F.size(words(mine))))
+            return F.struct(F.when(within, 2.0).when(k == "", 0.0).otherwise(overlap).alias("rate"), (-i).alias("i"))
 
-    def rate(t, i):
-        both = F.size(F.array_intersect(words(t), mine)) / F.greatest(F.lit(1), F.size(mine))
-        exact = (key(anchor) != "") & F.contains(key(t), key(anchor))
-        return F.struct(F.when(exact, 2.0).otherwise(both).alias("rate"), (-i).alias("i"))
+        return F.when(mine != "", bind(F.array_max(F.transform(texts, rate)), lambda best: F.when(best["rate"] >= share, -best["i"])))
 
-    best = F.array_max(F.transform(texts, rate))
-    return F.when(best["rate"] >= share, -best["i"])
+    return bind(key(anchor), of)

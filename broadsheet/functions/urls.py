@@ -55,22 +55,23 @@ SIZE_PARAMETERS = "w|width|h|height|q|quality|fit|crop|auto|format|fm"
 
 
 def image_key(url: Column | str) -> Column:
-    """An image's address without its size parameters."""
-    u = F.regexp_replace(blank(url), "#.*$", "")
-    query = F.filter(F.split(F.regexp_extract(u, r"\?(.*)$", 1), "&"), lambda p: (p != "") & ~p.rlike(f"^(?:{SIZE_PARAMETERS})="))
+    """An image's address without its size parameters and fragment; the path keeps its case."""
+    u = F.regexp_replace(F.trim(blank(url)), "#.*$", "")
+    query = F.filter(F.split(F.regexp_extract(u, r"\?(.*)$", 1), "&"), lambda p: (p != "") & ~F.lower(p).rlike(f"^(?:{SIZE_PARAMETERS})(?:=|$)"))
     bare = F.regexp_replace(u, r"\?.*$", "")
-    return F.lower(F.when(F.size(query) > 0, F.concat(bare, F.lit("?"), F.array_join(query, "&"))).otherwise(bare))
+    return F.when(F.size(query) > 0, F.concat(bare, F.lit("?"), F.array_join(query, "&"))).otherwise(bare)
 
 
 def image_path_key(url: Column | str) -> Column:
-    """Folder and file name without size marks."""
-    p = F.lower(path(url))
+    """Folder and file name, in lower case, without size marks."""
+    p = F.regexp_replace(F.lower(path(url)), "/+$", "")
     tail = F.regexp_extract(p, r"([^/]*/?[^/]+)$", 1)
-    return F.regexp_replace(tail, r"(?:-\d+x\d+|-w\d+|_h\d+)(?=\.[a-z0-9]+$|$)", "")
+    tail = F.regexp_replace(F.regexp_replace(tail, "^/", ""), r"[-_]\d{2,5}x\d{2,5}(?=\.[a-z0-9]{2,5}$)", "")
+    return F.regexp_replace(tail, r"[-_][wh]\d{2,5}(?=\.[a-z0-9]{2,5}$)", "")
 
 
 def same_image(a: Column, b: Column) -> Column:
-    name = lambda u: F.regexp_extract(path(u), r"([^/]+)$", 1)
+    name = lambda u: F.regexp_extract(image_path_key(u), r"([^/]+)$", 1)
     return (image_key(a) == image_key(b)) | ((image_path_key(a) == image_path_key(b)) & (image_path_key(a) != "")) | ((name(a) == name(b)) & (F.length(name(a)) >= 14))
 
 
@@ -109,7 +110,8 @@ IMAGE_JUNK = "logo|icon|avatar|author|profile|sprite|pixel|tracking|badge|weathe
 
 def is_picture(url: Column | str) -> Column:
     """An address that may be an article's picture."""
-    return is_http(url) & ~F.lower(blank(url)).rlike(IMAGE_JUNK) & ~F.lower(path(url)).rlike(r"\.(?:svg|gif)$")
+    # "default" may be a part of a picture's address: it counts in descriptions only
+    return is_http(url) & ~F.lower(blank(url)).rlike(IMAGE_JUNK.replace("|default", "")) & ~F.lower(path(url)).rlike(r"\.(?:svg|gif)$")
 
 
 def image_rating(url: Column | str) -> Column:

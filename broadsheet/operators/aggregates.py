@@ -18,20 +18,25 @@ def edition_counters(df: DataFrame) -> DataFrame:
     )
 
 
-def source_health(df: DataFrame, order: list[Column], sample: int = 30) -> DataFrame:
-    """Each source's newest rows: counts, ratios, status. df has source, content_status, quality, error, published."""
+def source_health(df: DataFrame, order: list[Column], sample: int = 30, runs: DataFrame | None = None) -> DataFrame:
+    """Each source's newest rows: counts, ratios, status. df has source, content_status, quality, grade, error, published.
+
+    runs(source, found, run_error) has the last run of each source, those without rows among them: they are waiting, or in
+    error; an error beside rows degrades a source.
+    """
     newest = df.withColumn("__r", F.row_number().over(Window.partitionBy("source").orderBy(*order))).where(F.col("__r") <= sample)
     failed = (F.col("content_status") == "failed") | F.coalesce(F.col("error"), F.lit(False))
-    out = newest.groupBy("source").agg(
-        F.count("*").alias("rows"),
-        F.count_if(F.col("content_status") == "full").alias("full"),
-        F.count_if(F.col("content_status") == "partial").alias("partial"),
-        F.count_if(failed).alias("failed"),
-        F.round(F.avg("quality"), 6).alias("mean_quality"),
-        F.max("published").alias("latest"),
-    )
-    usable, failure = (F.col("full") + F.col("partial")) / F.col("rows"), F.col("failed") / F.col("rows")
-    return out.withColumn("usable_ratio", F.round(usable, 6)).withColumn("failure_ratio", F.round(failure, 6)).withColumn("status", F.when((usable >= 0.70) & (failure <= 0.10), "healthy").otherwise("degraded"))
+    status_is = lambda s: F.count_if(F.col("content_status") == s)
+    counts = {"full_": status_is("full"), "partial": status_is("partial"), "summary": status_is("summary"), "failed": F.count_if(failed), **{g: F.count_if(F.col("grade") == g) for g in ("excellent", "good", "poor")}}
+    out = newest.groupBy("source").agg(F.count("*").alias("tracked"), *[c.alias(n) for n, c in counts.items()], F.round(F.avg("quality"), 6).alias("mean_quality"), F.max("published").alias("latest"))
+    out = out.join(runs, "source", "full") if runs is not None else out.withColumns({"found": F.lit(0), "run_error": F.lit("")})
+    out = out.withColumns({"found": F.coalesce("found", F.lit(0)), "last_error": F.coalesce("run_error", F.lit(""))}).drop("run_error")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("tracked", *counts)})
+    rows, error = F.greatest(F.lit(1), F.col("tracked")), F.col("last_error") != ""
+    usable, failure = (F.col("full_") + F.col("partial")) / rows, F.col("failed") / rows
+    none = F.col("tracked") == 0
+    status = F.when(error & none, "error").when(error, "degraded").when(none, "waiting").when((usable >= 0.70) & (failure <= 0.10), "healthy").otherwise("degraded")
+    return out.withColumns({"usable_ratio": F.round(usable, 6), "failure_ratio": F.round(failure, 6), "status": status})
 
 
 def cluster_summary(df: DataFrame) -> DataFrame:
@@ -83,6 +88,12 @@ def repeated_values(df: DataFrame, group: str, value: str, order: list[Column],
     return mode.join(rows, group).select(group, F.col(f"m.{value}").alias(value), F.col("m.n").alias("n"), "rows").where((F.col("n") >= least) & (F.col("n") / F.col("rows") >= share))
 
 
+def clear_repeated(df: DataFrame, found: DataFrame, group: str, value: str) -> DataFrame:
+    """df with the values that repeated_values found taken out of their groups' rows."""
+    marks = found.select(group, F.col(value).alias("__repeated"))
+    return df.join(marks, group, "left").withColumn(value, F.when(F.col("__repeated").isNull() | (F.col(value) != F.col("__repeated")), F.col(value))).drop("__repeated")
+
+
 def duplicate_paragraphs(df: DataFrame, key: list[str], paragraphs: Column, normal, least: int = 45) -> DataFrame:
     """Paragraphs that a row has more than once, by their normal form."""
     rows = df.select(*key, F.explode(paragraphs).alias("p")).withColumn("paragraph", normal(F.col("p"))).where(F.length("paragraph") >= least)

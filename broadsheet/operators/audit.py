@@ -54,9 +54,10 @@ def issues(df: DataFrame, now: Column, config: Config = DEFAULT) -> DataFrame:
         rule("warning", "image_gallery_leak", ("content_blocks",), lambda: run_in_array(c("content_blocks"), lambda b: b["type"] == "image") >= 3)
         rule("warning", "invalid_inline_image", ("content_blocks",), lambda: F.exists(images, lambda b: ~is_http(b["url"])))
     if "paragraphs" in has:
-        last = tail(c("paragraphs"))
+        # furniture is looked for in the tail as one text
+        last = F.lower(F.array_join(tail(F.filter(F.transform("paragraphs", collapse), lambda p: p != "")), " "))
         for code, pattern in config.tail_furniture:
-            found.append(_issue("warning", code, _any(last, pattern)))
+            found.append(_issue("warning", code, last.rlike(pattern)))
         long = F.filter(F.transform("paragraphs", lambda p: key(p)), lambda p: F.length(p) >= 45)
         rule("warning", "duplicate_body", ("paragraphs",), lambda: F.size(F.array_distinct(long)) < F.size(long))
     if "image" in has:
@@ -64,7 +65,8 @@ def issues(df: DataFrame, now: Column, config: Config = DEFAULT) -> DataFrame:
         rule("warning", "invalid_hero_image", ("image",), lambda: (hero != "") & ~is_http(hero) & ~F.startswith(hero, F.lit("/")))
         rule("info", "missing_hero_image", ("image",), lambda: hero == "")
     rule("info", "missing_author", ("author", "source"), lambda: publisher & (collapse("author") == ""))
-    rule("info", "low_local_relevance", ("local_score",), lambda: c("local_score") < 20)
+    official = c("source").isin(*config.official_sources) if "source" in has and config.official_sources else F.lit(False)
+    rule("info", "low_local_relevance", ("local_score",), lambda: (c("local_score") < 20) & ~official)
     return df.withColumn("issues", F.array_distinct(F.filter(F.array(*found), lambda i: i.isNotNull())))
 
 
@@ -77,7 +79,7 @@ def scored(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
     count = lambda s: F.size(F.filter("issues", lambda i: i["severity"] == s))
     loss = sum((count(s) * w for s, w in config.severity_weight.items()), F.lit(0))
     score = F.greatest(F.lit(0), 100 - loss).cast("int")
-    status = F.when(count("critical") > 0, "fail").when((count("warning") > 0) | (score < 80), "review").otherwise("pass")
+    status = F.when(count("critical") > 0, "fail").when(count("warning") > 0, "review").otherwise("pass")
     return df.withColumns({"audit_score": score, "audit_status": status})
 
 
@@ -95,14 +97,38 @@ def exploded(df: DataFrame, key_: str = "id") -> DataFrame:
     return df.select(key_, "source", F.explode("issues").alias("i")).select(key_, "source", "i.severity", "i.code", "i.message").withColumn("severity_rank", rank)
 
 
-def source_report(df: DataFrame) -> DataFrame:
-    """Each source's audited rows: passes, rates, averages without zeros, status."""
-    n = F.count("*")
+def source_report(df: DataFrame, health: DataFrame | None = None) -> DataFrame:
+    """Each source's audited rows: passes, whole rates, averages without zeros, commonest method, issues by severity, status.
+
+    df has audit_status, content_status, quality, words, issues, published and method (those of a missing column are left
+    out); health(source, collector_status, ...) adds what the collectors say, and sources without rows, which are waiting.
+    """
+    whole = lambda x: F.bround(x, 0).cast("int")
     passed, failed, review = (F.count_if(F.col("audit_status") == s) for s in ("pass", "fail", "review"))
-    out = df.groupBy("source").agg(n.alias("sampled"), passed.alias("passed"), review.alias("review"), failed.alias("failed"), F.round(F.avg(F.when(F.col("audit_score") > 0, F.col("audit_score"))), 6).alias("mean_score"), F.round(F.avg(F.when(F.col("words") > 0, F.col("words"))), 6).alias("mean_words"), F.max("published").alias("latest"))
-    rate = F.col("passed") / F.col("sampled") * 100
-    status = F.when((F.col("failed") > 0) & (rate < 60), "error").when((F.col("failed") + F.col("review") > 0) | (rate < 80), "review").otherwise("healthy")
-    return out.withColumn("pass_rate", F.round(rate, 6)).withColumn("status", status)
+    per = lambda s: F.sum(F.size(F.filter("issues", lambda i: i["severity"] == s))).alias(f"{s}_issues")
+    issues_ = [per(s) for s in ("critical", "warning", "info")]
+    usable = F.count_if(F.col("content_status").isin("full", "partial"))
+    out = df.groupBy("source").agg(
+        F.count("*").alias("sampled"), passed.alias("passed"), review.alias("review"), failed.alias("failed"),
+        whole(passed / F.count("*") * 100).alias("pass_rate"), whole(usable / F.count("*") * 100).alias("usable_rate"),
+        whole(F.avg(F.when(F.col("quality") > 0, F.col("quality")))).alias("mean_quality"), whole(F.avg(F.when(F.col("words") > 0, F.col("words")))).alias("mean_words"),
+        *issues_, F.max("published").alias("latest"),
+    )
+    methods = df.where(F.coalesce("method", F.lit("")).isin("", "unknown") == F.lit(False)).groupBy("source", "method").agg(F.count("*").alias("n"))
+    methods = methods.groupBy("source").agg(F.min_by("method", F.struct(-F.col("n"), "method")).alias("primary_method"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("method", "n")))).alias("method_counts"))
+    if health is not None:
+        out = out.join(health, "source", "full")
+    else:
+        out = out.withColumn("collector_status", F.lit(None).cast("string"))
+    out = out.join(methods, "source", "left")
+    counted = ("sampled", "passed", "review", "failed", "pass_rate", "usable_rate", "mean_quality", "mean_words", "critical_issues", "warning_issues", "info_issues", *(("found_this_run",) if "found_this_run" in out.columns else ()))
+    waiting = F.col("sampled").isNull()
+    poor = (F.col("failed") > 0) & (F.col("pass_rate") < 60)
+    mixed = (F.col("failed") + F.col("review") > 0) | (F.col("pass_rate") < 80)
+    said = F.coalesce("collector_status", F.lit("unknown"))
+    status = F.when(waiting, "waiting").when((said == "error") | poor, "error").when((said == "degraded") | mixed, "review").otherwise("healthy")
+    out = out.withColumn("status", status).withColumns({"collector_status": said, "primary_method": F.coalesce("primary_method", F.lit("unknown"))})
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counted})
 
 
 def overview(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, collapse, key, split_count
+from ..functions.text import bind, blank, collapse, key, split_count, unicode_word_count
 
 TEXTUAL = ("paragraph", "heading", "quote")
 
@@ -60,11 +60,11 @@ def sanitize(blocks: Column, starts: str, least_prose: int = 12, most_skipped: i
 
 
 def repair_fragments(texts: Column) -> Column:
-    """A paragraph that goes on in lower case joins the one before, if that has no sentence's end."""
+    """A paragraph that goes on in lower case joins the one before, if that has no end mark."""
 
     def step(acc, p):
         last = F.element_at(acc, -1)
-        goes_on = (F.size(acc) > 0) & p.rlike("^[a-zà-ÿ]") & ~last.rlike("[.!?…:\"”]$")
+        goes_on = (p != "") & (last != "") & p.rlike(r"^\p{Ll}") & ~last.rlike("[.!?;:”\"']$")
         joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(last, F.lit(" "), p)))
         return F.when(F.size(acc) == 0, F.array(p)).when(F.coalesce(goes_on, F.lit(False)), joined).otherwise(F.concat(acc, F.array(p)))
 
@@ -79,18 +79,30 @@ def interleave(texts: Column, images: Column, every: int = 3) -> Column:
     return F.concat(F.flatten(groups), rest)
 
 
-def split_wall(text: Column, least: int = 95, tail: int = 30) -> Column:
-    """A long paragraph as several: sentences packed to some words; a short last piece goes back to the one before."""
-    sentences = F.filter(F.split(collapse(text), r"(?<=[.!?])\s+(?=[A-ZÀ-Ý])"), lambda s: s != "")
+def split_wall(text: Column, least: int = 95, tail: int = 30, sentences: int = 4) -> Column:
+    """A long paragraph as several: sentences packed to some words; a short last piece goes back to the one before.
 
-    def step(acc, s):
-        last = F.element_at(acc, -1)
-        return F.when(F.size(acc) == 0, F.array(s)).when(split_count(last) < least, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(last, F.lit(" "), s)))).otherwise(F.concat(acc, F.array(s)))
+    A text of fewer sentences stays whole. Sentences begin with a capital, a digit or a quotation mark.
+    """
+
+    def packed(parts):
+        # each sentence's piece: a new one begins once the words since the last beginning reach `least`
+        start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("piece"), F.array().cast("array<int>").alias("at"))
+
+        def step(s, p):
+            words = s["words"] + unicode_word_count(p)
+            full = words >= least
+            return F.struct(F.when(full, 0).otherwise(words).alias("words"), (s["piece"] + F.when(full, 1).otherwise(0)).alias("piece"), F.concat(s["at"], F.array(s["piece"])).alias("at"))
+
+        def joined(at):
+            last = F.array_max(at)
+            whole = lambda k: F.array_join(F.filter(parts, lambda p, i: F.get(at, i) == k), " ")
+            short = (last > 0) & (unicode_word_count(whole(last)) < tail)
+            return F.transform(F.sequence(F.lit(0), F.when(short, last - 1).otherwise(last)), lambda k: F.when(short & (k == last - 1), F.concat_ws(" ", whole(k), whole(last))).otherwise(whole(k)))
+
+        return F.when(F.size(parts) < sentences, F.array(collapse(text))).otherwise(bind(F.aggregate(parts, start, step)["at"], joined))
 
-    packed = F.aggregate(sentences, F.array().cast("array<string>"), step)
-    short = (F.size(packed) > 1) & (split_count(F.element_at(packed, -1)) < tail)
-    merged = F.concat(F.slice(packed, F.lit(1), F.greatest(F.size(packed) - 2, F.lit(0))), F.array(F.concat_ws(" ", F.get(packed, F.size(packed) - 2), F.element_at(packed, -1))))
-    return F.when(F.size(packed) == 0, packed).when(short, merged).otherwise(packed)
+    return bind(F.filter(F.split(collapse(text), r"(?<=[.!?])\s+(?=[A-Z0-9‘'\"“])"), lambda s: s != ""), packed)
 
 
 def insert_after(blocks: Column, anchors: Column) -> Column:

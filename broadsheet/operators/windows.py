@@ -19,11 +19,15 @@ def page(df: DataFrame, order: list[Column], size: int, number: int) -> DataFram
     return df.orderBy(*order).offset(size * number).limit(size)
 
 
-def gap_dedupe(df: DataFrame, key: list[str], ts: str, tie: str, gap_seconds: int, newest_first: bool = True) -> DataFrame:
+def gap_dedupe(df: DataFrame, key: list[str], ts: str, tie: str, gap_seconds: int, newest_first: bool = True, exempt: Column | None = None) -> DataFrame:
     """Rows of each key that aren't within a gap of the last kept one: a fold over the key's sorted times.
 
     Times alone travel in the fold's array, (time, tie) pairs; a key's rows must fit in a task, as with any ordered fold.
     """
+    if exempt is not None:  # rows whose key tells too little pass
+        rows = df.withColumn("__exempt", F.coalesce(exempt, F.lit(False)))
+        told = gap_dedupe(rows.where("not __exempt").drop("__exempt"), key, ts, tie, gap_seconds, newest_first)
+        return told.unionByName(rows.where("__exempt").select(*told.columns))
     at = F.unix_micros(ts)
     seq = F.sort_array(F.collect_list(F.struct(at.alias("at"), F.col(tie).alias("tie"))), asc=not newest_first)
     folded = df.where(F.col(ts).isNotNull()).groupBy(*key).agg(seq.alias("seq"))

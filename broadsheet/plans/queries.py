@@ -39,7 +39,7 @@ _COLLAPSE = "trim(regexp_replace({0}, '[\\s\\x{{A0}}]+', ' ', 'g'))"
 _KEY = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 _STOP = "[" + ", ".join(f"'{s}'" for s in DEFAULT.stopwords) + "]"
 _TOKENS = "list_filter({0}, lambda t: length(t) >= 4 AND NOT regexp_full_match(t, '[0-9]+') AND NOT list_contains(" + _STOP + ", t))"
-_WORD = "regexp_extract_all(lower({0}), '[a-z0-9]+(?:[''-][a-z0-9]+)?')"
+_WORD = "regexp_extract_all(replace(lower({0}), '’', ''''), '[a-z0-9]+(?:[''-][a-z0-9]+)?')"
 
 
 # Text -------------------------------------------------------------------------------------------------------------------
@@ -188,7 +188,7 @@ def _articles(spark: SparkSession, d: str) -> DataFrame:
     content = F.array_join("paragraphs", "\n")
     ends = F.trim(F.regexp_replace(content, r"\s+", " ")).rlike(r"(?:\.\.\.|…)$")
     s = s.withColumns({"n_paragraphs": n, "content": content, "truncated": ends})
-    q = scores.extraction_quality(F.col("words"), n, F.lit(0), F.lit(False), F.lit(0), F.lit(False), F.lit(True), F.lit("dom:generic"), F.lit(0.0), F.col("truncated"), F.coalesce(F.col("toxic") == 1, F.lit(False)))
+    q = scores.extraction_quality(F.col("words"), n, F.lit(0), F.lit(False), F.lit(0), F.lit(False), F.lit(True), F.lit("dom:generic:article"), F.lit(0.0), F.col("truncated"), F.coalesce(F.col("toxic") == 1, F.lit(False)))
     s = s.withColumn("quality", q)
     return s.withColumns({"grade": scores.grade(F.col("quality")), "content_status": scores.content_status(F.col("quality"), F.col("words"), n), "error": F.coalesce(F.col("toxic") == 1, F.lit(False))})
 
@@ -221,14 +221,14 @@ _RULES = [
     ("warning", "truncated_ending", "truncated AND words >= 50"),
     ("warning", "low_quality", "quality > 0 AND quality < 25"),
     ("info", "missing_quality", "coalesce(quality, 0) = 0 AND words > 0"),
-    *[("warning", code, f"len(list_filter(tail, lambda p: regexp_matches(lower(p), '{pattern}'))) > 0") for code, pattern in DEFAULT.tail_furniture],
+    *[("warning", code, f"regexp_matches(lower(array_to_string(tail, ' ')), '{pattern}')") for code, pattern in DEFAULT.tail_furniture],
     ("warning", "duplicate_body", "len(long) > len(list_distinct(long))"),
 ]
-_AUD = f"""{_ART}, b0 AS (SELECT *, CASE WHEN len(paragraphs) <= greatest(2, len(paragraphs) // 3) THEN paragraphs ELSE paragraphs[len(paragraphs) - greatest(2, len(paragraphs) // 3) + 1:] END AS tail,
-  list_filter(list_transform(paragraphs, lambda p: {_KEY.format('p')}), lambda p: length(p) >= 45) AS long FROM art),
+_AUD = f"""{_ART}, b0 AS (SELECT *, CASE WHEN len(said) <= greatest(2, len(said) // 3) THEN said ELSE said[len(said) - greatest(2, len(said) // 3) + 1:] END AS tail,
+  list_filter(list_transform(paragraphs, lambda p: {_KEY.format('p')}), lambda p: length(p) >= 45) AS long FROM (SELECT *, list_filter(list_transform(paragraphs, lambda p: {_COLLAPSE.format('p')}), lambda p: p <> '') AS said FROM art)),
 iss AS ({' UNION '.join(f"SELECT id, source, '{s}' AS severity, '{c}' AS code FROM b0 WHERE {w}" for s, c, w in _RULES)}),
 sco AS (SELECT b0.id, b0.source, b0.words, b0.published, count(code) FILTER (severity = 'critical') AS crit, count(code) FILTER (severity = 'warning') AS warn, count(code) FILTER (severity = 'info') AS info FROM b0 LEFT JOIN iss USING (id) GROUP BY ALL),
-aud AS (SELECT *, CAST(greatest(0, 100 - 35 * crit - 12 * warn - 3 * info) AS INTEGER) AS audit_score, CASE WHEN crit > 0 THEN 'fail' WHEN warn > 0 OR 100 - 3 * info < 80 THEN 'review' ELSE 'pass' END AS audit_status FROM sco)"""
+aud AS (SELECT *, CAST(greatest(0, 100 - 35 * crit - 12 * warn - 3 * info) AS INTEGER) AS audit_score, CASE WHEN crit > 0 THEN 'fail' WHEN warn > 0 THEN 'review' ELSE 'pass' END AS audit_status FROM sco)"""
 _AUDIT = DEFAULT.with_(publishers=("src0", "src1", "src2", "src3", "src4"))
 
 
@@ -249,15 +249,27 @@ def audit_score(spark: SparkSession, d: str) -> DataFrame:
     return _audited(spark, d).select("id", "audit_score", "audit_status")
 
 
-@query(f"""WITH {_AUD}, top AS (SELECT * FROM aud QUALIFY row_number() OVER (PARTITION BY source ORDER BY published DESC, id) <= 10),
-r AS (SELECT source, count(*) AS sampled, count(*) FILTER (audit_status = 'pass') AS passed, count(*) FILTER (audit_status = 'review') AS review, count(*) FILTER (audit_status = 'fail') AS failed, round(avg(audit_score) FILTER (audit_score > 0), 6) AS mean_score, round(avg(words) FILTER (words > 0), 6) AS mean_words, strftime(max(published), {_TS}) AS latest FROM top GROUP BY source)
-SELECT *, round(passed / sampled * 100, 6) AS pass_rate, CASE WHEN failed > 0 AND passed / sampled * 100 < 60 THEN 'error' WHEN failed + review > 0 OR passed / sampled * 100 < 80 THEN 'review' ELSE 'healthy' END AS status FROM r""")
+_COLLECTORS = [("src0", "degraded", "profile0", 4), ("src1", "error", "profile1", 0), ("src98", "healthy", "profile98", 7), ("src2", "healthy", "profile2", 9)]
+_COLLECTED = "(VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {d})" for a, b, c, d in _COLLECTORS) + ") AS h(source, collector_status, profile, found_this_run)"
+
+
+@query(f"""WITH {_AUD}, top AS (SELECT aud.*, art.content_status, art.quality, concat('dom:', art.lang, ':article') AS method, iss FROM aud JOIN art USING (id) LEFT JOIN (SELECT id, count(*) AS iss FROM iss GROUP BY id) USING (id) QUALIFY row_number() OVER (PARTITION BY aud.source ORDER BY aud.published DESC, id) <= 10),
+m AS (SELECT source, arg_min(method, (-n, method)) AS primary_method FROM (SELECT source, method, count(*) AS n FROM top GROUP BY ALL) GROUP BY source),
+r AS (SELECT source, count(*) AS sampled, count(*) FILTER (audit_status = 'pass') AS passed, count(*) FILTER (audit_status = 'review') AS review, count(*) FILTER (audit_status = 'fail') AS failed, CAST(round_even(count(*) FILTER (audit_status = 'pass') / count(*) * 100, 0) AS INTEGER) AS pass_rate,
+  CAST(round_even(count(*) FILTER (content_status IN ('full', 'partial')) / count(*) * 100, 0) AS INTEGER) AS usable_rate, CAST(round_even(avg(quality) FILTER (quality > 0), 0) AS INTEGER) AS mean_quality, CAST(round_even(avg(words) FILTER (words > 0), 0) AS INTEGER) AS mean_words,
+  CAST(sum(crit) AS BIGINT) AS critical_issues, CAST(sum(warn) AS BIGINT) AS warning_issues, CAST(sum(info) AS BIGINT) AS info_issues, strftime(max(published), {_TS}) AS latest FROM top GROUP BY source)
+SELECT source, coalesce(sampled, 0) AS sampled, coalesce(passed, 0) AS passed, coalesce(review, 0) AS review, coalesce(failed, 0) AS failed, coalesce(pass_rate, 0) AS pass_rate, coalesce(usable_rate, 0) AS usable_rate, coalesce(mean_quality, 0) AS mean_quality, coalesce(mean_words, 0) AS mean_words,
+  coalesce(critical_issues, 0) AS critical_issues, coalesce(warning_issues, 0) AS warning_issues, coalesce(info_issues, 0) AS info_issues, latest, coalesce(primary_method, 'unknown') AS primary_method, coalesce(collector_status, 'unknown') AS collector_status, CAST(coalesce(found_this_run, 0) AS INTEGER) AS found_this_run,
+  CASE WHEN sampled IS NULL THEN 'waiting' WHEN collector_status = 'error' OR failed > 0 AND pass_rate < 60 THEN 'error' WHEN failed + review > 0 OR collector_status = 'degraded' OR pass_rate < 80 THEN 'review' ELSE 'healthy' END AS status
+FROM r FULL JOIN {_COLLECTED} USING (source) LEFT JOIN m USING (source)""")
 def source_report(spark: SparkSession, d: str) -> DataFrame:
-    """Audit report of each source's newest rows."""
+    """Audit report of each source's newest rows, with what its collector says of itself."""
     # the sample is taken before the rules run: only its rows are audited
-    s = windows.top_n(_articles(spark, d).select("id", "source", "title", "published", "error", "content_status", "words", "content", "quality", "paragraphs"), ["source"], [F.desc("published"), F.col("id")], _AUDIT.audit_sample).drop("rank")
-    out = audit.source_report(audit.scored(audit.issues(s, now(), _AUDIT), _AUDIT))
-    return out.withColumn("latest", stamp("latest"))
+    s = _articles(spark, d).withColumn("method", F.concat(F.lit("dom:"), "lang", F.lit(":article")))
+    s = windows.top_n(s.select("id", "source", "title", "published", "error", "content_status", "words", "content", "quality", "paragraphs", "method"), ["source"], [F.desc("published"), F.col("id")], _AUDIT.audit_sample).drop("rank")
+    health = spark.createDataFrame(_COLLECTORS, "source string, collector_status string, profile string, found_this_run int")
+    out = audit.source_report(audit.scored(audit.issues(s, now(), _AUDIT), _AUDIT), health)
+    return out.withColumn("latest", stamp("latest")).drop("method_counts", "profile")
 
 
 @query(f"WITH {_AUD} SELECT count(*) AS stories, count(*) FILTER (audit_status = 'pass') AS pass, count(*) FILTER (audit_status = 'review') AS review, count(*) FILTER (audit_status = 'fail') AS fail, CAST(sum(crit) AS BIGINT) AS critical_issues, CAST(sum(warn) AS BIGINT) AS warning_issues, CAST(sum(info) AS BIGINT) AS info_issues FROM aud")
@@ -266,12 +278,19 @@ def audit_overview(spark: SparkSession, d: str) -> DataFrame:
     return audit.overview(_audited(spark, d))
 
 
+_RUNS = [("src0", 3, "timed out"), ("src1", 0, None), ("src97", 0, "refused"), ("src98", 0, None), ("src3", 2, "")]
+_RAN = "(VALUES " + ", ".join(f"('{a}', {b}, {'NULL' if c is None else repr(c)})" for a, b, c in _RUNS) + ") AS x(source, found, run_error)"
+
+
 @query(f"""WITH {_ART}, top AS (SELECT * FROM art QUALIFY row_number() OVER (PARTITION BY source ORDER BY published DESC, id) <= 30),
-r AS (SELECT source, count(*) AS rows, count(*) FILTER (content_status = 'full') AS full, count(*) FILTER (content_status = 'partial') AS partial, count(*) FILTER (content_status = 'failed' OR error) AS failed, round(avg(quality), 6) AS mean_quality, strftime(max(published), {_TS}) AS latest FROM top GROUP BY source)
-SELECT *, round((full + partial) / rows, 6) AS usable_ratio, round(failed / rows, 6) AS failure_ratio, CASE WHEN (full + partial) / rows >= 0.7 AND failed / rows <= 0.1 THEN 'healthy' ELSE 'degraded' END AS status FROM r""".replace("count(*) AS rows", 'count(*) AS "rows"').replace("/ rows", '/ "rows"').replace("AS full", 'AS "full"').replace("(full +", '("full" +'))
+r AS (SELECT source, count(*) AS tracked, count(*) FILTER (content_status = 'full') AS full_, count(*) FILTER (content_status = 'partial') AS partial, count(*) FILTER (content_status = 'summary') AS summary, count(*) FILTER (content_status = 'failed' OR error) AS failed, count(*) FILTER (grade = 'excellent') AS excellent, count(*) FILTER (grade = 'good') AS good, count(*) FILTER (grade = 'poor') AS poor, round(avg(quality), 6) AS mean_quality, strftime(max(published), {_TS}) AS latest FROM top GROUP BY source)
+SELECT source, coalesce(tracked, 0) AS tracked, coalesce(full_, 0) AS full_, coalesce(partial, 0) AS partial, coalesce(summary, 0) AS summary, coalesce(failed, 0) AS failed, coalesce(excellent, 0) AS excellent, coalesce(good, 0) AS good, coalesce(poor, 0) AS poor, mean_quality, latest,
+  round(coalesce(full_ + partial, 0) / greatest(1, coalesce(tracked, 0)), 6) AS usable_ratio, round(coalesce(failed, 0) / greatest(1, coalesce(tracked, 0)), 6) AS failure_ratio, CAST(coalesce(found, 0) AS INTEGER) AS found, coalesce(run_error, '') AS last_error,
+  CASE WHEN coalesce(run_error, '') <> '' AND tracked IS NULL THEN 'error' WHEN coalesce(run_error, '') <> '' THEN 'degraded' WHEN tracked IS NULL THEN 'waiting' WHEN (full_ + partial) / tracked >= 0.7 AND failed / tracked <= 0.1 THEN 'healthy' ELSE 'degraded' END AS status FROM r FULL JOIN {_RAN} USING (source)""")
 def source_health(spark: SparkSession, d: str) -> DataFrame:
-    """Health of each source over its newest rows."""
-    return aggregates.source_health(_articles(spark, d), [F.desc("published"), F.col("id")], DEFAULT.health_sample).withColumn("latest", stamp("latest"))
+    """Health of each source over its newest rows and its last run."""
+    runs = spark.createDataFrame(_RUNS, "source string, found int, run_error string")
+    return aggregates.source_health(_articles(spark, d), [F.desc("published"), F.col("id")], DEFAULT.health_sample, runs).withColumn("latest", stamp("latest"))
 
 
 @query(f"WITH {_ART} SELECT count(*) AS story_count, count(*) FILTER (content_status = 'full') AS full_story_count, count(*) FILTER (content_status = 'partial') AS partial_story_count, round(avg(quality), 6) AS mean_quality, count(DISTINCT source) AS source_count FROM art")
@@ -335,13 +354,15 @@ def best_per_key(spark: SparkSession, d: str) -> DataFrame:
     return merge.best_per_key(p, ["canonical"], [F.desc("size"), F.col("page_id")]).select("page_id", "canonical")
 
 
-_PREV = "prev AS (SELECT o_orderkey AS id, o_orderstatus AS status, CAST(o_totalprice AS DOUBLE) AS price FROM orders WHERE o_orderkey % 3 <> 0)"
-_FRESH = "fresh AS (SELECT o_orderkey AS id, 'X' AS status, CAST(o_totalprice AS DOUBLE) + 1 AS price FROM orders WHERE o_orderkey % 2 = 0)"
+#: Orders of two overlapping stretches of time: every order is in one edition at least.
+_UNTIL, _SINCE = "1997-01-01", "1995-01-01"
+_PREV = f"prev AS (SELECT o_orderkey AS id, o_orderstatus AS status, CAST(o_totalprice AS DOUBLE) AS price FROM orders WHERE CAST(o_orderdate AS DATE) < DATE '{_UNTIL}')"
+_FRESH = f"fresh AS (SELECT o_orderkey AS id, 'X' AS status, CAST(o_totalprice AS DOUBLE) + 1 AS price FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '{_SINCE}')"
 
 
 def _editions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("double").alias("price"))
-    return o.where("id % 3 <> 0"), o.where("id % 2 = 0").select("id", F.lit("X").alias("status"), (F.col("price") + 1).alias("price"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("double").alias("price"), F.col("o_orderdate").cast("date").alias("day"))
+    return o.where(F.col("day") < F.lit(_UNTIL).cast("date")).drop("day"), o.where(F.col("day") >= F.lit(_SINCE).cast("date")).select("id", F.lit("X").alias("status"), (F.col("price") + 1).alias("price"))
 
 
 @query(f"WITH {_PREV}, {_FRESH} SELECT * FROM fresh UNION ALL SELECT * FROM prev WHERE id NOT IN (SELECT id FROM fresh)")
@@ -374,11 +395,11 @@ def lookup_existing(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, event_type, ts, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS i FROM events),
-f AS (SELECT user_id, event_type, i, ts AS last, true AS kept, event_id FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_type, e.i, CASE WHEN f.last - e.ts > INTERVAL 7 DAY THEN e.ts ELSE f.last END, f.last - e.ts > INTERVAL 7 DAY, e.event_id FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.i = f.i + 1)
-SELECT user_id, event_type, event_id FROM f WHERE kept""")
+f AS (SELECT user_id, event_type, i, ts AS last, true AS kept, event_id FROM e WHERE i = 1 AND length(event_type) >= 5 UNION ALL SELECT e.user_id, e.event_type, e.i, CASE WHEN f.last - e.ts > INTERVAL 7 DAY THEN e.ts ELSE f.last END, f.last - e.ts > INTERVAL 7 DAY, e.event_id FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.i = f.i + 1)
+SELECT user_id, event_type, event_id FROM f WHERE kept UNION ALL SELECT user_id, event_type, event_id FROM events WHERE length(event_type) < 5""")
 def title_gap_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    """Rows that aren't within seven days of the last kept one of their key."""
-    return windows.gap_dedupe(table(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id", 7 * 86400).select("user_id", "event_type", "event_id")
+    """Rows that aren't within seven days of the last kept one of their key; keys too short to tell pass."""
+    return windows.gap_dedupe(table(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id", 7 * 86400, exempt=F.length("event_type") < 5).select("user_id", "event_type", "event_id")
 
 
 @query("""WITH c AS (SELECT conv_id, turn, role = 'assistant' AS on_, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
@@ -485,9 +506,8 @@ def band_self_join(spark: SparkSession, d: str) -> DataFrame:
     return cluster.band_join(e, e, ["user_id"], "ts", DEFAULT.cluster_hours * 3600).where("event_id < other_event_id").select("event_id", "other_event_id")
 
 
-_RARE = rf"""tok AS (SELECT doc_id AS id, unnest(list_distinct({_TOKENS.format(_WORD.format('text'))})) AS t FROM documents), rare AS (SELECT t FROM tok GROUP BY t HAVING count(*) BETWEEN 2 AND 50),
-kept AS (SELECT tok.* FROM tok JOIN rare USING (t)), cand AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM kept a JOIN kept b ON a.t = b.t AND a.id < b.id GROUP BY 1, 2),
-siz AS (SELECT id, count(*) AS n FROM tok GROUP BY id), inter AS (SELECT c.a, c.b, count(*) AS k FROM (SELECT a, b FROM cand WHERE shared >= 3) c JOIN tok x ON x.id = c.a JOIN tok y ON y.id = c.b AND y.t = x.t GROUP BY 1, 2),
+_RARE = rf"""tok AS (SELECT doc_id AS id, unnest(list_distinct({_TOKENS.format(_WORD.format('text'))})) AS t FROM documents), siz AS (SELECT id, count(*) AS n FROM tok GROUP BY id),
+inter AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM tok x JOIN tok y ON y.t = x.t AND x.id < y.id GROUP BY 1, 2),
 pairs AS (SELECT a, b, k / (x.n + y.n - k) AS j FROM inter JOIN siz x ON x.id = a JOIN siz y ON y.id = b WHERE k / (x.n + y.n - k) >= 0.5)"""
 
 
@@ -638,10 +658,11 @@ def search_ranked(spark: SparkSession, d: str) -> DataFrame:
     return search.ranked(search.index(s, ["title", "summary", "body"]), "licens under").select("id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_STORY} SELECT id FROM story WHERE id % 3 = 0 AND source NOT IN ('src1', 'src2') AND CASE WHEN source IN ('src0', 'src3') THEN 'local' ELSE 'canada' END = 'local' AND id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+@query(f"WITH {_STORY} SELECT id FROM (SELECT *, min(id) OVER (PARTITION BY text) AS head FROM story) WHERE id = head AND source NOT IN ('src1', 'src2') AND CASE WHEN source IN ('src0', 'src3') THEN 'local' ELSE 'canada' END = 'local' AND id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
 def home_feed(spark: SparkSession, d: str) -> DataFrame:
-    """representatives that are neither hidden nor read."""
-    s = stories(spark, d).withColumns({"cluster_representative": F.col("id") % 3 == 0, "cluster_sources": F.array("source"), "scope": filters.scope(F.col("source"), ("src0", "src3"))})
+    """the first of each group of equal texts, neither hidden nor read."""
+    heads = table(spark, d, "documents").groupBy(F.md5(F.coalesce("text", F.lit("")))).agg(F.min("doc_id").alias("id")).select("id", F.lit(True).alias("cluster_representative"))
+    s = stories(spark, d).join(heads, "id", "left").withColumns({"cluster_sources": F.array("source"), "scope": filters.scope(F.col("source"), ("src0", "src3"))})
     read = table(spark, d, "labels").where("quality = 0").select(F.col("doc_id").alias("id"))
     return filters.unread(filters.home_feed(s, hidden=("SRC1", "src2"), scope_="local"), read).select("id")
 
@@ -660,11 +681,32 @@ def home_slices(spark: SparkSession, d: str) -> DataFrame:
     return stories(spark, d).orderBy(F.desc("published"), "id").limit(93).select("id")
 
 
-@query()
+#: Local names of the synthetic language, in the place of real ones, so that the rules have something to find.
+_LOCAL = DEFAULT.with_(local_terms=((35, "London, Ontario", ("inhare", "that the")), (28, "Fire", ("of the",)), (14, "Nearby", ("de la", "le de")), (14, "North", ("und",)), (10, "Street", ("thing",))), negative_terms=((-45, "Elsewhere", ("der", "el de")),), source_priors={"src0": 30, "src1": 10, "src2": 55})
+_AKEY = "trim(regexp_replace(lower(replace({0}, '’', '''')), '[^a-z0-9'']+', ' ', 'g'))"
+
+
+def _has(terms) -> str:
+    return "(" + " OR ".join(f"contains(k, ' {t} ')" for t in terms) + ")"
+
+
+_REASONS = ", ".join(
+    ["CASE WHEN prior <> 0 THEN {'w': prior, 'i': 0, 'r': 'local publisher +' || prior} END"]
+    + [f"CASE WHEN {_has(t)} THEN {{'w': {w}, 'i': {i + 1}, 'r': '{n} +{w}'}} END" for i, (w, n, t) in enumerate(_LOCAL.local_terms)]
+    + [f"CASE WHEN contains(k, ' london ') AND NOT {_has(_LOCAL.local_terms[0][2])} THEN {{'w': 12, 'i': 90, 'r': 'London mention +12'}} END"]
+    + [f"CASE WHEN {_has(t)} THEN {{'w': {w}, 'i': {i + 91}, 'r': '{n} {w}'}} END" for i, (w, n, t) in enumerate(_LOCAL.negative_terms)]
+)
+
+
+@query(f"""WITH {_STORY}, t AS (SELECT id, CAST(CASE source WHEN 'src0' THEN 30 WHEN 'src1' THEN 10 WHEN 'src2' THEN 55 ELSE 0 END AS INTEGER) AS prior, ' ' || {_AKEY.format("concat_ws(' ', title, summary, array_to_string(paragraphs[1:5], ' '))")} || ' ' AS k FROM story),
+r AS (SELECT id, prior, list_filter([{_REASONS}], lambda x: x IS NOT NULL) AS r FROM t),
+p AS (SELECT id, prior, r, coalesce(list_sum(list_transform(list_filter(r, lambda x: x.i BETWEEN 1 AND 90), lambda x: x.w)), 0) AS plus, coalesce(list_sum(list_transform(list_filter(r, lambda x: x.i > 90), lambda x: x.w)), 0) AS minus FROM r)
+SELECT id, CAST(least(100, greatest(0, greatest(prior, least(100, prior + plus)) + minus)) AS INTEGER) AS local_score, array_to_string(list_transform(list_sort(list_transform(r, lambda x: {{'a': -abs(x.w), 'i': x.i, 'r': x.r}}))[1:6], lambda x: x.r), '; ') AS reasons FROM p""")
 def local_relevance(spark: SparkSession, d: str) -> DataFrame:
-    """M8, M9: local score and reasons."""
+    """Local score and reasons, after misleading names are put out."""
     s = stories(spark, d)
-    score, reasons = scores.local_relevance(F.concat_ws(" ", "title", "summary", F.array_join(F.slice("paragraphs", 1, 5), " ")), F.lit(10), DEFAULT)
+    body = text.scrub(F.concat_ws(" ", "title", "summary", F.array_join(F.slice("paragraphs", 1, 5), " ")), _LOCAL.locality_scrub)
+    score, reasons = scores.local_relevance(body, scores.prior_of(F.col("source"), _LOCAL.source_priors), _LOCAL)
     return s.select("id", score.alias("local_score"), F.array_join(reasons, "; ").alias("reasons"))
 
 
@@ -689,7 +731,14 @@ def sweep_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(rf"""WITH {_STORY}, k AS (SELECT id, {_KEY.format('title')} AS k FROM story), w AS (SELECT id, list_distinct(list_filter(string_split(k, ' '), lambda x: length(x) >= 4)) AS w FROM k),
-e AS (SELECT id, len(w) AS n, unnest(w) AS t FROM w) SELECT a.id, b.id AS ref, count(*) AS shared FROM e a JOIN e b ON a.t = b.t AND a.id < b.id WHERE a.id % 10 = 0 GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= 0.72 * least(a.n, b.n)""")
+e AS (SELECT id, len(w) AS n, unnest(w) AS t FROM w) SELECT a.id, b.id AS ref, count(*) AS shared FROM e a JOIN e b ON a.t = b.t AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= 0.72 * least(a.n, b.n)""")
+def title_words_join(spark: SparkSession, d: str) -> DataFrame:
+    """Titles that hold most of another's words."""
+    s = stories(spark, d)
+    return linkage.title_contained(s.select("id", "title"), s.select(F.col("id").alias("ref"), "title"), ratio=None).where("id < ref")
+
+
+@query()
 def title_index_join(spark: SparkSession, d: str) -> DataFrame:
     """Titles that hold most of another's words, or are nearly the same text."""
     s = stories(spark, d)
@@ -723,3 +772,6 @@ def anchored_images(spark: SparkSession, d: str) -> DataFrame:
     """Where an anchor belongs, and images interleaved."""
     p = F.col("paragraphs")
     return stories(spark, d).select("id", text.match_anchor(p, F.col("summary")).alias("at"), F.size(blocks.interleave(p, F.array(F.lit("a"), F.lit("b")))).alias("blocks"))
+
+
+from . import articles  # noqa: E402, F401  (registers more queries)
