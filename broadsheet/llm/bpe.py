@@ -195,32 +195,18 @@ def decode(ids: Column, path: str) -> Column:
     return F.encode(F.array_join(F.transform(ids, lambda i: F.get(known, i)), ""), "ISO-8859-1")
 
 
-_OCCURRENCE = np.dtype([("chunk", "<i8"), ("place", "<i4")])
-
-
-def _blobs(data: np.ndarray, at: np.ndarray) -> pa.Array:
-    """A binary array of the runs at[i]:at[i+1] of data."""
-    places = (np.asarray(at, np.int64) * data.itemsize).astype(np.int64)
-    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(places.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())]).cast(pa.binary())
-
-
 def _packed(values: np.ndarray, at: np.ndarray) -> pa.Array:
-    """Runs of whole numbers below 2**32, each as its low halves and then its high ones, compressed."""
-    lens = np.diff(at)
-    out, k = np.empty(2 * len(values), np.uint16), np.arange(len(values))
-    out[k + np.repeat(at[:-1], lens)] = values & 0xFFFF
-    out[k + np.repeat(at[1:], lens)] = values >> 16
-    raw, z = memoryview(out.tobytes()), zstandard.ZstdCompressor(1)
-    return pa.array([z.compress(raw[4 * i : 4 * j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
+    """Runs of whole numbers below 2**31, each as its lowest bytes, then the next ones, and so on, compressed."""
+    raw, z = np.ascontiguousarray(values, np.int32).view(np.uint8).reshape(-1, 4), zstandard.ZstdCompressor(1)
+    return pa.array([z.compress(raw[i:j].T.tobytes()) for i, j in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
 
 
 def _unpacked(column) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of packed runs, and n+1 places."""
     z = zstandard.ZstdDecompressor()
-    runs = [z.decompress(x) if x else b"" for x in column.to_pylist()]
-    at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in runs], dtype=np.int64)])
-    halves, lens, k = np.frombuffer(b"".join(runs), np.uint16), np.diff(at), np.arange(at[-1])
-    return halves[k + np.repeat(at[:-1], lens)] | halves[k + np.repeat(at[1:], lens)].astype(np.int32) << 16, at
+    runs = [np.frombuffer(z.decompress(x), np.uint8).reshape(4, -1) for x in column.to_pylist()]
+    at = np.concatenate([[0], np.cumsum([x.shape[1] for x in runs], dtype=np.int64)])
+    return np.ascontiguousarray(np.concatenate([x.T for x in runs] or [np.zeros((0, 4), np.uint8)])).view(np.int32).ravel(), at
 
 
 def _steps(places: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -284,15 +270,15 @@ def _gather(t: pa.Table) -> pa.Table:
     """Each word of a bucket with its occurrences, TOGETHER of them at most in a row."""
     words = pa.concat_arrays([c.flatten() for c in t["words"].chunks]).dictionary_encode()
     which = words.indices.to_numpy(zero_copy_only=False)
-    at = np.zeros(len(which), _OCCURRENCE)
     steps, ends = _unpacked(t["places"])
-    at["place"], at["chunk"] = _sums(steps, ends), np.repeat(t["chunk"].to_numpy(), np.diff(ends))
+    places, chunks = _sums(steps, ends), np.repeat(t["chunk"].to_numpy(), np.diff(ends))
     order = np.argsort(which, kind="stable")
     which = which[order]
     head = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
     nth = np.arange(len(which)) - np.repeat(head, np.diff(np.append(head, len(which))))
     head = np.flatnonzero(nth % TOGETHER == 0)
-    return pa.table({"word": words.dictionary.take(pa.array(which[head])), "occurrences": _blobs(at[order], np.append(head, len(which)))})
+    runs = pa.array(np.append(head, len(which)).astype(np.int32))
+    return pa.table({"word": words.dictionary.take(pa.array(which[head])), "chunks": pa.ListArray.from_arrays(runs, pa.array(chunks[order])), "places": pa.ListArray.from_arrays(runs, pa.array(places[order]))})
 
 
 def encode_documents(docs: DataFrame, path: str, python_pattern: str = public_tokenizers.PATTERN, keep_text: bool = True) -> DataFrame:
@@ -306,10 +292,15 @@ def encode_documents(docs: DataFrame, path: str, python_pattern: str = public_to
     numbered, listed = _coded(inner, bpe.words(F.col("text")), 8 * targets)
     settle(spark)
     # dealt by number, so that small buckets of words, each much work, don't come together in one task
-    gathered = listed.select("bucket", "chunk", "words", "places").repartition(targets, "bucket").groupBy("bucket").applyInArrow(lean_group(_gather), "word string, occurrences binary")
+    gathered = listed.select("bucket", "chunk", "words", "places").repartition(targets, "bucket").groupBy("bucket").applyInArrow(lean_group(_gather), "word string, chunks array<bigint>, places array<int>")
     odd = odd_tokens(path)
     apart = (F.octet_length("word") > FOLD_BYTES) | F.col("word").isin([t.decode() for t in odd if _is_text(t)])
-    folded = gathered.select(F.when(~apart, bpe.word_ids(F.col("word"))).alias("ids"), F.when(apart, F.col("word")).alias("word"), "occurrences")
+    folded = gathered.select(F.when(~apart, bpe.word_ids(F.col("word"))).alias("ids"), F.when(apart, F.col("word")).alias("word"), "chunks", "places")
+    # ids stand once for each word here; between the shuffles there is nothing smaller
+    folded = durable(folded, "folded", "zstd")
+    del gathered
+    forget(listed)
+    settle(spark)
     made = pair_ids(path)
     shared = spark.sparkContext.broadcast((np.fromiter(made, np.int64, len(made)), np.fromiter(made.values(), np.int32, len(made)), byte_ids(path), odd))
 
@@ -330,11 +321,11 @@ def encode_documents(docs: DataFrame, path: str, python_pattern: str = public_to
             if b.column("word").null_count < b.num_rows:
                 ids = pa.array([x if w is None else by_heap(w) for x, w in zip(ids.to_pylist(), b.column("word").to_pylist())], pa.list_(pa.int32()))
             heads, values = np.asarray(ids.offsets, np.int64), np.asarray(ids.values)
-            data, at = flat(b.column("occurrences"))
-            found = data.view(_OCCURRENCE)
-            word = np.repeat(np.arange(b.num_rows), np.diff(at) // _OCCURRENCE.itemsize)
-            order = np.lexsort((found["place"], found["chunk"]))
-            chunk, place, word = found["chunk"][order], found["place"][order], word[order]
+            chunks, places = b.column("chunks"), b.column("places")
+            word = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(places.offsets)))
+            chunk, place = np.asarray(chunks.flatten()), np.asarray(places.flatten())
+            order = np.lexsort((place, chunk))
+            chunk, place, word = chunk[order], place[order], word[order]
             lens = (heads[1:] - heads[:-1])[word]
             ends = np.concatenate([[0], np.cumsum(lens)])
             each = values[np.arange(ends[-1]) + np.repeat(heads[word] - ends[:-1], lens)]
@@ -342,10 +333,7 @@ def encode_documents(docs: DataFrame, path: str, python_pattern: str = public_to
             runs = np.append(cut, len(chunk))
             yield pa.RecordBatch.from_arrays([pa.array(chunk[cut]), _packed(_steps(place, runs), runs), _packed(lens, runs), _packed(each, ends[runs])], ["chunk", "places", "lens", "ids"])
 
-    dealt = durable(folded.mapInArrow(lean(deal), "chunk long, places binary, lens binary, ids binary"), "dealt")
-    del gathered, folded
-    forget(listed)
-    settle(spark)
+    dealt = folded.mapInArrow(lean(deal), "chunk long, places binary, lens binary, ids binary")
     inside = [f"c{i}" for i in range(len(kept))]
     kinds = [docs.schema[c].dataType.simpleString() for c in kept]
     left = numbered.select("chunk", F.lit(1).alias("side"), *inside, "numbers", *[F.lit(None).cast("binary").alias(c) for c in ("places", "lens", "ids")])

@@ -20,13 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one under the warehouse, or a local one if Spark itself is local (tests)."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
     kept = spark.sparkContext._jsc.sc().getCheckpointDir()
     if kept.isDefined():
         return kept.get()
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="broadsheet-"))
+    master = spark.sparkContext.master
+    own = tempfile.mkdtemp(prefix="broadsheet-") if master == "local" or master.startswith("local[") else f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch-{uuid.uuid4().hex}"
+    spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
@@ -42,11 +44,11 @@ def apart(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
+def durable(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """df as a written table: it is computed once, cuts the lineage and outlives a lost executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._durable_path = path
     return out
