@@ -8,7 +8,8 @@ Lines without a word have no token and stay.
 
 Defined results: a null text has no lines and stays null; lines are what newlines part, and the others keep their places;
 null ids come last, in order of text hashes; repeated rows (same id and text) are one document, so each keeps the same
-lines; an empty table gives no rows; other columns stay as they are, but for n_chars, which follows the text.
+lines; an empty table gives no rows; very long texts are cut into lines whole; other columns stay as they are, whatever
+their names, but for n_chars, which follows the text.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import apart, durable, flat, spans, table
 from .setjoin import Units, crowded, families, link, rest, stars, survey
@@ -74,13 +74,14 @@ def repeated_lines(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> D
         row = pa.array(found["row"])
         return [b.column("__id").take(row), b.column("__text").take(row), pa.array(found["line"].astype(np.int32))]
 
-    surveyed = survey(keyed, read, extra, more)
+    surveyed = survey(keyed, read, extra, more, signed=False)
     lines = surveyed.where("piece is null").select("id", "h", "line", "c")
     classes = durable(lines.groupBy("c").agg(F.min(F.struct("id", "h", "line")).alias("first"), F.count("*").alias("m")), "lineclasses")
-    members, sets_ = link(keyed.select("text"), read, surveyed, classes, percent)
+    members, sets_ = link(keyed.select("text"), read, surveyed, classes, percent, small=True)
+    order = durable(members.select("c", "first").distinct(), "order")
 
     def later(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(classes.select(F.col("c").alias("a"), F.col("first").alias("fa")), "a").join(classes.select(F.col("c").alias("b"), F.col("first").alias("fb")), "b")
+        both = pairs.join(order.toDF("a", "fa"), "a").join(order.toDF("b", "fb"), "b")
         return both.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("c")).distinct()
 
     pairs = sets_.may(stars(members, percent))
@@ -96,8 +97,7 @@ def repeated_lines(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> D
         waiting = durable(state.join(waiting, "t").drop("gone"), "waiting")
         if waiting.isEmpty():
             break
-        place = F.row_number().over(Window.partitionBy("t").orderBy("first", "c"))
-        others = rest(families(waiting).withColumn("pos", place), sets_.signs, percent, best=best)
+        others = rest(families(waiting), sets_.signs, percent, best=best)
         sets_.fetch(others)
         gone = durable(gone.unionByName(later(sets_.exact(others))).distinct(), "gone")
     gone = gone.withColumn("gone", F.lit(True))

@@ -6,7 +6,8 @@ of its size band that share one, not all of its band: a band alone would be a qu
 
 Defined results: null texts have no words; empty sets link with nothing; rows that share an id are one node (a link of any
 of them links all); a null id takes part under no id: it returns with a null component unless it links to others; an
-empty table gives no rows; other columns are not read.
+empty table gives no rows; very long texts are read whole, one at a time where they are larger than a step; other columns
+are not read. Shingles are told apart by 48 bits of hash, and classes of equal sets by 64 bits over theirs.
 """
 
 from __future__ import annotations

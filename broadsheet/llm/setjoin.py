@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, forget, lean, mix, settle, width
+from .common import durable, forget, lean, lean_group, mix, settle, width
 from .components import components
 
-#: Counters of the sketch and bits of the set of active classes: fixed sizes (4 MB and 2 MB), whatever the input.
-SKETCH, ACTIVE = 1 << 20, 1 << 24
+#: Counters of the sketch (4 MB), whatever the input: rare shingles share counters then, which lifts all of them alike, while
+#: the frequent ones, which a prefix must not hold, still stand out. Bits of the set of active classes: sixteen for each
+#: class, between these bounds (2 and 32 MB).
+SKETCH, ACTIVE = 1 << 20, (24, 28)
 _CHUNK = 1 << 14
 #: Rows of a block of a family; a row goes to each pair of blocks that has its own, so blocks of some size keep copies few.
 TILE = 4096
@@ -64,11 +66,11 @@ class Units:
 Reader = Callable[[pa.RecordBatch], Iterator[tuple[Units, dict]]]
 
 
-def survey(docs: DataFrame, read: Reader, extra: dict[str, pa.DataType], more: Callable) -> DataFrame:
+def survey(docs: DataFrame, read: Reader, extra: dict[str, pa.DataType], more: Callable, signed: bool = True) -> DataFrame:
     """One pass over the texts: a row (c, n, bits, extra...) for each unit, and pieces of the sketch (piece, part, counts).
 
     more(batch, extra columns of the reader) gives the arrays of `extra` for the units of a run. A class has its bitmap once
-    for each partition.
+    for each partition, if it is signed at all.
     """
     names = ["piece", "part", "counts", "c", "n", "bits", *extra]
     kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), *extra.values()]
@@ -81,8 +83,8 @@ def survey(docs: DataFrame, read: Reader, extra: dict[str, pa.DataType], more: C
             for units, found in read(b):
                 total += np.bincount((units.hashes % _U(SKETCH)).astype(np.int64), minlength=SKETCH)
                 m = len(units.n)
-                bits = [bitmap(units.hashes[units.at[i] : units.at[i + 1]]) if k not in seen and not seen.add(k) else None for i, k in enumerate(units.key.tolist())]
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(m, t) for t in kinds[:3]), pa.array(units.key), pa.array(units.n.astype(np.int32)), pa.array(bits, pa.binary()), *more(b, found)], schema=schema)
+                bits = [bitmap(units.hashes[units.at[i] : units.at[i + 1]]) if k not in seen and not seen.add(k) else None for i, k in enumerate(units.key.tolist())] if signed else pa.nulls(m, pa.binary())
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(m, t) for t in kinds[:3]), pa.array(units.key), pa.array(units.n.astype(np.int32)), bits if isinstance(bits, pa.Array) else pa.array(bits, pa.binary()), *more(b, found)], schema=schema)
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
@@ -169,16 +171,17 @@ def tiles(docs: DataFrame, read: Reader, counts: np.ndarray, percent: int) -> Da
         return pa.table({"t": np.repeat(t_id, size)[on].view(np.int64), "c": c[on], "n": n[on]})
 
     blobs = docs.mapInArrow(lean(send), "bucket int, h binary, c binary, n binary")
-    return durable(blobs.groupBy("bucket").applyInArrow(gather, "t long, c long, n int").dropDuplicates(["t", "c"]), "tiles")
+    return durable(blobs.groupBy("bucket").applyInArrow(lean_group(gather), "t long, c long, n int").dropDuplicates(["t", "c"]), "tiles")
 
 
-def arrays(docs: DataFrame, read: Reader, classes: DataFrame) -> DataFrame:
-    """(c, items): sorted arrays of the classes named (and a few more), from another pass over the texts."""
+def arrays(docs: DataFrame, read: Reader, classes: DataFrame, signed: bool = False) -> DataFrame:
+    """(c, items): sorted arrays of the classes named (and a few more), from another pass over the texts; signed, also n and bits."""
     spark = docs.sparkSession
-    slot = F.pmod("c", F.lit(ACTIVE)) + 1  # Spark numbers the places of its bitmaps from 1
+    active_bits = 1 << min(max(ACTIVE[0], (16 * classes.count()).bit_length()), ACTIVE[1])
+    slot = F.pmod("c", F.lit(active_bits)) + 1  # Spark numbers the places of its bitmaps from 1
     rows = classes.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
-    active = np.zeros(ACTIVE // 8, np.uint8)
-    for r in rows.toLocalIterator():  # at most ACTIVE bits in all
+    active = np.zeros(active_bits // 8, np.uint8)
+    for r in rows.toLocalIterator():  # at most active_bits in all
         got = np.frombuffer(r["bits"], np.uint8)
         active[(r["k"] - 1) * 4096 : (r["k"] - 1) * 4096 + len(got)] = got
     shared = spark.sparkContext.broadcast(active)
@@ -187,15 +190,18 @@ def arrays(docs: DataFrame, read: Reader, classes: DataFrame) -> DataFrame:
         seen: set[int] = set()
         for b in batches:
             for units, _ in read(b):
-                at = units.key % ACTIVE
+                at = units.key % active_bits
                 on = np.flatnonzero(shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
                 on = [i for i in on.tolist() if (k := int(units.key[i])) not in seen and not seen.add(k)]
                 if on:
-                    yield pa.RecordBatch.from_pydict({"c": units.key[on], "items": [units.hashes[units.at[i] : units.at[i + 1]].tobytes() for i in on]})
+                    items = [units.hashes[units.at[i] : units.at[i + 1]] for i in on]
+                    more = {"n": units.n[on].astype(np.int32), "bits": [bitmap(x) for x in items]} if signed else {}
+                    yield pa.RecordBatch.from_pydict({"c": units.key[on], "items": [x.tobytes() for x in items], **more})
 
-    made = docs.mapInArrow(lean(emit), "c long, items binary")
+    made = docs.mapInArrow(lean(emit), "c long, items binary" + (", n int, bits binary" if signed else ""))
     # a class is made once in each partition that has it
-    return durable(made.groupBy("c").agg(F.any_value("items").alias("items")), "arrays")
+    kept = [F.any_value(x).alias(x) for x in (("items", "n", "bits") if signed else ("items",))]
+    return durable(made.groupBy("c").agg(*kept), "arrays")
 
 
 def band(n: int) -> int:
@@ -250,8 +256,9 @@ def _may(t: pa.RecordBatch, percent: int) -> np.ndarray:
 class Sets:
     """Bitmaps of all classes in tiles, and the sorted arrays of those that a bitmap couldn't part."""
 
-    def __init__(self, docs: DataFrame, read: Reader, signs: DataFrame, percent: int):
-        self.docs, self.read, self.signs, self.percent, self.tables = docs, read, signs, percent, []
+    def __init__(self, docs: DataFrame, read: Reader, signs: DataFrame, percent: int, held: DataFrame | None = None):
+        self.docs, self.read, self.signs, self.percent = docs, read, signs, percent
+        self.tables, self.whole = [] if held is None else [held], held is not None
 
     def may(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose bitmaps allow the threshold."""
@@ -268,7 +275,9 @@ class Sets:
         return durable(signed.mapInArrow(lean(run), "a long, b long"), "candidates")
 
     def fetch(self, pairs: DataFrame) -> None:
-        """Make the arrays of the classes in pairs that have none yet."""
+        """Make the arrays of the classes in pairs that have none yet; nothing is to do where all were made at the start."""
+        if self.whole:
+            return
         need = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
         for t in self.tables:
             need = need.join(t.select("c"), "c", "left_anti")
@@ -327,8 +336,9 @@ def stars(members: DataFrame, percent: int) -> DataFrame:
 def rest(members: DataFrame, signs: DataFrame, percent: int, group: str | None = None, best: bool = False) -> DataFrame:
     """(a, b): pairs inside tiles whose bitmaps allow the threshold, tile by size band, in blocks.
 
-    With group, members(t, c, n, group) of different groups. Else members(t, c, n, pos, open): an open member with each of
-    smaller pos; with best, only with the one whose bitmap promises most, which mostly settles it.
+    With group, members(t, c, n, group) of different groups. Else members(t, c, n, first, open), first being the place (id, h,
+    line) of each: an open member with each of an earlier place; with best, only with the one whose bitmap promises most,
+    which mostly settles it.
     """
     home = members.join(signs.select("c", "bits"), "c").withColumn("band", F.length(F.bin(F.col("n") - 1)) - F.when(F.col("n") == 1, 1).otherwise(0))
     # a pair's sizes differ by a third at most, so a band meets itself and the next: the smaller side comes as a guest
@@ -337,12 +347,14 @@ def rest(members: DataFrame, signs: DataFrame, percent: int, group: str | None =
     sizes = durable(spread.groupBy("t", "tier").agg(F.count("*").alias("m"), F.max(~F.col("guest")).alias("own")), "tiersizes")
     sizes = sizes.where("own and m > 1").select("t", "tier", F.ceil(F.col("m") / TILE).cast("int").alias("blocks"))
     dealt = spread.join(sizes, ["t", "tier"]).withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    mark = F.col(group) if group else F.col("pos").cast("long")
+    marks = [F.col(group).alias("g0")] if group else [F.col(f"first.{x}").cast("long").alias(f"g{i}") for i, x in enumerate(("id", "h", "line"))]
     asks = F.lit(True) if group else F.col("open")
-    dealt = dealt.select("t", "tier", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "c", "n", mark.alias("g"), asks.alias("open"), "guest", "bits")
+    dealt = dealt.select("t", "tier", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "c", "n", *marks, asks.alias("open"), "guest", "bits")
 
     def run(t: pa.Table) -> pa.Table:
-        c, n, g, block = t["c"].to_numpy(), t["n"].to_numpy().astype(np.int64), t["g"].to_numpy(), t["block"].to_numpy()
+        c, n, g, block = t["c"].to_numpy(), t["n"].to_numpy().astype(np.int64), t["g0"].to_numpy(), t["block"].to_numpy()
+        if not group:  # places as numbers in their order; a class that stands here twice has one
+            g = np.unique(np.stack([g, t["g1"].to_numpy(), t["g2"].to_numpy()], 1), axis=0, return_inverse=True)[1].ravel()
         guest, asking = np.array(t["guest"].to_pylist(), bool), np.array(t["open"].to_pylist(), bool)
         lo, hi, tier = t["lo"][0].as_py(), t["hi"][0].as_py(), t["tier"][0].as_py()
         size = max(8, 4 << max(tier - 1, 0)) // 8
@@ -367,16 +379,25 @@ def rest(members: DataFrame, signs: DataFrame, percent: int, group: str | None =
         both = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
         return pa.table({"a": both[0], "b": both[1]})
 
-    return durable(dealt.groupBy("t", "tier", "lo", "hi").applyInArrow(run, "a long, b long").distinct(), "rest")
+    return durable(dealt.groupBy("t", "tier", "lo", "hi").applyInArrow(lean_group(run), "a long, b long").distinct(), "rest")
 
 
-def link(docs: DataFrame, read: Reader, surveyed: DataFrame, order: DataFrame, percent: int) -> tuple[DataFrame, Sets]:
-    """Tiles' members (t, c, n, first), with the order of classes given as order(c, first), and their sets."""
+def link(docs: DataFrame, read: Reader, surveyed: DataFrame, order: DataFrame, percent: int, small: bool = False) -> tuple[DataFrame, Sets]:
+    """Tiles' members (t, c, n, first), with the order of classes given as order(c, first), and their sets.
+
+    Small sets (lines) are made with their bitmaps for all members in one pass over the texts; of others the survey has the
+    bitmaps, and arrays are made for what these can't part.
+    """
     found = tiles(docs, read, sketch(surveyed), percent)
     members = durable(found.join(order.select("c", "first"), "c"), "members")
     forget(found)
     settle(docs.sparkSession)
-    signs = surveyed.where("bits is not null").select("c", "n", "bits").join(members.select("c").distinct(), "c", "left_semi")
+    each = members.select("c").distinct()
+    if small:
+        held = arrays(docs, read, each, signed=True)
+        settle(docs.sparkSession)
+        return members, Sets(docs, read, held.select("c", "n", "bits"), percent, held.select("c", "items"))
+    signs = surveyed.where("bits is not null").select("c", "n", "bits").join(each, "c", "left_semi")
     signs = durable(signs.groupBy("c").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits")), "signs")
     return members, Sets(docs, read, signs, percent)
 
