@@ -26,7 +26,8 @@ from .common import durable, forget, table
 from .components import components
 from .vectors import cosine_pairs, pack, unpacked, usable
 
-BLOCK = 2048
+#: Rows of a block, which goes to every other one, and of the pieces that are multiplied at a time.
+BLOCK, PIECE = 8192, 2048
 THRESHOLD = 0.9
 #: Rounding of single-precision scales and products, on top of the bound.
 FUZZ = 1e-5
@@ -83,7 +84,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
             one, two = sides[0], sides[-1]
             d = one["dim"]
             ia, ib = unpacked(one, "id"), unpacked(two, "id")
-            i, j = linked(unpacked(one, "embedding", d), unpacked(two, "embedding", d), threshold)
+            x, y = unpacked(one, "embedding", d), unpacked(two, "embedding", d)
+            pairs = [np.stack(linked(x[p : p + PIECE], y[q : q + PIECE], threshold)) + [[p], [q]] for p in range(0, len(x), PIECE) for q in range(0, len(y), PIECE)]
+            i, j = np.concatenate(pairs, 1)
             same = len(sides) == 1
             if same:
                 i, j = i[i < j], j[i < j]

@@ -16,10 +16,12 @@ The construction by columns over whole documents would need as many rounds as th
 sequential files of all documents; anchors bring the same strings together in contexts of bounded width, so the rounds are
 2*SPAN-GRAM at any size, and a bucket's columns fit in memory. What a task can settle by itself (equal contexts of a very
 common passage) it answers at once and sends on only the occurrence of the least id, so no bucket grows with the number of
-copies.
+equal copies. A passage whose neighbours differ each time has a context of WIDTH bytes for each text at its edge anchors,
+and these meet in one bucket.
 
 Defined results: a null text is empty; rows without an id lose nothing and take nothing from others; rows that share an id
-take nothing from each other; texts under SPAN bytes stay; an empty table gives no rows; other columns are not read.
+take nothing from each other; texts under SPAN bytes stay; very long texts are read whole, one at a time; an empty table
+gives no rows; other columns are not read. Equal texts are told by a 64-bit hash.
 """
 
 from __future__ import annotations

@@ -20,14 +20,15 @@ def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 
 
 def pack(rows: DataFrame, keys: list[str], ids: str, vectors: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each value of keys: n, dim, ids (int64), vectors (float64, unit of the input) and extra int64 columns as bytes, in order of ids."""
+    """One row for each value of keys: n, dim, ids (int64), vectors (as precise as the input) and extra int64 columns as bytes, in order of ids."""
     names = [*keys, "n", "dim", ids, vectors, *extra]
+    kind = np.float32 if rows.schema[vectors].dataType.elementType.simpleString() == "float" else np.float64
 
     def one(table: pa.Table) -> pa.Table:
         order = np.argsort(table[ids].to_numpy(), kind="stable")
         dim = len(table[vectors][0])
         m = matrix(table[vectors], dim)[order]
-        out = {k: table[k].slice(0, 1) for k in keys} | {"n": [len(m)], "dim": [dim], ids: [table[ids].to_numpy()[order].astype(np.int64).tobytes()], vectors: [m.tobytes()]}
+        out = {k: table[k].slice(0, 1) for k in keys} | {"n": [len(m)], "dim": [dim], ids: [table[ids].to_numpy()[order].astype(np.int64).tobytes()], vectors: [m.astype(kind).tobytes()]}
         out |= {e: [table[e].to_numpy()[order].astype(np.int64).tobytes()] for e in extra}
         return pa.table(out).select(names)
 
@@ -36,8 +37,11 @@ def pack(rows: DataFrame, keys: list[str], ids: str, vectors: str, extra: tuple[
 
 
 def unpacked(row: dict, name: str, dim: int | None = None) -> np.ndarray:
-    """A packed column of a row as numbers, or as vectors where dim is given."""
-    return np.frombuffer(row[name], np.int64) if dim is None else np.frombuffer(row[name], np.float64).reshape(-1, dim)
+    """A packed column of a row as numbers, or as vectors in double precision where dim is given."""
+    if dim is None:
+        return np.frombuffer(row[name], np.int64)
+    single = 8 * len(row[name]) == 4 * dim * len(row["id"])
+    return np.frombuffer(row[name], np.float32 if single else np.float64).reshape(-1, dim).astype(np.float64)
 
 
 def cosine_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
