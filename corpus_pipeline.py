@@ -37,7 +37,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row, their number, and a digest of the bytes that decode from them."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    out = bpe.encode_documents(docs.select("doc_id", "source", "text"), path).drop("text")
+    out = bpe.encode_documents(docs.select("doc_id", "source", "text"), path, keep_text=False)
     return out.withColumns({"n_tokens": F.size("ids").cast("long"), "decoded_sha256": F.sha2(bpe.decode(F.col("ids"), path), 256)})
 
 
