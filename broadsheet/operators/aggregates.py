@@ -19,7 +19,7 @@ def edition_counters(df: DataFrame) -> DataFrame:
 
 
 def source_health(df: DataFrame, order: list[Column], sample: int = 30, runs: DataFrame | None = None) -> DataFrame:
-    """Each source's newest rows: counts, ratios, status. df has source, content_status, quality, grade, error, published.
+    """Each source's newest rows: counts, ratios, status. df has source, content_status, quality, error, published, and may have grade.
 
     runs(source, found, run_error) has the last run of each source, those without rows among them: they are waiting, or in
     error; an error beside rows degrades a source.
@@ -27,7 +27,7 @@ def source_health(df: DataFrame, order: list[Column], sample: int = 30, runs: Da
     newest = df.withColumn("__r", F.row_number().over(Window.partitionBy("source").orderBy(*order))).where(F.col("__r") <= sample)
     failed = (F.col("content_status") == "failed") | F.coalesce(F.col("error"), F.lit(False))
     status_is = lambda s: F.count_if(F.col("content_status") == s)
-    counts = {"full_": status_is("full"), "partial": status_is("partial"), "summary": status_is("summary"), "failed": F.count_if(failed), **{g: F.count_if(F.col("grade") == g) for g in ("excellent", "good", "poor")}}
+    counts = {"full_": status_is("full"), "partial": status_is("partial"), "summary": status_is("summary"), "failed": F.count_if(failed), **{g: F.count_if(F.col("grade") == g) for g in ("excellent", "good", "poor") if "grade" in df.columns}}
     out = newest.groupBy("source").agg(F.count("*").alias("tracked"), *[c.alias(n) for n, c in counts.items()], F.round(F.avg("quality"), 6).alias("mean_quality"), F.max("published").alias("latest"))
     out = out.join(runs, "source", "full") if runs is not None else out.withColumns({"found": F.lit(0), "run_error": F.lit("")})
     out = out.withColumns({"found": F.coalesce("found", F.lit(0)), "last_error": F.coalesce("run_error", F.lit(""))}).drop("run_error")

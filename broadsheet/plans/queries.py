@@ -577,20 +577,15 @@ def rank_top(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def story_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """The full predicate on candidate pairs within the time band."""
+    """The pairs of the time band that the predicate puts together, with their scores."""
     s = stories(spark, d)
     whole = F.concat_ws(" ", "title", "summary", F.array_join(F.slice("paragraphs", 1, 8), " "))
-    s = s.select("id", "title", "source", "published", text.tokens(whole, DEFAULT.stopwords).alias("tokens"), text.tokens("title", DEFAULT.stopwords).alias("title_tokens"), similarity.anchors(whole).alias("anchors"), similarity.event_dates(whole).alias("dates"), text.phrase_hits(text.key(whole), [p for _, _, t in DEFAULT.local_terms for p in t]).alias("entities"))
-    cand = cluster.rare_token_pairs(s, "id", "tokens", 20).where("shared >= 3").select("a", "b")
-    side = lambda x: s.select(*[F.col(c).alias(f"{x}_{c}" if c != "id" else x) for c in s.columns])
-    p = cand.join(side("a"), "a").join(side("b"), "b")
-    gap = F.abs(F.unix_micros("a_published") - F.unix_micros("b_published")) / 3_600_000_000
-    p = p.where(gap <= DEFAULT.cluster_hours)
-    get = lambda x: {c: F.col(f"{x}_{c}") for c in ("title", "tokens", "title_tokens", "entities")}
-    f = similarity.features(get("a"), get("b"))
-    score = similarity.composite(f, (text.key("a_title") != "") & (text.key("b_title") != ""))
-    same = similarity.same_event(f, score, gap, F.col("a_dates"), F.col("b_dates"), F.col("a_anchors"), F.col("b_anchors"), F.col("a_source") == F.col("b_source"))
-    return p.select("a", "b", F.round(score, 6).alias("score"), same.alias("same_event"))
+    hashed = lambda t: F.transform(t, lambda x: F.xxhash64(x))
+    s = s.select(
+        "id", "source", "published", text.apostrophe_key("title").alias("title"), hashed(text.tokens(whole, DEFAULT.stopwords)).alias("tokens"), hashed(text.tokens("title", DEFAULT.stopwords)).alias("title_tokens"),
+        similarity.anchors(whole, DEFAULT.stopwords, DEFAULT.generic_name_words).alias("anchors"), similarity.event_dates(whole).alias("dates"), similarity.entities(F.concat_ws(" ", "title", "summary"), DEFAULT.local_terms).alias("entities"),
+    )
+    return similarity.same_events(s, DEFAULT.cluster_hours).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query("""WITH s AS (SELECT item_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS k, text FROM benchmark), d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS k FROM documents)
