@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -78,9 +79,14 @@ def forget(*tables: DataFrame) -> None:
 
 
 def settle(spark: SparkSession) -> None:
-    """Between steps: let Spark drop the shuffle files of finished ones, and the driver give back memory."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Between steps: let Spark drop the shuffle files of finished ones, and the driver give back memory.
+
+    What one collection frees holds what the next one can; Spark's cleaner works beside both.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def lean(task):
