@@ -577,8 +577,8 @@ def rank_top(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def story_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """The pairs of the time band that the predicate puts together, with their scores."""
-    s = stories(spark, d)
+    """The pairs of the time band that the predicate puts together, with their scores. A headline is a title's first twelve words."""
+    s = stories(spark, d).withColumn("title", F.array_join(F.slice(F.split(text.collapse("title"), " "), 1, 12), " "))
     whole = F.concat_ws(" ", "title", "summary", F.array_join(F.slice("paragraphs", 1, 8), " "))
     hashed = lambda t: F.transform(t, lambda x: F.xxhash64(x))
     s = s.select(
