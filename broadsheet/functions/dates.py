@@ -20,6 +20,48 @@ def parse(value: Column | str, zone: str = "UTC", missing: Column | None = None)
     return F.coalesce(out, missing) if missing is not None else out
 
 
+def parse_policy(value: Column | str, policy: str, now: Column, zone: str = "America/Toronto") -> Column:
+    """parse() under the rules of one use.
+
+    collected   local without a zone, now where there is none
+    ranked      UTC without a zone, the epoch where there is none
+    audited     UTC without a zone, null where there is none
+    indexed     as audited, but a time ahead of now by more than half an hour is none
+    stored      ISO 8601 alone, UTC without a zone, null where there is none
+    """
+    if policy == "collected":
+        return parse(value, zone, now)
+    if policy == "ranked":
+        return parse(value, "UTC", F.lit("1970-01-01 00:00:00").cast("timestamp"))
+    if policy == "audited":
+        return parse(value)
+    if policy == "indexed":
+        found = parse(value)
+        return F.when(found <= now + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(30)), found)
+    if policy == "stored":
+        v = F.trim(blank(value))
+        return F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}"), parse(v))
+    raise ValueError(policy)
+
+
+def duration_label(minutes: Column) -> Column:
+    """"45 min", "2 hr", "2 hr 5 min"."""
+    whole = F.floor(minutes)
+    hours, rest = F.floor(whole / 60), whole % 60
+    text = lambda n, unit: F.concat(n.cast("string"), F.lit(unit))
+    return F.when(minutes.isNull() | (minutes < 0), "Unknown").when(whole < 60, text(whole, " min")).when(rest == 0, text(hours, " hr")).otherwise(F.concat(text(hours, " hr "), text(rest, " min")))
+
+
+def next_slot(now: Column, slots: tuple[int, ...] = (17, 47)) -> Column:
+    """The next time that a schedule by minutes of the hour comes round, after now's minute."""
+    hour, minute = F.date_trunc("hour", now), F.minute(now)
+    after = lambda m: F.make_dt_interval(F.lit(0), F.lit(0), F.lit(m))
+    out = None
+    for m in slots:
+        out = F.when(minute < m, hour + after(m)) if out is None else out.when(minute < m, hour + after(m))
+    return out.otherwise(hour + after(60 + slots[0]))
+
+
 def hours_between(now: Column, then: Column) -> Column:
     """Hours from then to now, none for the future; null without a then."""
     return F.when(then.isNotNull(), F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(then)) / F.lit(3_600_000_000.0)))

@@ -36,7 +36,23 @@ def resolve(url: Column | str, base: Column | str) -> Column:
     origin = F.regexp_extract(b, r"^(https?://[^/?#]+)", 1)
     folder = F.regexp_replace(F.regexp_extract(b, r"^(https?://[^?#]+)", 1), r"^(https?://[^/]+.*/)[^/]*$", "$1")
     folder = F.when(folder.rlike(r"^https?://[^/]+$"), F.concat(folder, F.lit("/"))).otherwise(folder)
-    return F.when(u.rlike("^https?://"), u).when(F.startswith(u, F.lit("//")), F.concat(F.lit("https:"), u)).when(F.startswith(u, F.lit("/")), F.concat(origin, u)).when(u == "", u).otherwise(F.concat(folder, u))
+    query = F.regexp_replace(b, r"[?#].*$", "")
+    found = F.when(u.rlike("^https?://"), u).when(F.startswith(u, F.lit("//")), F.concat(F.lit("https:"), u)).when(F.startswith(u, F.lit("/")), F.concat(origin, u)).when(u == "", u).when(u.rlike("^[?]"), F.concat(query, u)).when(u.rlike("^#"), F.concat(F.regexp_replace(b, "#.*$", ""), u)).otherwise(F.concat(folder, u))
+    return F.when(found.rlike(r"^https?://[^?#]*/\.\.?(?:/|$|[?#])"), undotted(found)).otherwise(found)
+
+
+def undotted(url: Column) -> Column:
+    """An address without . and .. in its path."""
+    origin, rest = F.regexp_extract(url, r"^(https?://[^/?#]+)", 1), F.regexp_extract(url, r"^https?://[^/?#]+[^?#]*(.*)$", 1)
+    parts = F.slice(F.split(path_of(url), "/"), 2, 10_000)
+    last = F.element_at(parts, -1)
+    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when(p == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(p == ".", acc).otherwise(F.concat(acc, F.array(p))))
+    joined = F.concat(F.lit("/"), F.array_join(walked, "/"))
+    return F.concat(origin, joined, F.when(last.isin(".", "..") & (F.size(walked) > 0), "/").otherwise(""), rest)
+
+
+def path_of(url: Column) -> Column:
+    return F.regexp_extract(url, r"^https?://[^/?#]+([^?#]*)", 1)
 
 
 def make_id(url: Column | str) -> Column:

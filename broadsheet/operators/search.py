@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scores import read_minutes
 from ..functions.text import blank, collapse
 from .filters import all_terms
 
@@ -48,6 +49,36 @@ def ranked(inverted: DataFrame, query: str, boosts: dict[str, float] | None = No
     return out.groupBy(key).agg(F.sum("part").alias("score"), F.count("*").alias("terms")).where(F.col("terms") == len(terms)).drop("terms")
 
 
-def card(df: DataFrame) -> DataFrame:
-    """The search index's projection."""
-    return df.select("id", collapse("title").alias("title"), collapse("summary").alias("summary"), "source", "published", F.substring(F.array_join(F.transform("paragraphs", collapse), " "), 1, 1800).alias("body"))
+def _body(limit: int = 1800) -> Column:
+    return F.substring(collapse(F.array_join(F.transform(F.slice("paragraphs", 1, 16), collapse), " ")), 1, limit)
+
+
+def _minutes() -> Column:
+    return F.when(F.coalesce(F.col("words"), F.lit(0)) > 0, read_minutes(F.col("words")))
+
+
+def _shared() -> list[Column]:
+    """What both projections hold; df has id, title, summary, source, category, published and words."""
+    return [F.col("id").cast("string").alias("id"), collapse("title").alias("title"), collapse("summary").alias("summary"), F.col("source"), F.coalesce(F.nullif(collapse("category"), F.lit("")), F.lit("Local")).alias("category"), F.col("published")]
+
+
+def documents(df: DataFrame) -> DataFrame:
+    """The search index's documents: rows with a title, their scope, topics, the beginning of the body, minutes to read."""
+    topics = F.filter(F.transform(F.coalesce("topics", F.array().cast("array<string>")), collapse), lambda t: t != "")
+    return df.where(collapse("title") != "").select(*_shared(), F.when(F.lower(collapse("scope")) == "canada", "canada").otherwise("local").alias("scope"), topics.alias("topics"), _body().alias("body"), collapse("image").alias("image"), _minutes().alias("read_minutes"))
+
+
+def cards(df: DataFrame) -> DataFrame:
+    """The story cards' projection: no body."""
+    return df.where(collapse("title") != "").select(*_shared(), collapse("image").alias("image"), collapse("image_alt").alias("image_alt"), _minutes().alias("read_minutes"))
+
+
+def search(df: DataFrame, query: str, fields: list[str], scope: str | None = None, category: str | None = None, source: str | None = None, since: Column | None = None, limit: int = 80, ts: str = "published", tie: str = "id") -> DataFrame:
+    """Rows with all words of a query, within a scope, category, source and time, newest first."""
+    out = df
+    for name, value in (("scope", scope), ("category", category), ("source", source)):
+        if value:
+            out = out.where(F.lower(F.col(name)) == value.lower())
+    if since is not None:
+        out = out.where(F.col(ts) >= since)
+    return out.where(all_terms(F.concat_ws(" ", *fields), query)).orderBy(F.desc(ts), tie).limit(limit)

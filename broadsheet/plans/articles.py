@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
-from ..functions import similarity, text, urls
-from ..operators import aggregates, blocks, candidates, contract, merge
+from ..functions import dates, similarity, text, urls
+from ..operators import aggregates, blocks, candidates, contract, merge, search
 from ..sources.tables import BASE, NOW, now, stories, table
-from .queries import _AKEY, _ART, _COLLAPSE, _KEY, _STORY, _TS, _articles, query, stamp
+from ..streaming import incremental
+from .queries import _AKEY, _COLLAPSE, _KEY, _STORY, _TS, _editions, query, stamp
 
 #: The rules' words in the synthetic language: what its documents repeat stands for a publisher's furniture.
 _RULES = DEFAULT.with_(
@@ -307,3 +308,48 @@ def direct_per_key(spark: SparkSession, d: str) -> DataFrame:
     """One row of each key: direct ones before discoveries, then the better."""
     s = stories(spark, d).select(F.md5(F.array_join("paragraphs", "\n")).alias("k"), "id", "words", F.col("source").isin("src0", "src1", "src2", "src3").alias("found"))
     return merge.best_per_key(s, ["k"], [F.col("found"), F.desc("words"), F.col("id")]).select("k", "id")
+
+
+@query(f"""WITH {_STORY} SELECT CAST(id AS VARCHAR) AS id, {_COLLAPSE.format('title')} AS title, {_COLLAPSE.format('summary')} AS summary, source, CASE WHEN lang = 'en' THEN 'Local' ELSE lang END AS category, strftime(published, {_TS}) AS published,
+  CASE WHEN lang = 'fr' THEN 'canada' ELSE 'local' END AS scope, CASE WHEN lang = 'en' THEN 'a' ELSE lang || ',a' END AS topics, md5(substr(trim(regexp_replace(array_to_string(list_transform(paragraphs[1:16], lambda p: {_COLLAPSE.format('p')}), ' '), '\\s+', ' ', 'g')), 1, 1800)) AS body_md5,
+  CASE WHEN words > 0 THEN CAST(greatest(1, round_even(words / 220, 0)) AS INTEGER) END AS read_minutes FROM story WHERE {_COLLAPSE.format('title')} <> ''""")
+def search_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the search index."""
+    s = stories(spark, d).withColumns({"category": F.when(F.col("lang") != "en", F.col("lang")), "scope": F.when(F.col("lang") == "fr", " Canada ").otherwise("x"), "topics": F.array(F.when(F.col("lang") == "en", "").otherwise(F.col("lang")), F.lit(" a ")), "image": F.lit("")})
+    out = search.documents(s)
+    return out.withColumns({"published": stamp("published"), "topics": F.array_join("topics", ","), "body_md5": F.md5("body")}).drop("body", "image")
+
+
+@query(f"""WITH {_STORY} SELECT id, strftime(published, {_TS}) AS published FROM story WHERE source = 'src3' AND lang = 'en' AND published >= TIMESTAMP '{BASE}' - INTERVAL 12 HOUR AND contains(lower(concat_ws(' ', title, summary, array_to_string(paragraphs, ' '))), 'the') ORDER BY story.published DESC, id LIMIT 80""")
+def search_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """a query within a source, a category and a time."""
+    s = stories(spark, d).withColumns({"body": F.array_join("paragraphs", " "), "category": F.col("lang")})
+    out = search.search(s, "the", ["title", "summary", "body"], category="EN", source="SRC3", since=now(BASE) - F.make_dt_interval(F.lit(0), F.lit(12)))
+    return out.select("id", stamp("published").alias("published"))
+
+
+@query(f"""SELECT event_id, strftime(CASE WHEN m < 17 THEN h + INTERVAL 17 MINUTE WHEN m < 47 THEN h + INTERVAL 47 MINUTE ELSE h + INTERVAL 77 MINUTE END, {_TS}) AS next_slot, CASE WHEN a < 60 THEN a || ' min' WHEN a % 60 = 0 THEN a // 60 || ' hr' ELSE a // 60 || ' hr ' || a % 60 || ' min' END AS age
+FROM (SELECT event_id, date_trunc('hour', ts) AS h, minute(ts) AS m, (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(ts)) // 60000000 AS a FROM events)""")
+def schedule_slots(spark: SparkSession, d: str) -> DataFrame:
+    """The next slot of the schedule, and ages in words."""
+    age = (F.unix_micros(now("2024-01-31 00:00:00")) - F.unix_micros("ts")) / 60_000_000
+    return table(spark, d, "events").select("event_id", stamp(dates.next_slot(F.col("ts"))).alias("next_slot"), dates.duration_label(age).alias("age"))
+
+
+@query("""WITH v AS (SELECT event_id, event_id % 5 AS k, ts FROM events), s AS (SELECT event_id, k, ts, CASE k WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 2 THEN strftime(ts, '%a, %d %b %Y %H:%M:%S GMT') WHEN 3 THEN 'soon' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+02:00' END AS t FROM v),
+u AS (SELECT *, CASE k WHEN 3 THEN NULL WHEN 4 THEN date_trunc('second', ts) - INTERVAL 2 HOUR ELSE date_trunc('second', ts) END AS utc FROM s)
+SELECT event_id, epoch_us(CASE WHEN k = 3 THEN TIMESTAMP '2024-01-31 00:00:00' WHEN k = 1 THEN timezone('UTC', timezone('America/Toronto', utc)) ELSE utc END) // 1000000 AS collected, coalesce(epoch_us(utc) // 1000000, 0) AS ranked, epoch_us(utc) // 1000000 AS audited, CASE WHEN utc <= TIMESTAMP '2024-01-15 00:30:00' THEN epoch_us(utc) // 1000000 END AS indexed, CASE WHEN k <> 2 THEN epoch_us(utc) // 1000000 END AS stored FROM u""")
+def date_policies(spark: SparkSession, d: str) -> DataFrame:
+    """One text under the rules of each use."""
+    k, ts = F.col("event_id") % 5, F.col("ts")
+    fmt = lambda p: F.date_format(ts, p)
+    t = F.when(k == 0, fmt("yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 1, fmt("yyyy-MM-dd HH:mm:ss")).when(k == 2, F.concat(fmt("EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))).when(k == 3, "soon").otherwise(F.concat(fmt("yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")))
+    at = {"collected": "2024-01-31 00:00:00", "indexed": "2024-01-15 00:00:00"}
+    return table(spark, d, "events").select("event_id", *[F.unix_seconds(dates.parse_policy(t, p, now(at.get(p, NOW)))).alias(p) for p in ("collected", "ranked", "audited", "indexed", "stored")])
+
+
+@query("""SELECT coalesce(f.id, p.id) AS id, coalesce(f.status, p.status) AS status, p.price, p.id IS NULL AS pending FROM (SELECT o_orderkey AS id, 'X' AS status FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1995-01-01') f FULL JOIN (SELECT o_orderkey AS id, o_orderstatus AS status, CAST(o_totalprice AS DOUBLE) AS price FROM orders WHERE CAST(o_orderdate AS DATE) < DATE '1997-01-01') p ON f.id = p.id""")
+def pending_rows(spark: SparkSession, d: str) -> DataFrame:
+    """2.9: new entries stand at once without bodies; known rows keep theirs."""
+    previous, fresh = _editions(spark, d)
+    return incremental.metadata_first(previous, fresh, "id", ["price"])

@@ -29,6 +29,26 @@ def write_parts(df: DataFrame, path: str, key: str = "id", buckets: int = 256) -
     df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).repartition("bucket").sortWithinPartitions("bucket", key).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
+#: Columns of the readers' feed (fixed values).
+FEED = (
+    "id", "title", "summary", "source", "discovery_via", "scope", "category", "published", "cluster_latest_published", "card_image_source",
+    "card_image_variants", "card_image_small", "card_image", "image", "image_alt", "image_focus_x", "image_focus_y", "image_caption",
+    "word_count", "cluster_sources", "cluster_source_count", "cluster_id", "cluster_representative", "quality", "content_status", "author",
+    "url", "story_topics",
+)
+
+
+def feed(df: DataFrame) -> DataFrame:
+    """The feed's projection: its columns in their order, those that df has."""
+    return df.select(*[c for c in FEED if c in df.columns])
+
+
+def write_report(report: DataFrame, issues: DataFrame, overview: DataFrame, path: str) -> None:
+    """An audit's three tables side by side, each in place of the one before."""
+    for name, df in (("report", report), ("issues", issues), ("overview", overview)):
+        df.write.mode("overwrite").json(f"{path}/{name}")
+
+
 def lookup(spark: SparkSession, path: str, key: str, value, buckets: int = 256) -> DataFrame:
     """One key's rows: one folder is read, and of it the row groups that may hold the key."""
     bucket = spark.range(1).select(F.pmod(F.xxhash64(F.lit(value)), F.lit(buckets))).first()[0]

@@ -176,3 +176,43 @@ def test_small_helpers(spark):
     df = spark.createDataFrame([("k", 1, 0), ("k", 2, 0), ("s", 3, 0), ("s", 4, 0)], "key string, id int, at int").withColumn("at", F.timestamp_seconds("id"))
     assert sorted(r["id"] for r in windows.gap_dedupe(df, ["key"], "at", "id", 100, exempt=F.col("key") == "s").collect()) == [2, 3, 4]
     assert filters.gate(spark.createDataFrame([("CTV News", "x", 10)], "source string, title string, local_score int"), DEFAULT.gate).first()["drop_reason"] == "local score"
+
+
+def test_resolving_dots(spark):
+    base = F.lit("https://x.org/a/b/c.html?q=1#f")
+    got = [expr(spark, urls.resolve(F.lit(u), base)) for u in ("../d.html", "./e", "/g/../h/./i?x=../y", "?p=2", "#z", "https://y/../k/..", "..")]
+    assert got == ["https://x.org/a/d.html", "https://x.org/a/b/e", "https://x.org/h/i?x=../y", "https://x.org/a/b/c.html?p=2", "https://x.org/a/b/c.html?q=1#z", "https://y/", "https://x.org/a/"]
+
+
+def test_one_failing_source(spark):
+    from broadsheet.streaming import incremental
+
+    def read(s, n):
+        if n < 0:
+            raise ValueError("refused\nmore")
+        return s.range(n).selectExpr("id")
+
+    rows, errors = incremental.isolated(spark, {"a": 2, "b": -1, "c": 1}, read, "id long")
+    assert rows.count() == 3 and [tuple(r) for r in errors.collect()] == [("b", "refused")]
+
+
+def test_horizon_of_comparison(spark):
+    from broadsheet.sources.tables import now
+    from broadsheet.streaming import incremental
+
+    df = spark.sql("SELECT * FROM VALUES (1, TIMESTAMP '2024-05-31 00:00:00'), (2, TIMESTAMP '2024-05-01 00:00:00'), (3, NULL) AS t(id, published)")
+    near, far = incremental.compare_recent(df, now(), DEFAULT.comparison_hours)
+    assert [r["id"] for r in near.collect()] == [1] and sorted(r["id"] for r in far.collect()) == [2, 3]
+
+
+def test_parts_of_a_snapshot(spark, tmp_path):
+    from broadsheet.streaming.incremental import Snapshot
+
+    s = Snapshot(spark, str(tmp_path / "s"), parts=8)
+    make = lambda rows: spark.createDataFrame(rows, "id long, seq long, v string")
+    s.merge(make([(i, 1, "a") for i in range(50)]), 0, ["id"], ["seq"])
+    s.merge(make([(3, 2, "b"), (99, 2, "n")]), 1, ["id"], ["seq"])
+    s.merge(make([(3, 9, "never")]), 1, ["id"], ["seq"])
+    s.merge(make([(3, 1, "late"), (4, 3, "c")]), 2, ["id"], ["seq"])
+    got = {r["id"]: r["v"] for r in s.read().collect()}
+    assert got == {**{i: "a" for i in range(50)}, 3: "b", 99: "n", 4: "c"} and len(s._versions()[1]) <= 2
