@@ -351,14 +351,18 @@ def rest(members: DataFrame, signs: DataFrame, percent: int, group: str | None =
     asks = F.lit(True) if group else F.col("open")
     dealt = dealt.select("t", "tier", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "c", "n", *marks, asks.alias("open"), "guest", "bits")
 
-    def run(t: pa.Table) -> pa.Table:
-        c, n, g, block = t["c"].to_numpy(), t["n"].to_numpy().astype(np.int64), t["g0"].to_numpy(), t["block"].to_numpy()
+    places = ("g0",) if group else ("g0", "g1", "g2")
+
+    def pairs(tier: int, lo: int, hi: int, x: dict[str, np.ndarray], bits: list) -> np.ndarray:
+        """What may be linked in one group, as two rows of classes."""
+        c, n, g, block, guest, asking = x["c"], x["n"], x["g0"], x["block"], x["guest"], x["open"]
         if not group:  # places as numbers in their order; a class that stands here twice has one
-            g = np.unique(np.stack([g, t["g1"].to_numpy(), t["g2"].to_numpy()], 1), axis=0, return_inverse=True)[1].ravel()
-        guest, asking = np.array(t["guest"].to_pylist(), bool), np.array(t["open"].to_pylist(), bool)
-        lo, hi, tier = t["lo"][0].as_py(), t["hi"][0].as_py(), t["tier"][0].as_py()
+            order = np.lexsort((x["g2"], x["g1"], g))
+            ranked = np.stack([x[p][order] for p in places])
+            g = np.empty(len(c), np.int64)
+            g[order] = np.cumsum(np.concatenate([[0], (ranked[:, 1:] != ranked[:, :-1]).any(0)]))
         size = max(8, 4 << max(tier - 1, 0)) // 8
-        bits = np.concatenate([fold(np.frombuffer(x, np.uint8)[None], size) for x in t["bits"].to_pylist()])
+        bits = np.concatenate([fold(np.frombuffer(y, np.uint8)[None], size) for y in bits])
         bits = bits.view(np.uint64) if size % 8 == 0 else bits
         found: list[np.ndarray] = []
         for one, two in [(lo, hi)] + ([(hi, lo)] if lo != hi and not group else []):
@@ -376,10 +380,41 @@ def rest(members: DataFrame, signs: DataFrame, percent: int, group: str | None =
                     if best:
                         j = j[[np.argmax(most / (n[i] + n[j] - most))]]
                     found.append(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])]))
-        both = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
-        return pa.table({"a": both[0], "b": both[1]})
-
-    return durable(dealt.groupBy("t", "tier", "lo", "hi").applyInArrow(lean_group(run), "a long, b long").distinct(), "rest")
+        return np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+
+    keys, numbers = ("t", "tier", "lo", "hi"), ("c", "n", "block", "guest", "open", *places)
+
+    def run(batches):
+        """Groups one after another: there are many small ones, so they come in batches, and the last one waits for the next."""
+        rest_: list[pa.RecordBatch] = []
+        for b in _and_end(batches):
+            if b is not None and not b.num_rows:
+                continue
+            held = rest_ + ([b] if b is not None else [])
+            if not held:
+                break
+            at = np.stack([np.concatenate([y.column(k).to_numpy() for y in held]) for k in keys])
+            cuts = np.flatnonzero(np.concatenate([[True], (at[:, 1:] != at[:, :-1]).any(0), [True]]))
+            if b is not None and len(cuts) == 2:  # one group so far
+                rest_ = held
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            x = {k: t[k].to_numpy(zero_copy_only=False) for k in numbers}
+            x["n"] = x["n"].astype(np.int64)
+            bits = t["bits"].to_pylist()
+            out = [pairs(*(int(v) for v in at[1:, i]), {k: v[i:j] for k, v in x.items()}, bits[i:j]) for i, j in zip(cuts[:-1], cuts[1:] if b is None else cuts[1:-1]) if j - i > 1]
+            rest_ = [] if b is None else t.slice(cuts[-2]).to_batches()
+            both = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], ["a", "b"])
+
+    lined = dealt.repartition(width(members.sparkSession), *keys).sortWithinPartitions(*keys)
+    return durable(lined.mapInArrow(lean(run), "a long, b long").distinct(), "rest")
+
+
+def _and_end(batches):
+    """The batches, then None."""
+    yield from batches
+    yield None
 
 
 def link(docs: DataFrame, read: Reader, surveyed: DataFrame, order: DataFrame, percent: int, small: bool = False) -> tuple[DataFrame, Sets]:
