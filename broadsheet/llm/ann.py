@@ -10,7 +10,7 @@
    on to every block whose bound reaches its floor. The stated query set meets the rows in blocks; the result is exact.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows with a
-null id; vectors of other lengths are no candidates of a query; rows that share an id are one candidate (the larger
+null id; vectors of other lengths are no candidates of a query, and an empty table gives no rows; rows that share an id are one candidate (the larger
 product) and never their own; ties go to the smaller id; fewer candidates than k are all returned; other columns are not read.
 """
 
@@ -133,8 +133,8 @@ def _merged(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def neighbours(vectors: DataFrame, queries, k: int = 20, block: int = BLOCK) -> DataFrame:
-    """vectors(vec_id, embedding); queries: a condition on vec_id. Returns query_id, rank, vec_id, score."""
+def neighbours(vectors: DataFrame, queries, k: int = 20, block: int = BLOCK, exact: bool = True) -> DataFrame:
+    """vectors(vec_id, embedding); queries: a condition on vec_id. Returns query_id, rank, vec_id, score; without exact, what the windows alone find."""
     rows = durable(vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").alias("id"), "embedding", F.size("embedding").alias("len")), "vectors")
     total = rows.count()
     blocks = max(1, math.ceil(total / block))
@@ -184,6 +184,8 @@ def neighbours(vectors: DataFrame, queries, k: int = 20, block: int = BLOCK) ->
     wanted = near.select(*place, "chunk", "group").distinct()
     both = near.withColumn("side", F.lit(1)).unionByName(cands.join(wanted, [*place, "chunk"]).withColumn("side", F.lit(0)))
     first = durable(_merged(both.groupBy(*place, "chunk", "group").applyInArrow(_meet(k, False), _FOUND), k), "windows")
+    if not exact:
+        return first.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
     # what the windows can't rule out
     floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
     asked = rows.where(queries(F.col("id"))).join(floors, F.col("id") == F.col("query_id"), "left")
