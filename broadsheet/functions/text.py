@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,15 +37,19 @@ def collapse(x: Column | str) -> Column:
     return F.trim(F.regexp_replace(blank(x), r"[\s ]+", " "))
 
 
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&amp;": "&"}
+def unescape(x: Column | str) -> Column:
+    """Named and numbered entities as characters, each once; unknown ones stay."""
+    known = F.create_map(*[F.lit(v) for name, code in [*sorted(name2codepoint.items()), ("apos", 39)] for v in (name, chr(code))])
 
+    def character(e: Column) -> Column:
+        hexed = F.regexp_extract(e, "^&#[xX]([0-9A-Fa-f]{1,6});$", 1)
+        number = F.coalesce(F.nullif(hexed, F.lit("")), F.hex(F.regexp_extract(e, "^&#([0-9]{1,7});$", 1).try_cast("int")))
+        valid = number.isNotNull() & F.conv(number, 16, 10).cast("long").between(1, 0x10FFFF) & ~F.conv(number, 16, 10).cast("long").between(0xD800, 0xDFFF)
+        point = F.decode(F.unhex(F.lpad(F.when(valid, number), 8, "0")), "UTF-32")
+        return F.coalesce(point, F.try_element_at(known, F.regexp_extract(e, "^&([A-Za-z0-9]+);$", 1)), e)
 
-def unescape(x: Column | str) -> Column:
-    """The common named entities; &amp; last, so that nothing is unescaped twice."""
     out = blank(x)
-    for name, value in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(value))
-    return out
+    return F.when(F.contains(out, F.lit("&")), rewrite(out, "&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", character)).otherwise(out)
 
 
 def truncate(x: Column, limit: int) -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import DEFAULT
 from ..functions import dates, similarity, text, urls
-from ..operators import aggregates, blocks, candidates, contract, merge, search
+from ..operators import aggregates, blocks, candidates, contract, linkage, merge, search
 from ..sources.tables import BASE, NOW, now, stories, table
 from ..streaming import incremental
 from .queries import _AKEY, _COLLAPSE, _KEY, _STORY, _TS, _editions, query, stamp
@@ -353,3 +354,28 @@ def pending_rows(spark: SparkSession, d: str) -> DataFrame:
     """2.9: new entries stand at once without bodies; known rows keep theirs."""
     previous, fresh = _editions(spark, d)
     return incremental.metadata_first(previous, fresh, "id", ["price"])
+
+
+@query(f"""WITH {_STORY}, e AS (SELECT id, {_KEY.format('title')} AS k, published FROM story WHERE source IN ('src4', 'src5', 'src6')), o AS (SELECT {_KEY.format('title')} AS k FROM story WHERE source NOT IN ('src4', 'src5', 'src6'))
+SELECT id FROM e WHERE k = '' OR k NOT IN (SELECT k FROM o) ORDER BY published DESC, id LIMIT 14""")
+def index_backstop(spark: SparkSession, d: str) -> DataFrame:
+    """The newest stories of some sources that the others don't have, by address or title key."""
+    s = stories(spark, d).withColumn("url", F.concat(F.lit("https://e.example/"), F.col("id").cast("string")))
+    own = F.col("source").isin("src4", "src5", "src6")
+    return linkage.backstop(s.where(own).select("id", "url", "title", "published"), s.where(~own).select("url", "title"), ratio=None).select("id")
+
+
+@query(f"""WITH {_STORY} SELECT id, CASE WHEN r <= 3 THEN 'hero' ELSE 'list' END AS slice, CAST(r AS INTEGER) AS place FROM (SELECT id, row_number() OVER (ORDER BY published DESC, id) AS r FROM story) WHERE r <= 93""")
+def front_slices(spark: SparkSession, d: str) -> DataFrame:
+    """Three heroes, and ninety more below them."""
+    first = stories(spark, d).orderBy(F.desc("published"), "id").limit(93).select("id", "published")
+    place = F.row_number().over(Window.orderBy(F.desc("published"), "id"))  # of 93 rows
+    return first.withColumn("place", place).select("id", F.when(F.col("place") <= 3, "hero").otherwise("list").alias("slice"), "place")
+
+
+@query(rf"""SELECT page_id, regexp_replace(regexp_replace(t, '&amp;', '&', 'g'), '&eacute;|&#233;|&#xE9;', 'é', 'g') AS title FROM (SELECT page_id, 'Caf' || ['&eacute;', '&#233;', '&#xE9;', 'e'][1 + page_id % 4] || ' R&amp;amp;D &nosuch; ' || page_id AS t FROM pages)""")
+def unescaped(spark: SparkSession, d: str) -> DataFrame:
+    """Entities by name and number, unescaped once."""
+    i = F.col("page_id").cast("int")
+    t = F.concat(F.lit("Caf"), F.get(F.array(*[F.lit(x) for x in ("&eacute;", "&#233;", "&#xE9;", "e")]), i % 4), F.lit(" R&amp;amp;D &nosuch; "), i.cast("string"))
+    return table(spark, d, "pages").select("page_id", text.unescape(t).alias("title"))

@@ -133,10 +133,17 @@ def html_blocks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("page_id", F.size("b").alias("blocks"), blocks.stats(F.col("b")).alias("s"), F.md5(blocks.body(F.col("b"))).alias("body_md5")).select("page_id", "blocks", "s.*", "body_md5")
 
 
-@query()
+_ORIGIN = r"regexp_extract(url, '^(https?://[^/?#]+)', 1)"
+
+
+@query(rf"""WITH m AS (SELECT page_id, 0 AS position, {_ORIGIN} || '/img/Pic-' || page_id || '-300x200.JPG?w=640&id=' || page_id AS image, {_ORIGIN} || '/img/Pic-' || page_id || '-300x200.JPG?id=' || page_id AS image_key, 'img/pic-' || page_id || '.jpg' AS path_key, 'image' AS kind, 640 AS least_size FROM pages
+  UNION ALL SELECT page_id, 1, 'https://youtu.be/abc' || page_id, 'https://youtu.be/abc' || page_id, 'abc' || page_id, 'youtube', NULL FROM pages
+  UNION ALL SELECT page_id, 2, 'https://cdn.example/v_h480.mp4?h=480&width=90', 'https://cdn.example/v_h480.mp4', 'v.mp4', 'video', 90 FROM pages) SELECT * FROM m""")
 def media_links(spark: SparkSession, d: str) -> DataFrame:
-    """Images of pages with keys, kinds and requested sizes."""
-    found = F.array_distinct(F.regexp_extract_all("html", F.lit(r"(?i)<img\s[^>]*?src\s*=\s*[\"']([^\"'<>]+)[\"']"), F.lit(1)))
+    """Media of made pages with keys, kinds and requested sizes; each address once."""
+    i = F.col("page_id").cast("string")
+    made = F.concat(F.lit('<p><img class="a" src="/img/Pic-'), i, F.lit("-300x200.JPG?w=640&id="), i, F.lit('"><img src="https://youtu.be/abc'), i, F.lit("\"><img alt='x' src='//cdn.example/v_h480.mp4?h=480&width=90'><img src=\"/img/Pic-"), i, F.lit("-300x200.JPG?w=640&id="), i, F.lit('">'))
+    found = F.array_distinct(F.regexp_extract_all(made, F.lit(r"(?i)<img\s[^>]*?src\s*=\s*[\"']([^\"'<>]+)[\"']"), F.lit(1)))
     rows = table(spark, d, "pages").select("page_id", F.posexplode(F.transform(found, lambda u: urls.resolve(u, "url"))).alias("position", "image"))
     return rows.select("page_id", "position", "image", urls.image_key("image").alias("image_key"), urls.image_path_key("image").alias("path_key"), urls.media_kind("image").alias("kind"), F.array_min(urls.requested_sizes("image")).alias("least_size"))
 
