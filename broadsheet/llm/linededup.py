@@ -108,14 +108,15 @@ def repeated_lines(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> D
 
 def drop_lines(docs: DataFrame, gone: DataFrame, n_lines: str, n_gone: str) -> DataFrame:
     """docs with what is left of text, and the numbers of all lines and of those gone, under the names given."""
-    id_, text, out_, lines_ = apart(docs, "id", "hash", "gone", "lines")
+    id_, text, out_ = apart(docs, "id", "hash", "gone")
     # hashing the small side spares sorting the texts; its keys are unique, so a partition holds its share of it and no more
     out = _keyed(docs, id_, text).join(gone.toDF(id_, text, out_).hint("shuffle_hash"), [id_, text], "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(out_)), lambda i: F.get(F.col(lines_), i))
+    # the lines are a lambda's argument: named inside the inner one, the text would be split again for each of them
+    without = lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(out_)), lambda i: F.get(lines, i)), "\n")
+    kept = F.get(F.transform(F.array(F.split("text", "\n", -1)), without), F.lit(0))
     out = out.withColumn(n_lines, F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long"))
     out = out.withColumn(n_gone, F.coalesce(F.size(out_), F.lit(0)).cast("long"))
-    out = out.withColumn(lines_, F.when(F.col(out_).isNotNull(), lines)).withColumn("text", F.when(F.col(out_).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    out = out.withColumn("text", F.when(F.col(out_).isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return out.select(*[f"`{c}`" for c in docs.columns], n_lines, n_gone)
