@@ -427,9 +427,11 @@ def prose_cutoff(spark: SparkSession, d: str) -> DataFrame:
     return stories(spark, d).select("id", kept.alias("k")).select("id", F.size("k").alias("kept"), F.md5(F.array_join("k", "\n")).alias("kept_md5"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {_STORY}, p AS (SELECT id, i, {_KEY.format('paragraphs[i]')} AS k FROM story, unnest(generate_series(1, len(paragraphs))) AS t(i)),
+w AS (SELECT id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS kept FROM story UNION ALL SELECT p.id, p.i, CASE WHEN len(list_filter(w.kept[greatest(1, len(w.kept) - 11):], lambda y: p.k <> '' AND y <> '' AND (p.k = y OR (least(length(p.k), length(y)) >= 28 AND least(length(p.k), length(y)) >= 0.58 * greatest(length(p.k), length(y)) AND (starts_with(p.k, y) OR starts_with(y, p.k)))))) > 0 THEN w.kept ELSE list_append(w.kept, p.k) END FROM w JOIN p ON p.id = w.id AND p.i = w.i + 1)
+SELECT story.id, CAST(len(paragraphs) AS INTEGER) AS before, CAST(len(w.kept) AS INTEGER) AS after FROM story JOIN w ON w.id = story.id AND w.i = len(paragraphs)""")
 def recent_repeats(spark: SparkSession, d: str) -> DataFrame:
-    """Paragraphs that don't repeat one of the last twelve kept."""
+    """Paragraphs that don't repeat one of the last twelve kept; the rule of ratios is in deduplicated_paragraphs."""
     return stories(spark, d).select("id", F.size("paragraphs").alias("before"), F.size(windows.drop_recent_repeats(F.col("paragraphs"))).alias("after"))
 
 
@@ -769,11 +771,14 @@ def markdown_content(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", "turn", "position", "b.type", F.md5(F.coalesce("b.text", F.lit(""))).alias("text_md5"))
 
 
-@query()
+@query(rf"""WITH {_STORY}, p AS (SELECT id, {_KEY.format('summary')} AS a, i - 1 AS i, {_KEY.format('paragraphs[i]')} AS k FROM story, unnest(generate_series(1, len(paragraphs))) AS t(i)),
+r AS (SELECT id, i, CASE WHEN k <> '' AND (contains(k, a) OR contains(a, k)) THEN 2.0 WHEN k = '' THEN 0.0 ELSE len(list_intersect(string_split(k, ' '), string_split(a, ' '))) / greatest(1, least(len(list_distinct(string_split(k, ' '))), len(list_distinct(string_split(a, ' '))))) END AS rate FROM p WHERE a <> '')
+SELECT story.id, CAST(x.i AS INTEGER) AS "at", CAST(len(paragraphs) + 2 AS INTEGER) AS blocks FROM story LEFT JOIN (SELECT id, arg_max(i, (rate, -i)) AS i FROM r GROUP BY id HAVING max(rate) >= 0.66) x USING (id)""")
 def anchored_images(spark: SparkSession, d: str) -> DataFrame:
-    """Where an anchor belongs, and images interleaved."""
+    """Where an anchor belongs, and images interleaved: none is lost."""
     p = F.col("paragraphs")
     return stories(spark, d).select("id", text.match_anchor(p, F.col("summary")).alias("at"), F.size(blocks.interleave(p, F.array(F.lit("a"), F.lit("b")))).alias("blocks"))
 
 
+
 from . import articles  # noqa: E402, F401  (registers more queries)
