@@ -2,13 +2,14 @@
 
 A rolling hash over WINDOW bytes marks the boundaries of a text's chunks: where it is -1 modulo the block size. Boundaries at
 twice a block size are among those at the size itself, so an edit moves only boundaries beside it. Each chunk is hashed to a
-character; a fingerprint is the block size, the characters at it, and those at its double. The block size is the largest of
-SMALLEST * 2**k that cuts the text into LEAST chunks or more, SMALLEST if none does. A signature holds MOST characters at
-most: its last chunk then reaches to the end of the text, so every byte counts.
+character; a fingerprint is the block size, the characters at it, and those at its double. The block size is the least
+SMALLEST * 2**k at which MOST chunks of it hold the text, halved while it cuts the text into fewer than LEAST chunks, so that
+texts of like length have compatible sizes. A signature holds MOST characters at most: its last chunk then reaches to the end
+of the text, so every byte counts.
 
 Likeness compares signatures of one block size by edit distance (insertions and deletions, as a share of both lengths);
 fingerprints whose sizes are neither equal nor one the other's double have none in common, and so have signatures
-without RUN equal characters in a row, which unrelated texts rarely share. Equal fingerprints have likeness 1.
+without a run of RUN characters in common, not all the same, which unrelated texts rarely share. Equal fingerprints have likeness 1.
 
 Defined results: a null text is fingerprinted as an empty one, "3::"; equal texts have equal fingerprints; a text is read
 whole, however long, one at a time. For `edited`, documents follow each other by id (null ids first), those of one id by a
@@ -19,7 +20,6 @@ table gives no rows; other columns are not read, whatever their names.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,12 +67,13 @@ def fingerprint(text: str | None) -> str:
     hashes = rolling(data)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * powers(len(data))[: len(data)], out=sums[1:])
-    size, ends = SMALLEST, np.flatnonzero(hashes % np.uint32(SMALLEST) == SMALLEST - 1)
-    while True:
-        fewer = ends[hashes[ends] % np.uint32(2 * size) == 2 * size - 1]
-        if len(fewer) + 1 < LEAST or 4 * size >= 1 << 32:
-            return f"{size}:{signature(sums, ends)}:{signature(sums, fewer)}"
-        size, ends = 2 * size, fewer
+    cuts = lambda s: np.flatnonzero(hashes % np.uint32(s) == s - 1)
+    size = SMALLEST
+    while size * MOST < len(data):
+        size *= 2
+    while size > SMALLEST and len(cuts(size)) + 1 < LEAST:
+        size //= 2
+    return f"{size}:{signature(sums, cuts(size))}:{signature(sums, cuts(2 * size))}"
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -87,16 +88,16 @@ def common_subsequence(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-_LONG = re.compile(r"(.)\1{3,}")
+def _runs(a: str) -> set[str]:
+    """Runs of RUN characters that aren't all the same."""
+    return {x for i in range(len(a) - RUN + 1) if len(set(x := a[i : i + RUN])) > 1}
 
 
 def alike(a: str, b: str) -> float:
-    """Likeness of two signatures of one block size. Of a character that comes over three times in a row three count."""
+    """Likeness of two signatures of one block size."""
     if a == b:
         return 1.0
-    a, b = _LONG.sub(r"\1\1\1", a), _LONG.sub(r"\1\1\1", b)
-    runs = {a[i : i + RUN] for i in range(len(a) - RUN + 1)}
-    if not any(b[i : i + RUN] in runs for i in range(len(b) - RUN + 1)):
+    if _runs(a).isdisjoint(_runs(b)):
         return 0.0
     distance = len(a) + len(b) - 2 * common_subsequence(a, b)
     return 1 - distance / (len(a) + len(b))
