@@ -12,7 +12,8 @@ same feature expressions that score the corpus.
 Base patterns are written so that each is linear in the text: a match can't begin inside a run that a failed or earlier
 attempt has ruled out, hence the look-behinds and possessive runs; what they match is the same.
 
-Spans of a text are folded and compared in blocks of BLOCK neighbours, so the work grows little faster than their number.
+Spans of a text are folded and compared in blocks of BLOCK neighbours, blocks by their stretches; what is around a span comes
+from stretches of the text, cut in one pass. So the work grows as the spans, but for comparisons of pairs of blocks.
 
 Defined results: null and empty texts have no spans; very long texts are read whole; a row is a document, also if ids
 repeat; an empty table gives no rows; other columns are not read, but for base and spans, which find_pii replaces; places
@@ -32,7 +33,7 @@ from .common import apart, table
 
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_ROWS = 4000
-BLOCK = 64
+BLOCK, STRETCH = 64, 256
 PRECISION = 0.98
 _LOCAL = "[A-Za-z0-9._%+-]"
 BASE = {
@@ -75,8 +76,13 @@ def _passes(kind: str, s: Column) -> Column:
     return F.lit(True)
 
 
+def _bound(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _blocks(items: Column, size: int = BLOCK) -> Column:
-    """An array cut into runs of size; an empty one has none."""
+    """An array (a column or bound: it is named for each run) cut into runs of size; an empty one has none."""
     starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(size)), lambda i: i <= F.size(items))
     return F.transform(starts, lambda i: F.slice(items, i, F.lit(size)))
 
@@ -102,17 +108,28 @@ def find(text: Column, kind: str, pattern: str, hint: str) -> Column:
     def placed(blocks: Column) -> Column:
         """The places where blocks begin first, then the spans of each."""
         sums = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, block: F.concat(acc, F.array(F.aggregate(block, F.element_at(acc, -1), lambda t, z: t + length(z)))))
-        return F.get(F.transform(F.array(sums), lambda at: F.flatten(F.transform(blocks, lambda block, i: walk(F.get(at, i), block)))), F.lit(0))
+        return _bound(sums, lambda at: F.flatten(F.transform(blocks, lambda block, i: walk(F.get(at, i), block))))
 
-    spans = F.get(F.transform(F.array(_blocks(both, 8 * BLOCK)), placed), F.lit(0))
+    spans = _bound(both, lambda items: _bound(_blocks(items, 8 * BLOCK), placed))
     return F.when(text.rlike(hint), spans).otherwise(F.array().cast(SPAN))
 
 
-def features(span: Column, text: Column) -> list[Column]:
-    """Format and context features of a proposed span."""
+def stretches(text: Column) -> Column:
+    """A text cut into stretches of STRETCH code points, in one pass: what is around a place is found without a scan from the start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))
+
+
+def _around(cut: Column, start: Column, n: Column) -> Column:
+    """n code points (STRETCH at most) of a text cut into stretches, from a place counted from 0."""
+    i = F.floor(start / STRETCH).cast("int")
+    return F.substring(F.concat(F.coalesce(F.get(cut, i), F.lit("")), F.coalesce(F.get(cut, i + 1), F.lit(""))), start - i * STRETCH + 1, n)
+
+
+def features(span: Column, cut: Column) -> list[Column]:
+    """Format and context features of a proposed span, its text in stretches."""
     piece, kind = span["piece"], span["rank"]
-    before = F.lower(F.substring(text, F.greatest(span["start"] - 23, F.lit(1)), F.least(span["start"], F.lit(24))))
-    after = F.substring(text, span["end"] + 1, F.lit(2))
+    before = F.lower(_around(cut, F.greatest(span["start"] - 24, F.lit(0)), F.least(span["start"], F.lit(24))))
+    after = _around(cut, span["end"], F.lit(2))
     digits = _digits(piece)
     flag = lambda c: c.cast("double")
     return [
@@ -183,7 +200,7 @@ def model(spark: SparkSession) -> tuple[Boosted, tuple[float, ...]]:
     """The trees and a threshold for each kind; fitted once per process, always on the same rows."""
     if "model" not in _fitted:
         rows = training_rows(spark).withColumn("span", F.explode(proposals(F.col("text")))).where("span.rank = k").orderBy("id", "span.start")
-        got = rows.select("label", F.array(*features(F.col("span"), F.col("text"))).alias("x")).collect()
+        got = rows.select("label", F.array(*features(F.col("span"), stretches(F.col("text")))).alias("x")).collect()
         x, y = np.array([r["x"] for r in got]), np.array([r["label"] for r in got])
         trees = fit(x, y)
         held = np.arange(len(y)) % 5 == 3  # rows that neither the trees nor their calibration have seen
@@ -201,31 +218,32 @@ def _base(text: Column, kind: str) -> Column:
 
 
 def _clear(items: Column, others: Column, hit) -> Column:
-    """The items that no other hits, both in order of start: a block of neighbours looks only at the others that meet its stretch."""
-
-    def one(block: Column) -> Column:
-        low, high = F.array_min(F.transform(block, lambda s: s["start"])), F.array_max(F.transform(block, lambda s: s["end"]))
-        return F.get(F.transform(F.array(F.struct(low.alias("start"), high.alias("end"))), lambda stretch: F.get(F.transform(F.array(F.filter(others, lambda o: _meet(o, stretch))), lambda near: F.filter(block, lambda s: ~F.exists(near, lambda o: hit(s, o)))), F.lit(0))), F.lit(0))
-
-    return F.flatten(F.transform(_blocks(items), one))
+    """The items that no other hits, both in order of start: a block of neighbours looks only into the blocks of others that meet its stretch."""
+    stretch = lambda block: (F.array_min(F.transform(block, lambda s: s["start"])).alias("start"), F.array_max(F.transform(block, lambda s: s["end"])).alias("end"))
+    near = lambda grouped, on: F.flatten(F.transform(F.filter(grouped, lambda g: _meet(g, on)), lambda g: F.filter(g["items"], lambda o: _meet(o, on))))
+    left = lambda block, found: F.filter(block, lambda s: ~F.exists(found, lambda o: hit(s, o)))
+    one = lambda grouped: lambda block: _bound(F.struct(*stretch(block)), lambda on: _bound(near(grouped, on), lambda found: left(block, found)))
+    grouped_ = F.transform(_blocks(others), lambda b: F.struct(*stretch(b), b.alias("items")))
+    return _bound(grouped_, lambda grouped: F.flatten(F.transform(_blocks(items), one(grouped))))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """docs with base and spans: arrays of (start, rank, kind, end, piece), sorted by start, then kind."""
     trees, cuts = model(docs.sparkSession)
     docs = docs.drop("base", "spans")
-    text, more, scored = apart(docs, "whole", "more", "scored")
+    text, more, scored, cut = apart(docs, "whole", "more", "scored", "cut")
     out = docs.withColumn(text, F.coalesce(F.col("text"), F.lit("")))
     base = F.concat(*[_base(F.col(text), k) for k in KINDS])
     out = out.withColumn("base", F.array_sort(base)).withColumn(more, F.array_sort(proposals(F.col(text))))
     out = out.withColumn(more, F.when(F.size(more) > 0, _clear(F.col(more), F.col("base"), _meet)))
+    out = out.withColumn(cut, F.when(F.size(more) > 0, stretches(F.col(text))))
     level = lambda s: reduce(lambda c, k: c.when(s["rank"] == k, F.lit(cuts[k])), range(1, len(KINDS)), F.when(s["rank"] == 0, F.lit(cuts[0])))
-    likely = F.transform(more, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), trees.score(features(s, F.col(text))).alias("p"), s.alias("span")))
+    likely = F.transform(more, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), trees.score(features(s, F.col(cut))).alias("p"), s.alias("span")))
     out = out.withColumn(scored, F.when(F.size(more) > 0, F.filter(likely, lambda z: z["p"] >= level(z))))
     beats = lambda z, o: _meet(o, z) & ((o["p"] > z["p"]) | ((o["p"] == z["p"]) & (F.struct(o["start"], o["rank"]) < F.struct(z["start"], z["rank"]))))
     stays = F.when(F.size(scored) > 0, _clear(F.col(scored), F.col(scored), beats))
     added = F.coalesce(F.transform(stays, lambda z: z["span"]), F.array().cast(SPAN))
-    return out.withColumn("spans", F.array_sort(F.concat("base", added))).drop(text, more, scored)
+    return out.withColumn("spans", F.array_sort(F.concat("base", added))).drop(text, more, scored, cut)
 
 
 def redact(docs: DataFrame) -> DataFrame:
