@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, durable_parts, flat, forget, lean, lean_group, settle, table, width
+from .common import durable, durable_parts, flat, forget, inside, lean, lean_group, settle, table, width
 
 #: Different words of a chunk, at most (and those of one more batch); occurrences of a word that travel in one row.
 CHUNK_WORDS, TOGETHER = 1 << 19, 1 << 12
@@ -285,9 +285,11 @@ def encode_documents(docs: DataFrame, path: str, python_pattern: str = public_to
     """docs with ids; without text, where that isn't kept."""
     bpe, spark = Bpe(path, python_pattern), docs.sparkSession
     docs = docs.drop("ids")
-    kept = [c for c in docs.columns if keep_text or c != "text"]
+    own = inside(docs, "text")
+    text = own.columns.index("text")
+    kept = [i for i in range(len(own.columns)) if keep_text or i != text]
     # own names inside, so that no column of docs can clash
-    inner = docs.select(F.col("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])
+    inner = own.select(F.col("text"), *[F.col(own.columns[i]).alias(f"c{k}") for k, i in enumerate(kept)])
     targets = width(spark)
     numbered, listed = _coded(inner, bpe.words(F.col("text")), 8 * targets)
     settle(spark)
@@ -334,10 +336,10 @@ def encode_documents(docs: DataFrame, path: str, python_pattern: str = public_to
             yield pa.RecordBatch.from_arrays([pa.array(chunk[cut]), _packed(_steps(place, runs), runs), _packed(lens, runs), _packed(each, ends[runs])], ["chunk", "places", "lens", "ids"])
 
     dealt = folded.mapInArrow(lean(deal), "chunk long, places binary, lens binary, ids binary")
-    inside = [f"c{i}" for i in range(len(kept))]
-    kinds = [docs.schema[c].dataType.simpleString() for c in kept]
-    left = numbered.select("chunk", F.lit(1).alias("side"), *inside, "numbers", *[F.lit(None).cast("binary").alias(c) for c in ("places", "lens", "ids")])
-    right = dealt.select("chunk", F.lit(0).alias("side"), *[F.lit(None).cast(k).alias(c) for c, k in zip(inside, kinds)], F.lit(None).cast("binary").alias("numbers"), "places", "lens", "ids")
+    names = [f"c{k}" for k in range(len(kept))]
+    kinds = [docs.schema[i].dataType.simpleString() for i in kept]
+    left = numbered.select("chunk", F.lit(1).alias("side"), *names, "numbers", *[F.lit(None).cast("binary").alias(c) for c in ("places", "lens", "ids")])
+    right = dealt.select("chunk", F.lit(0).alias("side"), *[F.lit(None).cast(k).alias(c) for c, k in zip(names, kinds)], F.lit(None).cast("binary").alias("numbers"), "places", "lens", "ids")
 
     def assemble(batches):
         now, held, heads, lens, values = None, [], None, None, None
@@ -362,11 +364,11 @@ def encode_documents(docs: DataFrame, path: str, python_pattern: str = public_to
                     ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
                     out = values[np.arange(ends[-1]) + np.repeat(heads[number] - ends[:-1], n)]
                     rows = pa.ListArray.from_arrays(pa.array(ends[at].astype(np.int32)), pa.array(out, pa.int32()))
-                    yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, min(512, hi - i)) for c in inside), rows], [*inside, "ids"])
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, min(512, hi - i)) for c in names), rows], [*names, "ids"])
 
     both = left.unionByName(right).repartition(targets, "chunk").sortWithinPartitions("chunk", "side")
-    out = both.mapInArrow(lean(assemble), ", ".join([*(f"{c} {k}" for c, k in zip(inside, kinds)), "ids array<int>"]))
-    return out.toDF(*kept, "ids")
+    out = both.mapInArrow(lean(assemble), ", ".join([*(f"{c} {k}" for c, k in zip(names, kinds)), "ids array<int>"]))
+    return out.toDF(*[docs.columns[i] for i in kept], "ids")
 
 
 def _is_text(raw: bytes) -> bool:

@@ -5,7 +5,7 @@ that order with distributed prefix sums (totals of key ranges first, then rows i
 its exact budget. A budget beyond the source's size repeats whole epochs.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; rows that share an id keep
-the order of their texts' sizes; rows without an id are keyed by their text, so that they spread over the key ranges; a very
+the order of their texts' sizes (where they are very many, one that their places in the input give); rows without an id are keyed by their text, so that they spread over the key ranges; a very
 long text is counted whole and may be cut anywhere between two words; an empty table gives an empty mix; columns of any
 other name are not read, and mix_documents returns them as they are, whatever they are called.
 """
@@ -16,11 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, apart, durable, table, width
+from .common import WORD, durable, inside, table, width
 
 WEIGHTS = (5, 2, 1)
-#: Rows of a key range that is summed up in one piece.
-RANGE_ROWS = 4096
+#: Rows of a key range that is summed up in one piece; a range of CROWDED times as many is dealt over several.
+RANGE_ROWS, CROWDED = 4096, 4
 
 
 def text_size(text: Column) -> Column:
@@ -72,11 +72,18 @@ def mix_sources(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: f
     keyed = rows.withColumn("same", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")))
     small = targets.withColumn("same", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))).select("same", "source_size", "target", ranges.alias("ranges"))
     keyed = keyed.join(small, "same").withColumn("bucket", bucket)
-    totals = keyed.groupBy("same", "bucket").agg(F.sum("size").alias("inside"))
-    run = Window.partitionBy("same").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # rows of one key share a range, however many; where that crowds it, its rows are dealt over several
+    counted = durable(keyed.groupBy("same", "bucket").agg(F.count("*").alias("m")).where(F.col("m") > CROWDED * RANGE_ROWS), "crowded")
+    if counted.isEmpty():
+        keyed = keyed.withColumn("part", F.lit(0))
+    else:
+        salted = keyed.withColumn("salt", F.monotonically_increasing_id()).join(counted, ["same", "bucket"], "left")
+        keyed = salted.withColumn("part", F.coalesce(F.pmod(F.xxhash64("key", "salt"), F.ceil(F.col("m") / RANGE_ROWS)), F.lit(0)).cast("int")).drop("salt", "m")
+    totals = keyed.groupBy("same", "bucket", "part").agg(F.sum("size").alias("inside"))
+    run = Window.partitionBy("same").orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("before", F.coalesce(F.sum("inside").over(run), F.lit(0))).drop("inside")
-    inner = Window.partitionBy("same", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    summed = keyed.withColumn("upto", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(totals, ["same", "bucket"])
+    inner = Window.partitionBy("same", "bucket", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    summed = keyed.withColumn("upto", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(totals, ["same", "bucket", "part"])
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.floor(F.col("target")) - whole * F.col("source_size")
     first = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before") - F.col("upto")))
@@ -88,18 +95,17 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
     The columns of docs (doc_id, source and text among them) stay as they are; a cut text's words are joined by one space.
     """
-    row, size, epochs, first, whole = apart(docs, "row", "size", "epochs", "first", "whole")
-    rows = durable(docs.withColumns({row: F.monotonically_increasing_id(), size: text_size(F.col("text"))}), "mixrows")
-    sized = rows.select("doc_id", "source", F.col(size).alias("size"), F.xxhash64("text").alias("tie"), F.col(row).alias("row"))
-    taken = mix_sources(sized, keep=("row",), **options).where("epochs > 0 or first > 0")
-    taken = taken.select(F.col("row").alias(row), F.col("epochs").alias(epochs), F.col("first").alias(first))
-    cut = F.concat_ws(" ", F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col(first).cast("int")))
-    copies = F.concat(F.array_repeat(F.lit(True), F.col(epochs)), F.when(F.col(first) > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
-    out = rows.join(taken, row).withColumn(whole, F.explode(copies))
-    out = out.withColumn("text", F.when(F.col(whole) | (F.col(first) >= F.col(size)), F.col("text")).otherwise(cut))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+    own = inside(docs, "doc_id", "source", "text", "n_chars")
+    rows = durable(own.withColumns({"row": F.monotonically_increasing_id(), "size": text_size(F.col("text"))}), "mixrows")
+    sized = rows.select("doc_id", "source", "size", F.xxhash64("text").alias("tie"), "row")
+    taken = mix_sources(sized, keep=("row",), **options).where("epochs > 0 or first > 0").select("row", "epochs", "first")
+    cut = F.concat_ws(" ", F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("first").cast("int")))
+    copies = F.concat(F.array_repeat(F.lit(True), F.col("epochs")), F.when(F.col("first") > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
+    out = rows.join(taken, "row").withColumn("whole", F.explode(copies))
+    out = out.withColumn("text", F.when(F.col("whole") | (F.col("first") >= F.col("size")), F.col("text")).otherwise(cut))
+    if "n_chars" in own.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(own.schema["n_chars"].dataType))
+    return out.select(*own.columns).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

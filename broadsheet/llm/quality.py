@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import apart, flat, lean, mix, spans, table
+from .common import flat, inside, lean, mix, spans, table
 
 SLOTS, DIM, NONZERO, WINDOW = 1 << 15, 64, 6, 2
 SAMPLE_PER_CLASS = 2000
@@ -222,23 +222,23 @@ def _pooled(b: pa.RecordBatch, vectors: np.ndarray) -> np.ndarray:
 def score(docs: DataFrame, vectors: np.ndarray, network: Network, name: str = "score") -> DataFrame:
     """docs with a score under the name given. Vectors and network are of a fixed size and go to the executors as one broadcast variable."""
     shared = docs.sparkSession.sparkContext.broadcast((vectors, network))
-    inside = [f"c{i}" for i in range(len(docs.columns))]
-    text = inside[docs.columns.index("text")]
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text = names[docs.columns.index("text")]
 
     def scores(batches):
         words, net = shared.value
         for b in batches:
-            found = net.probability(_pooled(b.rename_columns(["text" if c == text else c for c in inside]), words))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], [*inside, "score"])
+            found = net.probability(_pooled(b.rename_columns(["text" if c == text else c for c in names]), words))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], [*names, "score"])
 
-    kinds = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(inside, docs.schema))
-    return docs.toDF(*inside).mapInArrow(lean(scores), f"{kinds}, score double").toDF(*docs.columns, name)
+    kinds = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(names, docs.schema))
+    return docs.toDF(*names).mapInArrow(lean(scores), f"{kinds}, score double").toDF(*docs.columns, name)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents that are not rejected, with their own columns."""
-    (name,) = apart(docs, "score")
-    return score(docs, *fit(docs, labels), name).where(F.col(name) >= least).drop(name)
+    own = inside(docs, "doc_id", "text")
+    return score(own, *fit(own, labels)).where(F.col("score") >= least).drop("score").toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
