@@ -7,6 +7,9 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -45,14 +48,56 @@ def apart(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def inside(df: DataFrame, *own: str) -> DataFrame:
+    """df with the columns named in own under these names, the others under numbers: so no name of a caller can clash or need quotes. toDF(*df.columns) undoes it."""
+    named = {}
+    for name in own:
+        same = [i for i, c in enumerate(df.columns) if c.lower() == name]
+        if same:
+            named[next((i for i in same if df.columns[i] == name), same[0])] = name
+    return df.toDF(*[named.get(i, f"c{i}") for i in range(len(df.columns))])
+
+
+#: Tables written in the scopes that are open, innermost last.
+_open: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("open", default=())
+
+
+@contextmanager
+def collected() -> Iterator[list[DataFrame]]:
+    """A scope that lists the durable tables which are written inside."""
+    made: list[DataFrame] = []
+    token = _open.set((*_open.get(), made))
+    try:
+        yield made
+    finally:
+        _open.reset(token)
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """A scope at whose end the durable tables that were written inside go, but for those put on the list that it gives; these pass to the scope around it."""
+    kept: list[DataFrame] = []
+    with collected() as made:
+        yield kept
+    names = {df._durable_path for df in kept}
+    forget(*[df for df in made if df._durable_path not in names])
+    if around := _open.get():
+        around[-1].extend(kept)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df._durable_path = path
+    if around := _open.get():
+        around[-1].append(df)
+    return df
+
+
 def durable(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """df as a written table: it is computed once, cuts the lineage and outlives a lost executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._durable_path = path
-    return out
+    return _written(spark.read.schema(df.schema).parquet(path), path)
 
 
 def durable_parts(df: DataFrame, mark, name: str) -> tuple[DataFrame, DataFrame]:
@@ -64,9 +109,7 @@ def durable_parts(df: DataFrame, mark, name: str) -> tuple[DataFrame, DataFrame]
     for part in (0, 1):
         folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part={part}")
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)  # a part without rows has no folder yet
-        one = spark.read.schema(df.schema).parquet(f"{path}/part={part}")
-        one._durable_path = f"{path}/part={part}"
-        out.append(one)
+        out.append(_written(spark.read.schema(df.schema).parquet(f"{path}/part={part}"), f"{path}/part={part}"))
     return out[0], out[1]
 
 
@@ -87,6 +130,7 @@ def settle(spark: SparkSession) -> None:
         gc.collect()
         spark._jvm.System.gc()
         time.sleep(0.3)
+    _give_back()
 
 
 def lean(task):

@@ -23,7 +23,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -118,16 +117,16 @@ def likeness(a: str, b: str) -> float:
     return 0.0
 
 
-@F.pandas_udf(StringType())
-def fingerprints(text: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def fingerprints(text: pa.Array) -> pa.Array:
     """Fingerprint of each text, as a column."""
-    return text.map(fingerprint, na_action=None)
+    return pa.array([fingerprint(x) for x in text.to_pylist()], pa.string())
 
 
-@F.pandas_udf(DoubleType())
-def fingerprint_likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+@F.arrow_udf(DoubleType())
+def fingerprint_likeness(a: pa.Array, b: pa.Array) -> pa.Array:
     """Likeness of two columns of fingerprints."""
-    return pd.Series([likeness(x, y) for x, y in zip(a, b)])
+    return pa.array([likeness(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
 
 def edit(text: str, after: str) -> str:

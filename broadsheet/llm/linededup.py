@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import apart, durable, flat, spans, table
+from .common import apart, durable, flat, inside, scratch, spans, table
 from .setjoin import Units, crowded, families, link, rest, stars, survey
 from .words import STEP, shingles, word_hashes
 
@@ -74,40 +74,43 @@ def repeated_lines(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> D
         row = pa.array(found["row"])
         return [b.column("__id").take(row), b.column("__text").take(row), pa.array(found["line"].astype(np.int32))]
 
-    surveyed = survey(keyed, read, extra, more, signed=False)
-    lines = surveyed.where("piece is null").select("id", "h", "line", "c")
-    classes = durable(lines.groupBy("c").agg(F.min(F.struct("id", "h", "line")).alias("first"), F.count("*").alias("m")), "lineclasses")
-    members, sets_ = link(keyed.select("text"), read, surveyed, classes, percent, small=True)
-    order = durable(members.select("c", "first").distinct(), "order")
-
-    def later(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(order.toDF("a", "fa"), "a").join(order.toDF("b", "fb"), "b")
-        return both.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("c")).distinct()
-
-    pairs = sets_.may(stars(members, percent))
-    sets_.fetch(pairs)
-    gone = durable(later(sets_.exact(pairs)), "gone")
-    # in tiles of three and more, who hasn't gone, but for the first member, still meets everyone before it: first the
-    # likeliest one, which settles nearly all, then all
-    crowd = durable(crowded(members), "crowd")
-    for best in (True, False):
-        state = crowd.join(gone.withColumn("gone", F.lit(True)), "c", "left").withColumn("open", F.col("gone").isNull())
-        heads = crowd.groupBy("t").agg(F.min(F.struct("first", "c")).alias("head"))
-        waiting = state.where("open").join(heads, "t").where("c <> head.c").select("t").distinct()
-        waiting = durable(state.join(waiting, "t").drop("gone"), "waiting")
-        if waiting.isEmpty():
-            break
-        others = rest(families(waiting), sets_.signs, percent, best=best)
-        sets_.fetch(others)
-        gone = durable(gone.unionByName(later(sets_.exact(others))).distinct(), "gone")
-    gone = gone.withColumn("gone", F.lit(True))
-    known = durable(classes.join(gone, "c", "left").where("m > 1 or gone").select("c", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "known")
-    out = lines.join(known, "c").where(F.col("gone") | (F.struct("id", "h", "line") > F.col("first")))
-    return durable(out.groupBy(F.col("id").alias("__id"), F.col("h").alias("__text")).agg(F.collect_set("line").alias("gone")), "gonelines")
+    with scratch() as kept:
+        surveyed = survey(keyed, read, extra, more, signed=False)
+        lines = surveyed.where("piece is null").select("id", "h", "line", "c")
+        classes = durable(lines.groupBy("c").agg(F.min(F.struct("id", "h", "line")).alias("first"), F.count("*").alias("m")), "lineclasses")
+        members, sets_ = link(keyed.select("text"), read, surveyed, classes, percent, small=True)
+        order = durable(members.select("c", "first").distinct(), "order")
+
+        def later(pairs: DataFrame) -> DataFrame:
+            both = pairs.join(order.toDF("a", "fa"), "a").join(order.toDF("b", "fb"), "b")
+            return both.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("c")).distinct()
+
+        pairs = sets_.may(stars(members, percent))
+        sets_.fetch(pairs)
+        gone = durable(later(sets_.exact(pairs)), "gone")
+        # in tiles of three and more, who hasn't gone, but for the first member, still meets everyone before it: first the
+        # likeliest one, which settles nearly all, then all
+        crowd = durable(crowded(members), "crowd")
+        for best in (True, False):
+            state = crowd.join(gone.withColumn("gone", F.lit(True)), "c", "left").withColumn("open", F.col("gone").isNull())
+            heads = crowd.groupBy("t").agg(F.min(F.struct("first", "c")).alias("head"))
+            waiting = state.where("open").join(heads, "t").where("c <> head.c").select("t").distinct()
+            waiting = durable(state.join(waiting, "t").drop("gone"), "waiting")
+            if waiting.isEmpty():
+                break
+            others = rest(families(waiting), sets_.signs, percent, best=best)
+            sets_.fetch(others)
+            gone = durable(gone.unionByName(later(sets_.exact(others))).distinct(), "gone")
+        gone = gone.withColumn("gone", F.lit(True))
+        known = durable(classes.join(gone, "c", "left").where("m > 1 or gone").select("c", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "known")
+        out = lines.join(known, "c").where(F.col("gone") | (F.struct("id", "h", "line") > F.col("first")))
+        found = durable(out.groupBy(F.col("id").alias("__id"), F.col("h").alias("__text")).agg(F.collect_set("line").alias("gone")), "gonelines")
+        kept.append(found)
+    return found
 
 
 def drop_lines(docs: DataFrame, gone: DataFrame, n_lines: str, n_gone: str) -> DataFrame:
-    """docs with what is left of text, and the numbers of all lines and of those gone, under the names given."""
+    """docs (from inside()) with what is left of text, and the numbers of all lines and of those gone, under the names given."""
     id_, text, out_ = apart(docs, "id", "hash", "gone")
     # hashing the small side spares sorting the texts; its keys are unique, so a partition holds its share of it and no more
     out = _keyed(docs, id_, text).join(gone.toDF(id_, text, out_).hint("shuffle_hash"), [id_, text], "left")
@@ -119,13 +122,14 @@ def drop_lines(docs: DataFrame, gone: DataFrame, n_lines: str, n_gone: str) -> D
     out = out.withColumn("text", F.when(F.col(out_).isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*[f"`{c}`" for c in docs.columns], n_lines, n_gone)
+    return out.select(*docs.columns, n_lines, n_gone)
 
 
 def dedup_lines(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs without their repeated lines."""
-    gone = repeated_lines(docs.select("doc_id", "text"), k, percent)
-    return drop_lines(docs, gone, *apart(docs, "n_lines", "n_gone")).select(*[f"`{c}`" for c in docs.columns])
+    own = inside(docs, "doc_id", "text", "n_chars")
+    gone = repeated_lines(own.select("doc_id", "text"), k, percent)
+    return drop_lines(own, gone, "n_lines", "n_gone").drop("n_lines", "n_gone").toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, durable, flat, spans, table
+from .common import WORD, durable, flat, inside, scratch, spans, table
 from .setjoin import Units, link, linked_components, survey
 from .words import STEP, shingles, word_hashes
 
@@ -42,17 +42,27 @@ def document_units(k: int):
     return read
 
 
+def _grouped(docs: DataFrame, keys: list[str], k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """docs(keys, long numbers; text) -> the rows with words (keys, n, c), and the classes of equal sets (c, g, first): the group that links make, and the least keys."""
+    read = document_units(k)
+    with scratch() as kept:
+        surveyed = survey(docs, read, {x: pa.int64() for x in keys}, lambda b, found: [b.column(x).take(pa.array(found["row"])) for x in keys])
+        rows = durable(surveyed.where("piece is null").select(*keys, "n", "c"), "rows")
+        first = F.min(keys[0]) if len(keys) == 1 else F.min(F.struct(*keys))
+        classes = durable(rows.groupBy("c").agg(first.alias("first")), "classes")
+        named = linked_components(*link(docs.select("text"), read, surveyed, classes, percent), percent)
+        groups = durable(classes.join(named, "c", "left").select("c", F.coalesce("component", "c").alias("g"), "first"), "groups")
+        kept += [rows, groups]
+    return rows, groups
+
+
 def near_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id: groups of documents with Jaccard of percent/100 or more, chained."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    read = document_units(k)
-    surveyed = survey(docs, read, {"doc_id": pa.int64()}, lambda b, found: [b.column("doc_id").take(pa.array(found["row"]))])
+    told, groups = _grouped(docs, ["doc_id"], k, percent)
     none = docs.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False))).select("doc_id", F.lit(0).alias("n"), F.lit(None).cast("long").alias("c"))
-    rows = surveyed.where("piece is null").select("doc_id", "n", "c").unionByName(none)
-    classes = durable(rows.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("first")), "classes")
-    named = linked_components(*link(docs.select("text"), read, surveyed, classes, percent), percent)
+    rows = told.unionByName(none)
     # ids that stand in several classes tie these together
-    groups = durable(classes.join(named, "c", "left").select("c", F.coalesce("component", "c").alias("g"), "first"), "groups")
     ids = rows.where("doc_id is not null and c is not null").select("doc_id", "c").distinct()
     shared = ids.groupBy("doc_id").agg(F.count("*").alias("m"), F.min("c").alias("least")).where("m > 1")
     if not shared.isEmpty():
@@ -69,15 +79,25 @@ def near_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
 
 
 def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each group, the one of the least id; of repeated rows one stays. Rows without an id stay."""
-    groups = durable(near_groups(docs, k, percent), "neargroups")
-    kept = docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
-    n, ids = groups.where("doc_id is not null").agg(F.count("*"), F.count_distinct("doc_id")).first()
-    if n > ids:
-        kept = kept.dropDuplicates(["doc_id"])
-    if not groups.where("doc_id is null").isEmpty():
-        kept = kept.unionByName(docs.where("doc_id is null"))
-    return kept.select(*docs.columns)
+    """docs with one row of each group of near-equal texts: that of the least id, then of the least hash of its text and of its other columns.
+
+    Groups are of texts, so rows that share an id but not their texts are apart; equal rows are one group. Rows without an
+    id stay, and so do texts without words, one row of those that are equal in all columns.
+    """
+    own = inside(docs, "doc_id", "text")
+    id_ = F.col("doc_id").cast("long")
+    others = [c for c, t in own.dtypes if c != "text" and not t.startswith("map")]
+    keyed = own.withColumns({"id": id_, "text_hash": F.xxhash64("text"), "row_hash": F.xxhash64(*others)})
+    # map-like columns can't be hashed: rows that differ in them alone are taken as equal
+    keys = ["id", "text_hash", "row_hash"]
+    named = id_.isNotNull() & F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    told, groups = _grouped(keyed.where(named).select(*keys, "text"), keys, k, percent)
+    kept = durable(groups.groupBy("g").agg(F.min("first").alias("first")).select("first.*"), "kept")
+    out = keyed.where(named).join(kept, keys, "left_semi")
+    if told.join(kept, keys, "left_semi").count() > kept.count():
+        out = out.dropDuplicates(keys)
+    wordless = keyed.where(id_.isNotNull() & ~named).dropDuplicates(keys)
+    return out.unionByName(wordless).unionByName(keyed.where(id_.isNull())).drop(*keys).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

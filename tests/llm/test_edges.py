@@ -211,3 +211,62 @@ def test_lines_in_a_hot_group(spark):
         rows.append((i, " ".join(w)))
     got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == helpers.kept_lines(rows)
+
+
+# column names that need quotes
+
+
+def test_dotted_and_quoted_names(spark):
+    import public_tokenizers
+
+    rows = [(i, f"w{i} x y z a b c", "s", 3, 1.5, "p", "q", "r") for i in range(6)] + [(1, "another text of its own here", "s", 3, 1.5, "p", "q", "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, `a.b` double, `A.B` string, `c``d` string, `Text` string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 5)], "doc_id long, quality int")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    stages = [quality.keep_good(docs, labels, 0.0), linededup.dedup_lines(docs), ngram.keep_one(docs), mixing.mix_documents(docs)]
+    for out in stages:
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        assert {tuple(r)[4:] for r in out.collect()} == {(1.5, "p", "q", "r")}
+    coded = bpe.encode_documents(docs, path)
+    assert coded.columns == [*docs.columns, "ids"] and coded.count() == len(rows)
+
+
+# 2
+
+
+def test_rows_that_share_an_id_but_not_a_text_stay(spark):
+    rows = [(1, "one text that is its own", "a"), (1, "quite another with the same id", "b"), (1, "one text that is its own", "z"), (2, "One text that is its own", "a"), (3, "quite another with the same id", "b"), (3, "", "a"), (3, "", "a")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [sorted(tuple(r) for r in ngram.keep_one(d.repartition(n)).collect()) for n in (1, 3, 5)]
+    assert got[0] == got[1] == got[2]
+    assert [r[:2] for r in got[0]] == [(1, "one text that is its own"), (1, "quite another with the same id"), (3, "")]
+
+
+def test_equal_rows_leave_one(spark):
+    d = spark.createDataFrame([(5, "the very same row again", "a")] * 400 + [(6, "the very same row Again", "a")], "doc_id long, text string, source string")
+    assert [tuple(r) for r in ngram.keep_one(d).collect()] == [(5, "the very same row again", "a")]
+
+
+# 1
+
+
+def test_many_rows_of_one_id(spark):
+    d = spark.range(60_000).selectExpr("if(id < 50000, 7, id) as doc_id", "'s' as source", "cast(id % 3 as long) as size")
+    out = mixing.mix_sources(d)
+    got = out.agg(F.sum("taken").alias("t"), F.max("target").alias("g"), F.count("*").alias("n"), F.count_if(F.expr("taken > 2 * size")).alias("over")).first()
+    assert (got["t"], got["n"], got["over"]) == (int(got["g"]), 60_000, 0)
+
+
+# 3
+
+
+def test_spans_take_time_in_proportion(spark):
+    def seconds(n):
+        text = " ".join(f"mail me: john.d{i} [at] shop [dot] org now a{i}@b.cd" for i in range(n))
+        d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        assert len(pii.find_pii(d).first()["spans"]) == 2 * n
+        return time.time() - began
+
+    seconds(100)
+    assert seconds(16_000) < 2.5 * seconds(8_000)

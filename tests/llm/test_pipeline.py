@@ -65,3 +65,24 @@ def test_bpe_stage(steps):
 
 def test_run_is_the_stages(spark, small, steps):
     assert corpus_pipeline.run(spark, small).count() == steps[-1].count()
+
+
+def test_odd_rows_through_all_stages(spark, tmp_path):
+    """Null ids and texts, empty texts, equal rows, ids with two texts, other columns: what the docstring says."""
+    rows = [(i, f"a sentence number {i} with words that make it its own", "en", "s", 1, 0.5) for i in range(30)]
+    rows += [(None, "no id here at all but words", None, None, None, None), (7, None, "en", "s", 0, 0.5), (8, "", "en", "s", 0, 0.5), (3, rows[3][1], "en", "s", 1, 0.5), (3, "the same id with quite another text", "en", "s", 1, 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `x.y` double")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = durable(stage(spark, now, str(tmp_path)), "odd")
+        assert now.columns == docs.columns, name
+        if name.startswith("n-gram"):
+            kept = now.collect()
+            assert sum(r["doc_id"] == 3 for r in kept) == 2 and sum(r["doc_id"] is None for r in kept) == 1 and {7, 8} <= {r["doc_id"] for r in kept}
+    last = durable(corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)), "odd")
+    assert last.count() == now.count() and last.where("ids is null").isEmpty()
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
