@@ -11,7 +11,8 @@ from ..functions import dates, similarity, text, urls
 from ..operators import aggregates, blocks, candidates, contract, linkage, merge, search
 from ..sources.tables import BASE, NOW, now, stories, table
 from ..streaming import incremental
-from .queries import _AKEY, _COLLAPSE, _KEY, _STORY, _TS, _editions, query, stamp
+from .queries import _AKEY, _COLLAPSE, _KEY, _STORY, _TS, _editions, stamp
+from .registry import query
 
 #: The rules' words in the synthetic language: what its documents repeat stands for a publisher's furniture.
 _RULES = DEFAULT.with_(
@@ -179,10 +180,10 @@ def chosen_roots(spark: SparkSession, d: str) -> DataFrame:
     return candidates.choose_root(s.select("source", F.col("id").cast("string").alias("selector"), F.col("id").alias("priority"), (F.col("lang") == "en").alias("own"), score.alias("score")), "source")
 
 
-@query(f"""WITH {_STORY} SELECT id, recent, plain FROM (SELECT id, CASE WHEN h <= 12 THEN 1 ELSE 0 END AS recent, h, CASE WHEN len(paragraphs) < 4 THEN 1 ELSE 0 END AS plain FROM (SELECT *, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(published)) / 3600000000.0 AS h FROM story WHERE source <> 'src3')) ORDER BY recent DESC, h, plain DESC, id LIMIT 36""")
+@query(f"""WITH {_STORY} SELECT id, recent, plain FROM (SELECT id, CASE WHEN h <= 12 THEN 1 ELSE 0 END AS recent, h, CASE WHEN len(paragraphs) < 4 THEN 1 ELSE 0 END AS plain FROM (SELECT *, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(published)) / 3600000000.0 AS h FROM story)) ORDER BY recent DESC, h, plain DESC, id LIMIT 36""")
 def work_queue(spark: SparkSession, d: str) -> DataFrame:
     """T5: what a pass should do first."""
-    s = stories(spark, d).where("source <> 'src3'")
+    s = stories(spark, d)
     return candidates.work_queue(s, now(), 12, F.size("paragraphs") < 4, 36).select("id", "recent", "plain")
 
 

@@ -1,4 +1,4 @@
-"""The engine's queries over the given tables: name -> (callable, SQL of the same meaning or None)."""
+"""Queries over the given tables, with SQL of the same meaning where there is some."""
 
 from __future__ import annotations
 
@@ -10,23 +10,12 @@ from ..functions import dates, scores, similarity, text, urls
 from ..operators import aggregates, audit, blocks, cluster, filters, linkage, merge, search, windows
 from ..sources import feeds, html
 from ..sources.tables import BASE, NOW, now, stories, table
+from .registry import ORACLES, QUERIES, query  # noqa: F401  (the tables are read from here)
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
 #: Events end on 2024-01-30.
 EVENTS_NOW = "2024-01-31 00:00:00"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def stamp(ts: Column | str) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
 
@@ -584,19 +573,6 @@ def rank_top(spark: SparkSession, d: str) -> DataFrame:
     return cluster.top_stories(c, now(), DEFAULT).select("cluster_id", "representative_id", "rank_score")
 
 
-@query()
-def story_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """The pairs of the time band that the predicate puts together, with their scores. A headline is a title's first twelve words."""
-    s = stories(spark, d).withColumn("title", F.array_join(F.slice(F.split(text.collapse("title"), " "), 1, 12), " "))
-    whole = F.concat_ws(" ", "title", "summary", F.array_join(F.slice("paragraphs", 1, 8), " "))
-    hashed = lambda t: F.transform(t, lambda x: F.xxhash64(x))
-    s = s.select(
-        "id", "source", "published", text.apostrophe_key("title").alias("title"), hashed(text.tokens(whole, DEFAULT.stopwords)).alias("tokens"), hashed(text.tokens("title", DEFAULT.stopwords)).alias("title_tokens"),
-        similarity.anchors(whole, DEFAULT.stopwords, DEFAULT.generic_name_words).alias("anchors"), similarity.event_dates(whole).alias("dates"), similarity.entities(F.concat_ws(" ", "title", "summary"), DEFAULT.local_terms).alias("entities"),
-    )
-    return similarity.same_events(s, DEFAULT.cluster_hours).select("a", "b", F.round("score", 6).alias("score"))
-
-
 @query("""WITH s AS (SELECT item_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS k, text FROM benchmark), d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS k FROM documents)
 SELECT s.item_id, d.doc_id FROM s JOIN d ON contains(d.k, s.k)""")
 def contamination_phrase_join(spark: SparkSession, d: str) -> DataFrame:
@@ -779,6 +755,3 @@ def anchored_images(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("paragraphs")
     return stories(spark, d).select("id", text.match_anchor(p, F.col("summary")).alias("at"), F.size(blocks.interleave(p, F.array(F.lit("a"), F.lit("b")))).alias("blocks"))
 
-
-
-from . import articles  # noqa: E402, F401  (registers more queries)
