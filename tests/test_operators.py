@@ -210,3 +210,18 @@ def test_nearest_title(spark):
     items = spark.createDataFrame([(1, "Council approves the new budget"), (2, "Fire"), (3, "Nothing like it")], "id int, title string")
     index = spark.createDataFrame([(10, "Council approves the new budgets"), (11, "Council approves a budget"), (12, "fire!")], "ref int, title string")
     assert {(r["id"], r["ref"]) for r in linkage.nearest_title(items, index).collect()} == {(1, 10), (2, 12)}
+
+
+def test_expired_parts_stay_empty(spark, tmp_path):
+    """A part whose rows have all passed the horizon is empty from then on, and fills again with new rows."""
+    state = Snapshot(spark, f"{tmp_path}/s", parts=2)
+    rows = lambda *x: spark.createDataFrame(x, "id long, day int, text string")
+    old = [(i, 10, "old") for i in range(8)]
+    state.merge(rows(*old), 0, ["id"], ["day"])
+    assert state.read().count() == 8
+    state.merge(rows(*[(i, 5, "late") for i in range(8)]), 1, ["id"], ["day"], F.col("day") >= 20)
+    assert state.read() is None
+    state.merge(rows((3, 25, "new")), 2, ["id"], ["day"], F.col("day") >= 20)
+    assert [tuple(r) for r in state.read().select("id", "day", "text").collect()] == [(3, 25, "new")]
+    state.merge(rows((3, 26, "replayed")), 2, ["id"], ["day"])
+    assert state.read().first()["text"] == "new"
