@@ -165,12 +165,18 @@ def _by_automata(parts: DataFrame, asks: DataFrame) -> DataFrame:
     return held.unionByName(scanned).groupBy("shard").applyInArrow(lean_group(_scan), _PAIRS)
 
 
-def shortened(rest: str) -> tuple[np.ndarray, np.uint64]:
-    """Hashes of what each deletion of a code point leaves, and of the whole."""
-    codes = np.frombuffer(rest.encode("utf-32-le"), np.uint32).astype(np.uint64)
+def shortened(rests: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of several strings: hashes of what each deletion of a code point leaves, with the string's number and the place, and the hash of each whole."""
+    codes = np.frombuffer("".join(rests).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    lens = np.array([len(x) for x in rests], np.int64)
+    end = np.cumsum(lens)
+    start, which, at = end - lens, np.repeat(np.arange(len(rests)), lens), np.arange(len(codes))
     sums = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(mix(codes + np.uint64(1)) * powers(len(codes) + 1)[: len(codes)], out=sums[1:])
-    return sums[:-1] + (sums[-1] - sums[1:]) * powers(2, INVERSE)[1], sums[-1]
+    back = powers(len(codes) + 2, INVERSE)
+    low, high = sums[start[which]], sums[end[which]]
+    less = (sums[at] - low + (high - sums[at + 1]) * back[1]) * back[start[which]]
+    return less, which, at - start[which], (sums[end] - sums[start]) * back[start]
 
 
 REPLACED, LONGER, SHORTER = 0, 1, 2
@@ -182,14 +188,18 @@ def _shortenings(held: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for kind, seg, word, id_ in zip(*[b.column(c).to_pylist() for c in ("kind", "seg", "word", "id")]):
-                less, whole = shortened(word[len(seg) :] if kind == FIRST else word[: len(word) - len(seg)])
-                other = np.unique(less)
-                key = np.concatenate([less, other, np.array([whole], np.uint64)]).view(np.int64)
-                what = np.repeat([REPLACED, cut, wholes], [len(less), len(other), 1])
-                place = np.concatenate([np.arange(len(less)), np.full(len(other) + 1, -1)])
-                same = lambda v, t: pa.array([v] * len(key), t)
-                yield pa.RecordBatch.from_pydict({"kind": same(kind, pa.int32()), "seg": same(seg, pa.string()), "what": pa.array(what, pa.int32()), "place": pa.array(place, pa.int32()), "key": key, "id": same(id_, pa.int64())})
+            rows = zip(*[b.column(c).to_pylist() for c in ("kind", "seg", "word")])
+            rests = [word[len(seg) :] if kind == FIRST else word[: len(word) - len(seg)] for kind, seg, word in rows]
+            less, which, place, whole = shortened(rests)
+            order = np.lexsort((less, which))
+            other = order[np.concatenate([[True], (which[order][1:] != which[order][:-1]) | (less[order][1:] != less[order][:-1])])[: len(order)]]
+            n = [len(less), len(other), len(whole)]
+            row = pa.array(np.concatenate([which, which[other], np.arange(len(whole))]))
+            what = pa.array(np.repeat([REPLACED, cut, wholes], n), pa.int32())
+            at = pa.array(np.concatenate([place, np.full(n[1] + n[2], -1)]), pa.int32())
+            key = pa.array(np.concatenate([less, less[other], whole]).view(np.int64))
+            same = {c: b.column(c).take(row) for c in ("kind", "seg", "id")}
+            yield pa.RecordBatch.from_pydict({"kind": same["kind"], "seg": same["seg"], "what": what, "place": at, "key": key, "id": same["id"]})
 
     return run
 
