@@ -147,6 +147,15 @@ AUTHOR_TEXT = r"\b(?:author|byline|columnist|correspondent|headshot|journalist|r
 PROMO_URL_MARKERS = ("preferred-source", "preferred_source", "google-preferred", "newsletter", "signup", "subscribe")
 ADVERT_URL_MARKERS = ("/advert/", "/advertisement/", "/sponsored/", "doubleclick.net", "adservice")
 
+#: Selectors of an article's root in order, and words that name an element a module.
+GENERIC_ROOTS = ("[itemprop='articleBody']", "article .article-body", "article .article-content", "article .story-body", "article .entry-content", "article .post-content", "article", "main .article-body", "main .story-body", "main")
+MODULE_ATTRIBUTES = (
+    "advert", "advertisement", "advertising", "ad slot", "ad unit", "ad container", "sponsor", "sponsored", "promo", "promoted", "promotion",
+    "related", "related stories", "recommend", "recommended", "recommendation", "recirc", "recirculation", "read more", "more stories", "more news", "more from",
+    "trending", "most read", "most popular", "top stories", "outbrain", "taboola", "newsletter", "subscribe", "subscription", "sign up", "signup",
+    "social share", "share tools", "sharing", "comments", "comment module", "follow author", "author follow", "feedback", "error report", "paywall", "registration",
+)
+
 SEVERITY_WEIGHT = {"critical": 35, "warning": 12, "info": 3}
 
 #: (greatest age in hours, score)
@@ -182,6 +191,8 @@ class Config:
     boilerplate_labels: tuple[str, ...] = BOILERPLATE_LABELS
     boilerplate_prefixes: tuple[str, ...] = BOILERPLATE_PREFIXES
     boilerplate_phrases: tuple[str, ...] = ()
+    generic_roots: tuple[str, ...] = GENERIC_ROOTS
+    module_attributes: tuple[str, ...] = MODULE_ATTRIBUTES
     utility_exact: tuple[str, ...] = UTILITY_EXACT
     utility_prefixes: tuple[str, ...] = UTILITY_PREFIXES
     utility_contains: tuple[str, ...] = UTILITY_CONTAINS
