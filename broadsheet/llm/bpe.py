@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, durable_parts, flat, forget, inside, lean, lean_group, settle, table, width
+from .common import durable, durable_parts, flat, forget, inside, lean, lean_group, narrow, settle, table, width
 
 #: Different words of a chunk, at most (and those of one more batch); occurrences of a word that travel in one row.
 CHUNK_WORDS, TOGETHER = 1 << 19, 1 << 12
@@ -263,7 +263,9 @@ def _coded(docs: DataFrame, words: Column, buckets: int) -> tuple[DataFrame, Dat
 
     out = ", ".join([*(f"{c} {kinds[c]}" for c in names), "chunk long, numbers binary, bucket int, words array<string>, places binary"])
     coded = docs.select(*names, words.alias("words")).mapInArrow(lean(code), out)
-    return durable_parts(coded, F.col("bucket").isNotNull(), "coded")
+    # a batch of texts becomes one of all their words, on both sides of the pipe
+    with narrow(docs.sparkSession):
+        return durable_parts(coded, F.col("bucket").isNotNull(), "coded")
 
 
 def _gather(t: pa.Table) -> pa.Table:

@@ -133,6 +133,20 @@ def settle(spark: SparkSession) -> None:
     _give_back()
 
 
+@contextmanager
+def narrow(spark: SparkSession, rows: int = 512, size: int = 4 << 20) -> Iterator[None]:
+    """Inside, Spark hands smaller Arrow batches to workers: for steps, run at once, whose rows unfold to many times their size."""
+    want = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    before = {k: spark.conf.get(k, None) for k in want}
+    for k, v in want.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def lean(task):
     """A mapInArrow function whose worker gives freed memory back at its end: idle workers stay beside the executor's heap."""
 
