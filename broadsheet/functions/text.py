@@ -123,14 +123,19 @@ def has_term(text: Column, term: str) -> Column:
 def classify(text: Column, rules: Sequence[tuple[str, Sequence[str]]], other: str = "Local", bounded: bool = False, first: Sequence[tuple[str, Sequence[str]]] = ()) -> Column:
     """The first rule with a needle in the text: as a substring, or as a whole term. Rules in `first` go before all and take whole terms."""
     import re
-
-    lowered = F.replace(F.lower(blank(text)), F.lit("’"), F.lit("'"))
-    out = None
-    for name, needles, whole in [*((n, x, True) for n, x in first), *((n, x, bounded) for n, x in rules)]:
-        pattern = "|".join(re.escape(n).replace(r"\ ", " ") for n in needles)
-        hit = lowered.rlike(f"(?<![a-z0-9])(?:{pattern})(?![a-z0-9])" if whole else pattern)
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.otherwise(other)
+    from functools import reduce
+
+    def of(lowered: Column) -> Column:
+        out = None
+        for name, needles, whole in [*((n, x, True) for n, x in first), *((n, x, bounded) for n, x in rules)]:
+            # plain searches are cheap: a pattern only runs where a needle stands at all
+            hit = reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(n)) for n in needles])
+            if whole:
+                hit &= lowered.rlike(f"(?<![a-z0-9])(?:{'|'.join(re.escape(n).replace(chr(92) + ' ', ' ') for n in needles)})(?![a-z0-9])")
+            out = F.when(hit, name) if out is None else out.when(hit, name)
+        return out.otherwise(other)
+
+    return bind(F.replace(F.lower(blank(text)), F.lit("’"), F.lit("'")), of)
 
 
 def strip_source(title: Column | str, source: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.text import collapse, key
+from ..functions.text import bind, collapse, key
 from ..functions.urls import is_http
 from .windows import run_in_array, tail
 
@@ -25,11 +25,11 @@ def issues(df: DataFrame, now: Column, config: Config = DEFAULT) -> DataFrame:
     """
     has = set(df.columns)
     c = F.col
-    found: list[Column] = []
+    found: list[Column] = []  # arrays of issues, null where a rule raises none
 
     def rule(severity: str, code: str, needs: tuple[str, ...], when) -> None:
         if has.issuperset(needs):
-            found.append(_issue(severity, code, when()))
+            found.append(F.array(_issue(severity, code, when())))
 
     publisher = c("source").isin(*config.publishers) if config.publishers else F.lit(False)
     rule("critical", "missing_title", ("title",), lambda: collapse("title") == "")
@@ -47,8 +47,8 @@ def issues(df: DataFrame, now: Column, config: Config = DEFAULT) -> DataFrame:
     rule("info", "missing_quality", ("quality", "words"), lambda: (F.coalesce(c("quality"), F.lit(0)) == 0) & (c("words") > 0))
     if "content_blocks" in has:
         heads = F.concat(F.transform(F.filter("content_blocks", lambda b: b["type"] == "heading"), lambda b: collapse(b["text"])), F.flatten(F.transform(F.filter("content_blocks", lambda b: b["type"] == "list"), lambda b: F.coalesce(b["items"], F.array().cast("array<string>")))))
-        for code, pattern in config.module_headings:
-            found.append(_issue("warning", code, _any(heads, pattern)))
+        heads = F.transform(heads, lambda x: F.lower(F.coalesce(x, F.lit(""))))
+        found.append(bind(heads, lambda hs: F.array(*[_issue("warning", code, F.exists(hs, lambda x, p=pattern: x.rlike(p))) for code, pattern in config.module_headings])))
         images = F.filter("content_blocks", lambda b: b["type"] == "image")
         rule("warning", "too_many_images", ("content_blocks",), lambda: F.size(images) > 8)
         rule("warning", "image_gallery_leak", ("content_blocks",), lambda: run_in_array(c("content_blocks"), lambda b: b["type"] == "image") >= 3)
@@ -56,10 +56,9 @@ def issues(df: DataFrame, now: Column, config: Config = DEFAULT) -> DataFrame:
     if "paragraphs" in has:
         # furniture is looked for in the tail as one text
         last = F.lower(F.array_join(tail(F.filter(F.transform("paragraphs", collapse), lambda p: p != "")), " "))
-        for code, pattern in config.tail_furniture:
-            found.append(_issue("warning", code, last.rlike(pattern)))
+        found.append(bind(last, lambda said: F.array(*[_issue("warning", code, said.rlike(pattern)) for code, pattern in config.tail_furniture])))
         long = F.filter(F.transform("paragraphs", lambda p: key(p)), lambda p: F.length(p) >= 45)
-        rule("warning", "duplicate_body", ("paragraphs",), lambda: F.size(F.array_distinct(long)) < F.size(long))
+        found.append(bind(long, lambda keys: F.array(_issue("warning", "duplicate_body", F.size(F.array_distinct(keys)) < F.size(keys)))))
     if "image" in has:
         hero = F.coalesce(c("image"), F.lit(""))
         rule("warning", "invalid_hero_image", ("image",), lambda: (hero != "") & ~is_http(hero) & ~F.startswith(hero, F.lit("/")))
@@ -67,11 +66,7 @@ def issues(df: DataFrame, now: Column, config: Config = DEFAULT) -> DataFrame:
     rule("info", "missing_author", ("author", "source"), lambda: publisher & (collapse("author") == ""))
     official = c("source").isin(*config.official_sources) if "source" in has and config.official_sources else F.lit(False)
     rule("info", "low_local_relevance", ("local_score",), lambda: (c("local_score") < 20) & ~official)
-    return df.withColumn("issues", F.array_distinct(F.filter(F.array(*found), lambda i: i.isNotNull())))
-
-
-def _any(items: Column, pattern: str) -> Column:
-    return F.exists(items, lambda x: F.lower(F.coalesce(x, F.lit(""))).rlike(pattern))
+    return df.withColumn("issues", F.array_distinct(F.filter(F.concat(*found), lambda i: i.isNotNull())))
 
 
 def scored(df: DataFrame, config: Config = DEFAULT) -> DataFrame:

@@ -40,15 +40,20 @@ def block_text(b: Column) -> Column:
 def utility_reason(x: Column | str, config: Config = DEFAULT) -> Column:
     """Why a text is a publisher's interface and no article; empty where it isn't."""
 
-    def of(k):
-        promo = _any(k, config.utility_prefixes, F.startswith) | _any(k, config.utility_contains, F.contains)
-        return F.when(k == "", "").when(k.isin(*config.utility_exact), "publisher-ui").when(promo, "publisher-promo").otherwise("")
+    return bind(spoken(x), lambda k: _utility(k, config))
 
-    return bind(spoken(x), of)
+
+def _utility(k: Column, config: Config) -> Column:
+    promo = _any(k, config.utility_prefixes, F.startswith) | _any(k, config.utility_contains, F.contains)
+    return F.when(k == "", "").when(k.isin(*config.utility_exact), "publisher-ui").when(promo, "publisher-promo").otherwise("")
 
 
 def terminal_reason(x: Column | str, config: Config = DEFAULT) -> Column:
-    return bind(spoken(x), lambda k: F.when((k != "") & _any(k, config.terminal_prefixes, F.startswith), "recirculation-tail").otherwise(""))
+    return bind(spoken(x), lambda k: _terminal(k, config))
+
+
+def _terminal(k: Column, config: Config) -> Column:
+    return F.when((k != "") & _any(k, config.terminal_prefixes, F.startswith), "recirculation-tail").otherwise("")
 
 
 def _cut(judged: Column, ends: Callable, words: Callable, counts: Callable, least_words: int, least_blocks: int | None) -> Column:
@@ -91,25 +96,28 @@ def enforce(blocks: Column, author: Column, config: Config = DEFAULT) -> Column:
     What ends an article cuts it after 45 words or two blocks of prose and is left out before that. Interface texts,
     embedded media, advertising and portraits go; lists lose such items, and go with their last one.
     """
-    plain = lambda t: (utility_reason(t, config) == "") & (terminal_reason(t, config) == "")
+    plain = lambda t: bind(spoken(t), lambda k: (_utility(k, config) == "") & (_terminal(k, config) == ""))
 
     def judge(b):
-        said = block_text(b)
-        items = F.filter(items_of(b), plain)
+        """What a block says, why it goes and which items stay are computed once each."""
         listed = b["type"] == "list"
-        trimmed = listed & (F.size(items) < F.size(items_of(b)))
-        reason = (
-            F.when(terminal_reason(said, config) != "", terminal_reason(said, config))
-            .when(utility_reason(said, config) != "", utility_reason(said, config))
-            .when(b["type"] == "media", "embedded-media")
-            .when((b["type"] == "image") & is_promo_image(b, config), "promo-image")
-            .when((b["type"] == "image") & is_author_image(b, author, config), "author-image")
-            .otherwise("")
-        )
-        gone = (reason != "") | (listed & trimmed & (F.size(items) == 0))
-        kept = F.when(trimmed, b.withField("items", items)).otherwise(b)
-        words = F.when(gone, 0).when(b["type"].isin(*PROSE), unicode_word_count(b["text"])).when(listed, F.aggregate(items, F.lit(0), lambda t, x: t + unicode_word_count(x))).otherwise(0)
-        return F.struct(kept.alias("block"), reason.alias("reason"), gone.alias("gone"), trimmed.alias("trimmed"), words.alias("words"))
+
+        def named(why):
+            return (
+                F.when(why["end"] != "", why["end"]).when(why["ui"] != "", why["ui"]).when(b["type"] == "media", "embedded-media")
+                .when((b["type"] == "image") & is_promo_image(b, config), "promo-image").when((b["type"] == "image") & is_author_image(b, author, config), "author-image").otherwise("")
+            )
+
+        def told(x):
+            items, reason = x["items"], x["reason"]
+            trimmed = listed & (F.size(items) < x["n"])
+            gone = (reason != "") | (trimmed & (F.size(items) == 0))
+            kept = F.when(trimmed, b.withField("items", items)).otherwise(b)
+            words = F.when(gone, 0).when(b["type"].isin(*PROSE), unicode_word_count(b["text"])).when(listed, F.aggregate(items, F.lit(0), lambda t, i: t + unicode_word_count(i))).otherwise(0)
+            return F.struct(kept.alias("block"), reason.alias("reason"), gone.alias("gone"), trimmed.alias("trimmed"), words.alias("words"))
+
+        reason = bind(spoken(block_text(b)), lambda k: bind(F.struct(_terminal(k, config).alias("end"), _utility(k, config).alias("ui")), named))
+        return bind(bind(items_of(b), lambda items: F.struct(F.filter(items, plain).alias("items"), F.size(items).alias("n"), reason.alias("reason"))), told)
 
     def finish(judged):
         ends = lambda j: j["reason"] == "recirculation-tail"
@@ -165,14 +173,15 @@ def sweep(blocks: Column, title: Column, known_titles: Column | None = None, con
     known = F.array_except(F.coalesce(known_titles, F.array().cast("array<string>")), F.array(key(title))) if known_titles is not None else F.array().cast("array<string>")
 
     def reason(b, i):
-        said, items = block_text(b), items_of(b)
-        n = F.size(items)
-        text = b["type"].isin("paragraph", "heading", "quote") & (collapse(said).rlike(labels) | ((unicode_word_count(said) <= 35) & collapse(said).rlike(utility)))
-        nav = (i <= 1) & n.between(1, 8) & F.forall(items, lambda t: key(t).isin(*NAV_WORDS))
-        count = lambda f: F.size(F.filter(items, f))
-        cards = (n >= 2) & ((count(lambda t: F.array_contains(known, key(t))) >= 2) | ((count(lambda t: t.rlike(CARD_META)) >= 2) & (count(headline) >= 2)))
+        text = b["type"].isin("paragraph", "heading", "quote") & bind(collapse(block_text(b)), lambda said: said.rlike(labels) | (said.rlike(utility) & (unicode_word_count(said) <= 35)))
+
+        def story_list(items):
+            n, count = F.size(items), lambda f: F.size(F.filter(items, f))
+            nav = (i <= 1) & n.between(1, 8) & F.forall(items, lambda t: key(t).isin(*NAV_WORDS))
+            return nav | ((n >= 2) & ((count(lambda t: F.array_contains(known, key(t))) >= 2) | ((count(lambda t: t.rlike(CARD_META)) >= 2) & (count(headline) >= 2))))
+
         image = (b["type"] == "image") & (collapse(b["alt"]).rlike(labels) | _any(F.lower(F.concat_ws(" ", b["alt"], b["url"])), config.advert_url_markers, F.contains))
-        return F.when(text, "utility-text").when((b["type"] == "list") & (nav | cards), "navigation-or-story-list").when(image, "advert-image").otherwise("")
+        return F.when(text, "utility-text").when((b["type"] == "list") & bind(items_of(b), story_list), "navigation-or-story-list").when(image, "advert-image").otherwise("")
 
     judged = F.transform(blocks, lambda b, i: F.struct(b.alias("block"), reason(b, i).alias("reason")))
 
@@ -303,11 +312,15 @@ def hygiene(blocks: Column, source: Column, rules: dict[str, dict], config: Conf
     """Each source's own rules: rules[source] has starts, stops, least_prose and most for strip_modules, and phrases of its furniture."""
     out = None
     for name, r in rules.items():
-        r = dict(r)
-        phrases = (*config.boilerplate_phrases, *r.pop("phrases", ()))
+        own = {k: v for k, v in r.items() if k != "phrases"}
+        phrases = (*config.boilerplate_phrases, *r.get("phrases", ()))
         clean = F.filter(blocks, lambda b: (b["type"] == "image") | ~boilerplate(block_text(b), phrases, config.boilerplate_labels, config.boilerplate_prefixes))
-        done = bind(clean, lambda b: strip_modules(b, **r))
-        done = done.withField("removed", F.array_sort(F.concat(done["removed"], F.when(F.size(clean) < F.size(blocks), F.array(F.lit("boilerplate"))).otherwise(F.array().cast("array<string>")))))
+
+        def stripped(b):
+            less = F.when(F.size(b) < F.size(blocks), F.array(F.lit("boilerplate"))).otherwise(F.array().cast("array<string>"))
+            return bind(strip_modules(b, **own), lambda x: x.withField("removed", F.array_sort(F.concat(x["removed"], less))))
+
+        done = bind(clean, stripped)
         out = F.when(source == name, done) if out is None else out.when(source == name, done)
     same = _result(blocks, F.array().cast("array<string>"))
     return same if out is None else out.otherwise(same)
