@@ -5,7 +5,7 @@
    rows; a block with far more (many near-equal vectors) is split into chunks by hash.
 2. On every curve a query meets its own block and the two beside it, reranks by exact inner products, and the windows of
    all curves merge: that gives each query k candidates and a floor, the k-th best product so far.
-3. Directions without clusters have no order that a curve could keep, so windows alone can't promise a recall. Blocks of the
+3. Windows alone can't promise a recall: it falls as blocks become more, where directions have no clusters. Blocks of the
    first curve therefore keep their centre and radius; |q|*radius + q.centre bounds what a block can offer, and a query goes
    on to every block whose bound reaches its floor. The stated query set meets the rows in blocks; the result is exact.
 
@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from .common import durable, forget, table
 from .vectors import matrix, pack, unpacked, usable
 
-CURVES, AXES, BITS, BLOCK, SAMPLE, QUERIES = 4, 6, 8, 1024, 20_000, 512
+CURVES, AXES, BITS, BLOCK, SAMPLE, QUERIES = 8, 6, 8, 1024, 20_000, 512
 
 
 def hilbert(x: np.ndarray, bits: int) -> np.ndarray:

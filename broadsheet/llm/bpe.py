@@ -265,7 +265,7 @@ def _coded(docs: DataFrame, words: Column, buckets: int) -> tuple[DataFrame, Dat
     coded = docs.select(*names, words.alias("words")).mapInArrow(lean(code), out)
     # a batch of texts becomes one of all their words, on both sides of the pipe
     with narrow(docs.sparkSession):
-        return durable_parts(coded, F.col("bucket").isNotNull(), "coded")
+        return durable_parts(coded, F.col("bucket").isNotNull(), "coded", "zstd")
 
 
 def _gather(t: pa.Table) -> pa.Table:
@@ -294,7 +294,7 @@ def encode_documents(docs: DataFrame, path: str, python_pattern: str = public_to
     inner = own.select(F.col("text"), *[F.col(own.columns[i]).alias(f"c{k}") for k, i in enumerate(kept)])
     targets = width(spark)
     numbered, listed = _coded(inner, bpe.words(F.col("text")), 8 * targets)
-    settle(spark)
+    settle(spark, 5)
     # dealt by number, so that small buckets of words, each much work, don't come together in one task
     gathered = listed.select("bucket", "chunk", "words", "places").repartition(targets, "bucket").groupBy("bucket").applyInArrow(lean_group(_gather), "word string, chunks array<bigint>, places array<int>")
     odd = odd_tokens(path)
@@ -304,7 +304,7 @@ def encode_documents(docs: DataFrame, path: str, python_pattern: str = public_to
     folded = durable(folded, "folded", "zstd")
     del gathered
     forget(listed)
-    settle(spark)
+    settle(spark, 5)
     made = pair_ids(path)
     shared = spark.sparkContext.broadcast((np.fromiter(made, np.int64, len(made)), np.fromiter(made.values(), np.int32, len(made)), byte_ids(path), odd))
 

@@ -100,11 +100,11 @@ def durable(df: DataFrame, name: str, compression: str | None = None) -> DataFra
     return _written(spark.read.schema(df.schema).parquet(path), path)
 
 
-def durable_parts(df: DataFrame, mark, name: str) -> tuple[DataFrame, DataFrame]:
+def durable_parts(df: DataFrame, mark, name: str, compression: str | None = None) -> tuple[DataFrame, DataFrame]:
     """df written once as two tables: the rows without and with the mark; each can be forgotten for itself."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.withColumn("part", mark.cast("int")).write.partitionBy("part").parquet(path)
+    df.withColumn("part", mark.cast("int")).write.partitionBy("part").parquet(path, compression=compression)
     out = []
     for part in (0, 1):
         folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part={part}")
@@ -121,12 +121,12 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def settle(spark: SparkSession) -> None:
+def settle(spark: SparkSession, rounds: int = 2) -> None:
     """Between steps: let Spark drop the shuffle files of finished ones, and the driver give back memory.
 
-    What one collection frees holds what the next one can; Spark's cleaner works beside both.
+    What one collection frees holds what the next one can; Spark's cleaner works beside them.
     """
-    for _ in range(2):
+    for _ in range(rounds):
         gc.collect()
         spark._jvm.System.gc()
         time.sleep(0.3)
