@@ -6,16 +6,18 @@ from dataclasses import dataclass, field, replace
 
 # Rule tables that decide results. ------------------------------------------------------------------------
 
-STOPWORDS = tuple(
-    """
-a an and are as at be been being but by can could did do does for from had has have he her hers him his how i if in into
-is it its may more new news not of on or our out over says say said she that the their them there they this to up was we
-were what when where which who why will with would you your after before amid about across near latest update updates
-story stories local ontario london government police city council mayor mayoral candidate announces announced investigate
-investigates investigating approves approved project plan plans report reports reported official officials former downtown
-area charge charged charges charging investigation investigations officer officers suspect suspects person people
-""".split()
-)
+STOPWORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "been", "being", "but", "by", "can", "could", "did", "do", "does",
+    "for", "from", "had", "has", "have", "he", "her", "hers", "him", "his", "how", "i", "if", "in", "into", "is", "it",
+    "its", "may", "more", "new", "news", "not", "of", "on", "or", "our", "out", "over", "says", "say", "said", "she",
+    "that", "the", "their", "them", "there", "they", "this", "to", "up", "was", "we", "were", "what", "when", "where",
+    "which", "who", "why", "will", "with", "would", "you", "your", "after", "before", "amid", "about", "across",
+    "near", "latest", "update", "updates", "story", "stories", "local", "ontario", "london", "government", "police",
+    "city", "council", "mayor", "mayoral", "candidate", "announces", "announced", "investigate", "investigates",
+    "investigating", "approves", "approved", "project", "plan", "plans", "report", "reports", "reported", "official",
+    "officials", "former", "downtown", "area", "charge", "charged", "charges", "charging", "investigation",
+    "investigations", "officer", "officers", "suspect", "suspects", "person", "people",
+)
 
 LOCAL_TERMS = (
     (35, "London, Ontario", ("london ontario", "london ont", "london on", "london-area", "london area", "londoner", "londoners")),
@@ -116,6 +118,38 @@ TAIL_FURNITURE = (
 BOILERPLATE_LABELS = ("sign in", "log in", "create an account", "subscribe", "subscribe now", "register", "comment", "comments", "share", "advertisement", "recommended", "most popular", "latest news")
 BOILERPLATE_PREFIXES = ("newsletter", "recommended from editorial", "top stories", "read next", "more on this topic", "you might also like", "related content", "most read", "trending now")
 
+#: What furniture says, anywhere in a text: every publisher's, and those of the publishers whose names hold a word.
+BOILERPLATE_PHRASES = (
+    "sign up for", "subscribe to", "sign in to continue", "create an account to continue", "sign in or create an account", "already a subscriber",
+    "manage your subscription", "subscribe now to read", "subscribe to continue reading", "register to continue reading", "thanks for signing up",
+    "join the conversation in the comments", "share this article", "get email updates from your favourite authors",
+    "get email updates from your favorite authors", "this advertisement has not loaded yet", "advertisement has not loaded yet",
+    "story continues below", "continue reading", "download our app", "follow us on", "recommended video", "related stories", "related story", "more from",
+    "you may also like", "read more from", "all rights reserved", "back to news search subscribe", "back to news search", "trending stories", "trending now",
+    "most popular", "top stories", "watch more", "sponsored content",
+)
+PUBLISHER_PHRASES = (
+    ("free press", (
+        "london free press epaper", "electronic replica of the print edition", "daily puzzles, including the new york times crossword",
+        "daily puzzles including the new york times crossword", "support local journalism",
+        "create an account or sign in to continue with your reading experience", "access articles from across canada with one account",
+        "share your thoughts and join the conversation in the comments", "enjoy additional articles per month",
+        "get email updates from your favourite authors", "get email updates from your favorite authors", "sign in or create an account",
+        "unlock more articles", "manage print subscription", "trending", "most read", "exclusive articles from", "noon news roundup newsletter", "lfp weekender newsletter",
+    )),
+    ("global news", (
+        "if you get global news from instagram or facebook", "find out how you can still connect with us", "hide message bar", "leave a comment share this item",
+        "share this item on facebook", "share this item via whatsapp", "send this page to someone via email", "see more sharing options",
+        "decrease article font size", "descrease article font size", "increase article font size", "get daily national news",
+        "get daily canada news delivered to your inbox", "get daily national news delivered to your inbox",
+        "add global news as a preferred source on google", "previous video", "next video", "click to play video", "recommended video",
+    )),
+    ("ctv", (
+        "ctv news app", "download the ctv news app", "contact us", "newsletters", "sign up for our newsletters", "more from ctv news", "related stories",
+        "recommended for you", "watch more", "latest videos", "advertisement", "bell media", "privacy policy", "terms and conditions", "team",
+    )),
+)
+
 #: Interface texts of publishers: exact, by their beginning, anywhere; and what ends an article.
 UTILITY_EXACT = (
     "advertisement", "advertising", "sponsored content", "promoted", "share", "share this story", "share this article", "share close",
@@ -190,7 +224,8 @@ class Config:
     proper_words: tuple[str, ...] = PROPER_WORDS
     boilerplate_labels: tuple[str, ...] = BOILERPLATE_LABELS
     boilerplate_prefixes: tuple[str, ...] = BOILERPLATE_PREFIXES
-    boilerplate_phrases: tuple[str, ...] = ()
+    boilerplate_phrases: tuple[str, ...] = BOILERPLATE_PHRASES
+    publisher_phrases: tuple = PUBLISHER_PHRASES
     generic_roots: tuple[str, ...] = GENERIC_ROOTS
     module_attributes: tuple[str, ...] = MODULE_ATTRIBUTES
     utility_exact: tuple[str, ...] = UTILITY_EXACT

@@ -269,12 +269,34 @@ def summary_text(summary: Column, title: Column, acronyms: Sequence[str] = (), p
     return bind(out, lambda v: truncate(F.when(near_duplicate(v, title), "").otherwise(v), limit))
 
 
+def holds_phrase(k: Column, phrases: Sequence[str]) -> Column:
+    """Whether a key holds one of the phrases, which are spelled as it is."""
+    import re
+
+    keys = dict.fromkeys(re.sub("[^a-z0-9']+", " ", p.lower().replace("’", "'")).strip() for p in phrases)
+    return F.exists(F.array(*[F.lit(v) for v in keys]), lambda v: F.contains(k, v)) if keys else F.lit(False)
+
+
+def publisher_boilerplate(x: Column | str, source: Column | str, config) -> Column:
+    """Whether a text is furniture by the rules of all publishers, or by its own publisher's phrases."""
+    name = F.lower(blank(source))
+
+    def owned(k: Column) -> Column:
+        out = F.lit(False)
+        for word, phrases in reversed(config.publisher_phrases):
+            out = F.when(F.contains(name, F.lit(word)), holds_phrase(k, phrases)).otherwise(out)
+        return out
+
+    own = bind(apostrophe_key(clean(x)), owned)
+    return boilerplate(x, config.boilerplate_phrases, config.boilerplate_labels, config.boilerplate_prefixes) | own
+
+
 def boilerplate(x: Column | str, phrases: Sequence[str], labels: Sequence[str], prefixes: Sequence[str]) -> Column:
     """Whether a text is a publisher's furniture: empty, a phrase inside, a short label, or a module's short beginning."""
 
     def of(k):
         text = clean(x)
-        inside = F.exists(F.array(*[F.lit(v) for v in phrases]), lambda v: F.contains(k, v)) if phrases else F.lit(False)
+        inside = holds_phrase(k, phrases)
         label = (F.length(text) <= 90) & F.regexp_replace(F.lower(text), "[.!]$", "").isin(*labels) if labels else F.lit(False)
         begins = (F.length(text) <= 150) & F.exists(F.array(*[F.lit(v) for v in prefixes]), lambda v: F.startswith(k, v)) if prefixes else F.lit(False)
         return (k == "") | inside | label | begins

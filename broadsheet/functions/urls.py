@@ -121,13 +121,16 @@ def media_kind(url: Column | str) -> Column:
 
 
 #: Parts of an address that tell furniture from pictures (fixed values).
-IMAGE_JUNK = "logo|icon|avatar|author|profile|sprite|pixel|tracking|badge|weather|placeholder|default|newsletter|app-store|google-play|social|facebook|twitter|instagram|tiktok|favicon|headshot|crest|coat-of-arms|coat_of_arms|emblem"
+IMAGE_JUNK = (
+    "logo", "icon", "avatar", "author", "profile", "sprite", "pixel", "tracking", "badge", "weather", "placeholder", "newsletter", "app-store", "google-play",
+    "social", "facebook", "twitter", "instagram", "tiktok", "favicon", "headshot", "crest", "coat-of-arms", "coat_of_arms", "emblem",
+)
 
 
 def is_picture(url: Column | str) -> Column:
     """An address that may be an article's picture."""
     # "default" may be a part of a picture's address: it counts in descriptions only
-    return is_http(url) & ~F.lower(blank(url)).rlike(IMAGE_JUNK.replace("|default", "")) & ~F.lower(path(url)).rlike(r"\.(?:svg|gif)$")
+    return is_http(url) & ~F.lower(blank(url)).rlike("|".join(IMAGE_JUNK)) & ~F.lower(path(url)).rlike(r"\.(?:svg|gif)$")
 
 
 def image_rating(url: Column | str) -> Column:

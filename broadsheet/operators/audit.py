@@ -48,7 +48,7 @@ def issues(df: DataFrame, now: Column, config: Config = DEFAULT) -> DataFrame:
     if "content_blocks" in has:
         heads = F.concat(F.transform(F.filter("content_blocks", lambda b: b["type"] == "heading"), lambda b: collapse(b["text"])), F.flatten(F.transform(F.filter("content_blocks", lambda b: b["type"] == "list"), lambda b: F.coalesce(b["items"], F.array().cast("array<string>")))))
         heads = F.transform(heads, lambda x: F.lower(F.coalesce(x, F.lit(""))))
-        found.append(bind(heads, lambda hs: F.array(*[_issue("warning", code, F.exists(hs, lambda x, p=pattern: x.rlike(p))) for code, pattern in config.module_headings])))
+        found.append(bind(heads, lambda hs: F.array(*[_issue("warning", code, F.exists(hs, _like(pattern))) for code, pattern in config.module_headings])))
         images = F.filter("content_blocks", lambda b: b["type"] == "image")
         rule("warning", "too_many_images", ("content_blocks",), lambda: F.size(images) > 8)
         rule("warning", "image_gallery_leak", ("content_blocks",), lambda: run_in_array(c("content_blocks"), lambda b: b["type"] == "image") >= 3)
@@ -69,6 +69,10 @@ def issues(df: DataFrame, now: Column, config: Config = DEFAULT) -> DataFrame:
     return df.withColumn("issues", F.array_distinct(F.filter(F.concat(*found), lambda i: i.isNotNull())))
 
 
+def _like(pattern: str):
+    return lambda x: x.rlike(pattern)
+
+
 def scored(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """df with audit_score and audit_status from its issues."""
     count = lambda s: F.size(F.filter("issues", lambda i: i["severity"] == s))

@@ -229,6 +229,14 @@ def boilerplate_flags(spark: SparkSession, d: str) -> DataFrame:
     flag = text.boilerplate("title", _RULES.boilerplate_phrases, _RULES.boilerplate_labels, _RULES.boilerplate_prefixes)
     return stories(spark, d).select("id", flag.alias("boilerplate"))
 
+@query(rf"""WITH p AS (SELECT DISTINCT doc_id AS id, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM documents), t AS (SELECT id, regexp_replace(x, '<[^>]*>', ' ', 'g') AS x FROM p),
+k AS (SELECT id, trim(regexp_replace(lower(replace(x, '’', '''')), '[^a-z0-9'']+', ' ', 'g')) AS k, {_COLLAPSE.format("x")} AS c FROM t)
+SELECT id, count(*) FILTER (k = '' OR {_any("k", DEFAULT.boilerplate_phrases, "contains")} OR (length(c) <= 90 AND regexp_replace(lower(c), '[.!]$', '') IN {_list(DEFAULT.boilerplate_labels)}) OR (length(c) <= 150 AND {_any("k", DEFAULT.boilerplate_prefixes, "starts_with")})) AS furniture FROM k GROUP BY id""")
+def furniture_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Different lines of each document that the default tables take for furniture."""
+    lines = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("x"), "source").distinct()
+    return lines.groupBy("id").agg(F.count_if(text.publisher_boilerplate("x", "source", DEFAULT)).alias("furniture"))
+
 
 _SPORTS = ("thing", "und", "inhare of")
 

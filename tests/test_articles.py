@@ -216,3 +216,14 @@ def test_parts_of_a_snapshot(spark, tmp_path):
     s.merge(make([(3, 1, "late"), (4, 3, "c")]), 2, ["id"], ["seq"])
     got = {r["id"]: r["v"] for r in s.read().collect()}
     assert got == {**{i: "a" for i in range(50)}, 3: "b", 99: "n", 4: "c"} and len(s._versions()[1]) <= 2
+
+
+def test_furniture_of_publishers(spark):
+    rows = [
+        ("Sign up for our morning newsletter", "Any", True), ("Daily puzzles including the New York Times Crossword.", "London Free Press", True),
+        ("Daily puzzles, including the New York Times Crossword.", "London Free Press", True), ("Daily puzzles, including the New York Times Crossword.", "Global News London", False),
+        ("Descrease article font size", "Global News London", True), ("Bell Media", "CTV News", True), ("Bell Media", "Any", False), ("The side won on Saturday", "CTV News", False),
+        ("The side won on Saturday", None, False), ("Council met on Monday to vote on the budget.", "CTV News", False), (None, None, True), ("Share!", None, True), ("Top stories of the week", None, True),
+    ]
+    df = spark.createDataFrame(rows, "x string, source string, want boolean")
+    assert [r for r in df.withColumn("got", text.publisher_boilerplate("x", "source", DEFAULT)).collect() if r["got"] != r["want"]] == []
