@@ -78,3 +78,22 @@ def test_neighbours(frame, block):
 def test_fewer_candidates_than_k(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r["vec_id"], r["rank"], r["score"]) for r in ann.neighbours(df, lambda i: i == 0, 20).orderBy("rank").collect()] == [(1, 1, 1.0), (2, 2, 0.0)]
+
+
+def test_windows_alone_find_most(spark):
+    """The curves by themselves, before the bound check: nine tenths of the true neighbours of directions without clusters."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 24))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]) for r in ann.neighbours(df, lambda i: i % 20 == 0, block=512, exact=False).collect()}
+    products = x[::20] @ x.T
+    products[np.arange(200), np.arange(0, 4000, 20)] = -np.inf
+    want = {(20 * i, int(j)) for i in range(200) for j in np.argsort(-products[i])[:20]}
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_null_ids(spark):
+    df = spark.createDataFrame([(None, [1.0, 2.0]), (1, [1.0, 2.0]), (20, [1.0, 2.1]), (None, [3.0, -1.0])], "vec_id long, embedding array<double>")
+    assert [(r["query_id"], r["vec_id"]) for r in ann.neighbours(df, lambda i: i % 20 == 0).collect()] == [(20, 1)]
+    got = {r["vec_id"]: r["component_id"] for r in neardup.near_duplicates(df).where("vec_id is not null").collect()}
+    assert got == {1: 1, 20: 1}
