@@ -50,7 +50,7 @@ def _grouped(docs: DataFrame, keys: list[str], k: int, percent: int) -> tuple[Da
         rows = durable(surveyed.where("piece is null").select(*keys, "n", "c"), "rows")
         first = F.min(keys[0]) if len(keys) == 1 else F.min(F.struct(*keys))
         classes = durable(rows.groupBy("c").agg(first.alias("first")), "classes")
-        named = linked_components(*link(docs.select("text"), read, surveyed, classes, percent), percent)
+        named = linked_components(*link(docs.select("text"), read, surveyed, classes, percent, last=True), percent)
         groups = durable(classes.join(named, "c", "left").select("c", F.coalesce("component", "c").alias("g"), "first"), "groups")
         kept += [rows, groups]
     return rows, groups

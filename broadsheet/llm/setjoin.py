@@ -417,11 +417,11 @@ def _and_end(batches):
     yield None
 
 
-def link(docs: DataFrame, read: Reader, surveyed: DataFrame, order: DataFrame, percent: int, small: bool = False) -> tuple[DataFrame, Sets]:
+def link(docs: DataFrame, read: Reader, surveyed: DataFrame, order: DataFrame, percent: int, small: bool = False, last: bool = False) -> tuple[DataFrame, Sets]:
     """Tiles' members (t, c, n, first), with the order of classes given as order(c, first), and their sets.
 
     Small sets (lines) are made with their bitmaps for all members in one pass over the texts; of others the survey has the
-    bitmaps, and arrays are made for what these can't part.
+    bitmaps, and arrays are made for what these can't part. last: the survey is read by nobody else, so it goes.
     """
     found = tiles(docs, read, sketch(surveyed), percent)
     members = durable(found.join(order.select("c", "first"), "c"), "members")
@@ -434,6 +434,8 @@ def link(docs: DataFrame, read: Reader, surveyed: DataFrame, order: DataFrame, p
         return members, Sets(docs, read, held.select("c", "n", "bits"), percent, held.select("c", "items"))
     signs = surveyed.where("bits is not null").select("c", "n", "bits").join(each, "c", "left_semi")
     signs = durable(signs.groupBy("c").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits")), "signs")
+    if last:
+        forget(surveyed)
     return members, Sets(docs, read, signs, percent)
 
 
