@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import clean, collapse
+from ..functions.text import bind, clean, collapse
 from ..functions.urls import canonical, host, path, resolve
 
 ENTRY = "source string, position int, title string, url string, summary string, published string"
@@ -85,12 +85,23 @@ def first_outbound(html: Column | str, base: Column | str, wanted_host: str = ""
     return F.coalesce(F.get(wanted, F.lit(0)), F.get(out, F.lit(0)))
 
 
-def json_ld(html: Column | str) -> Column:
-    """The JSON-LD objects of a page as text; objects of a @graph stand for themselves."""
+def json_ld(html: Column | str, depth: int = 5) -> Column:
+    """The JSON-LD objects of a page as text, level by level; members of arrays and of a @graph stand for themselves, down to `depth` levels, and a @graph without a type for its members alone. What is no JSON counts as none."""
     raw = F.regexp_extract_all(F.col(html) if isinstance(html, str) else html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
+    none = F.array().cast("array<string>")
     graph = lambda j: F.from_json(F.get_json_object(j, "$['@graph']"), "array<string>")
     array = lambda j: F.when(F.startswith(F.trim(j), F.lit("[")), F.from_json(j, "array<string>"))
-    return F.flatten(F.transform(raw, lambda j: F.coalesce(graph(j), array(j), F.array(j))))
+    members = lambda j: F.coalesce(array(j), graph(j))
+
+    def levels(now: Column, left: int) -> Column:
+        if not left:
+            return now
+        alone = F.filter(now, lambda j: members(j).isNull() | F.get_json_object(j, "$['@type']").isNotNull())
+        inside = F.flatten(F.transform(now, lambda j: F.coalesce(members(j), none)))
+        return F.concat(alone, bind(inside, lambda x: F.when(F.size(x) > 0, levels(x, left - 1)).otherwise(none)))
+
+    whole = F.filter(raw, lambda j: F.get_json_object(j, "$").isNotNull())
+    return F.flatten(F.transform(whole, lambda j: bind(F.array(j), lambda x: levels(x, depth))))
 
 
 def json_ld_field(html: Column | str, field: str, kinds: tuple[str, ...] = ("Article", "NewsArticle", "Report", "BlogPosting")) -> Column:

@@ -225,3 +225,10 @@ def test_expired_parts_stay_empty(spark, tmp_path):
     assert [tuple(r) for r in state.read().select("id", "day", "text").collect()] == [(3, 25, "new")]
     state.merge(rows((3, 26, "replayed")), 2, ["id"], ["day"])
     assert state.read().first()["text"] == "new"
+
+
+def test_json_ld_at_any_depth(spark):
+    page = '<script type="application/ld+json">{"@graph":[{"@type":"Org"},{"@graph":[{"@type":"Deep","@graph":[[{"@type":"Deeper"}]]}]},[{"@type":"Listed"}]]}</script><script type="application/ld+json">no json {</script><script type="application/ld+json">{"@type":"Plain"}</script>'
+    df = spark.createDataFrame([(page,), (None,), ("<p>none</p>",)], "html string")
+    got = [r["k"] for r in df.select(F.transform(feeds.json_ld("html"), lambda j: F.get_json_object(j, "$['@type']")).alias("k")).collect()]
+    assert got[0] == ["Org", "Deep", "Listed", "Deeper", "Plain"] and got[1] in (None, []) and got[2] == []
