@@ -177,3 +177,14 @@ def test_prune(pages, spark):
 def test_selectors_that_are_not_simple(spark):
     with pytest.raises(ValueError):
         dom._simple("div > p")
+
+
+def test_references_without_semicolon_are_text(spark):
+    """As in the SQL of dom_totals."""
+    html = "<html><title>a &amp</title><p>b &amp; &copy; &copy &ampx; && &#65; &#65</p><a href='/?x=1&copy=2&amp;y'>c</a><script>if (a && b) x = '&amp;&lt'</script></html>"
+    rows = [(r[3], r[4], r[5]) for r in source.tree(html)]
+    assert [x for t, _, x in rows if t == "#text"] == ["a &amp", "b & © &copy &ampx; && A &#65", "c"]
+    assert [a for t, a, _ in rows if t == "a"] == [{"href": "/?x=1&copy=2&y"}]
+    assert [x for t, _, x in rows if t == "#code"] == ["if (a && b) x = '&amp;&lt'"]
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    assert [r["chars"] for r in dom.with_chars(source.nodes(df)).where("tag = 'html'").collect()] == [len("a &amp b & © &copy &ampx; && A &#65 c")]
