@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import near_duplicate, split_count
+from ..functions import similarity
+from ..functions.text import split_count
 
 
 def top_n(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
@@ -74,10 +75,9 @@ def cut_at_marker(paragraphs: Column, is_marker, least_words: int = 45, least_bl
     return F.aggregate(paragraphs, start, step)["kept"]
 
 
-def drop_recent_repeats(items: Column, look_back: int = 12, same=near_duplicate) -> Column:
-    """Items that aren't near-duplicates of one of the last kept ones."""
-    recent = lambda acc: F.slice(acc, F.greatest(F.lit(1), F.size(acc) - look_back + 1), F.lit(look_back))
-    return F.aggregate(items, F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(recent(acc), lambda y: same(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
+def drop_recent_repeats(items: Column, look_back: int = 12) -> Column:
+    """Items that aren't near-duplicates (text.near_duplicate) of one of the last kept ones: each item's key is made once."""
+    return similarity.not_repeated(items, look_back, by_ratio=False)
 
 
 def tail(items: Column, least: int = 2) -> Column:
