@@ -340,16 +340,19 @@ def rest(members: DataFrame, signs: DataFrame, percent: int, group: str | None =
     line) of each: an open member with each of an earlier place; with best, only with the one whose bitmap promises most,
     which mostly settles it.
     """
-    home = members.join(signs.select("c", "bits"), "c").withColumn("band", F.length(F.bin(F.col("n") - 1)) - F.when(F.col("n") == 1, 1).otherwise(0))
+    marks = [F.col(group).alias("g0")] if group else [F.col(f"first.{x}").cast("long").alias(f"g{i}") for i, x in enumerate(("id", "h", "line"))]
+    asks = F.lit(True) if group else F.col("open")
+    home = members.select("t", "c", "n", *marks, asks.alias("open")).withColumn("band", F.length(F.bin(F.col("n") - 1)) - F.when(F.col("n") == 1, 1).otherwise(0))
     # a pair's sizes differ by a third at most, so a band meets itself and the next: the smaller side comes as a guest
     spread = home.withColumn("tier", F.explode(F.array("band", F.col("band") + 1)))
     spread = spread.withColumn("guest", F.col("tier") > F.col("band")).where(~F.col("guest") | (F.col("n") * 100 >= percent * F.expr("shiftleft(1, greatest(tier - 1, 0))")))
-    sizes = durable(spread.groupBy("t", "tier").agg(F.count("*").alias("m"), F.max(~F.col("guest")).alias("own")), "tiersizes")
-    sizes = sizes.where("own and m > 1").select("t", "tier", F.ceil(F.col("m") / TILE).cast("int").alias("blocks"))
+    # a tier of one group, or in which nobody asks, has no pair
+    meets = (F.min("g0") != F.max("g0")) if group else F.max("open")
+    sizes = durable(spread.groupBy("t", "tier").agg(F.count("*").alias("m"), F.max(~F.col("guest")).alias("own"), meets.alias("meets")), "tiersizes")
+    sizes = sizes.where("own and meets and m > 1").select("t", "tier", F.ceil(F.col("m") / TILE).cast("int").alias("blocks"))
     dealt = spread.join(sizes, ["t", "tier"]).withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    marks = [F.col(group).alias("g0")] if group else [F.col(f"first.{x}").cast("long").alias(f"g{i}") for i, x in enumerate(("id", "h", "line"))]
-    asks = F.lit(True) if group else F.col("open")
-    dealt = dealt.select("t", "tier", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "c", "n", *marks, asks.alias("open"), "guest", "bits")
+    # bitmaps are most of a row, so they join where it is dealt, and travel with it once
+    dealt = dealt.select("t", "tier", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "c", "n", *[f"g{i}" for i in range(len(marks))], "open", "guest").join(signs.select("c", "bits"), "c")
 
     places = ("g0",) if group else ("g0", "g1", "g2")
 
