@@ -195,18 +195,47 @@ def decode(ids: Column, path: str) -> Column:
     return F.encode(F.array_join(F.transform(ids, lambda i: F.get(known, i)), ""), "ISO-8859-1")
 
 
+#: Of a packed number: lesser ones are a byte; of others, the byte has what is above so many bits; the last one stands for all from there on.
+_NEAR, _LOW = 192, 13
+_TOP = 255 - _NEAR
+
+
 def _packed(values: np.ndarray, at: np.ndarray) -> pa.Array:
-    """Runs of whole numbers below 2**31, each as its lowest bytes, then the next ones, and so on, compressed."""
-    raw, z = np.ascontiguousarray(values, np.int32).view(np.uint8).reshape(-1, 4), zstandard.ZstdCompressor(1)
-    return pa.array([z.compress(raw[i:j].T.tobytes()) for i, j in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
+    """Runs of whole numbers below 2**31: their first bytes, what these leave of the larger numbers by bytes, each part compressed for itself."""
+    far = values >= _NEAR
+    rest = values[far].astype(np.int64) - _NEAR
+    top = np.minimum(rest >> _LOW, _TOP)
+    first = values.astype(np.uint8)
+    first[far] = _NEAR + top
+    rest -= top << _LOW
+    low, high, more = rest.astype(np.uint8), (rest >> 8).astype(np.uint8), (rest[top == _TOP] >> 16).astype("<u2")
+    f = np.concatenate([[0], np.cumsum(far)])[at].tolist()
+    m = np.concatenate([[0], np.cumsum(top == _TOP)])[f].tolist()
+    z, out, at = zstandard.ZstdCompressor(1), [], at.tolist()
+    for k in range(len(at) - 1):
+        one, two = z.compress(first[at[k] : at[k + 1]]), z.compress(low[f[k] : f[k + 1]])
+        out.append(b"".join((len(one).to_bytes(4, "little"), len(two).to_bytes(4, "little"), one, two, z.compress(high[f[k] : f[k + 1]].tobytes() + more[m[k] : m[k + 1]].tobytes()))))
+    return pa.array(out, pa.binary())
 
 
 def _unpacked(column) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of packed runs, and n+1 places."""
-    z = zstandard.ZstdDecompressor()
-    runs = [np.frombuffer(z.decompress(x), np.uint8).reshape(4, -1) for x in column.to_pylist()]
-    at = np.concatenate([[0], np.cumsum([x.shape[1] for x in runs], dtype=np.int64)])
-    return np.ascontiguousarray(np.concatenate([x.T for x in runs] or [np.zeros((0, 4), np.uint8)])).view(np.int32).ravel(), at
+    z, firsts, lows, highs, mores = zstandard.ZstdDecompressor(), [], [], [], []
+    for x in column.to_pylist():
+        i = 8 + int.from_bytes(x[:4], "little")
+        j = i + int.from_bytes(x[4:8], "little")
+        firsts.append(z.decompress(x[8:i]))
+        lows.append(z.decompress(x[i:j]))
+        high = z.decompress(x[j:])
+        highs.append(high[: len(lows[-1])])
+        mores.append(high[len(lows[-1]) :])
+    at = np.concatenate([[0], np.cumsum([len(x) for x in firsts], dtype=np.int64)])
+    first, low, high = (np.frombuffer(b"".join(x), np.uint8) for x in (firsts, lows, highs))
+    out, far = first.astype(np.int32), np.flatnonzero(first >= _NEAR)
+    rest = low.astype(np.int64) | high.astype(np.int64) << 8
+    rest[first[far] == 255] |= np.frombuffer(b"".join(mores), "<u2").astype(np.int64) << 16
+    out[far] = rest + (first[far].astype(np.int64) - _NEAR << _LOW) + _NEAR
+    return out, at
 
 
 def _steps(places: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -248,9 +277,13 @@ def _coded(docs: DataFrame, words: Column, buckets: int) -> tuple[DataFrame, Dat
             schema = b.schema
             rows = b.column("words")
             flat_ = rows.flatten().dictionary_encode()
-            number = np.fromiter((index.setdefault(w, len(index)) for w in flat_.dictionary.to_pylist()), np.int32, len(flat_.dictionary))
+            which = flat_.indices.to_numpy(zero_copy_only=False) if len(flat_) else np.zeros(0, np.int32)
+            # frequent words come first, so that their numbers are small
+            order = np.argsort(-np.bincount(which, minlength=len(flat_.dictionary)), kind="stable")
+            number = np.empty(len(order), np.int32)
+            number[order] = np.fromiter((index.setdefault(w, len(index)) for w in flat_.dictionary.take(pa.array(order)).to_pylist()), np.int32, len(order))
             at = np.asarray(rows.offsets, np.int64)
-            numbers = number[flat_.indices.to_numpy(zero_copy_only=False)] if len(flat_) else np.zeros(0, np.int32)
+            numbers = number[which]
             n = b.num_rows
             made = [pa.array(np.full(n, chunk)), _packed(numbers, at - at[0]), *(pa.nulls(n, own.field(c).type) for c in ("bucket", "words", "places"))]
             del rows, flat_
