@@ -88,19 +88,24 @@ def repeated_lines(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> D
         pairs = sets_.may(stars(members, percent))
         sets_.fetch(pairs)
         gone = durable(later(sets_.exact(pairs)), "gone")
-        # in tiles of three and more, who hasn't gone, but for the first member, still meets everyone before it: first the
-        # likeliest one, which settles nearly all, then all
-        crowd = durable(crowded(members), "crowd")
+        # in tiles of three and more, who hasn't gone, but for the first member, still meets everyone before it: at once where
+        # these are few, else first the likeliest one, which settles nearly all, then all
+        crowd, asking = durable(crowded(members), "crowd"), None
         for best in (True, False):
             state = crowd.join(gone.withColumn("gone", F.lit(True)), "c", "left").withColumn("open", F.col("gone").isNull())
+            if asking is not None:
+                state = state.join(asking, "c", "left").withColumn("open", F.col("open") & F.coalesce("asks", F.lit(False))).drop("asks")
             heads = crowd.groupBy("t").agg(F.min(F.struct("first", "c")).alias("head"))
             waiting = state.where("open").join(heads, "t").where("c <> head.c").select("t").distinct()
             waiting = durable(state.join(waiting, "t").drop("gone"), "waiting")
             if waiting.isEmpty():
                 break
-            others = rest(families(waiting), sets_.signs, percent, best=best)
+            found = rest(families(waiting), sets_.signs, percent, best=best)
+            others, asking = found.where("a <> b"), found.where("a = b").select(F.col("a").alias("c"), F.lit(True).alias("asks"))
             sets_.fetch(others)
             gone = durable(gone.unionByName(later(sets_.exact(others))).distinct(), "gone")
+            if asking.isEmpty():
+                break
         gone = gone.withColumn("gone", F.lit(True))
         known = durable(classes.join(gone, "c", "left").where("m > 1 or gone").select("c", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "known")
         out = lines.join(known, "c").where(F.col("gone") | (F.struct("id", "h", "line") > F.col("first")))

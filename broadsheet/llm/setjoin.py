@@ -35,6 +35,8 @@ SKETCH, ACTIVE = 1 << 20, (24, 28)
 _CHUNK = 1 << 14
 #: Rows of a block of a family; a row goes to each pair of blocks that has its own, so blocks of some size keep copies few.
 TILE = 4096
+#: Up to so many likely partners of a member in one group are all met at once.
+PARTNERS = 8
 _U = np.uint64
 
 
@@ -57,7 +59,9 @@ class Units:
     def prefix(self, counts: np.ndarray, percent: int) -> np.ndarray:
         """Places in hashes of each unit's rarest shingles, as many as the threshold needs."""
         rarity = np.minimum(counts[(self.hashes % _U(SKETCH)).astype(np.int64)], (1 << 20) - 1).astype(_U)
-        order = np.argsort(self.unit.astype(_U) << _U(48) | rarity << _U(28) | self.hashes & _U((1 << 28) - 1), kind="stable")
+        # shingles of one rarity stay in the order of their hashes, which all units share; places below 2**28 ride in the key
+        key = self.unit.astype(_U) << _U(48) | rarity << _U(28)
+        order = (np.sort(key | np.arange(len(key), dtype=_U)) & _U((1 << 28) - 1)).astype(np.int64) if len(key) < 1 << 28 else np.argsort(key, kind="stable")
         rank = np.arange(len(order)) - self.at[self.unit]
         return order[rank < (self.n - -(-self.n * percent // 100) + 1)[self.unit]]
 
@@ -131,7 +135,7 @@ def tiles(docs: DataFrame, read: Reader, counts: np.ndarray, percent: int) -> Da
             h, c, n = (np.concatenate(x) for x in zip(*held))
             held.clear()
             to = (h % _U(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
+            order = np.sort(to << 32 | np.arange(len(to))) & (1 << 32) - 1
             cuts = np.searchsorted(to[order], np.arange(buckets + 1))
             rows = [(b, order[cuts[b] : cuts[b + 1]]) for b in range(buckets) if cuts[b] < cuts[b + 1]]
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), *(pa.array([x[o].tobytes() for _, o in rows], pa.binary()) for x in (h, c, n))], schema=_BLOBS)
@@ -154,8 +158,14 @@ def tiles(docs: DataFrame, read: Reader, counts: np.ndarray, percent: int) -> Da
 
     def gather(t: pa.Table) -> pa.Table:
         h, c, n = (np.concatenate([np.frombuffer(x, kind) for x in t[name].to_pylist()]) for name, kind in (("h", _U), ("c", np.int64), ("n", np.int32)))
-        order = np.lexsort((c, h))
+        # most shingles stand once: only the others are put in order of classes
+        order = np.argsort(h)
+        equal = np.diff(h[order]) == 0
+        order = order[np.append(equal, False) | np.append(False, equal)] if len(h) else order
+        order = order[np.lexsort((c[order], h[order]))]
         h, c, n = h[order], c[order], n[order]
+        if not len(h):
+            return pa.table({"t": c, "c": c, "n": n})
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
         h, c, n = h[fresh], c[fresh], n[fresh]
@@ -337,8 +347,9 @@ def rest(members: DataFrame, signs: DataFrame, percent: int, group: str | None =
     """(a, b): pairs inside tiles whose bitmaps allow the threshold, tile by size band, in blocks.
 
     With group, members(t, c, n, group) of different groups. Else members(t, c, n, first, open), first being the place (id, h,
-    line) of each: an open member with each of an earlier place; with best, only with the one whose bitmap promises most,
-    which mostly settles it.
+    line) of each: an open member with each of an earlier place; with best, where a group has more than PARTNERS of them,
+    only with the one whose bitmap promises most, which mostly settles it, and a pair of the member with itself tells that
+    others are left.
     """
     marks = [F.col(group).alias("g0")] if group else [F.col(f"first.{x}").cast("long").alias(f"g{i}") for i, x in enumerate(("id", "h", "line"))]
     asks = F.lit(True) if group else F.col("open")
@@ -380,8 +391,9 @@ def rest(members: DataFrame, signs: DataFrame, percent: int, group: str | None =
                 may = enough(most, n[i], n[j], percent)
                 if may.any():
                     j, most = j[may], most[may]
-                    if best:
+                    if best and len(j) > PARTNERS:
                         j = j[[np.argmax(most / (n[i] + n[j] - most))]]
+                        found.append(np.full((2, 1), c[i]))
                     found.append(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])]))
         return np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
 

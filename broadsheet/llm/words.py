@@ -10,13 +10,9 @@ from .common import mix, spans
 
 STEP = 1 << 20
 _U = np.uint64
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
 _BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
-#: A byte's value, the same for both cases of A-Z.
-_VALUE = _BYTE[_LOWER]
+#: Words of more bytes are hashed byte by byte, not eight bytes a step.
+_LONG = 256
 _PLACE = mix(np.arange(7, 7 + 16, dtype=_U) * _U(0xD1B54A32D192ED03)) | _U(1)
 _BASE = 0x9FB21C651E98DF25
 _powers = {_BASE: np.ones(1, _U)}
@@ -39,7 +35,8 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Hash of each word of the rows in data, lower-cased, and for each row the number of its first word (n+1 numbers)."""
     if not len(data):
         return np.zeros(0, _U), np.zeros(len(at), np.int64)
-    inside = ~_SPACE[data]
+    # white space is \x20 and \x09-\x0D; plain arithmetic is faster here than a table's look-ups
+    inside = (data != 32) & (data - np.uint8(9) > 4)
     start, end = inside.copy(), inside.copy()
     start[1:] &= ~inside[:-1]
     end[:-1] &= ~inside[1:]
@@ -48,12 +45,23 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     start[cut] = inside[cut]
     end[cut - 1] = inside[cut - 1]
     first, last = np.flatnonzero(start), np.flatnonzero(end) + 1
-    counts = np.searchsorted(first, at)
-    # running sums of bytes times powers; a word's part of them, brought back to the powers from 0
-    total = np.zeros(len(data) + 1, _U)
-    np.cumsum(_VALUE[data] * powers(len(data))[: len(data)], out=total[1:])
-    hashes = (total[last] - total[first]) * powers(len(data), INVERSE)[first]
-    return mix(hashes + (last - first).astype(_U)), counts
+    size = last - first
+    lower = np.zeros(len(data) + 8, np.uint8)
+    lower[: len(data)] = data + ((data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
+    # eight bytes from any place on, read as one number; of a word's last ones, what lies behind it is shifted out
+    eights = np.ascontiguousarray(np.ndarray(len(data) + 1, "<u8", lower, strides=(1,)))
+    hashes = mix(eights[first] << ((8 - np.minimum(size, 8)).astype(_U) << _U(3)))
+    on, done = np.flatnonzero((size > 8) & (size <= _LONG)), 8
+    while len(on):
+        left = size[on] - done
+        hashes[on] = mix(hashes[on] * _U(_BASE) + (eights[first[on] + done] << ((8 - np.minimum(left, 8)).astype(_U) << _U(3))))
+        on, done = on[left > 8], done + 8
+    if len(on := np.flatnonzero(size > _LONG)):
+        # running sums of bytes times powers; a word's part of them, brought back to the powers from 0
+        total = np.zeros(len(data) + 1, _U)
+        np.cumsum(_BYTE[lower[: len(data)]] * powers(len(data))[: len(data)], out=total[1:])
+        hashes[on] = (total[last[on]] - total[first[on]]) * powers(len(data), INVERSE)[first[on]]
+    return mix(hashes + size.astype(_U)), np.searchsorted(first, at)
 
 
 def shingles(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,8 +1,12 @@
-"""What the similarity join reads."""
+"""What the similarity join reads and how often it meets its members; hashes of words."""
 
 import random
 
-from broadsheet.llm import ngram, setjoin
+import numpy as np
+import pytest
+
+from broadsheet.llm import linededup, ngram, setjoin
+from broadsheet.llm.words import word_hashes
 from tests.llm import helpers
 
 DOCS = "doc_id long, text string"
@@ -21,6 +25,16 @@ def _near_lines(n: int, seed: int) -> list[tuple[int, str]]:
     return out
 
 
+@pytest.mark.parametrize("partners", [8, 1, 0])
+def test_few_partners_meet_in_one_round(spark, monkeypatch, partners):
+    rows, calls, plain = _near_lines(20, 5), [], setjoin.rest
+    monkeypatch.setattr(linededup, "rest", lambda *a, **b: calls.append(b) or plain(*a, **b))
+    monkeypatch.setattr(setjoin, "PARTNERS", partners)
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == helpers.kept_lines(rows)
+    assert len(calls) <= (1 if partners == 8 else 2)
+
+
 def test_tiers_are_counted_without_bitmaps(spark, monkeypatch):
     """Bitmaps join where rows are dealt: the tables before that don't read them."""
     rows, read, plain = _near_lines(20, 6), {}, setjoin.durable
@@ -35,3 +49,19 @@ def test_tiers_are_counted_without_bitmaps(spark, monkeypatch):
     assert got == helpers.groups([i for i, _ in rows], lambda i, j: helpers.near(sets[i], sets[j]))
     assert read["tiersizes"] and not any("/signs-" in f for files in read["tiersizes"] for f in files)
     assert any("/signs-" in f for f in read["rest"][0])
+
+
+def test_word_hashes_tell_words_apart():
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choice("abABé中.\x0b\x1f"[: rng.choice([3, 9])]) for _ in range(n)).replace("\x0b", "") for n in (*range(1, 40), 255, 256, 257, 300, 1000) for _ in range(6)} - {""})
+    rows = [f" {a}\t{b}\n{a}\x0c" for a, b in zip(words, words[1:])] + ["", "\n", "ends", "starts here"]
+    raw = [r.encode() for r in rows]
+    at = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    hashes, counts = word_hashes(np.frombuffer(b"".join(raw), np.uint8), at)
+    found: dict[str, int] = {}
+    for i, r in enumerate(rows):
+        told = helpers.WORD.findall(helpers.lower(r))
+        assert counts[i + 1] - counts[i] == len(told)
+        for w, h in zip(told, hashes[counts[i] : counts[i + 1]].tolist()):
+            assert found.setdefault(w, h) == h
+    assert len(set(found.values())) == len(found)
