@@ -152,7 +152,7 @@ def lean(task):
 
     def run(batches):
         yield from task(batches)
-        _give_back()
+        _end_task()
 
     return run
 
@@ -165,7 +165,7 @@ def lean_group(task):
         out = task(t)
         if size > 1 << 20:
             del t
-            _give_back()
+            _end_task()
         return out
 
     return run
@@ -178,6 +178,12 @@ def _give_back() -> None:
         libc.malloc_trim(0)
 
 
+def _end_task() -> None:
+    """A worker's modules outlive its tasks: frozen, they aren't walked through again at the end of each, which took a third of a small task's time."""
+    _give_back()
+    gc.freeze()
+
+
 def width(spark: SparkSession) -> int:
     """How many tasks a shuffle is dealt over; the cluster sets it in proportion to the input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -33,6 +33,8 @@ from .components import components
 #: class, between these bounds (2 and 32 MB).
 SKETCH, ACTIVE = 1 << 20, (24, 28)
 _CHUNK = 1 << 14
+#: What the driver reads of bounded size comes in so many jobs, not in one for each partition of a shuffle.
+FETCHES = 8
 #: Rows of a block of a family; a row goes to each pair of blocks that has its own, so blocks of some size keep copies few.
 TILE = 4096
 #: Up to so many likely partners of a member in one group are all met at once.
@@ -103,7 +105,7 @@ def survey(docs: DataFrame, read: Reader, extra: dict[str, pa.DataType], more: C
 
 
 def sketch(surveyed: DataFrame) -> np.ndarray:
-    """Counts of units by shingle slot; partitions' pieces are summed in two steps."""
+    """Counts of units by shingle slot; partitions' pieces are summed in two steps, and come to the driver in FETCHES jobs."""
 
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(_CHUNK, np.int64)
@@ -114,7 +116,7 @@ def sketch(surveyed: DataFrame) -> np.ndarray:
     kinds = "piece int, part int, counts binary"
     parts = surveyed.where("piece is not null").select("piece", "part", "counts").groupBy("piece", "part").applyInArrow(add, kinds)
     out = np.zeros(SKETCH, np.int64)
-    for r in parts.groupBy("piece").applyInArrow(lambda t: add(t), kinds).toLocalIterator():
+    for r in parts.groupBy("piece").applyInArrow(lambda t: add(t), kinds).coalesce(FETCHES).toLocalIterator():
         out[r["piece"] * _CHUNK : (r["piece"] + 1) * _CHUNK] = np.frombuffer(r["counts"], np.int64)
     return np.minimum(out, (1 << 20) - 1).astype(np.int32)
 
@@ -191,7 +193,7 @@ def arrays(docs: DataFrame, read: Reader, classes: DataFrame, signed: bool = Fal
     slot = F.pmod("c", F.lit(active_bits)) + 1  # Spark numbers the places of its bitmaps from 1
     rows = classes.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
     active = np.zeros(active_bits // 8, np.uint8)
-    for r in rows.toLocalIterator():  # at most active_bits in all
+    for r in rows.coalesce(FETCHES).toLocalIterator():  # at most active_bits in all
         got = np.frombuffer(r["bits"], np.uint8)
         active[(r["k"] - 1) * 4096 : (r["k"] - 1) * 4096 + len(got)] = got
     shared = spark.sparkContext.broadcast(active)
@@ -329,7 +331,8 @@ class Sets:
                             found.append((a[i], b[i]))
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-        lined = left.unionByName(right).repartition(width(pairs.sparkSession), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+        # dealt without a number of its own, so that few pairs come together in few tasks
+        lined = left.unionByName(right).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
         out = durable(lined.mapInArrow(lean(intersect), "a long, b long"), "links")
         forget(parts)
         settle(pairs.sparkSession)
@@ -422,7 +425,7 @@ def rest(members: DataFrame, signs: DataFrame, percent: int, group: str | None =
             both = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], ["a", "b"])
 
-    lined = dealt.repartition(width(members.sparkSession), *keys).sortWithinPartitions(*keys)
+    lined = dealt.repartition(*keys).sortWithinPartitions(*keys)
     return durable(lined.mapInArrow(lean(run), "a long, b long").distinct(), "rest")
 
 
