@@ -132,14 +132,27 @@ def _long(v: int) -> Column:
 
 
 class Bpe:
-    """Expressions of one vocabulary."""
+    """Expressions of one vocabulary.
 
-    def __init__(self, path: str, python_pattern: str = public_tokenizers.PATTERN):
+    With spark, the tables are columns that with_tables() adds, scalar subqueries on a written row: as a literal, the pairs stand in
+    the text of a plan, which the driver makes and keeps several times a query, two megabytes each, and are objects one by one.
+    """
+
+    def __init__(self, path: str, python_pattern: str = public_tokenizers.PATTERN, spark: SparkSession | None = None):
         self.path, self.pattern = path, pattern(python_pattern)
         table_ = pair_table(path)
         self.size = len(table_)
-        self.pairs = F.from_json(F.lit(json.dumps(table_, separators=(",", ":"))), "array<bigint>")
-        self.bytes = F.from_json(F.lit(json.dumps(byte_ids(path))), "array<bigint>")
+        if spark is None:
+            self.pairs = F.from_json(F.lit(json.dumps(table_, separators=(",", ":"))), "array<bigint>")
+            self.bytes = F.from_json(F.lit(json.dumps(byte_ids(path))), "array<bigint>")
+            return
+        kinds = pa.schema([(name, pa.list_(pa.int64())) for name in ("pairs", "bytes")])
+        self.row = durable(spark.createDataFrame(pa.table({"pairs": [table_], "bytes": [byte_ids(path)]}, schema=kinds)), "merges")
+        self.pairs, self.bytes = F.col("pairs"), F.col("bytes")
+
+    def with_tables(self, words: DataFrame) -> DataFrame:
+        """words with the columns pairs and bytes, for one use of word_ids() in the next projection: the optimizer makes one of both, so that no row carries the tables."""
+        return words.select("*", *[self.row.select(name).scalar().alias(name) for name in ("pairs", "bytes")])
 
     def linked(self, pairs: Column, a: Column, b: Column) -> Column:
         """(id that a and b merge into) << BITS | a; _NONE stands for no such id. b may be _NONE."""
@@ -318,7 +331,8 @@ def _gather(t: pa.Table) -> pa.Table:
 
 def encode_documents(docs: DataFrame, path: str, python_pattern: str = public_tokenizers.PATTERN, keep_text: bool = True) -> DataFrame:
     """docs with ids; without text, where that isn't kept."""
-    bpe, spark = Bpe(path, python_pattern), docs.sparkSession
+    spark = docs.sparkSession
+    bpe = Bpe(path, python_pattern, spark)
     docs = docs.drop("ids")
     own = inside(docs, "text")
     text = own.columns.index("text")
@@ -332,11 +346,11 @@ def encode_documents(docs: DataFrame, path: str, python_pattern: str = public_to
     gathered = listed.select("bucket", "chunk", "words", "places").repartition(targets, "bucket").groupBy("bucket").applyInArrow(lean_group(_gather), "word string, chunks array<bigint>, places array<int>")
     odd = odd_tokens(path)
     apart = (F.octet_length("word") > FOLD_BYTES) | F.col("word").isin([t.decode() for t in odd if _is_text(t)])
-    folded = gathered.select(F.when(~apart, bpe.word_ids(F.col("word"))).alias("ids"), F.when(apart, F.col("word")).alias("word"), "chunks", "places")
+    folded = bpe.with_tables(gathered).select(F.when(~apart, bpe.word_ids(F.col("word"))).alias("ids"), F.when(apart, F.col("word")).alias("word"), "chunks", "places")
     # ids stand once for each word here; between the shuffles there is nothing smaller
     folded = durable(folded, "folded", "zstd")
     del gathered
-    forget(listed)
+    forget(listed, bpe.row)
     settle(spark, 5)
     made = pair_ids(path)
     shared = spark.sparkContext.broadcast((np.fromiter(made, np.int64, len(made)), np.fromiter(made.values(), np.int32, len(made)), byte_ids(path), odd))

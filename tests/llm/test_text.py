@@ -241,6 +241,26 @@ def test_bpe(spark, encoding):
             assert folded.get(r["doc_id"], []) == want  # the fold of higher-order functions alone
 
 
+def test_bpe_tables_stay_out_of_plans_and_rows(spark, encoding, monkeypatch):
+    """The driver keeps the texts of plans; the table of pairs is two megabytes in each place where one spells it out."""
+    import public_tokenizers as p
+
+    plans, plain = {}, bpe.durable
+
+    def durable(df, name, *more):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return plain(df, name, *more)
+
+    monkeypatch.setattr(bpe, "durable", durable)
+    texts = ["some words to be encoded", "", None, "and others, some twice: some"]
+    out = bpe.encode_documents(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), p.path("byte_bpe_50k.tiktoken"))
+    assert {r["doc_id"]: list(r["ids"]) for r in out.collect()} == {i: encoding.encode_ordinary(t or "") for i, t in enumerate(texts)}
+    assert len(plans["folded"]) < 100_000
+    # the subqueries stand in the projection that folds, and in no row below it
+    above = [x for x in plans["folded"].split("\n") if "Project" in x and "ubquery" in x]
+    assert len(above) == 1 and "aggregate(" in above[0]
+
+
 # 9 ----------------------------------------------------------------------------------------------------------------------
 
 
