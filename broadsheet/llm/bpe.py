@@ -4,7 +4,7 @@
              chunks of at most CHUNK_WORDS of them; a document becomes a row of these numbers, a chunk a list of words.
 2. gather    The lists meet by word: each distinct word of the corpus stands once, with its occurrences (chunk, number).
 3. fold      A word's bytes are a row of ids that merge pair by pair, least rank first, leftmost on ties: a fold of Spark's
-             higher-order functions. The rank map is a literal: pairs of ids sit in one flat array by cuckoo hashing, so a
+             higher-order functions. The rank map is one value: pairs of ids sit in one flat array by cuckoo hashing, so a
              look-up reads two places.
 4. deal      Each word's ids go back to its chunks, and a chunk's documents take the ids of their words.
 
