@@ -164,11 +164,11 @@ def headline(x: Column | str) -> Column:
     return n.between(4, 24) & F.length(t).between(18, 220) & ~((n >= 15) & sentence(x) & F.contains(t, F.lit(",")))
 
 
-def sweep(blocks: Column, title: Column, known_titles: Column | None = None, config: Config = DEFAULT, labels: str = MODULE_LABEL, utility: str = UTILITY_SENTENCE) -> Column:
+def sweep(blocks: Column, title: Column, known_titles: Column | None = None, config: Config = DEFAULT, labels: str = MODULE_LABEL, utility: str = UTILITY_SENTENCE, most: int | None = 18) -> Column:
     """The universal sweep: struct(blocks, removed).
 
     Module labels, interface sentences, navigation lists, lists and runs of story cards, and advertising go; a closing line
-    of the publisher's ends the article after 80 words. known_titles: keys of other stories' titles that the body may show.
+    of the publisher's ends the article after 80 words. known_titles: keys of other stories' titles that the body may show. most: see card_runs.
     """
     known = F.array_except(F.coalesce(known_titles, F.array().cast("array<string>")), F.array(key(title))) if known_titles is not None else F.array().cast("array<string>")
 
@@ -196,17 +196,17 @@ def sweep(blocks: Column, title: Column, known_titles: Column | None = None, con
             reasons = lambda c: F.concat(F.transform(j, lambda x: x["reason"]), F.array(F.when(F.exists(runs, lambda x: x["card"]), "headline-card-run"), F.when(c >= 0, "terminal-publisher-ui")))
             return bind(cut, lambda c: _result(F.transform(_upto(left, c), lambda x: x["block"]), reasons(c)))
 
-        return bind(card_runs(kept, known), of)
+        return bind(card_runs(kept, known, most), of)
 
     return bind(judged, finish)
 
 
-def card_runs(blocks: Column, known: Column, most: int = 18) -> Column:
+def card_runs(blocks: Column, known: Column, most: int | None = 18) -> Column:
     """(block, card) for each block: whether it belongs to a run of headlines with images between, or of known titles.
 
     A run begins with a headline, takes headlines, images and lists of short items, `most` at most; it is one of cards with
     three headlines and two images, or two headlines of known titles. A run that isn't gives its first block back and is
-    tried again from the next one.
+    tried again from the next one. Without a bound (most=None) a run goes on to the next block that can't be in one.
     """
 
     def kind(b):
@@ -216,6 +216,27 @@ def card_runs(blocks: Column, known: Column, most: int = 18) -> Column:
 
     kinds = F.transform(blocks, lambda b: F.struct(kind(b).alias("k"), (b["type"].isin("heading", "paragraph") & F.array_contains(known, key(b["text"]))).alias("known")))
 
+    def is_cards(t):
+        count = lambda f: F.size(F.filter(t, f))
+        heads, images = count(lambda k: k["k"] == "H"), count(lambda k: k["k"] == "I")
+        return ((heads >= 2) & (count(lambda k: (k["k"] == "H") & k["known"]) >= 2)) | ((heads >= 3) & (images >= 2))
+
+    def whole(ks):
+        """Runs without a bound: where the one from a stretch's first headline is none, no later one is. Each stretch is cut out once."""
+        walls = F.concat(F.array(F.lit(-1)), F.filter(F.transform(ks, lambda k, i: F.when(k["k"] == "X", i)), lambda i: i.isNotNull()))
+
+        def told(t):
+            first = F.array_position(F.transform(t, lambda k: k["k"]), F.lit("H")).cast("int")
+            judge = bind(F.slice(t, F.greatest(first, F.lit(1)), F.size(t)), is_cards) & (first > 0)
+            return bind(F.struct(first.alias("first"), judge.alias("cards")), lambda c: F.concat(F.array(F.lit(False)), F.transform(t, lambda k, i: c["cards"] & (i + 1 >= c["first"]))))
+
+        stretch = lambda w: F.flatten(F.transform(w, lambda at, j: bind(F.slice(ks, at + 2, F.coalesce(F.get(w, j + 1), F.size(ks)) - at - 1), told)))
+        # the first wall is no block
+        return bind(bind(walls, stretch), lambda card: F.transform(blocks, lambda b, i: F.struct(b.alias("block"), F.get(card, i + 1).alias("card"))))
+
+    if most is None:
+        return bind(kinds, whole)
+
     def of(ks):
         def run(i):
             """Length of the run of cards that begins at place i, 0 if there is none."""
@@ -224,10 +245,7 @@ def card_runs(blocks: Column, known: Column, most: int = 18) -> Column:
             taken = F.when(stop > 0, F.slice(near, F.lit(1), F.greatest(stop - 1, F.lit(0)))).otherwise(near)
 
             def judge(t):
-                count = lambda f: F.size(F.filter(t, f))
-                heads, images = count(lambda k: k["k"] == "H"), count(lambda k: k["k"] == "I")
-                cards = ((heads >= 2) & (count(lambda k: (k["k"] == "H") & k["known"]) >= 2)) | ((heads >= 3) & (images >= 2))
-                return F.when(cards & (F.get(t, F.lit(0))["k"] == "H"), F.size(t)).otherwise(0)
+                return F.when(is_cards(t) & (F.get(t, F.lit(0))["k"] == "H"), F.size(t)).otherwise(0)
 
             return bind(taken, judge)
 

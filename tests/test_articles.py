@@ -2,12 +2,16 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from broadsheet.config import DEFAULT
 from broadsheet.functions import scores, similarity, text, urls
 from broadsheet.operators import audit, blocks, candidates, contract, filters, windows
+from broadsheet.plans.queries import ORACLES, QUERIES
+
+from tests.compare import spark_rows, sql_rows
 
 BLOCK = "array<struct<type:string,text:string,level:int,ordered:boolean,items:array<string>,url:string,alt:string>>"
 
@@ -58,6 +62,24 @@ def test_card_runs_against_a_plain_version(spark):
         assert [x["card"] for x in r["x"]] == want, r["c"]
 
 
+def test_quality_sweep_takes_long_runs_whole(spark, tmp_path):
+    """A run of more than 18 cards goes whole, as in the SQL; card runs without a bound are those of whole stretches."""
+    heads = [f"Mayor opens {n} new bridges today" for n in ("two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "many")]
+    texts = ["\n".join(heads * 2), "\n".join(["x", *heads, "short", LONG, *heads[:3], "end"]), "\n".join(heads[:2]), LONG]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"SET timezone = 'UTC'; CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = spark_rows(QUERIES["quality_sweep"](spark, str(tmp_path)))
+    assert got == sql_rows(con, ORACLES["quality_sweep"])[1] and any("headline-card-run" in r for r in map(repr, got))
+    rng = random.Random(4)
+    makers = {"H": lambda: b("heading", "Mayor opens new bridge today"), "I": lambda: b("image", url="u"), "X": lambda: b("paragraph", LONG)}
+    cases = ["".join(rng.choice("HHIIX" if rng.random() < 0.6 else "HI") for _ in range(rng.randrange(0, 60))) for _ in range(40)]
+    df = spark.createDataFrame([(c, [makers[k]() for k in c]) for c in cases], f"c string, b {BLOCK}")
+    for r in df.select("c", contract.card_runs(F.col("b"), F.array().cast("array<string>"), None).alias("x")).collect():
+        want = "X".join("i" * (len(s) - len(t)) + ("c" if t.count("H") >= 3 and t.count("I") >= 2 else "o") * len(t) for s in r["c"].split("X") for t in [s.lstrip("I")])
+        assert [x["card"] for x in r["x"]] == [k == "c" for k in want], r["c"]
+
+
 def test_boundaries(spark):
     page = [b("paragraph", "Skip to main content"), b("heading", "Sections sections"), b("heading", "Bridge to be widened"), b("paragraph", "By Jane Roe"), b("paragraph", LONG), b("paragraph", LONG), b("paragraph", "Report an error"), b("paragraph", "more")]
     out = one(spark, page, contract.trim_boundaries(F.col("b"), F.lit("Bridge to be widened"), F.lit("Jane Roe")))
